@@ -4,29 +4,54 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, line_dedup, mixing
+from . import decontaminate, line_dedup, mixing, quality, token_counts, warc
 from .common import table
 
 
+#: The tokenizer file that op5 counts with.
+TOKENIZER = "word_bpe_49k.json"
+
+
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op9_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents"), digest=True)
 
 
 QUERIES = {f.__name__: f for f in (
-    op3_benchmark_decontamination, op8_source_mixing, op10_line_dedup,
+    op1_warc, op3_benchmark_decontamination, op5_token_counts, op8_source_mixing, op9_quality_ranking, op10_line_dedup,
 )}
 
 _LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE_SQL = {
+    "op1_warc": r"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b, sha256(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT h, min(page_id) AS o FROM p WHERE octet_length(b) >= 100 GROUP BY h)
+SELECT page_id, CAST(octet_length(b) AS BIGINT) AS payload_bytes, p.h AS payload_digest,
+       CASE WHEN f.o IS NOT NULL AND p.page_id IS DISTINCT FROM f.o AND octet_length(b) >= 100 THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN f.o IS NOT NULL AND p.page_id IS DISTINCT FROM f.o AND octet_length(b) >= 100 THEN f.o END AS refers_to
+FROM p LEFT JOIN f ON p.h = f.h""",
     "op3_benchmark_decontamination": rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOW.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all({_LOW.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
