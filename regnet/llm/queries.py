@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, line_dedup, mixing, quality, token_counts, warc
+from . import decontaminate, line_dedup, mixing, quality, secrets, token_counts, warc
 from .common import table
 
 
@@ -16,6 +16,10 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -39,7 +43,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_warc, op3_benchmark_decontamination, op5_token_counts, op8_source_mixing, op9_quality_ranking, op10_line_dedup,
+    op1_warc, op2_secret_scan, op3_benchmark_decontamination, op5_token_counts, op8_source_mixing, op9_quality_ranking, op10_line_dedup,
 )}
 
 _LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
