@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, line_dedup, mixing, quality, secrets, token_counts, warc
+from . import decontaminate, line_dedup, mixing, quality, secrets, token_counts, warc, winnowing
 from .common import table
 
 
@@ -24,6 +24,10 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -43,7 +47,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_warc, op2_secret_scan, op3_benchmark_decontamination, op5_token_counts, op8_source_mixing, op9_quality_ranking, op10_line_dedup,
+    op1_warc, op2_secret_scan, op3_benchmark_decontamination, op4_winnowing, op5_token_counts, op8_source_mixing, op9_quality_ranking, op10_line_dedup,
 )}
 
 _LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
