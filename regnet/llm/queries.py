@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, line_dedup, mixing, ngram_join, quality, secrets, token_counts, warc, winnowing
+from . import decontaminate, line_dedup, mixing, ngram_join, quality, secrets, suffix_dedup, token_counts, warc, winnowing
 from .common import table
 
 
@@ -34,6 +34,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup_substrings(table(spark, sf_dir, "documents"))
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_groups(table(spark, sf_dir, "documents"))
 
@@ -51,7 +55,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_warc, op2_secret_scan, op3_benchmark_decontamination, op4_winnowing, op5_token_counts, op7_ngram_jaccard_join,
+    op1_warc, op2_secret_scan, op3_benchmark_decontamination, op4_winnowing, op5_token_counts, op6_suffix_array_dedup, op7_ngram_jaccard_join,
     op8_source_mixing, op9_quality_ranking, op10_line_dedup,
 )}
 
