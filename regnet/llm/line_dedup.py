@@ -24,13 +24,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import bitmaps
 from .common import LOWER, UPPER, row_key, scratch
 
 MIN_CHARS, MIN_DOCS = 40, 5
 #: Bits of each filter (a power of two, 8 MB each); probes of a key.
 BITS, PROBES = 1 << 26, 3
-#: A filter travels in so many parts when the tasks' bitmaps are merged.
-PARTS = 64
 STRIP = " \t\n\x0b\x0c\r"
 _LOW = str.maketrans(UPPER, LOWER)
 
@@ -55,51 +54,20 @@ def _places(digests: list[bytes]) -> np.ndarray:
         return np.stack([(h[:, 0] + np.uint64(i) * h[:, 1]) & np.uint64(BITS - 1) for i in range(PROBES)], 1).astype(np.int64)
 
 
-def _fill(min_chars: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, twice = np.zeros(BITS, bool), np.zeros(BITS, bool)
-        for b in batches:
-            for text in b.column(0).to_pylist():
-                own = list({d for _, d in long_keys(text, min_chars)})
-                if own:
-                    at = _places(own)
-                    seen = once[at].all(1)
-                    twice[at[seen]] = True
-                    once[at] = True
-        a, b2 = np.packbits(once).reshape(PARTS, -1), np.packbits(twice).reshape(PARTS, -1)
-        full = [k for k in range(PARTS) if a[k].any()]
-        yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([a[k].tobytes() for k in full], pa.binary()), pa.array([b2[k].tobytes() for k in full], pa.binary())], ["part", "once", "twice"])
-
-    return run
-
-
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bitmaps of one part or of several, merged by part."""
-    held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    for b in batches:
-        for part, o, t in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-            o, t = np.frombuffer(o, np.uint8), np.frombuffer(t, np.uint8)
-            if part in held:
-                o0, t0 = held[part]
-                o, t = o0 | o, t0 | t | (o0 & o)
-            held[part] = (o, t)
-    yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([o.tobytes() for o, _ in held.values()], pa.binary()), pa.array([t.tobytes() for _, t in held.values()], pa.binary())], ["part", "once", "twice"])
-
-
 def twice_seen(documents: DataFrame, min_chars: int = MIN_CHARS) -> bytes:
     """The "twice" bitmap of all documents: BITS / 8 bytes, whatever the number of rows."""
-    made = "part int, once binary, twice binary"
-    maps = documents.select("text").mapInArrow(_fill(min_chars), made)
-    merged = maps.repartition(PARTS, "part").mapInArrow(_merge, made)
-    out = np.zeros((PARTS, BITS // 8 // PARTS), np.uint8)
-    for r in merged.select("part", "twice").toLocalIterator():  # PARTS rows at most
-        out[r["part"]] = np.frombuffer(r["twice"], np.uint8)
-    return out.tobytes()
 
+    def places(b: pa.RecordBatch) -> Iterator[np.ndarray]:
+        for text in b.column(0).to_pylist():
+            if own := list({d for _, d in long_keys(text, min_chars)}):
+                yield _places(own)
+
+    return bitmaps.filled(documents.select("text"), places, BITS, "twice")
 
-def _suspects(filter_path: object, min_chars: int):
+
+def _suspects(twice: object, min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(np.frombuffer(filter_path.value, np.uint8)).view(bool)
+        bits = bitmaps.unpacked(twice.value)
         for b in batches:
             keys, rows = [], []
             for i, text in enumerate(b.column("text").to_pylist()):
@@ -161,3 +129,11 @@ def dedup_lines(documents: DataFrame, min_chars: int = MIN_CHARS, min_docs: int
     if digest:
         return joined.mapInArrow(_rewrite(min_chars, True), f"doc_id {dict(documents.dtypes)['doc_id']}, n_lines long, n_dropped long, kept_sha256 string")
     return joined.mapInArrow(_rewrite(min_chars, False), documents.schema)
+
+
+def with_n_chars(documents: DataFrame) -> DataFrame:
+    """documents with n_chars, where there is one, counted anew from the text."""
+    if "n_chars" not in documents.columns:
+        return documents
+    n = F.coalesce(F.length("text"), F.lit(0)).cast(dict(documents.dtypes)["n_chars"])
+    return documents.withColumn("n_chars", n)
