@@ -107,7 +107,7 @@ def read_motifs(spark: SparkSession, path: str | list[str], file_format: str | N
         for b in batches:
             yield pd.DataFrame([m for text in b.value for m in parse(text)], columns=[c.split()[0] for c in schemas.MOTIF.replace(", ", ",").split(",")])
 
-    return spark.read.option("wholetext", True).text(path).mapInPandas(run, schemas.MOTIF)
+    return spark.read.text(path, wholetext=True).mapInPandas(run, schemas.MOTIF)
 
 
 def assert_unique_ids(motifs: DataFrame) -> DataFrame:
@@ -122,7 +122,7 @@ def read_pwm_files(
     name_column: str = "TF_Name", join_names: bool = True,
 ) -> DataFrame:
     """A directory of tables (Pos A C G T), the file's stem being the motif id, with the names of info (Motif_ID, TF_Name, TF_Status)."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.[A-Za-z]+)?$", 1).alias("motif_id"), "value")
+    lines = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.[A-Za-z]+)?$", 1).alias("motif_id"), "value")
     rows = F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "")
     body = F.slice(rows, F.lit(2 if indexed else 1), F.greatest(F.size(rows) - (1 if indexed else 0), F.lit(0)))
     numbers = F.transform(body, lambda line: F.transform(F.filter(F.split(F.trim(line), r"\s+"), lambda x: x != ""), lambda x: x.try_cast("double")))
