@@ -66,7 +66,7 @@ def inside(runs: Column, pattern: str, least: int) -> Column:
 
 def entropy_spans(candidate: Column, alphabet: str, bits: float) -> Column:
     """Merged spans (s, e within the candidate) of the windows whose entropy is at least bits."""
-    k, log = len(alphabet), [0.0] + [c * math.log2(c) for c in range(1, WINDOW + 1)]
+    k, log = len(alphabet), [0.0] + [c * math.log2(c) for c in range(1, WINDOW + 2)]  # one comes before one goes
     table = F.array(*[F.lit(x) for x in log])
     spans = F.array().cast("array<struct<s:int,e:int>>")
     codes = F.transform(F.split(candidate, ""), lambda c: F.instr(F.lit(alphabet), c))

@@ -1,0 +1,338 @@
+"""Each operator against plain Python over small tables with edge cases."""
+
+import hashlib
+import re
+from collections import Counter, defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from regnet.llm import bitmaps, decontaminate, line_dedup, mixing, ngram_join, quality, secrets, suffix_dedup, token_counts, warc, winnowing
+from regnet.llm.components import components
+
+AZ = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+sha = lambda x: hashlib.sha256(x if isinstance(x, bytes) else x.encode()).hexdigest()
+WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+
+
+def low(x):
+    return (x or "").translate(AZ)
+
+
+def counted(df, *cols):
+    return Counter(tuple(r) for r in df.select(*cols).collect())
+
+
+def test_warc_round_trip(spark, data, monkeypatch):
+    monkeypatch.setattr(warc, "RECORDS_PER_FILE", 7)
+    extra = [(10**6, "u", None), (10**6 + 1, None, "x" * 150), (10**6 + 2, "u\r\nv", "x" * 150), (10**6 + 2, "u", "x" * 150), (10**6 + 3, "u", "y" * 99), (10**6 + 4, "u", "y" * 99), (None, "u", "x" * 150), (10**6 + 5, "u", "é€\r\n\r\n" * 9000), (10**6 + 6, "u", "é€\r\n\r\n" * 9000)]
+    pages = spark.read.parquet(f"{data}/pages.parquet").select("page_id", "url", "html").union(spark.createDataFrame(extra, "page_id long, url string, html string")).withColumn("total", F.lit(1))
+    all_rows = pages.collect()
+    first = {}
+    for r in all_rows:
+        b = (r.html or "").encode()
+        if len(b) >= 100 and r.page_id is not None:
+            first[b] = min(first.get(b, r.page_id), r.page_id)
+    want = Counter()
+    for r in all_rows:
+        b = (r.html or "").encode()
+        again = b in first and first[b] != r.page_id
+        want[(r.page_id, len(b), sha(b), "revisit" if again else "response", first[b] if again else None)] += 1
+    assert counted(warc.round_trip(pages), "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to") == want
+    assert warc.round_trip(pages.limit(0)).count() == 0
+
+
+def test_warc_incomplete_segments(spark, tmp_path):
+    p = spark.createDataFrame([(1, "u", "z" * 100_000)], "page_id long, url string, html string")
+    lost = warc.records(p).filter(~F.contains("value", F.lit("WARC-Segment-Number: 2")))
+    lost.write.option("lineSep", "\r\n\r\n").text(str(tmp_path / "w"))
+    r = warc.read_archive(spark, str(tmp_path / "w")).first()
+    assert not r.complete and r.payload is None
+    assert warc.dechunk(b"5\r\nabcde\r\n0\r\n\r\n") == b"abcde" and warc.dechunk(b"9\r\nabc") is None
+
+
+def test_secret_spans(docs, rows):
+    assign = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
+    want = Counter()
+    for r in rows:
+        x = r.text or ""
+        found = [(m.start(), 0, m.end()) for m in assign.finditer(x) if len(m[2]) >= 6], [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", x) if len(m[0]) >= 20], [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", x) if len(m[0]) >= 24]
+        said = ",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{e}" for a, k, e in sorted(sum(found, [])))
+        want[(r.doc_id, *map(len, found), sha(said))] += 1
+    assert counted(secrets.scan(docs), "doc_id", "n_assign", "n_access", "n_hex", "base_sha256") == want
+
+
+def test_entropy_windows(spark):
+    import math
+
+    texts = ["aB3dE5gH7jK9mN1pQ3sT5vW7xY9", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaab", "0123456789abcdef0123456789abcdef", "aaaaaaaaaaaaaaaaaaaaaaaaB3dE5gH7jK9mN1pQ3sT5vW7xY9bbbbbbbbbbbbbbbbbbbbbbbbbb"]
+    alphabet, bits = secrets.CLASSES[2][2], 3.5
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", secrets.entropy_spans(F.col("t"), alphabet, bits).alias("s"))
+    for r in df.collect():
+        want = []
+        for i in range(len(r.t) - secrets.WINDOW + 1):
+            c = Counter(r.t[i : i + secrets.WINDOW])
+            if -sum(n / secrets.WINDOW * math.log2(n / secrets.WINDOW) for n in c.values()) >= bits - 1e-9:
+                if want and want[-1][1] >= i:
+                    want[-1] = (want[-1][0], i + secrets.WINDOW)
+                else:
+                    want.append((i, i + secrets.WINDOW))
+        assert [tuple(x) for x in r.s] == want
+
+
+def brute_hits(rows, items):
+    wins = defaultdict(set)
+    for r in items:
+        w = WORD.findall(low(r.text))
+        n = min(10, len(w))
+        for i in range(len(w) - n + 1 if w else 0):
+            wins[tuple(w[i : i + n])].add(r.item_id)
+    sizes = {len(k) for k in wins}
+    for r in rows:
+        w, hit, found = WORD.findall(low(r.text)), set(), set()
+        for n in sizes:
+            for i in range(len(w) - n + 1):
+                if (k := tuple(w[i : i + n])) in wins:
+                    found |= wins[k]
+                    hit |= set(range(i, i + n))
+        yield r, w, hit, found
+
+
+@pytest.mark.parametrize("limit", [10**6, 3])
+def test_contamination(docs, rows, benchmark, limit, monkeypatch):
+    monkeypatch.setattr(decontaminate, "MAX_BROADCAST_ROWS", limit)
+    want = Counter((r.doc_id, len(w), len(hit), len(f), sha(",".join(sorted(map(str, f)))), bool(hit)) for r, w, hit, f in brute_hits(rows, benchmark.collect()))
+    assert counted(decontaminate.contamination(docs, benchmark), "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated") == want
+
+
+def test_decontamination_effects(docs, rows, benchmark):
+    kept = decontaminate.decontaminate(docs, benchmark)
+    assert kept.columns == docs.columns
+    bad = sum(bool(hit) for _, _, hit, _ in brute_hits(rows, benchmark.collect()))
+    assert bad and kept.count() == len(rows) - bad
+    assert not decontaminate.contamination(decontaminate.remove_spans(docs, benchmark), benchmark).filter("n_hit > 10").count()
+    assert decontaminate.contamination(docs.limit(0), benchmark).count() == 0
+    assert decontaminate.contamination(docs, benchmark.limit(0)).filter("contaminated").count() == 0
+
+
+@pytest.mark.parametrize("per", [20, 10**6])
+def test_winnowing(docs, rows, per, monkeypatch):
+    monkeypatch.setattr(winnowing, "ROWS_PER_RANGE", per)
+    got = winnowing.fingerprints(docs)
+    order = sorted(rows, key=lambda r: (r.doc_id is None, -(r.doc_id or 0), r.text or ""))
+    want = Counter()
+    for i, r in enumerate(order):
+        x, y = r.text or "", order[(i + 1) % len(order)].text or ""
+        c = len(x) // 3
+        want[(r.doc_id, len(x), sha(x[: len(x) - c] + y[:c]))] += 1
+    assert counted(got, "doc_id", "n_chars", "edited_sha256") == want
+    own = {r.doc_id: r for r in got.collect()}
+    hashes = lambda f: {p.split(":")[0] for p in f.split()}
+    for r in order:
+        f = own[r.doc_id]
+        a, b = hashes(f.fingerprint), hashes(f.edited_fingerprint)
+        assert abs(f.near_edited - (len(a & b) / len(a | b) if a | b else 1.0)) < 1e-12 and 0 <= f.near_next <= 1
+        words = [w for w in re.split("[\x20\x09-\x0d]+", r.text or "") if w]
+        places = [int(p.split(":")[1]) for p in f.fingerprint.split()]
+        grams = max(len(words) - winnowing.GRAM + 1, 1)
+        assert bool(words) == bool(places)
+        if places:  # every window of WINDOW grams holds a chosen one
+            assert places == sorted(set(places)) and places[0] < winnowing.WINDOW and places[-1] >= grams - winnowing.WINDOW
+            assert all(q - p <= winnowing.WINDOW for p, q in zip(places, places[1:], strict=False))
+    assert winnowing.fingerprints(docs.limit(0)).count() == 0
+    lone = winnowing.fingerprints(docs.filter("doc_id = 1000008").limit(1)).first()
+    assert lone.near_next == 1.0
+
+
+def test_rightmost_minimum(spark):
+    df = spark.createDataFrame([([5, 3, 9, 3, 7, 8, 3, 9, 9, 9, 9, 4],)], "h array<bigint>").select(winnowing.chosen(F.col("h")).alias("c"))
+    places = [winnowing._LOW31 - (c & winnowing._LOW31) for c in df.first().c]
+    assert places == [3, 6]
+
+
+def test_token_counts(docs, rows):
+    public = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = public.path("word_bpe_49k.json")
+    t = Tokenizer.from_file(path)
+    want = Counter()
+    for r in rows:
+        n = len(t.encode(r.text or "", add_special_tokens=False).ids)
+        want[(r.doc_id, len((r.text or "").encode()), n, n > 2048)] += 1
+    assert counted(token_counts.token_counts(docs, path), "doc_id", "n_bytes", "n_tokens", "over_limit") == want
+    odd = ["a'S <|endoftext|> x", "İstanbul ΣΑΣ ﬁ é é", "12³½ a_b", "\x1c\x1f x", "'ll it's .'s", " x y"]
+    df = docs.sparkSession.createDataFrame(list(enumerate(odd)), "doc_id long, text string")
+    assert {r.doc_id: r.n_tokens for r in token_counts.token_counts(df, path).collect()} == {i: len(t.encode(x, add_special_tokens=False).ids) for i, x in enumerate(odd)}
+
+
+def brute_substrings(rows, n=50):
+    first = {}
+    order = lambda r: (r.doc_id is None, r.doc_id or 0)
+    for r in sorted(rows, key=order):
+        b = (r.text or "").encode()
+        for p in range(len(b) - n + 1):
+            first.setdefault(b[p : p + n], order(r))
+    for r in rows:
+        b = (r.text or "").encode()
+        gone = bytearray(len(b))
+        for p in range(len(b) - n + 1):
+            if first[b[p : p + n]] < order(r):
+                gone[p : p + n] = b"\1" * n
+        runs = sum(1 for k, g in enumerate(gone) if g and (k == 0 or not gone[k - 1]))
+        yield (r.doc_id, len(b), sum(gone), runs, sha(bytes(x for x, g in zip(b, gone, strict=True) if not g)))
+
+
+@pytest.mark.parametrize("sizes", [None, (20_000, 60_000, 50_000, 1 << 12)])
+def test_substrings(docs, rows, sizes, monkeypatch):
+    if sizes:
+        for name, x in zip(("CHUNK_BYTES", "PARTITION_BYTES", "RANGE_BYTES", "PIECE"), sizes, strict=True):
+            monkeypatch.setattr(suffix_dedup, name, x)
+    got = counted(suffix_dedup.dedup_substrings(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert got == Counter(brute_substrings(rows))
+
+
+def test_levels_merge_geometrically():
+    import numpy as np
+
+    index = suffix_dedup.Levels()
+    for i in range(13):
+        index.add(np.array([2 * i, 2 * i + 1], np.uint64), np.array([i, i]))
+    assert [len(k) for k, _ in index.levels] == [16, 8, 2]
+
+
+def brute_groups(rows):
+    sets, par = [], list(range(len(rows)))
+    for r in rows:
+        w = re.findall("[^\x20\x09-\x0d]+", low(r.text))
+        sets.append(frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset())
+
+    def top(x):
+        while par[x] != x:
+            x = par[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if a and b and 100 * len(a & b) >= 80 * len(a | b):
+                par[top(i)] = top(j)
+    least = {}
+    for i, r in enumerate(rows):
+        if r.doc_id is not None:
+            least[top(i)] = min(least.get(top(i), r.doc_id), r.doc_id)
+    return [(r.doc_id, len(s), least.get(top(i), r.doc_id)) for i, (r, s) in enumerate(zip(rows, sets, strict=True))]
+
+
+def test_near_groups(docs, rows):
+    assert counted(ngram_join.near_groups(docs), "doc_id", "n_shingles", "component_id") == Counter(brute_groups(rows))
+    assert ngram_join.near_groups(docs.limit(0)).count() == 0
+
+
+def test_near_groups_find_chains_and_keep_unlike_texts_apart(spark):
+    """A large group of near copies, a chain of small changes, and texts that share a passage but are no copies."""
+    base = [f"b{i}" for i in range(200)]
+    rows = [(i, " ".join(base[:k] + [f"new{i}"] + base[k + 1 :])) for i in range(60) if (k := i * 3 % 190)]
+    chain = [f"c{i}" for i in range(100)]
+    for i in range(12):
+        chain = [f"z{i}", *chain[:-1]] if i % 2 else [*chain[1:], f"y{i}"]
+        rows.append((100 + i, " ".join(chain)))
+    rows += [(200 + i, " ".join([f"u{i}_{j}" for j in range(60)] + base[20:70])) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert counted(ngram_join.near_groups(df), "doc_id", "n_shingles", "component_id") == Counter(brute_groups(df.collect()))
+
+
+def test_components(spark):
+    chain = [(i, i + 1) for i in range(40)] + [(100, 101), (7, 50), (200, 200)]
+    got = {r.node: r.label for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
+    assert got == {**dict.fromkeys([*range(41), 50], 0), 100: 100, 101: 100}
+
+
+def brute_targets(sizes, cap=3):
+    names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
+    capped, total = set(), sum(sizes.values())
+    while True:
+        free = [s for s in names if s not in capped]
+        left = total - sum(cap * sizes[s] for s in capped)
+        level = left / sum(weight[s] for s in free) if free else 0
+        over = {s for s in free if level * weight[s] > cap * sizes[s]}
+        if not over:
+            return {s: cap * sizes[s] if s in capped else level * weight[s] for s in names}
+        capped |= over
+
+
+def test_mixing(docs, rows, monkeypatch):
+    monkeypatch.setattr(mixing, "ROWS_PER_CHUNK", 30)
+    size = lambda t: len(re.findall("[^\x20\x09-\x0d]+", t or ""))
+    got = mixing.mix(docs).collect()
+    assert Counter((r.doc_id, r.size) for r in got) == Counter((r.doc_id, size(r.text)) for r in rows)
+    totals, taken = Counter(), Counter()
+    for r in got:
+        totals[r.source] += r.size
+        taken[r.source] += r.taken
+        assert 0 <= r.taken <= 3 * r.size
+    targets = brute_targets(totals)
+    for r in got:
+        assert r.source_size == totals[r.source] and abs(r.target - targets[r.source]) < 1e-6 * max(1, r.target)
+    for s, t in targets.items():
+        assert abs(taken[s] - t) <= 1.5 * mixing.BLOCK  # half a block, and a last block that is shorter
+    assert Counter(map(tuple, mixing.mix(docs.repartition(5)).collect())) == Counter(map(tuple, got))
+    assert mixing.mix(docs.limit(0)).count() == 0
+    rows_, _ = mixing.streams(docs)
+    slots = mixing.slots(mixing.pieces(rows_)).collect()
+    full = defaultdict(list)
+    for x in slots:
+        full[(x.sid, x["pass"])].append(x.block)
+    assert all(len(set(b)) == len(b) for b in full.values())  # a pass takes a block once: the map is a permutation
+
+
+def test_capped_targets():
+    t = brute_targets({"a": 10, "b": 1000, "c": 50, None: 0})
+    assert t["a"] == 30 and t[None] == 0 and abs(sum(t.values()) - 1060) < 1e-6
+
+
+def test_quality(spark, data, docs):
+    labels = spark.read.parquet(f"{data}/labels.parquet")
+    got = quality.classify(docs, labels).join(labels, "doc_id").filter("held_out").toPandas()
+    assert (got.predicted == got.quality).mean() > 0.9
+    all_ = quality.classify(docs, labels)
+    assert all_.filter("score IS NULL OR score < 0 OR score > 1").count() == 0 and all_.count() == docs.count()
+    kept = quality.keep_good(docs, labels)
+    assert kept.columns == docs.columns and 0 < kept.count() < docs.count()
+    none = quality.classify(docs, labels.limit(0)).select("score").distinct().collect()
+    assert [r.score for r in none] == [0.5]
+    odd = spark.createDataFrame([(None, 1, 0), (1, None, 0), (10**9, 0, 0)], "doc_id long, quality int, toxic int").union(labels.select("doc_id", "quality", "toxic")).union(labels.select("doc_id", "quality", "toxic").limit(3))
+    assert quality.classify(docs, odd).count() == docs.count()
+
+
+def brute_lines(rows, chars=40, n=5):
+    held = defaultdict(list)
+    key = lambda x: low(x.strip(" \t\n\x0b\x0c\r"))
+    for r in rows:
+        for k in {key(x) for x in (r.text or "").split("\n")}:
+            if len(k) >= chars:
+                held[k].append(r.doc_id)
+    keeper = {k: max((x for x in v if x is not None), default=None) for k, v in held.items() if len(v) >= n}
+    for r in rows:
+        lines = (r.text or "").split("\n")
+        yield r, lines, [x for x in lines if key(x) not in keeper or keeper[key(x)] == r.doc_id]
+
+
+@pytest.mark.parametrize("bits", [line_dedup.BITS, 1 << 12])
+def test_line_dedup(docs, rows, bits, monkeypatch):
+    monkeypatch.setattr(line_dedup, "BITS", bits)
+    want = Counter((r.doc_id, len(a), len(a) - len(b), sha("\n".join(b))) for r, a, b in brute_lines(rows))
+    assert counted(line_dedup.dedup_lines(docs, digest=True), "doc_id", "n_lines", "n_dropped", "kept_sha256") == want
+    kept = line_dedup.dedup_lines(docs)
+    assert kept.columns == docs.columns
+    assert line_dedup.dedup_lines(docs.limit(0), digest=True).count() == 0
+
+
+def test_bitmaps_miss_no_repeat(spark):
+    import numpy as np
+
+    df = spark.range(0, 500, 1, 7).selectExpr("id % 100 AS x")
+    at = lambda b: (np.array([[v % 4096]]) for v in b.column(0).to_pylist())
+    twice = bitmaps.filled(df, at, 4096, "twice")
+    assert bitmaps.known(twice, np.arange(100)[:, None]).all() and not bitmaps.known(twice, np.arange(100, 4096)[:, None]).any()
