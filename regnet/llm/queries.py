@@ -83,6 +83,30 @@ it AS (SELECT r, count(*) AS n, string_agg(x, ',' ORDER BY x) AS ids FROM (SELEC
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(pos.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(it.n, 0) AS BIGINT) AS n_items,
        sha256(coalesce(it.ids, '')) AS items_sha256, coalesce(pos.n, 0) > 0 AS contaminated
 FROM d LEFT JOIN pos ON d.r = pos.r LEFT JOIN it ON d.r = it.r""",
+    "op6_suffix_array_dedup": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT r, doc_id, p, hash(substr(x, CAST(2 * p + 1 AS INT), 100)) AS g FROM (SELECT r, doc_id, x, unnest(generate_series(0, n - 50)) AS p FROM d WHERE n >= 50)),
+f AS (SELECT g, min(doc_id) AS least FROM w GROUP BY g HAVING count(*) > 1),
+hit AS (SELECT w.r, w.p FROM w JOIN f ON w.g = f.g WHERE f.least < w.doc_id OR (w.doc_id IS NULL AND f.least IS NOT NULL)),
+e0 AS (SELECT r, p, lag(p) OVER (PARTITION BY r ORDER BY p) AS q FROM hit),
+e1 AS (SELECT r, p, sum(CASE WHEN q IS NULL OR p > q + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY p) AS k FROM e0),
+runs AS (SELECT r, k, min(p) AS a, max(p) + 50 AS b FROM e1 GROUP BY r, k),
+gaps AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS c FROM runs),
+kept AS (SELECT r, sum(b - a) AS removed, count(*) AS spans, max(b) AS last FROM runs GROUP BY r),
+parts AS (SELECT gaps.r, string_agg(substr(x, CAST(2 * c + 1 AS INT), CAST(2 * (a - c) AS INT)), '' ORDER BY a) AS head FROM gaps JOIN d ON d.r = gaps.r GROUP BY gaps.r)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+ sha256(unhex(CASE WHEN removed IS NULL THEN x ELSE concat(head, substr(x, CAST(2 * last + 1 AS INT))) END)) AS kept_sha256
+FROM d LEFT JOIN kept ON kept.r = d.r LEFT JOIN parts ON parts.r = d.r""",
+    "op7_ngram_jaccard_join": r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT r, hash(array_to_string(w[i:i + 4], ' ')) AS h FROM (SELECT r, w, unnest(generate_series(1, greatest(len(w) - 4, 1))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+m AS (SELECT s.r, s.h, n.n FROM s JOIN n ON n.r = s.r WHERE h IN (SELECT h FROM s GROUP BY h HAVING count(*) > 1)),
+p AS (SELECT a.r AS a, b.r AS b FROM m a JOIN m b ON a.h = b.h AND a.r < b.r AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY a.r, b.r, a.n, b.n HAVING 180 * count(*) >= 80 * (a.n + b.n)),
+e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+c(r, x) AS (SELECT d.r, d.r FROM d UNION SELECT e.b, c.x FROM c JOIN e ON e.a = c.r),
+l AS (SELECT c.r, min(doc_id) AS component_id FROM c JOIN d ON d.r = c.x GROUP BY c.r)
+SELECT doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, component_id FROM d JOIN l ON l.r = d.r LEFT JOIN n ON n.r = d.r""",
     "op10_line_dedup": rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 l AS (SELECT r, doc_id, i, ls[i] AS line, {_LOW.format("regexp_replace(ls[i], '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '', 'g')")} AS k
