@@ -103,20 +103,20 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, max_share: float =
     """documents without the rows of which more than max_share of the words are hit. Columns stay as they are."""
     found = occurrences(documents, benchmark)
     hit = F.size(F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["start"], h["start"] + h["size"] - 1)))))
-    bad = found.filter(hit > max_share * F.col("n_words")).select(F.col("_k1").alias("_b1"), F.col("_k2").alias("_b2"))
+    bad = found.filter(hit > max_share * F.col("n_words")).select(F.col("_k1").alias("_regnet_b1"), F.col("_k2").alias("_regnet_b2"))
     k1, k2 = (c for c in row_key(documents["doc_id"], documents["text"]))
-    return documents.join(bad, (k1 == F.col("_b1")) & (k2 == F.col("_b2")), "left_anti")
+    return documents.join(bad, (k1 == F.col("_regnet_b1")) & (k2 == F.col("_regnet_b2")), "left_anti")
 
 
 def remove_spans(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """documents with each hit word, and what follows it up to the next word, cut out of the text."""
     found = occurrences(documents, benchmark).filter(F.size("hits") > 0)
     cut = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["start"], h["start"] + h["size"] - 1))))
-    found = found.select(F.col("_k1").alias("_b1"), F.col("_k2").alias("_b2"), cut.alias("_cut"))
+    found = found.select(F.col("_k1").alias("_regnet_b1"), F.col("_k2").alias("_regnet_b2"), cut.alias("_regnet_cut"))
     k1, k2 = (c for c in row_key(documents["doc_id"], documents["text"]))
     text = documents["text"]
     parts = F.regexp_extract_all(F.concat(F.lit(" "), text), F.lit(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]*[^\x00-\x2F\x3A-\x60\x7B-\x7F]+|[\x00-\x2F\x3A-\x60\x7B-\x7F]+$"), F.lit(0))
-    kept = F.expr("filter(_parts, (x, i) -> NOT array_contains(_cut, i))")
-    joined = documents.join(found, (k1 == F.col("_b1")) & (k2 == F.col("_b2")), "left").withColumn("_parts", parts)
-    new = F.when(F.col("_cut").isNull(), F.col("text")).otherwise(F.trim(F.array_join(kept, "")))
+    kept = F.expr("filter(_regnet_parts, (x, i) -> NOT array_contains(_regnet_cut, i))")
+    joined = documents.join(found, (k1 == F.col("_regnet_b1")) & (k2 == F.col("_regnet_b2")), "left").withColumn("_regnet_parts", parts)
+    new = F.when(F.col("_regnet_cut").isNull(), F.col("text")).otherwise(F.trim(F.array_join(kept, "")))
     return joined.withColumn("text", new).select(*documents.columns)
