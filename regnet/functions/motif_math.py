@@ -79,10 +79,15 @@ def truncated(pwm: Column, threshold: float = LIKELY) -> Column:
     return F.when(first > 0, F.slice(pwm, first, last - first + 1)).otherwise(pwm)
 
 
-def shuffled(pwm: Column, seed: int, n: int = 4) -> Column:
-    """One seeded permutation of the letters, the same for all motifs and positions."""
+def letter_order(seed: int, n: int = 4) -> list[int]:
     order = list(range(n))
     random.Random(seed).shuffle(order)
+    return order
+
+
+def shuffled(pwm: Column, seed: int, n: int = 4) -> Column:
+    """One seeded permutation of the letters, the same for all motifs and positions."""
+    order = letter_order(seed, n)
     return F.transform(pwm, lambda row: F.array(*[F.get(row, F.lit(i)) for i in order]))
 
 

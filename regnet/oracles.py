@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .functions.motif_math import letter_order
 from .plans.views import GENE, HIT, LENGTH, MASK, MOTIF_IC, PEAK, SEQUENCE
 from .queries import GAP, IC_MIN, MOTIF
 
@@ -146,6 +147,9 @@ SELECT motif_id, round(mx, 6) AS max_ln_odds, round(mx - greatest(gain, 0.1 * mx
     "mot_truncate": f"""WITH {MOTS}, st AS (SELECT motif_id, i, max(p) > 0.5 AS strong FROM mp GROUP BY ALL), bd AS (SELECT motif_id, coalesce(min(i) FILTER (strong), 0) AS lo, coalesce(max(i) FILTER (strong), 7) AS hi FROM st GROUP BY motif_id)
 SELECT motif_id, CAST(max(hi) - max(lo) + 1 AS BIGINT) AS length, {CONSENSUS} AS consensus FROM inf JOIN bd USING (motif_id) WHERE i BETWEEN lo AND hi GROUP BY motif_id""",
     "mot_summary": f"""WITH {MOTS} SELECT motif_id, motif_name, round(sum(v), 6) AS ic, round(-sum(CASE WHEN p > 0 THEN p * log2(p) ELSE 0 END), 6) AS entropy, CAST(floor(pow(2, sum(v))) AS BIGINT) AS occurrence, CAST(8 AS BIGINT) AS length, {CONSENSUS} AS consensus FROM inf GROUP BY motif_id, motif_name""",
+    "mot_shuffle": f"""WITH {MOTS}, sh AS (SELECT motif_id, i, p, CASE j {" ".join(f"WHEN {j} THEN {k}" for k, j in enumerate(letter_order(7)))} END AS k FROM mp),
+rk AS (SELECT *, row_number() OVER (PARTITION BY motif_id, i ORDER BY p DESC, k) AS r FROM sh)
+SELECT motif_id, string_agg(substr('ACGT', CAST(k + 1 AS INT), 1), '' ORDER BY i) FILTER (r = 1) AS consensus FROM rk GROUP BY motif_id""",
     "exp_pileup": f"""WITH {CNT}, o AS (SELECT * FROM c WHERE NOT starts_with(gene, '__')) SELECT a.sample, b.gene, coalesce(o.count, 0) AS count FROM (SELECT DISTINCT sample FROM o) a CROSS JOIN (SELECT DISTINCT gene FROM o) b LEFT JOIN o ON o.sample = a.sample AND o.gene = b.gene
 UNION ALL SELECT sample, 'meta:no_feature', count FROM c WHERE gene = '__no_feature' UNION ALL SELECT sample, 'meta:aligned', CAST(sum(count) AS BIGINT) FROM o GROUP BY sample""",
     "exp_fpkm": f"WITH {OWN} SELECT sample, gene, round(count / sum(count) OVER (PARTITION BY sample) * 1e6 / length, 4) AS fpkm FROM o JOIN l USING (gene)",
