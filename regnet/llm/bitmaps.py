@@ -12,8 +12,8 @@ PARTS = 64
 DDL = "part int, once binary, twice binary"
 
 
-def _rows(once: np.ndarray, twice: np.ndarray) -> pa.RecordBatch:
-    a, b = np.packbits(once).reshape(PARTS, -1), np.packbits(twice).reshape(PARTS, -1)
+def _rows(seen: np.ndarray) -> pa.RecordBatch:
+    a, b = (np.packbits(seen & bit).reshape(PARTS, -1) for bit in (1, 2))
     full = [k for k in range(PARTS) if a[k].any()]
     return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([a[k].tobytes() for k in full], pa.binary()), pa.array([b[k].tobytes() for k in full], pa.binary())], ["part", "once", "twice"])
 
@@ -37,20 +37,22 @@ def filled(rows: DataFrame, places: Callable[[pa.RecordBatch], Iterator[np.ndarr
     by twice | twice | (once & once) can't miss one."""
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, twice = np.zeros(bits, bool), np.zeros(bits, bool)
+        seen = np.zeros(bits, np.uint8)  # 1: once, 3: twice
         for b in batches:
             for at in places(b):
-                seen = once[at].all(1)
-                twice[at[seen]] = True
-                once[at] = True
-        yield _rows(once, twice)
+                again = (seen[at] & 1).astype(bool).all(1)
+                seen[at] |= 1
+                seen[at[again]] = 3
+        yield _rows(seen)
 
     merged = rows.mapInArrow(fill, DDL).repartition(PARTS, "part").mapInArrow(_merge, DDL)
     out = np.zeros((PARTS, bits // 8 // PARTS), np.uint8)
-    for r in merged.select("part", which).toLocalIterator():  # PARTS rows at most
+    for r in merged.select("part", which).collect():  # PARTS rows, bits / 8 bytes
         out[r[0]] = np.frombuffer(r[1], np.uint8)
     return out.tobytes()
 
 
-def unpacked(data: bytes) -> np.ndarray:
-    return np.unpackbits(np.frombuffer(data, np.uint8)).view(bool)
+def known(data: bytes, at: np.ndarray) -> np.ndarray:
+    """Whether all bits of each row of positions are set."""
+    packed = np.frombuffer(data, np.uint8)
+    return ((packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(bool).all(1)

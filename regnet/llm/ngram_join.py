@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,19 +36,18 @@ SHINGLE, PERCENT = 5, 80
 #: Counters of the sketch, bits of the bitmaps: fixed sizes of what is broadcast (8 MB each).
 COUNTERS, BITS = 1 << 21, 1 << 26
 SKETCH_PARTS = 64
-MAX_MATCH = 4
-#: Work of verifying a candidate, in postings read.
-VERIFY_COST = 20.0
-WORD_CACHE = 500_000
+MAX_MATCH = 8
+#: Work of verifying a candidate, in postings read; accidental candidates expected of a posting.
+VERIFY_COST, ACCIDENTS = 20.0, 0.05
+#: Tokens below this share of the hash range are compared first.
+FIRST_SHARE = 3 / 16
+#: Bytes of text that are hashed at once.
+PIECE = 1 << 20
 _M = np.uint64(0x9E3779B97F4A7C15)
-
-
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= WORD_CACHE:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
+_INVERSE = pow(int(_M), -1, 1 << 64)
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_LOW = np.arange(256, dtype=np.uint64)
+_LOW[65:91] += np.uint64(32)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -55,18 +55,54 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def token_set(text: str | None, cache: WordHashes, size: int = SHINGLE) -> np.ndarray:
-    """The sorted distinct shingle hashes of a text. bytes.lower and bytes.split know just A-Z and the six white-space bytes."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    w = np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
-    k = min(size, len(w))
+class Powers:
+    """Powers of the hash's base and of its inverse, as many as were needed so far."""
+
+    def __init__(self) -> None:
+        self.up = self.down = np.ones(0, np.uint64)
+
+    def of(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            m = max(n, PIECE + 1)
+            self.up, self.down = (np.cumprod(np.r_[np.uint64(1), np.full(m - 1, x, np.uint64)]) for x in (_M, np.uint64(_INVERSE)))
+        return self.up, self.down
+
+
+def _rolled(w: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of the runs of k words."""
     n = len(w) - k + 1
     h = np.full(n, k, np.uint64)
     for i in range(k):
         h = h * _M + w[i : i + n]
-    return np.unique(mixed(h))
+    return mixed(h)
+
+
+def token_sets(texts: pa.Array, powers: Powers, size: int = SHINGLE) -> Iterator[np.ndarray]:
+    """For each text the sorted distinct hashes of its shingles. Texts are hashed as bytes, many at a time: only A-Z are
+    lower-cased, and words are what the six white-space bytes part."""
+    texts = pc.fill_null(texts, "").cast(pa.large_binary())
+    if not len(texts):
+        return
+    offs = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    i = 0
+    while i < len(texts):
+        j = max(i + 1, int(np.searchsorted(offs, offs[i] + PIECE, "right")) - 1)
+        d, at = data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
+        up, down = powers.of(len(d) + 1)
+        char = ~_SPACE[d]
+        before, after = np.r_[False, char[:-1]], np.r_[char[1:], False]
+        before[at[:-1][at[:-1] < len(d)]] = False
+        after[at[1:][at[1:] > 0] - 1] = False
+        starts, ends = np.flatnonzero(char & ~before[: len(d)]), np.flatnonzero(char & ~after[: len(d)]) + 1
+        sums = np.zeros(len(d) + 1, np.uint64)
+        np.cumsum((_LOW[d] + np.uint64(1)) * up[: len(d)], out=sums[1:])
+        w = mixed((sums[ends] - sums[starts]) * down[starts])
+        h = _rolled(w, size) if len(w) >= size else w[:0]
+        bounds = np.searchsorted(starts, at).tolist()
+        for a, b in zip(bounds, bounds[1:], strict=False):
+            yield np.unique(h[a : b - size + 1]) if b - a >= size else _rolled(w[a:b], b - a) if b > a else w[:0]
+        i = j
 
 
 def set_id(tokens: np.ndarray) -> int:
@@ -82,12 +118,11 @@ def _describe(size: int):
     """Per document: its id, set size, set id; per task: the sketch's parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, counts = WordHashes(), np.zeros(COUNTERS, np.int32)
+        powers, counts = Powers(), np.zeros(COUNTERS, np.int32)
         names = ["doc_id", "n", "sid", "part", "counts"]
         for b in batches:
             n, sid = [], []
-            for text in b.column("text").to_pylist():
-                t = token_set(text, cache, size)
+            for t in token_sets(b.column("text"), powers, size):
                 n.append(len(t))
                 sid.append(set_id(t))
                 counts[(t & np.uint64(COUNTERS - 1)).astype(np.int64)] += 1  # distinct tokens that meet in a counter of one document count once
@@ -113,7 +148,7 @@ def sketch(described: DataFrame) -> np.ndarray:
     """Estimated document counts, one per counter, less the load that any counter has; at least 1."""
     rows = described.filter("part IS NOT NULL").select("part", "counts").repartition(SKETCH_PARTS, "part").mapInArrow(_sum, "part int, counts binary")
     out = np.zeros((SKETCH_PARTS, COUNTERS // SKETCH_PARTS), np.int32)
-    for r in rows.toLocalIterator():  # SKETCH_PARTS rows at most
+    for r in rows.collect():  # SKETCH_PARTS rows, 8 MB
         out[r[0]] = np.frombuffer(r[1], np.int32)
     out = out.reshape(-1)
     return np.maximum(out - 2 * int(np.median(out)), 1)
@@ -122,13 +157,14 @@ def sketch(described: DataFrame) -> np.ndarray:
 def prefix(tokens: np.ndarray, counts: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, int, float]:
     """(prefix tokens, l, how typical the set is: its mean log count)."""
     df = counts[(tokens & np.uint64(COUNTERS - 1)).astype(np.int64)]
-    order = np.lexsort((tokens, df))
+    order = np.argsort(df, kind="stable")
     n, least = len(tokens), need(len(tokens), percent)
     cost = np.cumsum(df[order])
     base = n - least
     ls = np.arange(1, min(MAX_MATCH, least) + 1)
     read = cost[base + ls - 1]
-    best = int(ls[np.argmin(read + VERIFY_COST * (read - (base + ls)) / ls)])
+    candidates = (read - (base + ls) + ACCIDENTS * (base + ls)) / ls
+    best = int(ls[np.argmin(read + VERIFY_COST * candidates)])
     return tokens[order[: base + best]], best, float(np.log2(df).mean())
 
 
@@ -136,10 +172,9 @@ def _places(tokens: np.ndarray) -> np.ndarray:
     return ((tokens >> np.uint64(21)) & np.uint64(BITS - 1)).astype(np.int64)[:, None]
 
 
-def _sets_once(b: pa.RecordBatch, cache: WordHashes, seen: set, size: int) -> Iterator[tuple[int, np.ndarray]]:
+def _sets_once(b: pa.RecordBatch, powers: Powers, seen: set, size: int) -> Iterator[tuple[int, np.ndarray]]:
     """The sets of a batch, each once per task as far as memory allows."""
-    for text in b.column("text").to_pylist():
-        t = token_set(text, cache, size)
+    for t in token_sets(b.column("text"), powers, size):
         sid = set_id(t)
         if len(t) and sid not in seen:
             if len(seen) >= 1_000_000:
@@ -152,8 +187,8 @@ def _prefix_places(counts: object, size: int, percent: int):
     held: dict = {}
 
     def places(b: pa.RecordBatch) -> Iterator[np.ndarray]:
-        cache, seen = held.setdefault("c", WordHashes()), held.setdefault("s", set())
-        for _, t in _sets_once(b, cache, seen, size):
+        powers, seen = held.setdefault("p", Powers()), held.setdefault("s", set())
+        for _, t in _sets_once(b, powers, seen, size):
             yield _places(prefix(t, counts.value, percent)[0])
 
     return places
@@ -161,12 +196,12 @@ def _prefix_places(counts: object, size: int, percent: int):
 
 def _entries(counts: object, twice: object, size: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, seen, bits = WordHashes(), set(), bitmaps.unpacked(twice.value)
+        powers, seen = Powers(), set()
         for b in batches:
             cols: list[list] = [[], [], [], [], []]
-            for sid, t in _sets_once(b, cache, seen, size):
+            for sid, t in _sets_once(b, powers, seen, size):
                 p, best, typical = prefix(t, counts.value, percent)
-                p = p[bits[_places(p)[:, 0]]]
+                p = p[bitmaps.known(twice.value, _places(p))]
                 for c, x in zip(cols, (p.view(np.int64), np.full(len(p), sid), np.full(len(p), len(t), np.int32), np.full(len(p), best, np.int32), np.full(len(p), round(typical * 1000), np.int32)), strict=True):
                     c.append(x)
             if cols[0]:
@@ -179,40 +214,53 @@ def _wanted(b: pa.RecordBatch) -> Iterator[np.ndarray]:
     yield _places(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
 
 
-def _sets(bits: object, size: int):
+def _sets(bits: object, size: int, share: float):
+    """The wanted sets: all their tokens, or those in the first share of the hash range."""
+    end = np.uint64(min(int(share * 2**64), 2**64 - 1))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, seen, wanted = WordHashes(), set(), bitmaps.unpacked(bits.value)
+        powers, seen = Powers(), set()
         for b in batches:
-            found = [(sid, t.tobytes()) for sid, t in _sets_once(b, cache, seen, size) if wanted[_places(np.array([sid], np.int64).view(np.uint64))].all()]
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.binary())], ["sid", "tokens"])
+            rows: list[tuple] = []
+            for sid, t in _sets_once(b, powers, seen, size):
+                if bitmaps.known(bits.value, _places(np.array([sid], np.int64).view(np.uint64)))[0]:
+                    rows.append((sid, len(t), (t[: np.searchsorted(t, end, "right")] if share < 1 else t).tobytes()))
+            sid, n, tokens = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(sid, pa.int64()), pa.array(n, pa.int32()), pa.array(tokens, pa.binary())], ["sid", "n", "tokens"])
 
     return run
 
 
 def _linked(percent: int):
+    """Pairs whose overlap reaches the threshold, counting tokens that weren't sent as shared where they can be."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ok = []
-            for x, y in zip(b.column("x"), b.column("y"), strict=True):
+            for x, y, m, n in zip(b.column("x"), b.column("y"), b.column("m").to_pylist(), b.column("n").to_pylist(), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(100 * both >= percent * (len(x) + len(y) - both))
+                both = len(np.intersect1d(x, y, assume_unique=True)) + min(m - len(x), n - len(y))
+                ok.append(100 * both >= percent * (m + n - both))
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return run
 
 
-def verified(pairs: DataFrame, documents: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """Those of the pairs (a, b: set ids) whose whole sets reach the threshold. Only sets that occur in pairs are moved."""
+def _reaching(pairs: DataFrame, documents: DataFrame, size: int, percent: int, share: float) -> DataFrame:
     sc = documents.sparkSession.sparkContext
-    ids = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
+    ids = pairs.select(F.col("a").alias("sid")).union(pairs.select("b"))
     bits = sc.broadcast(bitmaps.filled(ids, _wanted, BITS, "once"))
-    sets = documents.select("text").mapInArrow(_sets(bits, size), "sid long, tokens binary")
-    sets = sets.join(ids, "sid", "left_semi").dropDuplicates(["sid"])
+    sets = documents.select("text").mapInArrow(_sets(bits, size, share), "sid long, n int, tokens binary").dropDuplicates(["sid"])
     sets = stored(sets, "sets")
-    x = sets.select(F.col("sid").alias("a"), F.col("tokens").alias("x"))
-    y = sets.select(F.col("sid").alias("b"), F.col("tokens").alias("y"))
-    return pairs.select("a", "b").join(y, "b").join(x, "a").mapInArrow(_linked(percent), "a long, b long")
+    x = sets.select(F.col("sid").alias("a"), F.col("n").alias("m"), F.col("tokens").alias("x"))
+    y = sets.select(F.col("sid").alias("b"), "n", F.col("tokens").alias("y"))
+    return stored(pairs.select("a", "b").join(y, "b").join(x, "a").mapInArrow(_linked(percent), "a long, b long"), "reaching")
+
+
+def verified(pairs: DataFrame, documents: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """Those of the pairs (a, b: set ids) whose whole sets reach the threshold. A part of each set is compared first: of sets
+    with little in common it rules out the threshold for certain, and only the others are moved whole."""
+    return _reaching(_reaching(pairs, documents, size, percent, FIRST_SHARE), documents, size, percent, 1.0)
 
 
 def near_groups(documents: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -225,15 +273,18 @@ def near_groups(documents: DataFrame, size: int = SHINGLE, percent: int = PERCEN
     text = docs.select("text")
     twice = sc.broadcast(bitmaps.filled(text, _prefix_places(counts, size, percent), BITS, "twice"))
 
-    entries = text.mapInArrow(_entries(counts, twice, size, percent), "token long, sid long, n int, l int, typical int").repartition("token")
-    lists = entries.groupBy("token").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi"), F.max(F.struct("typical", "sid", "n")).alias("pivot"))
-    lists = lists.filter("lo < hi").select("token", F.col("pivot.sid").alias("p"), F.col("pivot.n").alias("pn"))
+    entries = text.mapInArrow(_entries(counts, twice, size, percent), "token long, sid long, n int, l int, typical int")
+    entries = stored(entries, "entries")  # counted and then joined with the counts: the texts are read once
+    lists = entries.groupBy("token").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).filter("lo < hi").select("token")
     postings = stored(entries.join(lists, "token").dropDuplicates(["token", "sid"]), "postings")
     alike = lambda m, n: (F.least(m, n) * 100 >= F.greatest(m, n) * percent)
 
-    star = postings.filter((F.col("sid") != F.col("p")) & alike(F.col("n"), F.col("pn"))).groupBy("sid", "p").agg(F.count(F.lit(1)).alias("shared"))
+    pivots = postings.groupBy("token").agg(F.max(F.struct("typical", "sid", "n", "l")).alias("p")).select("token", F.col("p.sid").alias("p"), F.col("p.n").alias("pn"), F.col("p.l").alias("pl"))
+    star = postings.join(pivots, "token").filter((F.col("sid") != F.col("p")) & alike(F.col("n"), F.col("pn")))
+    star = star.groupBy("sid", "p").agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("l", "pl")).alias("least")).filter("2 * shared >= least")
     star = star.groupBy("sid").agg(F.max(F.struct("shared", "p"))["p"].alias("b")).withColumnRenamed("sid", "a")
-    links = stored(verified(stored(star, "star"), docs, size, percent), "links")
+    star = stored(star, "star")
+    links = verified(star, docs, size, percent)
 
     labels = components(links)
     at = postings.join(labels.withColumnRenamed("node", "sid"), "sid", "left").select("token", "sid", "n", "l", F.coalesce("label", "sid").alias("label"))
@@ -258,5 +309,5 @@ def near_groups(documents: DataFrame, size: int = SHINGLE, percent: int = PERCEN
 def keep_one(documents: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """documents with one row of each group of near copies: that with the smallest doc_id. Columns stay as they are."""
     groups = near_groups(documents, size, percent)
-    later = groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("_later")).distinct()
-    return documents.join(later, documents["doc_id"] == F.col("_later"), "left_anti")
+    later = groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("_regnet_later")).distinct()
+    return documents.join(later, documents["doc_id"] == F.col("_regnet_later"), "left_anti")
