@@ -12,12 +12,16 @@ PARTS = 64
 DDL = "part int, once binary, twice binary"
 
 
-def _rows(seen: np.ndarray) -> pa.RecordBatch:
-    a, b = (np.packbits(seen & bit).reshape(PARTS, -1) for bit in (1, 2))
+def _rows(once: np.ndarray, twice: np.ndarray) -> pa.RecordBatch:
+    a, b = once.reshape(PARTS, -1), twice.reshape(PARTS, -1)
     full = [k for k in range(PARTS) if a[k].any()]
     return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([a[k].tobytes() for k in full], pa.binary()), pa.array([b[k].tobytes() for k in full], pa.binary())], ["part", "once", "twice"])
 
 
+def _set(packed: np.ndarray, at: np.ndarray) -> None:
+    np.bitwise_or.at(packed, at >> 3, (128 >> (at & 7)).astype(np.uint8))
+
+
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for b in batches:
@@ -37,13 +41,13 @@ def filled(rows: DataFrame, places: Callable[[pa.RecordBatch], Iterator[np.ndarr
     by twice | twice | (once & once) can't miss one."""
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(bits, np.uint8)  # 1: once, 3: twice
+        once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
         for b in batches:
             for at in places(b):
-                again = (seen[at] & 1).astype(bool).all(1)
-                seen[at] |= 1
-                seen[at[again]] = 3
-        yield _rows(seen)
+                again = known(once, at)
+                _set(twice, at[again].ravel())
+                _set(once, at.ravel())
+        yield _rows(once, twice)
 
     merged = rows.mapInArrow(fill, DDL).repartition(PARTS, "part").mapInArrow(_merge, DDL)
     out = np.zeros((PARTS, bits // 8 // PARTS), np.uint8)
@@ -52,7 +56,12 @@ def filled(rows: DataFrame, places: Callable[[pa.RecordBatch], Iterator[np.ndarr
     return out.tobytes()
 
 
-def known(data: bytes, at: np.ndarray) -> np.ndarray:
+def known(packed: bytes | np.ndarray, at: np.ndarray) -> np.ndarray:
     """Whether all bits of each row of positions are set."""
-    packed = np.frombuffer(data, np.uint8)
-    return ((packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(bool).all(1)
+    packed = np.frombuffer(packed, np.uint8) if isinstance(packed, bytes) else packed
+    return ((packed[at >> 3] << (at & 7).astype(np.uint8)) & 128).astype(bool).all(1)
+
+
+def size_for(keys: int, most: int) -> int:
+    """Bits for so many keys at 4 a key: a power of two, 2**16 at least and most at most."""
+    return min(most, 1 << max(16, (4 * keys - 1).bit_length()))

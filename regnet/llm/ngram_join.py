@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bitmaps
@@ -33,8 +33,11 @@ from .common import stored
 from .components import components
 
 SHINGLE, PERCENT = 5, 80
-#: Counters of the sketch, bits of the bitmaps: fixed sizes of what is broadcast (8 MB each).
-COUNTERS, BITS = 1 << 21, 1 << 26
+#: Counters of the sketch (16 MB) and most bits of the bitmaps (16 MB): the bounds of what is broadcast. Beyond their
+#: capacity more tokens look alike, which costs time but changes no result.
+COUNTERS, BITS = 1 << 22, 1 << 27
+#: Bits of the map of the sets that are wanted (4 MB).
+ID_BITS = 1 << 25
 SKETCH_PARTS = 64
 MAX_MATCH = 8
 #: Work of verifying a candidate, in postings read; accidental candidates expected of a posting.
@@ -118,14 +121,15 @@ def _describe(size: int):
     """Per document: its id, set size, set id; per task: the sketch's parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, counts = Powers(), np.zeros(COUNTERS, np.int32)
+        powers, counts = Powers(), np.zeros(COUNTERS, np.uint8)
         names = ["doc_id", "n", "sid", "part", "counts"]
         for b in batches:
             n, sid = [], []
             for t in token_sets(b.column("text"), powers, size):
                 n.append(len(t))
                 sid.append(set_id(t))
-                counts[(t & np.uint64(COUNTERS - 1)).astype(np.int64)] += 1  # distinct tokens that meet in a counter of one document count once
+                at = (t & np.uint64(COUNTERS - 1)).astype(np.int64)
+                counts[at] += counts[at] < 255  # per task; tokens of one document that meet in a counter count once
             none = pa.nulls(len(n))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int32()), pa.array(sid, pa.int64()), none.cast(pa.int32()), none.cast(pa.binary())], names)
         parts = counts.reshape(SKETCH_PARTS, -1)
@@ -140,7 +144,7 @@ def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[int, np.ndarray] = {}
     for b in batches:
         for part, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            held[part] = held.get(part, 0) + np.frombuffer(c, np.int32).astype(np.int64)
+            held[part] = held.get(part, 0) + np.frombuffer(c, np.uint8).astype(np.int64)
     yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([np.minimum(v, 2**31 - 1).astype(np.int32).tobytes() for v in held.values()], pa.binary())], ["part", "counts"])
 
 
@@ -156,7 +160,7 @@ def sketch(described: DataFrame) -> np.ndarray:
 
 def prefix(tokens: np.ndarray, counts: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, int, float]:
     """(prefix tokens, l, how typical the set is: its mean log count)."""
-    df = counts[(tokens & np.uint64(COUNTERS - 1)).astype(np.int64)]
+    df = place(tokens, counts) >> 40
     order = np.argsort(df, kind="stable")
     n, least = len(tokens), need(len(tokens), percent)
     cost = np.cumsum(df[order])
@@ -168,8 +172,16 @@ def prefix(tokens: np.ndarray, counts: np.ndarray, percent: int = PERCENT) -> tu
     return tokens[order[: base + best]], best, float(np.log2(df).mean())
 
 
-def _places(tokens: np.ndarray) -> np.ndarray:
-    return ((tokens >> np.uint64(21)) & np.uint64(BITS - 1)).astype(np.int64)[:, None]
+def place(tokens: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The place of tokens in the common order, as numbers that compare like it."""
+    df = np.minimum(counts[(tokens & np.uint64(COUNTERS - 1)).astype(np.int64)], (1 << 22) - 1).astype(np.int64)
+    return (df << 40) | (tokens >> np.uint64(24)).astype(np.int64)
+
+
+def _places(tokens: np.ndarray, bits: int) -> np.ndarray:
+    """Two bit positions of each token."""
+    mask = np.uint64(bits - 1)
+    return np.stack([(tokens >> np.uint64(s)) & mask for s in (2, 35)], 1).astype(np.int64)
 
 
 def _sets_once(b: pa.RecordBatch, powers: Powers, seen: set, size: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -183,13 +195,13 @@ def _sets_once(b: pa.RecordBatch, powers: Powers, seen: set, size: int) -> Itera
             yield sid, t
 
 
-def _prefix_places(counts: object, size: int, percent: int):
+def _prefix_places(counts: object, size: int, percent: int, bits: int):
     held: dict = {}
 
     def places(b: pa.RecordBatch) -> Iterator[np.ndarray]:
         powers, seen = held.setdefault("p", Powers()), held.setdefault("s", set())
         for _, t in _sets_once(b, powers, seen, size):
-            yield _places(prefix(t, counts.value, percent)[0])
+            yield _places(prefix(t, counts.value, percent)[0], bits)
 
     return places
 
@@ -198,20 +210,23 @@ def _entries(counts: object, twice: object, size: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers, seen = Powers(), set()
         for b in batches:
-            cols: list[list] = [[], [], [], [], []]
+            cols: list[list] = [[], [], [], [], [], [], []]
             for sid, t in _sets_once(b, powers, seen, size):
                 p, best, typical = prefix(t, counts.value, percent)
-                p = p[bitmaps.known(twice.value, _places(p))]
-                for c, x in zip(cols, (p.view(np.int64), np.full(len(p), sid), np.full(len(p), len(t), np.int32), np.full(len(p), best, np.int32), np.full(len(p), round(typical * 1000), np.int32)), strict=True):
+                n, k = len(t), len(p)
+                last = place(p[-1:], counts.value)
+                p = p[bitmaps.known(twice.value, _places(p, 8 * len(twice.value)))]
+                most = n - (k - len(p))  # the tokens left out are in no other prefix
+                for c, x in zip(cols, (p.view(np.int64), np.full(len(p), sid), *(np.full(len(p), v, np.int32) for v in (n, most, best, round(typical * 1000))), np.full(len(p), last[0])), strict=True):
                     c.append(x)
             if cols[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["token", "sid", "n", "l", "typical"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["token", "sid", "n", "most", "l", "typical", "last"])
 
     return run
 
 
 def _wanted(b: pa.RecordBatch) -> Iterator[np.ndarray]:
-    yield _places(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
+    yield _places(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64), ID_BITS)
 
 
 def _sets(bits: object, size: int, share: float):
@@ -223,7 +238,7 @@ def _sets(bits: object, size: int, share: float):
         for b in batches:
             rows: list[tuple] = []
             for sid, t in _sets_once(b, powers, seen, size):
-                if bitmaps.known(bits.value, _places(np.array([sid], np.int64).view(np.uint64)))[0]:
+                if bitmaps.known(bits.value, _places(np.array([sid], np.int64).view(np.uint64), ID_BITS))[0]:
                     rows.append((sid, len(t), (t[: np.searchsorted(t, end, "right")] if share < 1 else t).tobytes()))
             sid, n, tokens = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(sid, pa.int64()), pa.array(n, pa.int32()), pa.array(tokens, pa.binary())], ["sid", "n", "tokens"])
@@ -249,7 +264,7 @@ def _linked(percent: int):
 def _reaching(pairs: DataFrame, documents: DataFrame, size: int, percent: int, share: float) -> DataFrame:
     sc = documents.sparkSession.sparkContext
     ids = pairs.select(F.col("a").alias("sid")).union(pairs.select("b"))
-    bits = sc.broadcast(bitmaps.filled(ids, _wanted, BITS, "once"))
+    bits = sc.broadcast(bitmaps.filled(ids, _wanted, ID_BITS, "once"))
     sets = documents.select("text").mapInArrow(_sets(bits, size, share), "sid long, n int, tokens binary").dropDuplicates(["sid"])
     sets = stored(sets, "sets")
     x = sets.select(F.col("sid").alias("a"), F.col("n").alias("m"), F.col("tokens").alias("x"))
@@ -271,27 +286,34 @@ def near_groups(documents: DataFrame, size: int = SHINGLE, percent: int = PERCEN
     base = told.filter("part IS NULL").select("doc_id", "n", "sid")
     counts = sc.broadcast(sketch(told))
     text = docs.select("text")
-    twice = sc.broadcast(bitmaps.filled(text, _prefix_places(counts, size, percent), BITS, "twice"))
+    prefixes = base.agg(F.sum("n")).first()[0] or 0
+    bits = bitmaps.size_for(prefixes * (100 - percent) // 100, BITS)
+    twice = sc.broadcast(bitmaps.filled(text, _prefix_places(counts, size, percent, bits), bits, "twice"))
 
-    entries = text.mapInArrow(_entries(counts, twice, size, percent), "token long, sid long, n int, l int, typical int")
+    entries = text.mapInArrow(_entries(counts, twice, size, percent), "token long, sid long, n int, most int, l int, typical int, last long")
     entries = stored(entries, "entries")  # counted and then joined with the counts: the texts are read once
     lists = entries.groupBy("token").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).filter("lo < hi").select("token")
     postings = stored(entries.join(lists, "token").dropDuplicates(["token", "sid"]), "postings")
-    alike = lambda m, n: (F.least(m, n) * 100 >= F.greatest(m, n) * percent)
-
-    pivots = postings.groupBy("token").agg(F.max(F.struct("typical", "sid", "n", "l")).alias("p")).select("token", F.col("p.sid").alias("p"), F.col("p.n").alias("pn"), F.col("p.l").alias("pl"))
-    star = postings.join(pivots, "token").filter((F.col("sid") != F.col("p")) & alike(F.col("n"), F.col("pn")))
+    def alike(m: Column, m_most: Column, m_last: Column, n: Column, n_most: Column, n_last: Column) -> Column:
+        """Sizes may not differ too much. Of two prefixes the one that ends first holds all that the other set shares with it,
+        so its tokens that are in no other prefix can't be shared."""
+        most = F.when(m_last <= n_last, m_most).otherwise(n_most)
+        return (most * (100 + percent) >= (m + n) * percent) & (F.least(m, n) * 100 >= F.greatest(m, n) * percent)
+
+    cols = ("n", "most", "last")
+    pivots = postings.groupBy("token").agg(F.max(F.struct("typical", "sid", *cols, "l")).alias("p")).select("token", F.col("p.sid").alias("p"), *[F.col(f"p.{c}").alias(f"p{c}") for c in (*cols, "l")])
+    star = postings.join(pivots, "token").filter((F.col("sid") != F.col("p")) & alike(*map(F.col, cols), *[F.col(f"p{c}") for c in cols]))
     star = star.groupBy("sid", "p").agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("l", "pl")).alias("least")).filter("2 * shared >= least")
     star = star.groupBy("sid").agg(F.max(F.struct("shared", "p"))["p"].alias("b")).withColumnRenamed("sid", "a")
     star = stored(star, "star")
     links = verified(star, docs, size, percent)
 
     labels = components(links)
-    at = postings.join(labels.withColumnRenamed("node", "sid"), "sid", "left").select("token", "sid", "n", "l", F.coalesce("label", "sid").alias("label"))
+    at = postings.join(labels.withColumnRenamed("node", "sid"), "sid", "left").select("token", "sid", *cols, "l", F.coalesce("label", "sid").alias("label"))
     split = at.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("token")
     at = stored(at.join(split, "token"), "split-lists")
-    other = at.select("token", F.col("sid").alias("b"), F.col("n").alias("bn"), F.col("l").alias("bl"), F.col("label").alias("blabel"))
-    rest = at.withColumnRenamed("sid", "a").join(other, "token").filter((F.col("label") < F.col("blabel")) & alike(F.col("n"), F.col("bn")))
+    other = at.select("token", F.col("sid").alias("b"), *[F.col(c).alias(f"b{c}") for c in (*cols, "l", "label")])
+    rest = at.withColumnRenamed("sid", "a").join(other, "token").filter((F.col("label") < F.col("blabel")) & alike(*map(F.col, cols), *[F.col(f"b{c}") for c in cols]))
     rest = rest.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("l", "bl")).alias("least")).filter("shared >= least").select("a", "b")
     tried = star.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
     rest = rest.join(tried, (F.least("a", "b") == F.col("lo")) & (F.greatest("a", "b") == F.col("hi")), "left_anti")
