@@ -30,6 +30,8 @@ from .common import LOWER, UPPER, row_key, scratch
 MIN_CHARS, MIN_DOCS = 40, 5
 #: Bits of each filter (a power of two, 8 MB each); probes of a key.
 BITS, PROBES = 1 << 26, 3
+#: Places over which the lines of one key are dealt when they meet their count.
+SALTS = 32
 STRIP = " \t\n\x0b\x0c\r"
 _LOW = str.maketrans(UPPER, LOWER)
 
@@ -67,13 +69,12 @@ def twice_seen(documents: DataFrame, min_chars: int = MIN_CHARS) -> bytes:
 
 def _suspects(twice: object, min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = bitmaps.unpacked(twice.value)
         for b in batches:
             keys, rows = [], []
             for i, text in enumerate(b.column("text").to_pylist()):
                 own = list({d for _, d in long_keys(text, min_chars)})
                 if own:
-                    hit = bits[_places(own)].all(1)
+                    hit = bitmaps.known(twice.value, _places(own))
                     keys += [d for d, x in zip(own, hit, strict=True) if x]
                     rows += [i] * int(hit.sum())
             got = b.select(["doc_id", "_k1", "_k2"]).take(pa.array(rows, pa.int64()))
@@ -83,7 +84,7 @@ def _suspects(twice: object, min_chars: int):
 
 
 def dropped_keys(documents: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """_k1, _k2 (row of documents), drop: the keys whose lines it loses, as 16-byte hashes end to end."""
+    """_k1, _k2 (row of documents), _regnet_drop: the keys whose lines it loses, as 16-byte hashes end to end."""
     sc = documents.sparkSession.sparkContext
     bits = sc.broadcast(twice_seen(documents, min_chars))
     keyed = documents.select("doc_id", *row_key(F.col("doc_id"), F.col("text")), "text")
@@ -93,15 +94,18 @@ def dropped_keys(documents: DataFrame, min_chars: int = MIN_CHARS, min_docs: int
     seen.write.parquet(path)  # counted and then joined with the counts: the texts are read once
     seen = documents.sparkSession.read.parquet(path)
     common = seen.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keeper")).filter(F.col("n") >= min_docs)
-    lose = seen.join(common, "key").filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
-    return lose.groupBy("_k1", "_k2").agg(F.collect_set("key").alias("drop"))
+    # a line that a third of all documents hold is met in SALTS places
+    common = common.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    seen = seen.withColumn("salt", F.pmod(F.col("_k2"), F.lit(SALTS)))
+    lose = seen.join(common, ["key", "salt"]).filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
+    return lose.groupBy("_k1", "_k2").agg(F.collect_set("key").alias("_regnet_drop"))
 
 
 def _rewrite(min_chars: int, digest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, n, gone = [], [], []
-            for text, drop in zip(b.column("text").to_pylist(), b.column("drop").to_pylist(), strict=True):
+            for text, drop in zip(b.column("text").to_pylist(), b.column("_regnet_drop").to_pylist(), strict=True):
                 lines = (text or "").split("\n")
                 bad = set(drop or ())
                 out = {i for i, d in long_keys(text, min_chars) if d in bad} if bad else set()
@@ -123,9 +127,9 @@ def dedup_lines(documents: DataFrame, min_chars: int = MIN_CHARS, min_docs: int
     """documents with the repeated lines gone; with digest, doc_id, n_lines, n_dropped and kept_sha256 instead."""
     if digest:
         documents = documents.select("doc_id", "text")
-    drop = dropped_keys(documents.select("doc_id", "text"), min_chars, min_docs).select(F.col("_k1").alias("_b1"), F.col("_k2").alias("_b2"), "drop")
+    drop = dropped_keys(documents.select("doc_id", "text"), min_chars, min_docs).select(F.col("_k1").alias("_regnet_b1"), F.col("_k2").alias("_regnet_b2"), "_regnet_drop")
     k1, k2 = row_key(documents["doc_id"], documents["text"])
-    joined = documents.join(drop, (k1 == F.col("_b1")) & (k2 == F.col("_b2")), "left").select(*[documents[c] for c in documents.columns], "drop")
+    joined = documents.join(drop, (k1 == F.col("_regnet_b1")) & (k2 == F.col("_regnet_b2")), "left").select(*[documents[c] for c in documents.columns], "_regnet_drop")
     if digest:
         return joined.mapInArrow(_rewrite(min_chars, True), f"doc_id {dict(documents.dtypes)['doc_id']}, n_lines long, n_dropped long, kept_sha256 string")
     return joined.mapInArrow(_rewrite(min_chars, False), documents.schema)
