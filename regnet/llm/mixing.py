@@ -18,13 +18,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NON_SPACE, bounded, row_key
+from .common import NON_SPACE, bounded, row_key, stored
 
 #: Weights of the sources in order, repeating.
 WEIGHTS = [5, 2, 1]
 #: Primes below 2**21, multipliers of the index permutations.
 PRIMES = [2097143, 2097133, 2097131, 2097097, 2097091]
-BLOCK = 128
+BLOCK = 64
 CAP = 3
 ROWS_PER_CHUNK = 4000
 SHARDS = 64
@@ -54,6 +54,7 @@ def streams(documents: DataFrame, block: int = BLOCK, cap: float = CAP, seed: in
         "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(NON_SPACE)), F.lit(0)).cast("long").alias("size"),
         *row_key(F.col("doc_id"), F.col("text")),
     )
+    docs = stored(docs, "sizes")  # a few numbers a row, so that the texts are read once
     sources = source_targets(docs.select("source", "size"), cap)
     sources = sources.withColumn("n_blocks", F.ceil(F.col("source_size") / block))
     whole = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(int(cap)))).otherwise(0)
