@@ -1,24 +1,26 @@
 """Mixing sources to target weights, in DataFrame operations only.
 
-The words of each source are one stream, cut into blocks of a fixed length. A source's slots (passes over all of
+The words of each source are one stream, packed into blocks of a fixed length. A source's slots (passes over all of
 its blocks, then a partial pass) are dealt to output shards by independent seeded draws, so each shard's source
-counts are multinomial given the totals; a slot names its block through a pseudorandom permutation of the
-source's block numbers, and blocks and slots are joined by number.
+counts are multinomial given the totals; a pseudorandom permutation of the source's block numbers gives each block
+its slot in each pass. Blocks are written to the shards of their slots, each shard in as many files as its size
+asks for, and what the mix takes of a document is read from the shards as written.
 
 Offsets come from two levels of sums (chunks of a source, then rows of a chunk), so a source with a third of all
-rows is spread over many tasks. The only global order is over one row per source.
+rows is spread over many tasks. The only global order is over one row per source. Texts are shuffled twice: by chunk,
+to be cut at the blocks' borders, and by file of a shard, where the pieces of a block meet.
 
 Defined cases: null text has size 0; null source is a source of its own, last in order; rows of size 0 are taken
-0 times; repeated rows are rows of their own; no rows give no rows; extra columns are ignored. Equal input gives
-equal output: all draws are hashes of a seed.
+0 times; repeated rows are rows of their own; no rows give no rows; extra columns are ignored; a source's last block
+holds the words that are left. Equal input gives equal output: all draws are hashes of a seed.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NON_SPACE, bounded, row_key, stored
+from .common import NON_SPACE, bounded, let, row_key, scratch, stored
 
 #: Weights of the sources in order, repeating.
 WEIGHTS = [5, 2, 1]
@@ -28,6 +30,8 @@ BLOCK = 64
 CAP = 3
 ROWS_PER_CHUNK = 4000
 SHARDS = 64
+#: Words in a file of a shard, about.
+WORDS_PER_FILE = 4_000_000
 MAX_BROADCAST_SOURCES = 100_000
 
 
@@ -48,30 +52,43 @@ def source_targets(sizes: DataFrame, cap: float = CAP) -> DataFrame:
     return s.select("source", "sid", "source_size", "n_rows", "weight", F.least("most", F.coalesce(F.col("level") * F.col("weight"), "most")).alias("target"))
 
 
-def streams(documents: DataFrame, block: int = BLOCK, cap: float = CAP, seed: int = 17) -> tuple[DataFrame, DataFrame]:
-    """(rows of documents in their source's stream with start offsets, sources with their slot numbers)."""
+def _in_chunks(docs: DataFrame, sources: DataFrame, seed: int) -> DataFrame:
+    """docs with their source's columns, chunk, row (number in the chunk) and start (offset in the chunk)."""
+    docs = docs.join(sources.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    docs = docs.withColumn("chunk", F.pmod(F.hash(F.lit(seed), "doc_id", "_k1"), "n_chunks"))
+    own = Window.partitionBy("sid", "chunk").orderBy("doc_id", "_k1", "_k2")
+    return docs.withColumn("row", F.row_number().over(own)).withColumn("start", F.sum("size").over(own.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
+
+
+def _from_bases(docs: DataFrame, bases: DataFrame) -> DataFrame:
+    """start counts from the begin of the source's stream."""
+    return docs.join(bases, ["sid", "chunk"]).withColumn("start", F.col("start") + F.col("base")).drop("base")
+
+
+def _streams(documents: DataFrame, block: int, cap: float, seed: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     docs = documents.select(
         "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(NON_SPACE)), F.lit(0)).cast("long").alias("size"),
         *row_key(F.col("doc_id"), F.col("text")),
     )
-    docs = stored(docs, "sizes")  # a few numbers a row, so that the texts are read once
+    docs = stored(docs, "sizes")  # a few numbers a row
     sources = source_targets(docs.select("source", "size"), cap)
     sources = sources.withColumn("n_blocks", F.ceil(F.col("source_size") / block))
     whole = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(int(cap)))).otherwise(0)
     sources = sources.withColumn("passes", whole.cast("long"))
     rest = F.when(F.col("passes") < cap, F.round((F.col("target") - F.col("passes") * F.col("source_size")) / block)).otherwise(0)
     sources = sources.withColumn("rest", F.least(rest.cast("long"), F.col("n_blocks")))
-    sources = sources.withColumn("n_chunks", F.ceil(F.col("n_rows") / ROWS_PER_CHUNK))
+    sources = stored(sources.withColumn("n_chunks", F.ceil(F.col("n_rows") / ROWS_PER_CHUNK)), "sources")
     small = F.broadcast(sources) if bounded(sources, MAX_BROADCAST_SOURCES) else sources
-    docs = docs.join(small.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    docs = docs.withColumn("chunk", F.pmod(F.hash(F.lit(seed), "doc_id"), "n_chunks"))
-
-    own = Window.partitionBy("sid", "chunk").orderBy("doc_id", "_k1", "_k2")
-    rows = docs.withColumn("row", F.row_number().over(own)).withColumn("start", F.sum("size").over(own.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
-    chunks = docs.groupBy("sid", "chunk").agg(F.sum("size").alias("chunk_size"))
+    rows = _in_chunks(docs, small, seed)
+    chunks = rows.groupBy("sid", "chunk").agg(F.sum("size").alias("chunk_size"))
     ahead = Window.partitionBy("sid").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    chunks = chunks.select("sid", "chunk", F.coalesce(F.sum("chunk_size").over(ahead), F.lit(0)).alias("base"))
-    rows = rows.join(chunks, ["sid", "chunk"]).withColumn("start", F.col("start") + F.col("base"))
+    bases = stored(chunks.select("sid", "chunk", F.coalesce(F.sum("chunk_size").over(ahead), F.lit(0)).alias("base")), "chunks")
+    return _from_bases(rows, bases), small, bases
+
+
+def streams(documents: DataFrame, block: int = BLOCK, cap: float = CAP, seed: int = 17) -> tuple[DataFrame, DataFrame]:
+    """(rows of documents in their source's stream with start offsets, sources with their slot numbers)."""
+    rows, small, _ = _streams(documents, block, cap, seed)
     return rows, small
 
 
@@ -84,15 +101,20 @@ def pieces(rows: DataFrame, block: int = BLOCK) -> DataFrame:
     return p.withColumn("words", F.coalesce(hi - lo + 1, F.lit(0))).withColumn("begins", F.col("start") <= F.col("block") * block)
 
 
-def slots(parts: DataFrame, shards: int = SHARDS, seed: int = 17) -> DataFrame:
-    """One row per output slot: sid, pass, slot, shard, block. Made from the blocks themselves, so as distributed as they are."""
-    s = parts.filter("begins").withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), "passes")))
-    s = s.filter((F.col("pass") < F.col("passes")) | (F.col("block") < F.col("rest"))).withColumnRenamed("block", "slot")
+def _slotted(blocks: DataFrame, shards: int, seed: int) -> DataFrame:
+    """A row for each pass that takes a block: pass, slot, shard. Slots are the blocks' numbers, permuted."""
+    s = blocks.withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), "passes")))
     fit = F.filter(F.array(*[F.lit(p).cast("long") for p in PRIMES]), lambda p: F.col("n_blocks") % p != 0)
     draw = lambda *x: F.xxhash64(F.lit(seed), "sid", "pass", *x)
     factor = F.element_at(fit, (F.pmod(draw(F.lit("factor")), F.size(fit)) + 1).cast("int"))
-    place = (factor * F.col("slot") + F.pmod(draw(F.lit("shift")), "n_blocks")) % F.col("n_blocks")
-    return s.select("sid", "pass", "slot", F.pmod(draw("slot"), F.lit(shards)).alias("shard"), place.alias("block"))
+    s = s.withColumn("slot", (factor * F.col("block") + F.pmod(draw(F.lit("shift")), "n_blocks")) % F.col("n_blocks"))
+    s = s.filter((F.col("pass") < F.col("passes")) | (F.col("slot") < F.col("rest")))
+    return s.withColumn("shard", F.pmod(draw("slot"), F.lit(shards)))
+
+
+def slots(parts: DataFrame, shards: int = SHARDS, seed: int = 17) -> DataFrame:
+    """One row per output slot: sid, pass, slot, shard, block. Made from the blocks themselves, so as distributed as they are."""
+    return _slotted(parts.filter("begins"), shards, seed).select("sid", "pass", "slot", "shard", "block")
 
 
 def shard_counts(documents: DataFrame, shards: int = SHARDS) -> DataFrame:
@@ -101,21 +123,49 @@ def shard_counts(documents: DataFrame, shards: int = SHARDS) -> DataFrame:
     return slots(pieces(rows), shards).groupBy("shard", "sid").agg(F.count(F.lit(1)).alias("n_slots"))
 
 
+def _cut(words: Column, start: Column, size: Column, block: int) -> Column:
+    """The words (parted by spaces) that a document of the stream puts into each block: block, at (place there), first (word of the document), n, words."""
+
+    def piece(w: Column, b: Column) -> Column:
+        lo, hi = F.greatest(start, b * block), F.least(start + size, (b + 1) * block)
+        first, n = lo - start, hi - lo
+        return F.struct(b.alias("block"), (lo - b * block).alias("at"), first.alias("first"), n.alias("n"), F.array_join(F.slice(w, (first + 1).cast("int"), n.cast("int")), " ").alias("words"))
+
+    reached = F.sequence(F.floor(start / block), F.floor((start + size - 1) / block))
+    return let(F.split(words, " "), lambda w: F.transform(reached, lambda b: piece(w, b)))
+
+
+def _write_shards(documents: DataFrame, sources: DataFrame, bases: DataFrame, shards: int, block: int, seed: int) -> DataFrame:
+    said = let(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(NON_SPACE), F.lit(0)), lambda w: F.struct(F.size(w).cast("long").alias("size"), F.array_join(w, " ").alias("words")))
+    docs = documents.select("doc_id", "source", *row_key(F.col("doc_id"), F.col("text")), said.alias("said")).select("doc_id", "source", "_k1", "_k2", "said.size", "said.words")
+    few = sources.select("source", "sid", "n_chunks", "n_blocks", "passes", "rest")
+    docs = _from_bases(_in_chunks(docs, few, seed), bases).filter("size > 0")
+    cut = docs.select("doc_id", "sid", "chunk", "row", "n_blocks", "passes", "rest", F.inline(_cut(F.col("words"), F.col("start"), F.col("size"), block)))
+    words = sources.agg(F.sum("target")).first()[0] or 0
+    files = max(1, round(words / (shards * WORDS_PER_FILE)))
+    cut = _slotted(cut, shards, seed).withColumn("file", F.pmod(F.xxhash64("sid", "pass", "slot"), F.lit(files)))
+    cut = cut.select("shard", "file", "sid", "pass", "slot", "block", F.struct("at", "chunk", "row", "doc_id", "first", "n", "words").alias("p")).repartition("shard", "file")
+    packed = cut.groupBy("shard", "file", "sid", "pass", "slot", "block").agg(F.sort_array(F.collect_list("p")).alias("p"))
+    packed = packed.select(
+        "shard", "sid", "pass", "slot", "block", F.array_join("p.words", " ").alias("words"),
+        F.transform("p", lambda x: F.struct(*[x[c].alias(c) for c in ("chunk", "row", "doc_id", "first", "n")])).alias("pieces"),
+    )
+    path = scratch(documents.sparkSession, "shards")
+    packed.write.partitionBy("shard").option("compression", "zstd").parquet(path)
+    return documents.sparkSession.read.schema(packed.schema).parquet(path)
+
+
 def mixed_blocks(documents: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """The mix itself as references: shard, sid, pass, slot, block, doc_id, first (word of the document), words."""
-    rows, _ = streams(documents)
-    parts = pieces(rows)
-    lo = F.greatest("start", F.col("block") * BLOCK)
-    here = parts.filter(F.col("words") > 0).select("sid", "block", "doc_id", (lo - F.col("start")).alias("first"), "words")
-    return slots(parts, shards).join(here, ["sid", "block"])
+    """The mix as written, a row per block of a shard: shard, sid, pass, slot, block, words (parted by spaces), pieces
+    (of documents, in order: chunk, row, doc_id, first word of the document, n words)."""
+    _, sources, bases = _streams(documents, BLOCK, CAP, 17)
+    return _write_shards(documents, sources, bases, shards, BLOCK, 17)
 
 
 def mix(documents: DataFrame) -> DataFrame:
-    """Per row of documents: doc_id, source, size, source_size, target, taken (words that the mix takes of it)."""
-    rows, _ = streams(documents)
-    parts = pieces(rows)
-    times = slots(parts).groupBy("sid", "block").agg(F.count(F.lit(1)).alias("times"))
-    got = parts.join(times, ["sid", "block"], "left")
-    keep = [F.first(c).alias(c) for c in ("doc_id", "source", "size", "source_size", "target")]
-    got = got.groupBy("sid", "chunk", "row").agg(*keep, F.sum(F.col("words") * F.coalesce("times", F.lit(0))).cast("long").alias("taken"))
-    return got.select("doc_id", "source", "size", "source_size", "target", "taken")
+    """Writes the shards. Per row of documents: doc_id, source, size, source_size, target, taken (words of it in the shards)."""
+    rows, sources, bases = _streams(documents, BLOCK, CAP, 17)
+    shards = _write_shards(documents, sources, bases, SHARDS, BLOCK, 17)
+    held = shards.select("sid", F.explode("pieces").alias("p")).groupBy("sid", "p.chunk", "p.row").agg(F.sum("p.n").alias("taken"))
+    got = rows.join(held, ["sid", "chunk", "row"], "left")
+    return got.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))

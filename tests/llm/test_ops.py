@@ -287,6 +287,39 @@ def test_mixing(docs, rows, monkeypatch):
     assert all(len(set(b)) == len(b) for b in full.values())  # a pass takes a block once: the map is a permutation
 
 
+def test_mixing_writes_packed_shards(docs, rows, monkeypatch):
+    monkeypatch.setattr(mixing, "ROWS_PER_CHUNK", 30)
+    monkeypatch.setattr(mixing, "WORDS_PER_FILE", 500)
+    words = lambda t: re.findall("[^\x20\x09-\x0d]+", t or "")
+    texts = defaultdict(list)
+    for r in rows:
+        texts[r.doc_id].append(words(r.text))
+    written = mixing.mixed_blocks(docs, 8).collect()
+    blocks, taken, counts = {}, Counter(), Counter()
+    for b in written:
+        w = b.words.split(" ")
+        at = 0
+        for p in b.pieces:  # the words are those of the documents that the block names
+            assert any(t[p.first : p.first + p.n] == w[at : at + p.n] and p.n for t in texts[p.doc_id])
+            at += p.n
+            taken[p.doc_id] += p.n
+        assert at == len(w)
+        assert blocks.setdefault((b.sid, b.block), w) == w  # the same block in each pass
+        counts[(b.shard, b.sid)] += 1
+    assert len({(b.sid, b["pass"], b.slot) for b in written}) == len(written)
+    last = {}
+    for sid, n in blocks:
+        last[sid] = max(n, last.get(sid, 0))
+    assert all(len(w) == mixing.BLOCK for (sid, n), w in blocks.items() if n < last[sid]) and all(0 < len(w) <= mixing.BLOCK for w in blocks.values())
+    assert len({s for s, _ in counts}) == 8
+    assert counts == Counter({(r.shard, r.sid): r.n_slots for r in mixing.shard_counts(docs, 8).collect()})
+    want = Counter()
+    for r in mixing.mix(docs).collect():
+        want[r.doc_id] += r.taken
+    assert +taken == +want
+    assert mixing.mixed_blocks(docs.limit(0)).count() == 0
+
+
 def test_capped_targets():
     t = brute_targets({"a": 10, "b": 1000, "c": 50, None: 0})
     assert t["a"] == 30 and t[None] == 0 and abs(sum(t.values()) - 1060) < 1e-6
