@@ -190,7 +190,7 @@ def seq_scan_exact(s, d):
 
 @query
 def seq_scan_pvalue(s, d):
-    m = v.motifs(s, d).filter("CAST(substring(motif_id, 2) AS BIGINT) < 20").withColumn("background", mm.uniform_background())
+    m = v.motifs(s, d).withColumn("background", mm.uniform_background())
     return scan.scored(scan.scan(v.sequences(s, d), m, p_value=1e-3), m).select("motif_id", "regulator", "seqname", "start_pos", "stop_pos", "strand", F.round("p_value", 9).alias("p_value"), "matched", F.round("score", 6).alias("score"))
 
 
