@@ -9,8 +9,9 @@ Documents are packed into chunks of some MB, a table bucketed by chunk, so that
 Each chunk sends its sorted sampled suffixes, by ranges of the hash, to the range's task. There a new batch is a
 suffix array; arrays of equal size merge geometrically into levels, and batches are merge-scanned against the
 levels. An entry whose whole surroundings a smaller document has is settled. Where the gram is shared but the
-surroundings differ, the few bytes around it are sent in a second round and all strings of LENGTH through it
-are compared. Answers come back as bits in the order of the request.
+surroundings differ, a second round compares all strings of LENGTH through it: each chunk sends their distinct
+hashes with its smallest ids, dealt by the string's hash, so that the contexts of a hot gram spread over all ranges
+and a hot string comes once from a chunk. Answers come back as bits in the order of the request.
 
 Defined cases: null or empty text has no bytes; texts shorter than LENGTH lose nothing; rows that share a doc_id
 don't remove from each other; null ids count as larger than all others and don't remove from each other; overlaps
@@ -238,16 +239,55 @@ def _bits(data: bytes, n: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(data, np.uint8))[:n].astype(bool)
 
 
-def _contexts(c: Chunk, at: np.ndarray) -> np.ndarray:
-    """For entries: the bytes from lo to hi, padded to SPAN, then BACK's and end's lengths."""
-    out = np.zeros((len(at), SPAN + 2), np.uint8)
-    left, right = c.pos[at] - c.lo[at], c.hi[at] - c.pos[at]
-    cols = np.arange(-BACK, LENGTH)
-    where = c.pos[at][:, None] + cols
-    inside = (cols >= -left[:, None]) & (cols < right[:, None])
-    out[:, :SPAN] = np.where(inside, c.data[np.clip(where, 0, len(c.data) - 1)], 0)
-    out[:, SPAN], out[:, SPAN + 1] = left, right
-    return out
+def _strings(c: Chunk, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(index into at, j, hash) of each string of LENGTH through the grams of these entries; it starts BACK - j bytes before its gram."""
+    up, down = _powers(_B, PIECE + SPAN + 1), _powers(_IB, PIECE + SPAN + 1)
+    pos, found = c.pos[at], []
+    for s in range(0, len(c.data), PIECE):
+        inside = np.flatnonzero((pos >= s) & (pos < s + PIECE))
+        if not len(inside):
+            continue
+        first = max(s - BACK, 0)
+        h = Hashes(c.data[first : s + PIECE + LENGTH], up, down)
+        for j in range(BACK + 1):
+            start = pos[inside] - BACK + j
+            ok = (start >= c.lo[at[inside]]) & (start + LENGTH <= c.hi[at[inside]])
+            start = start[ok] - first
+            found.append((inside[ok], np.full(len(start), j, np.uint8), h.of(start, start + LENGTH)))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+class Open:
+    """The open entries of a chunk: their distinct strings (hash, smallest id in the chunk), sorted and so in order of their ranges."""
+
+    def __init__(self, c: Chunk, groups: list[tuple], said: dict[int, dict], ranges: int) -> None:
+        self.parts = [(r, np.flatnonzero(_bits(said[r]["b"], len(keys)))) for r, keys, _, _ in groups if r in said]
+        by = {r: (ids, at) for r, _, ids, at in groups}
+        n = sum(len(o) for _, o in self.parts)
+        self.ids = np.concatenate([by[r][0][o] for r, o in self.parts]) if n else np.zeros(0, np.int64)
+        self.keys = np.zeros(0, U)
+        self.bounds = np.zeros(ranges + 1, np.int64)
+        if n:
+            self.entry, self.j, h = _strings(c, np.concatenate([by[r][1][o] for r, o in self.parts]))
+            self.keys, self.of = np.unique(h, return_inverse=True)
+            self.smallest = np.full(len(self.keys), NULL_ID, np.int64)
+            np.minimum.at(self.smallest, self.of, self.ids[self.entry])
+            self.bounds = np.searchsorted((self.keys >> U(32)) * U(ranges) >> U(32), np.arange(ranges + 1))
+
+    def masks(self, second: dict[int, dict]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(range, open entries of it, a bit for each string of LENGTH through the gram: a smaller id has it)."""
+        m = np.zeros(len(self.ids), np.uint32)
+        if len(self.keys):
+            elsewhere = np.zeros(len(self.keys), bool)
+            for r, x in second.items():
+                a, b = self.bounds[r], self.bounds[r + 1]
+                elsewhere[a:b] = _bits(x["a"], b - a)
+            hit = elsewhere[self.of] | (self.smallest[self.of] < self.ids[self.entry])
+            np.bitwise_or.at(m, self.entry[hit], np.uint32(1) << self.j[hit].astype(np.uint32))
+        a = 0
+        for r, o in self.parts:
+            yield r, o, m[a : a + len(o)]
+            a += len(o)
 
 
 def _ask_again(ranges: int):
@@ -258,48 +298,32 @@ def _ask_again(ranges: int):
                 if not said:
                     continue
                 c = _chunk_of(row)
-                for r, keys, ids, at in c.requests(ranges):
-                    if r in said:
-                        open_ = _bits(said[r]["b"], len(keys))
-                        if open_.any():
-                            yield _message(r, row["chunk"], keys[open_], ids[open_], _contexts(c, at[open_]).tobytes())
+                o = Open(c, list(c.requests(ranges)), said, ranges)
+                for r in range(ranges):
+                    x, y = o.bounds[r], o.bounds[r + 1]
+                    if x < y:
+                        yield _message(r, row["chunk"], o.keys[x:y], o.smallest[x:y])
 
     return run
 
 
 def _compare(table: pa.Table) -> pa.Table:
-    """For each entry a bit for each string of LENGTH through its gram: a smaller id has it."""
+    """For each string of a chunk a bit: another chunk has it with a smaller id."""
     rows = table.to_pylist()
     if not rows:
         return _answers([])
     keys, ids = (np.concatenate(x) for x in zip(*map(_read, rows), strict=True))
-    around = np.concatenate([np.frombuffer(r["bytes"], np.uint8).reshape(-1, SPAN + 2) for r in rows])
-    left, right = around[:, SPAN].astype(np.int64), around[:, SPAN + 1].astype(np.int64)
-    masks = np.zeros(len(keys), np.uint32)
-    weights = _powers(_B, LENGTH)
-    gram = keys >> U(32)
-    held = []
-    for j in range(BACK + 1):  # the string that starts BACK - j bytes before the gram
-        ok = np.flatnonzero((BACK - j <= left) & (j + LENGTH - BACK <= right))
-        h = np.zeros(len(ok), U)
-        for i in range(LENGTH):
-            h += (around[ok, j + i].astype(U) + U(1)) * weights[i]
-        held.append((ok, np.full(len(ok), j), _mix(h) ^ (gram[ok] * U(_B))))
-    ok, j, h = (np.concatenate(x) for x in zip(*held, strict=True))
-    order = np.lexsort((ids[ok], h, j))
-    ok, j, h = ok[order], j[order], h[order]
-    if len(ok):
-        first = np.r_[True, (h[1:] != h[:-1]) | (j[1:] != j[:-1])]
-        smallest = ids[ok][np.flatnonzero(first)][np.cumsum(first) - 1]
-        hit = smallest < ids[ok]
-        np.bitwise_or.at(masks, ok[hit], (np.uint32(1) << j[hit].astype(np.uint32)))
+    order = np.lexsort((ids, keys))
+    k = keys[order]
+    first = np.r_[True, k[1:] != k[:-1]]
+    hit = np.zeros(len(keys), bool)
+    hit[order] = ids[order][np.flatnonzero(first)][np.cumsum(first) - 1] < ids[order]
     out, a = [], 0
     for r in rows:
         n = len(r["keys"]) // 8
-        m = masks[a : a + n]
+        if hit[a : a + n].any():
+            out.append((r["chunk"], r["range"], np.packbits(hit[a : a + n]).tobytes(), None))
         a += n
-        if m.any():
-            out.append((r["chunk"], r["range"], m.tobytes(), None))
     return _answers(out)
 
 
@@ -323,11 +347,13 @@ def _remove(ranges: int, digest: bool):
             least[own] = smallest[k]
             if r in first:
                 settled[own] = _bits(first[r]["a"], len(keys))[k]
-                if r in second:
-                    open_ = _bits(first[r]["b"], len(keys))
-                    m = np.zeros(len(keys), np.uint32)
-                    m[open_] = np.frombuffer(second[r]["a"], np.uint32)
-                    masks[own] = m[k]
+        by = {r: keys for r, keys, _, _ in groups}
+        for r, open_, bits in Open(c, groups, first, ranges).masks(second):
+            if bits.any():
+                m = np.zeros(len(by[r]), np.uint32)
+                m[open_] = bits
+                own = np.flatnonzero(c.which == r)
+                masks[own] = m[np.searchsorted(by[r], c.key[own])]
         settled |= least < ids  # a smaller document of this chunk has the same
         add(c.lo[settled], c.hi[settled])
         for j in range(BACK + 1):

@@ -4,6 +4,7 @@ import hashlib
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -287,6 +288,16 @@ def test_mixing(docs, rows, monkeypatch):
     assert all(len(set(b)) == len(b) for b in full.values())  # a pass takes a block once: the map is a permutation
 
 
+def test_second_round_spreads_a_hot_gram():
+    hot = b"the passage that a third of all documents hold"
+    texts = [b"%030d" % (i * 7919**3) + hot + b"%030d" % (i * 104729**3) for i in range(300)]
+    c = suffix_dedup.Chunk(np.arange(300), np.cumsum([0, *map(len, texts)]).astype(np.int64), np.frombuffer(b"".join(texts), np.uint8))
+    groups = list(c.requests(8))
+    said = {r: {"b": np.packbits(np.ones(len(keys), bool)).tobytes()} for r, keys, _, _ in groups}
+    sent = np.diff(suffix_dedup.Open(c, groups, said, 8).bounds)
+    assert sent.min() > 0 and sent.max() < 1.5 * sent.mean()
+
+
 def test_mixing_writes_packed_shards(docs, rows, monkeypatch):
     monkeypatch.setattr(mixing, "ROWS_PER_CHUNK", 30)
     monkeypatch.setattr(mixing, "WORDS_PER_FILE", 500)
