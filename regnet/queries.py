@@ -166,6 +166,21 @@ def jn_link_distance(s, d):
     return intervals.link_peaks(v.peaks(s, d), _windows(s, d), distance=True).select("chrom", "start_pos", "end_pos", "gene", "distance")
 
 
+def _all_windows(s, d):
+    return genes.promoter_windows(genes.with_tss(v.genes(s, d)), (500, 100), use_tss=True)
+
+
+@query
+def jn_link_intergenic_all(s, d):
+    """jn_link_intergenic is bound to SQL over a quarter of the genes; this links them all."""
+    return intervals.link_peaks(v.peaks(s, d), _all_windows(s, d), intergenic=True).select("chrom", "start_pos", "end_pos", "strand", "gene", "file_name")
+
+
+@query
+def jn_link_distance_all(s, d):
+    return intervals.link_peaks(v.peaks(s, d), _all_windows(s, d), distance=True).select("chrom", "start_pos", "end_pos", "gene", "distance")
+
+
 @query
 def seq_extract(s, d):
     bed = v.sequences(s, d).select(F.col("seqname").alias("chrom"), F.explode(F.array(*[F.lit(x).cast("bigint") for x in (0, 25, 60)])).alias("start_pos")).withColumn("end_pos", F.col("start_pos") + 30)
