@@ -56,6 +56,12 @@ def peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _view(spark, sf_dir, "orders", PEAK)
 
 
+def peaks_of(spark: SparkSession, sf_dir: str, n: DataFrame) -> DataFrame:
+    """Peaks whose files are spread over experiments 0 to _n - 1; _n is the one number in n."""
+    df = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr(*_split(PEAK), "o_custkey").crossJoin(F.broadcast(n))
+    return df.withColumn("file_name", F.expr("concat('EXP', CAST(o_custkey % _n AS STRING), '.bed.gz')")).drop("o_custkey", "_n")
+
+
 def mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _view(spark, sf_dir, "supplier", MASK)
 

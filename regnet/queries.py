@@ -409,6 +409,47 @@ def dst_peaks(s, d):
     return peaks.distinct_peaks(_linked(s, d)).select("chrom", "start_pos", "end_pos", "gene", "regulator", "accession")
 
 
+def _all_metadata(s, d):
+    """Metadata of every supplier. Files and audit flags recur with the row, without a bound on ids."""
+    rows = s.read.parquet(f"{d}/supplier.parquet")
+    raw = rows.selectExpr(
+        "concat('EXP', CAST(s_suppkey AS STRING)) AS `File accession`", "concat(CASE WHEN s_suppkey % 2 = 0 THEN 'hum' ELSE 'MAX' END, CAST(s_suppkey % 3 AS STRING), '-human') AS `Experiment target`",
+        "CASE WHEN s_suppkey % 8 = 3 THEN 'bad' END AS `Audit ERROR`", "CASE WHEN s_suppkey % 8 = 4 THEN 'hm' END AS `Audit WARNING`", "CASE WHEN s_suppkey % 8 = 5 THEN 'no' END AS `Audit NOT_COMPLIANT`")
+    files = rows.filter("s_suppkey % 8 <> 7").selectExpr("concat('EXP', CAST(s_suppkey AS STRING), '.bed.gz') AS file_name")
+    return tables.encode_metadata(raw, files)
+
+
+def _all_linked(s, d):
+    n = s.read.parquet(f"{d}/supplier.parquet").agg(F.count(F.lit(1)).alias("_n"))
+    return peaks.batch_link(v.peaks_of(s, d, n), _all_metadata(s, d), genes.with_tss(v.bodies(s, d)))
+
+
+@query
+def enc_metadata_all(s, d):
+    """enc_metadata and the queries after it are bound to SQL over seven rows; these take the whole table."""
+    return _all_metadata(s, d).select("accession", "tf", "file_name", "file_exists", "error", "warning", "noncompliant")
+
+
+@query
+def enc_batch_link_all(s, d):
+    return _all_linked(s, d).select("chrom", "start_pos", "end_pos", "gene", "regulator", "accession", "signal_value")
+
+
+@query
+def enc_prior_all(s, d):
+    return peaks.peak_prior(_all_linked(s, d).groupBy("chrom", "start_pos", "end_pos", "gene", "regulator", "accession").agg(F.max("signal_value").alias("signal_value")), v.mask(s, d), 0.5)
+
+
+@query
+def enc_quality_all(s, d):
+    return peaks.quality_report(_all_metadata(s, d))
+
+
+@query
+def dst_peaks_all(s, d):
+    return peaks.distinct_peaks(_all_linked(s, d)).select("chrom", "start_pos", "end_pos", "gene", "regulator", "accession")
+
+
 @query
 def dst_hits(s, d):
     h = v.hits(s, d).withColumnRenamed("regulator", "motif_id").withColumn("strand", F.lit("+"))
