@@ -9,7 +9,10 @@ prefix tokens.
 Equal sets are one node. Tokens that a two-level bitmap of fixed size knows from one set only are left out. No
 group is expanded into all pairs: first each node is verified against one node that shares most of its lists (the
 list's most typical one); then only candidates in different components are enumerated and verified, so
-no link that could join two components is lost. Verification compares whole sets.
+no link that could join two components is lost. Lists of more than HOT sets don't bring pairs together by
+themselves: a pair that shares c tokens of shorter lists has an overlap of c and the rest of the set whose prefix
+ends first at most, so members of a large group that differ in rarer tokens are ruled out before a row is made.
+Verification compares whole sets.
 
 Defined cases: null or empty text has no shingles and links with nothing; fewer words than a shingle are one
 shingle; ties have no effect, as a pair at exactly the threshold links; null ids link like others, but the
@@ -25,11 +28,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bitmaps
-from .common import stored
+from .common import KEY, NON_SPACE, row_key, stored
 from .components import components
 
 SHINGLE, PERCENT = 5, 80
@@ -39,7 +42,8 @@ COUNTERS, BITS = 1 << 22, 1 << 27
 #: Bits of the map of the sets that are wanted (4 MB).
 ID_BITS = 1 << 25
 SKETCH_PARTS = 64
-MAX_MATCH = 8
+#: Lists of more sets than this are met only by sets that can reach the threshold without a token of a shorter list.
+HOT = 48
 #: Work of verifying a candidate, in postings read; accidental candidates expected of a posting.
 VERIFY_COST, ACCIDENTS = 20.0, 0.05
 #: Tokens below this share of the hash range are compared first.
@@ -122,7 +126,7 @@ def _describe(size: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers, counts = Powers(), np.zeros(COUNTERS, np.uint8)
-        names = ["doc_id", "n", "sid", "part", "counts"]
+        names = ["doc_id", *KEY, "n", "sid", "part", "counts"]
         for b in batches:
             n, sid = [], []
             for t in token_sets(b.column("text"), powers, size):
@@ -131,11 +135,11 @@ def _describe(size: int):
                 at = (t & np.uint64(COUNTERS - 1)).astype(np.int64)
                 counts[at] += counts[at] < 255  # per task; tokens of one document that meet in a counter count once
             none = pa.nulls(len(n))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int32()), pa.array(sid, pa.int64()), none.cast(pa.int32()), none.cast(pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(n, pa.int32()), pa.array(sid, pa.int64()), none.cast(pa.int32()), none.cast(pa.binary())], names)
         parts = counts.reshape(SKETCH_PARTS, -1)
         full = [k for k in range(SKETCH_PARTS) if parts[k].any()]
         none = pa.nulls(len(full))
-        yield pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int32()), none.cast(pa.int64()), pa.array(full, pa.int32()), pa.array([parts[k].tobytes() for k in full], pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.int32()), none.cast(pa.int32()), none.cast(pa.int64()), pa.array(full, pa.int32()), pa.array([parts[k].tobytes() for k in full], pa.binary())], names)
 
     return run
 
@@ -165,7 +169,7 @@ def prefix(tokens: np.ndarray, counts: np.ndarray, percent: int = PERCENT) -> tu
     n, least = len(tokens), need(len(tokens), percent)
     cost = np.cumsum(df[order])
     base = n - least
-    ls = np.arange(1, min(MAX_MATCH, least) + 1)
+    ls = np.arange(1, least + 1)
     read = cost[base + ls - 1]
     candidates = (read - (base + ls) + ACCIDENTS * (base + ls)) / ls
     best = int(ls[np.argmin(read + VERIFY_COST * candidates)])
@@ -210,17 +214,17 @@ def _entries(counts: object, twice: object, size: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers, seen = Powers(), set()
         for b in batches:
-            cols: list[list] = [[], [], [], [], [], [], []]
+            cols: list[list] = [[], [], [], [], [], [], [], []]
             for sid, t in _sets_once(b, powers, seen, size):
                 p, best, typical = prefix(t, counts.value, percent)
                 n, k = len(t), len(p)
                 last = place(p[-1:], counts.value)
                 p = p[bitmaps.known(twice.value, _places(p, 8 * len(twice.value)))]
                 most = n - (k - len(p))  # the tokens left out are in no other prefix
-                for c, x in zip(cols, (p.view(np.int64), np.full(len(p), sid), *(np.full(len(p), v, np.int32) for v in (n, most, best, round(typical * 1000))), np.full(len(p), last[0])), strict=True):
+                for c, x in zip(cols, (p.view(np.int64), np.full(len(p), sid), *(np.full(len(p), v, np.int32) for v in (n, most, n - k, best, round(typical * 1000))), np.full(len(p), last[0])), strict=True):
                     c.append(x)
             if cols[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["token", "sid", "n", "most", "l", "typical", "last"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["token", "sid", "n", "most", "free", "l", "typical", "last"])
 
     return run
 
@@ -278,58 +282,88 @@ def verified(pairs: DataFrame, documents: DataFrame, size: int = SHINGLE, percen
     return _reaching(_reaching(pairs, documents, size, percent, FIRST_SHARE), documents, size, percent, 1.0)
 
 
-def near_groups(documents: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row of documents."""
+def grouped(documents: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """doc_id, the row's key (_k1, _k2), n (size of its set), sid (the set) and label (the same in a component) for each row."""
     sc = documents.sparkSession.sparkContext
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    told = stored(docs.mapInArrow(_describe(size), "doc_id long, n int, sid long, part int, counts binary"), "shingle-sets")
-    base = told.filter("part IS NULL").select("doc_id", "n", "sid")
+    keyed = docs.select("doc_id", *row_key(F.col("doc_id"), F.col("text")), "text")
+    told = stored(keyed.mapInArrow(_describe(size), "doc_id long, _k1 long, _k2 int, n int, sid long, part int, counts binary"), "shingle-sets")
+    base = told.filter("part IS NULL").select("doc_id", *KEY, "n", "sid")
     counts = sc.broadcast(sketch(told))
     text = docs.select("text")
     prefixes = base.agg(F.sum("n")).first()[0] or 0
     bits = bitmaps.size_for(prefixes * (100 - percent) // 100, BITS)
     twice = sc.broadcast(bitmaps.filled(text, _prefix_places(counts, size, percent, bits), bits, "twice"))
 
-    entries = text.mapInArrow(_entries(counts, twice, size, percent), "token long, sid long, n int, most int, l int, typical int, last long")
+    entries = text.mapInArrow(_entries(counts, twice, size, percent), "token long, sid long, n int, most int, free int, l int, typical int, last long")
     entries = stored(entries, "entries")  # counted and then joined with the counts: the texts are read once
     lists = entries.groupBy("token").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).filter("lo < hi").select("token")
     postings = stored(entries.join(lists, "token").dropDuplicates(["token", "sid"]), "postings")
-    def alike(m: Column, m_most: Column, m_last: Column, n: Column, n_most: Column, n_last: Column) -> Column:
-        """Sizes may not differ too much. Of two prefixes the one that ends first holds all that the other set shares with it,
-        so its tokens that are in no other prefix can't be shared."""
-        most = F.when(m_last <= n_last, m_most).otherwise(n_most)
+
+    def bound(m_most: Column, m_last: Column, n_most: Column, n_last: Column) -> Column:
+        """Of two prefixes the one that ends first holds all that the other set shares with it, so what it can share bounds the overlap."""
+        return F.when(m_last <= n_last, m_most).otherwise(n_most)
+
+    def alike(most: Column, m: Column, n: Column) -> Column:
+        """Whether an overlap of most reaches the threshold; sizes may not differ too much."""
         return (most * (100 + percent) >= (m + n) * percent) & (F.least(m, n) * 100 >= F.greatest(m, n) * percent)
 
-    cols = ("n", "most", "last")
-    pivots = postings.groupBy("token").agg(F.max(F.struct("typical", "sid", *cols, "l")).alias("p")).select("token", F.col("p.sid").alias("p"), *[F.col(f"p.{c}").alias(f"p{c}") for c in (*cols, "l")])
-    star = postings.join(pivots, "token").filter((F.col("sid") != F.col("p")) & alike(*map(F.col, cols), *[F.col(f"p{c}") for c in cols]))
-    star = star.groupBy("sid", "p").agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("l", "pl")).alias("least")).filter("2 * shared >= least")
+    col, other_col = F.col, lambda c: F.col(f"b{c}")
+    cols = ("n", "most", "last", "l")
+    pivots = postings.groupBy("token").agg(F.max(F.struct("typical", "sid", *cols)).alias("p"), F.count(F.lit(1)).alias("lists"))
+    pivots = stored(pivots.select("token", "lists", F.col("p.sid").alias("p"), *[F.col(f"p.{c}").alias(f"b{c}") for c in cols]), "pivots")
+    star = postings.join(pivots, "token").filter((F.col("sid") != F.col("p")) & alike(bound(col("most"), col("last"), col("bmost"), col("blast")), col("n"), col("bn")))
+    star = star.groupBy("sid", "p").agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("l", "bl")).alias("least")).filter("2 * shared >= least")
     star = star.groupBy("sid").agg(F.max(F.struct("shared", "p"))["p"].alias("b")).withColumnRenamed("sid", "a")
     star = stored(star, "star")
     links = verified(star, docs, size, percent)
 
     labels = components(links)
-    at = postings.join(labels.withColumnRenamed("node", "sid"), "sid", "left").select("token", "sid", *cols, "l", F.coalesce("label", "sid").alias("label"))
+    hot = pivots.filter(F.col("lists") > HOT).select("token", F.lit(True).alias("hot"))
+    at = postings.join(hot, "token", "left").withColumn("hot", F.coalesce("hot", F.lit(False))).join(labels.withColumnRenamed("node", "sid"), "sid", "left")
+    own = F.sum(F.col("hot").cast("int")).over(Window.partitionBy("sid"))  # of a set's prefix
+    at = at.select("token", "sid", *cols, "hot", (F.col("free") + own).alias("warm"), F.coalesce("label", "sid").alias("label"))
     split = at.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("token")
     at = stored(at.join(split, "token"), "split-lists")
-    other = at.select("token", F.col("sid").alias("b"), *[F.col(c).alias(f"b{c}") for c in (*cols, "l", "label")])
-    rest = at.withColumnRenamed("sid", "a").join(other, "token").filter((F.col("label") < F.col("blabel")) & alike(*map(F.col, cols), *[F.col(f"b{c}") for c in cols]))
-    rest = rest.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("l", "bl")).alias("least")).filter("shared >= least").select("a", "b")
+    carried = (*cols, "warm", "label")
+    rest = at.withColumnRenamed("sid", "a").join(at.select("token", F.col("sid").alias("b"), *[F.col(c).alias(f"b{c}") for c in carried]), "token")
+    warm = bound(col("warm"), col("last"), other_col("warm"), other_col("last"))  # at most so many shared tokens that aren't in shorter lists
+    most = F.when(F.col("hot"), warm).otherwise(bound(col("most"), col("last"), other_col("most"), other_col("last")))
+    rest = rest.filter((F.col("label") < F.col("blabel")) & alike(most, col("n"), other_col("n")))
+    rest = rest.select("a", "b", "hot", F.least("l", "bl").alias("l"), warm.alias("warm"), (F.col("n") + F.col("bn")).alias("both"))
+    rest = rest.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.count_if(~F.col("hot")).alias("cold"), *[F.min(c).alias(c) for c in ("l", "warm", "both")])
+    reach = lambda overlap: overlap * (100 + percent) >= F.col("both") * percent
+    rest = rest.filter(reach(F.col("cold") + F.col("warm")) & (~reach(F.col("warm")) | (F.col("shared") >= F.col("l")))).select("a", "b")
     tried = star.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
     rest = rest.join(tried, (F.least("a", "b") == F.col("lo")) & (F.greatest("a", "b") == F.col("hi")), "left_anti")
     more = verified(stored(rest, "rest"), docs, size, percent)
     labels = components(links.union(more))
 
-    node = base.groupBy("sid").agg(F.min("doc_id").alias("first")).join(labels.withColumnRenamed("node", "sid"), "sid", "left")
-    node = node.select("sid", "first", F.coalesce("label", "sid").alias("label"))
-    smallest = node.groupBy("label").agg(F.min("first").alias("component_id"))
-    node = node.join(smallest, "label").select("sid", "component_id")
-    out = base.join(node, "sid")
+    named = labels.withColumnRenamed("node", "sid")
+    # rows of one set may be many; labels are few a set
+    return base.join(named, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+
+
+def near_groups(documents: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id for each row of documents."""
+    rows = stored(grouped(documents, size, percent).select("doc_id", "n", "label"), "grouped")
+    smallest = rows.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    out = rows.join(smallest, "label")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def keep_one(documents: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """documents with one row of each group of near copies: that with the smallest doc_id. Columns stay as they are."""
-    groups = near_groups(documents, size, percent)
-    later = groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("_regnet_later")).distinct()
-    return documents.join(later, documents["doc_id"] == F.col("_regnet_later"), "left_anti")
+    """documents with one row of each group of near copies. Columns stay as they are.
+
+    The row with the smallest doc_id stays (nulls last); of texts that share it, the one first by hash. Rows are chosen,
+    not ids: of repeated rows one stays, and rows that share an id but not a text are told apart. Rows without words
+    are no copies of anything and all stay."""
+    rows = grouped(documents, size, percent).filter("n > 0")
+    first = rows.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *KEY)).alias("p"))
+    names = [f"_regnet{k}" for k in KEY]
+    first = first.select(*[F.col(f"p.{k}").alias(x) for k, x in zip(KEY, names, strict=True)])
+    worded = F.coalesce(F.col("text").rlike(NON_SPACE), F.lit(False))
+    # repeated rows are reduced in the tasks that read them, so that many of them don't meet in one place
+    own = documents.filter(worded).withColumns(dict(zip(names, row_key(F.col("doc_id").cast("long"), F.col("text")), strict=True))).dropDuplicates(names)
+    own = own.join(first, names, "left_semi").select(*documents.columns)
+    return own.unionAll(documents.filter(~worded))

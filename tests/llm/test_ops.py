@@ -243,6 +243,37 @@ def test_near_groups_find_chains_and_keep_unlike_texts_apart(spark):
     assert counted(ngram_join.near_groups(df), "doc_id", "n_shingles", "component_id") == Counter(brute_groups(df.collect()))
 
 
+@pytest.mark.parametrize("hot", [48, 2])
+def test_large_group_below_the_threshold(spark, hot, monkeypatch):
+    """Members of a large group that mostly reach 0.5 to 0.8, some by words that a few others share, some by words left out."""
+    monkeypatch.setattr(ngram_join, "HOT", hot)
+    rng = np.random.default_rng(3)
+    base = [f"b{i}" for i in range(150)]
+    rows = []
+    for i in range(250):
+        w = list(base)
+        for k in rng.choice(150, int(rng.integers(0, 9)), replace=False):
+            w[k] = f"n{rng.integers(40)}" if i % 3 else ""
+        rows.append((i, " ".join(x for x in w if x)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_groups(df.collect())
+    assert len({c for _, _, c in want}) > 20
+    assert counted(ngram_join.near_groups(df), "doc_id", "n_shingles", "component_id") == Counter(want)
+
+
+def test_keep_one_chooses_rows(spark):
+    x, y, z = (" ".join(f"{c}{i}" for i in range(50)) for c in "xyz")
+    near = x.replace("x49", "other")
+    rows = [(2, x, 1), (5, x, 2), (5, y, 3), (7, z, 4), (7, z, 5), (None, x, 6), (None, near, 7), (None, "", 8), (None, "", 9), (1, None, 10), (3, " \n", 11), (None, "lone words", 12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, label int").withColumn("n", F.lit(1))
+    kept = ngram_join.keep_one(df)
+    assert kept.columns == df.columns
+    got = kept.collect()
+    texts = Counter((r.doc_id, r.text) for r in got)
+    assert texts == Counter([(2, x), (5, y), (7, z), (None, ""), (None, ""), (1, None), (3, " \n"), (None, "lone words")])
+    assert ngram_join.keep_one(df.limit(0)).count() == 0
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (7, 50), (200, 200)]
     got = {r.node: r.label for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
