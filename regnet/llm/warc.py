@@ -7,7 +7,8 @@ memory is bounded.
 
 Reading takes whole archive files as rows and follows Content-Length. Only records in segments are shuffled, by
 origin id; a group is one page's segments. They are ordered by segment number; missing or repeated numbers or a
-wrong total length make the record incomplete (payload null). Chunked framing is decoded last.
+wrong total length make the record incomplete (payload null), and so does an end of the file inside a record. Chunked
+framing is decoded last, and the payload compared with its declared digest.
 
 Defined cases: null payload counts as empty; payloads under min_bytes are never revisits; rows that share the
 smallest page_id of a payload are all responses; null page_ids come after all others and never are referred to;
@@ -16,6 +17,8 @@ null urls write an empty one; no rows give an empty archive and no records; extr
 
 from __future__ import annotations
 
+import base64
+import hashlib
 import zlib
 from collections.abc import Iterator
 
@@ -91,21 +94,47 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES, segme
     records(pages, min_bytes, segment_bytes).write.option("lineSep", END * 2).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
 
 
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(header fields, block) of the records in an archive."""
+def unzipped(data: bytes) -> bytes:
+    """Archives are often gzip files with a member for each record; all members are read. A cut last member gives what it holds."""
+    if data[:2] != b"\x1f\x8b":
+        return data
+    out = []
+    while data[:2] == b"\x1f\x8b":
+        member = zlib.decompressobj(31)
+        out.append(member.decompress(data))
+        data = member.unused_data.lstrip(b"\0")  # members may be padded
+    return b"".join(out)
+
+
+def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes, bool]]:
+    """(header fields by lower-case name, block, whether all of it is there) of the records in an archive."""
     at = 0
     while at < len(data):
+        if data[at : at + 1] in b"\r\n":  # record ends
+            at += 1
+            continue
         end = data.find(b"\r\n\r\n", at)
-        if end < 0:
-            raise ValueError("a WARC header without an end")
-        lines = data[at:end].decode("utf-8", "surrogateescape").split(END)
+        whole = end >= 0
+        lines = data[at : end if whole else len(data)].decode("utf-8", "surrogateescape").split(END)
         if not lines[0].startswith("WARC/"):
             raise ValueError(f"no WARC record at byte {at}")
-        fields = dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in lines[1:])
-        start = end + 4
-        at = start + int(fields["Content-Length"])
-        yield fields, data[start:at]
-        at += 4
+        fields: dict[str, str] = {}
+        name = ""
+        for x in lines[1:]:
+            if x[:1] in " \t" and name:  # folded
+                fields[name] += " " + x.strip()
+            else:
+                name, _, value = x.partition(":")
+                name = name.strip().lower()
+                fields[name] = value.strip()
+        if not whole:
+            yield fields, b"", False
+            return
+        start, size = end + 4, fields.get("content-length", "")
+        if not size.isdigit():
+            raise ValueError(f"a record without its length at byte {at}")
+        at = start + int(size)
+        yield fields, data[start:at], at <= len(data)
 
 
 def dechunk(body: bytes) -> bytes | None:
@@ -126,58 +155,77 @@ def dechunk(body: bytes) -> bytes | None:
 
 
 def payload_of(block: bytes | None) -> bytes | None:
-    """The body of an HTTP response, its chunked framing decoded."""
-    if block is None:
-        return None
+    """The body of an HTTP response, its chunked framing decoded; any other block whole."""
+    if block is None or not block.startswith(b"HTTP/"):
+        return block
     head, _, body = block.partition(b"\r\n\r\n")
     return dechunk(body) if b"\r\ntransfer-encoding: chunked" in head.lower() else body
 
 
-_PARSED = pa.schema([("record_type", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("digest", pa.string()), ("refers_to", pa.int64()), ("origin", pa.string()), ("segment", pa.int32()), ("total", pa.int64()), ("block", pa.binary())])
-_PARSED_DDL = "record_type string, page_id long, url string, digest string, refers_to long, origin string, segment int, total long, block binary"
+_PARSED = pa.schema([("record_type", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("digest", pa.string()), ("refers_to", pa.int64()), ("origin", pa.string()), ("segment", pa.int32()), ("total", pa.int64()), ("whole", pa.bool_()), ("block", pa.binary())])
+_PARSED_DDL = "record_type string, page_id long, url string, digest string, refers_to long, origin string, segment int, total long, whole boolean, block binary"
 BATCH_BYTES = 8 << 20
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows, held = [], 0
-    number = lambda x: None if x is None else int(x)
+    number = lambda x: int(x) if x and x.isdigit() else None
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), _PARSED, strict=True)], schema=_PARSED)
+
     for b in batches:
         for content in b.column(0):
-            data = content.as_py()
-            data = zlib.decompress(data, 31) if data[:2] == b"\x1f\x8b" else data
-            for f, block in parse(data):
-                rows.append((f["WARC-Type"], number(f.get("X-Page-Id")), f.get("WARC-Target-URI"), f.get("WARC-Payload-Digest", "").removeprefix("sha256:"), number(f.get("X-Refers-To-Page")), f.get("WARC-Segment-Origin-ID", f["WARC-Record-ID"]), number(f.get("WARC-Segment-Number")), number(f.get("WARC-Segment-Total-Length")), block))
+            for f, block, whole in parse(unzipped(content.as_py())):
+                rows.append((
+                    f.get("warc-type"), number(f.get("x-page-id")), f.get("warc-target-uri"), f.get("warc-payload-digest"), number(f.get("x-refers-to-page")),
+                    f.get("warc-segment-origin-id", f.get("warc-record-id")), number(f.get("warc-segment-number")), number(f.get("warc-segment-total-length")), whole, block,
+                ))
                 held += len(block)
                 if held >= BATCH_BYTES:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), _PARSED, strict=True)], schema=_PARSED)
+                    yield batch()
                     rows, held = [], 0
     if rows:
-        yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), _PARSED, strict=True)], schema=_PARSED)
+        yield batch()
+
+
+def declared(payload: bytes, digest: str | None) -> bool | None:
+    """Whether the payload has its declared digest (sha1, sha256 or md5, in hex or base 32); None where none can be compared."""
+    kind, _, value = (digest or "").partition(":")
+    if kind.lower() not in ("sha1", "sha256", "md5"):
+        return None
+    own = hashlib.new(kind.lower(), payload, usedforsecurity=False).digest()
+    return value.lower() == own.hex() or value.rstrip("=").upper() == base64.b32encode(own).decode().rstrip("=")
 
 
 def _payloads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         at = b.schema.get_field_index("block")
-        found = pa.array([payload_of(x.as_py()) for x in b.column(at)], pa.binary())
-        yield pa.RecordBatch.from_arrays([*b.columns[:at], found], [*b.schema.names[:at], "payload"])
+        found = [payload_of(x.as_py()) for x in b.column(at)]
+        kinds, digests = b.column("record_type").to_pylist(), b.column("digest").to_pylist()
+        # a revisit declares the digest of the payload that it refers to
+        intact = [None if x is None or k == "revisit" else declared(x, d) for x, k, d in zip(found, kinds, digests, strict=True)]
+        yield pa.RecordBatch.from_arrays([*b.columns[:at], pa.array(intact, pa.bool_()), pa.array(found, pa.binary())], [*b.schema.names[:at], "intact", "payload"])
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """record_type, page_id, url, digest (as declared), refers_to, complete, payload of each whole record.
-    Revisits have an empty payload; records with missing segments or broken framing have a null one."""
+    """record_type, page_id, url, digest (as declared), refers_to, complete, intact (the payload has its declared digest; null if
+    none can be compared), payload of each record. Revisits have an empty payload; records that are cut or lack segments, and
+    those with broken framing, have a null one. Field names count in any case."""
     raw = spark.read.format("binaryFile").load(path).select("content").mapInArrow(_parse, _PARSED_DDL)
-    single = raw.filter("segment IS NULL").select("record_type", "page_id", "url", "digest", "refers_to", F.lit(True).alias("complete"), "block")
+    block = F.when(F.col("whole"), F.col("block")).alias("block")
+    single = raw.filter("segment IS NULL").select("record_type", "page_id", "url", "digest", "refers_to", F.col("whole").alias("complete"), block)
     first = lambda c: F.max(F.when(F.col("segment") == 1, F.col(c))).alias(c)
     many = raw.filter("segment IS NOT NULL").groupBy("origin").agg(
-        *[first(c) for c in ("record_type", "page_id", "url", "digest", "refers_to")],
+        *[first(c) for c in ("record_type", "page_id", "url", "digest", "refers_to")], F.min("whole").alias("whole"),
         F.max("total").alias("total"), F.sort_array(F.collect_list(F.struct("segment", "block"))).alias("parts"),
     )
     whole = F.array_join(F.transform("parts", lambda p: p["block"].cast("string")), "").cast("binary")
     in_order = F.transform("parts", lambda p: p["segment"]) == F.sequence(F.lit(1), F.size("parts"))
-    many = many.withColumn("block", whole).withColumn("complete", F.coalesce(in_order & (F.octet_length("block") == F.col("total")), F.lit(False)))
+    many = many.withColumn("block", whole).withColumn("complete", F.coalesce(in_order & F.col("whole") & (F.octet_length("block") == F.col("total")), F.lit(False)))
     many = many.withColumn("block", F.when(F.col("complete"), F.col("block")))
     both = single.unionByName(many.select(*single.columns))
-    return both.mapInArrow(_payloads, "record_type string, page_id long, url string, digest string, refers_to long, complete boolean, payload binary")
+    return both.mapInArrow(_payloads, "record_type string, page_id long, url string, digest string, refers_to long, complete boolean, intact boolean, payload binary")
 
 
 def round_trip(pages: DataFrame, path: str | None = None) -> DataFrame:
@@ -185,7 +233,7 @@ def round_trip(pages: DataFrame, path: str | None = None) -> DataFrame:
     spark = pages.sparkSession
     path = path or scratch(spark, "warc")
     write_archive(pages, path)
-    got = read_archive(spark, path).select("page_id", "record_type", "refers_to", F.col("digest").alias("declared"), F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"))
+    got = read_archive(spark, path).select("page_id", "record_type", "refers_to", F.regexp_replace("digest", "^sha256:", "").alias("declared"), F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"))
     got = stored(got, "warc-index")
     full = got.filter("record_type = 'response'")
     known = full.groupBy("payload_digest").agg(F.max("payload_bytes").alias("payload_bytes"))
