@@ -3,9 +3,10 @@
 Each task fills two bitmaps over the distinct line keys of its documents: a key whose bits are all in "once"
 goes to "twice". Bitmaps merge by once = a | b and twice = a2 | b2 | (a & b), which keeps every key that two
 documents hold in "twice" (no false negatives). Only lines that pass "twice" are shuffled, as 128-bit hashes,
-for the exact count and the choice of the kept document; false positives are dropped there. The bitmaps have a
-fixed size (bits below), so what is broadcast doesn't grow with the data; past their capacity more lines are
-suspected, and the result stays the same.
+for the exact count and the choice of the kept document; false positives are dropped there. The bitmaps are sized to
+the data, up to MOST_BITS; past that more lines are suspected, and the result stays the same. Texts aren't shuffled:
+up to MAX_BROADCAST_KEYS common keys, counted first, go to the tasks that rewrite the documents. Beyond, the keys that
+a row loses are joined to it.
 
 Defined cases: null or empty text is one empty line; keys shorter than min_chars never count; a key counts once
 per row of documents; ties of the largest doc_id (repeated rows) all keep their lines; null ids count as the
@@ -25,13 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bitmaps
-from .common import LOWER, UPPER, row_key, scratch
+from .common import LOWER, UPPER, bounded, row_key, stored
 
 MIN_CHARS, MIN_DOCS = 40, 5
-#: Bits of each filter (a power of two, 8 MB each); probes of a key.
-BITS, PROBES = 1 << 26, 3
-#: Places over which the lines of one key are dealt when they meet their count.
-SALTS = 32
+#: Most bits of each filter (64 MB); bytes of text for each key that the filter is made for; probes of a key.
+MOST_BITS, BYTES_A_KEY, PROBES = 1 << 29, 160, 3
+#: Common keys that are broadcast at most (24 bytes each).
+MAX_BROADCAST_KEYS = 500_000
 STRIP = " \t\n\x0b\x0c\r"
 _LOW = str.maketrans(UPPER, LOWER)
 
@@ -49,22 +50,24 @@ def long_keys(text: str | None, min_chars: int) -> list[tuple[int, bytes]]:
     return out
 
 
-def _places(digests: list[bytes]) -> np.ndarray:
+def _places(digests: list[bytes], bits: int) -> np.ndarray:
     """One row of bit positions for each digest."""
     h = np.frombuffer(b"".join(digests), "<u8").reshape(-1, 2)
     with np.errstate(over="ignore"):
-        return np.stack([(h[:, 0] + np.uint64(i) * h[:, 1]) & np.uint64(BITS - 1) for i in range(PROBES)], 1).astype(np.int64)
+        return np.stack([(h[:, 0] + np.uint64(i) * h[:, 1]) & np.uint64(bits - 1) for i in range(PROBES)], 1).astype(np.int64)
 
 
 def twice_seen(documents: DataFrame, min_chars: int = MIN_CHARS) -> bytes:
-    """The "twice" bitmap of all documents: BITS / 8 bytes, whatever the number of rows."""
+    """The "twice" bitmap of all documents."""
+    size = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = bitmaps.size_for(size // BYTES_A_KEY, MOST_BITS)
 
     def places(b: pa.RecordBatch) -> Iterator[np.ndarray]:
         for text in b.column(0).to_pylist():
             if own := list({d for _, d in long_keys(text, min_chars)}):
-                yield _places(own)
+                yield _places(own, bits)
 
-    return bitmaps.filled(documents.select("text"), places, BITS, "twice")
+    return bitmaps.filled(documents.select("text"), places, bits, "twice")
 
 
 def _suspects(twice: object, min_chars: int):
@@ -74,7 +77,7 @@ def _suspects(twice: object, min_chars: int):
             for i, text in enumerate(b.column("text").to_pylist()):
                 own = list({d for _, d in long_keys(text, min_chars)})
                 if own:
-                    hit = bitmaps.known(twice.value, _places(own))
+                    hit = bitmaps.known(twice.value, _places(own, 8 * len(twice.value)))
                     keys += [d for d, x in zip(own, hit, strict=True) if x]
                     rows += [i] * int(hit.sum())
             got = b.select(["doc_id", "_k1", "_k2"]).take(pa.array(rows, pa.int64()))
@@ -83,42 +86,78 @@ def _suspects(twice: object, min_chars: int):
     return run
 
 
-def dropped_keys(documents: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """_k1, _k2 (row of documents), _regnet_drop: the keys whose lines it loses, as 16-byte hashes end to end."""
+def common_keys(documents: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> tuple[DataFrame, DataFrame]:
+    """(suspected lines: doc_id, row of documents, key; common keys: key, keeper). Keys are 16-byte hashes."""
     sc = documents.sparkSession.sparkContext
     bits = sc.broadcast(twice_seen(documents, min_chars))
     keyed = documents.select("doc_id", *row_key(F.col("doc_id"), F.col("text")), "text")
     kinds = dict(documents.dtypes)
-    seen = keyed.mapInArrow(_suspects(bits, min_chars), f"doc_id {kinds['doc_id']}, _k1 long, _k2 int, key binary")
-    path = scratch(documents.sparkSession, "line-suspects")
-    seen.write.parquet(path)  # counted and then joined with the counts: the texts are read once
-    seen = documents.sparkSession.read.parquet(path)
+    seen = stored(keyed.mapInArrow(_suspects(bits, min_chars), f"doc_id {kinds['doc_id']}, _k1 long, _k2 int, key binary"), "line-suspects")
     common = seen.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keeper")).filter(F.col("n") >= min_docs)
-    # a line that a third of all documents hold is met in SALTS places
-    common = common.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    seen = seen.withColumn("salt", F.pmod(F.col("_k2"), F.lit(SALTS)))
-    lose = seen.join(common, ["key", "salt"]).filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
-    return lose.groupBy("_k1", "_k2").agg(F.collect_set("key").alias("_regnet_drop"))
+    return seen, stored(common.select("key", "keeper"), "common-lines")
+
+
+class Common:
+    """Common keys as sorted arrays, with the document that keeps each."""
+
+    def __init__(self, table: pa.Table) -> None:
+        keys = np.frombuffer(b"".join(table.column("key").to_pylist()), "<u8").reshape(-1, 2)
+        order = np.lexsort((keys[:, 1], keys[:, 0]))
+        self.high, self.low = keys[order, 0].copy(), keys[order, 1].copy()
+        self.keeper = table.column("keeper").combine_chunks().take(pa.array(order))
+
+    def find(self, digests: list[bytes]) -> np.ndarray:
+        """The number of each key, -1 where it isn't common."""
+        if not digests or not len(self.high):
+            return np.full(len(digests), -1)
+        h = np.frombuffer(b"".join(digests), "<u8").reshape(-1, 2)
+        at = np.searchsorted(self.high, h[:, 0])
+        end = np.searchsorted(self.high, h[:, 0], "right")
+        while (go := (at < end) & (self.low[np.minimum(at, len(self.low) - 1)] < h[:, 1])).any():  # equal first halves
+            at = at + go
+        return np.where((at < end) & (self.low[np.minimum(at, len(self.low) - 1)] == h[:, 1]), at, -1)
+
+
+def _lost(b: pa.RecordBatch, common: Common, min_chars: int) -> list[set[int]]:
+    """For each row of a batch the lines that it loses."""
+    rows, lines, digests = [], [], []
+    for i, text in enumerate(b.column("text").to_pylist()):
+        for line, d in long_keys(text, min_chars):
+            rows.append(i)
+            lines.append(line)
+            digests.append(d)
+    found = common.find(digests)
+    hit = np.flatnonzero(found >= 0)
+    keeper, own = common.keeper.take(pa.array(found[hit])), b.column("doc_id").take(pa.array(np.array(rows, np.int64)[hit]))
+    out: list[set[int]] = [set() for _ in range(b.num_rows)]
+    for k, keeps, doc_id in zip(hit.tolist(), keeper.to_pylist(), own.to_pylist(), strict=True):
+        if keeps != doc_id:
+            out[rows[k]].add(lines[k])
+    return out
+
 
+def _rewrite(min_chars: int, digest: bool, common: object | None):
+    """The documents without the lines they lose: by the broadcast keys, or else by the column _regnet_drop."""
 
-def _rewrite(min_chars: int, digest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, n, gone = [], [], []
-            for text, drop in zip(b.column("text").to_pylist(), b.column("_regnet_drop").to_pylist(), strict=True):
+            if common is not None:
+                lost = _lost(b, common.value, min_chars)
+            else:
+                drops = [set(x or ()) for x in b.column("_regnet_drop").to_pylist()]
+                lost = [{i for i, d in long_keys(t, min_chars) if d in bad} if bad else set() for t, bad in zip(b.column("text").to_pylist(), drops, strict=True)]
+                b = b.select(b.schema.names[:-1])
+            texts, n = [], []
+            for text, out in zip(b.column("text").to_pylist(), lost, strict=True):
                 lines = (text or "").split("\n")
-                bad = set(drop or ())
-                out = {i for i, d in long_keys(text, min_chars) if d in bad} if bad else set()
                 n.append(len(lines))
-                gone.append(len(out))
                 kept = "\n".join(x for i, x in enumerate(lines) if i not in out) if out else text
                 texts.append(hashlib.sha256((kept or "").encode("utf-8", "surrogatepass")).hexdigest() if digest else kept)
             if digest:
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(texts, pa.string())], ["doc_id", "n_lines", "n_dropped", "kept_sha256"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array([len(x) for x in lost], pa.int64()), pa.array(texts, pa.string())], ["doc_id", "n_lines", "n_dropped", "kept_sha256"])
             else:
                 at = b.schema.get_field_index("text")
-                cols = [pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(b.columns[:-1])]
-                yield pa.RecordBatch.from_arrays(cols, b.schema.names[:-1])
+                yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(b.columns)], b.schema.names)
 
     return run
 
@@ -127,12 +166,16 @@ def dedup_lines(documents: DataFrame, min_chars: int = MIN_CHARS, min_docs: int
     """documents with the repeated lines gone; with digest, doc_id, n_lines, n_dropped and kept_sha256 instead."""
     if digest:
         documents = documents.select("doc_id", "text")
-    drop = dropped_keys(documents.select("doc_id", "text"), min_chars, min_docs).select(F.col("_k1").alias("_regnet_b1"), F.col("_k2").alias("_regnet_b2"), "_regnet_drop")
+    schema = f"doc_id {dict(documents.dtypes)['doc_id']}, n_lines long, n_dropped long, kept_sha256 string" if digest else documents.schema
+    seen, common = common_keys(documents.select("doc_id", "text"), min_chars, min_docs)
+    if bounded(common, MAX_BROADCAST_KEYS):
+        few = documents.sparkSession.sparkContext.broadcast(Common(common.toArrow()))
+        return documents.mapInArrow(_rewrite(min_chars, digest, few), schema)
+    lose = seen.join(common, "key").filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
+    lose = lose.groupBy(F.col("_k1").alias("_regnet_b1"), F.col("_k2").alias("_regnet_b2")).agg(F.collect_set("key").alias("_regnet_drop"))
     k1, k2 = row_key(documents["doc_id"], documents["text"])
-    joined = documents.join(drop, (k1 == F.col("_regnet_b1")) & (k2 == F.col("_regnet_b2")), "left").select(*[documents[c] for c in documents.columns], "_regnet_drop")
-    if digest:
-        return joined.mapInArrow(_rewrite(min_chars, True), f"doc_id {dict(documents.dtypes)['doc_id']}, n_lines long, n_dropped long, kept_sha256 string")
-    return joined.mapInArrow(_rewrite(min_chars, False), documents.schema)
+    joined = documents.join(lose, (k1 == F.col("_regnet_b1")) & (k2 == F.col("_regnet_b2")), "left").select(*[documents[c] for c in documents.columns], "_regnet_drop")
+    return joined.mapInArrow(_rewrite(min_chars, digest, None), schema)
 
 
 def with_n_chars(documents: DataFrame) -> DataFrame:
