@@ -2,16 +2,18 @@
 
 Bytes covered by a LENGTH-byte string that also starts in a document with a smaller id are removed. Suffixes are
 sampled at the minima of a gram hash over windows of LENGTH - GRAM + 1 grams, so any LENGTH bytes hold a sampled
-suffix, the same one wherever they occur. Keys are (hash of the suffix's gram, hash of all bytes that strings of
-LENGTH through it can touch).
-
-Documents are packed into chunks of some MB, a table bucketed by chunk, so that later joins don't move texts.
-Each chunk sends its sorted sampled suffixes, by ranges of the hash, to the range's task. There a new batch is a
-suffix array; arrays of equal size merge geometrically into levels, and batches are merge-scanned against the
-levels. An entry whose whole surroundings a smaller document has is settled. Where the gram is shared but the
-surroundings differ, a second round compares all strings of LENGTH through it: each chunk sends their distinct
-hashes with its smallest ids, dealt by the string's hash, so that the contexts of a hot gram spread over all ranges
-and a hot string comes once from a chunk. Answers come back as bits in the order of the request.
+suffix, the same one wherever they occur. A suffix array orders them by 64 bits of the gram and then by 128 bits of all
+bytes that strings of LENGTH through it can touch (its surroundings).
+
+Documents are packed into chunks of some MB, with the places of their sampled suffixes, a table bucketed by chunk, so
+that later joins don't move texts. Each chunk sends its distinct suffixes to the tasks of their gram's range. There
+they arrive in batches, in order of document ids: a batch is sorted, merge-scanned against the levels that hold all
+smaller ids, and what it has of its own becomes a level; levels of one size merge geometrically. An entry whose whole
+surroundings a smaller document has is settled. Where the gram is shared but the surroundings differ, the entry is open,
+and so are those that it meets in the levels: in a second round each chunk sends the distinct 128-bit hashes of all
+strings of LENGTH through its open grams, with its smallest ids, dealt by the string's hash, so that a hot gram's
+contexts spread over all ranges. A gram with more than MIXED surroundings in a chunk is open there without being
+asked about, and is told to the others once. Answers come back as bits in the order of the request.
 
 Defined cases: null or empty text has no bytes; texts shorter than LENGTH lose nothing; rows that share a doc_id
 don't remove from each other; null ids count as larger than all others and don't remove from each other; overlaps
@@ -23,26 +25,30 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import scratch, stored
 
 LENGTH, GRAM = 50, 24
 #: Bytes of text in a chunk, in a partition of chunks, and for each range of hashes.
 CHUNK_BYTES, PARTITION_BYTES, RANGE_BYTES = 4 << 20, 16 << 20, 24 << 20
-PIECE = 1 << 21
+PIECE = 1 << 20
+#: Entries of a batch; surroundings of a gram in a chunk beyond which all of them are open.
+BATCH, MIXED = 1 << 17, 6
 BACK = LENGTH - GRAM
 SPAN = LENGTH + BACK
 NULL_ID = 2**63 - 1
-_B = 0x9E3779B97F4A7C15 | 1
-_IB = pow(_B, -1, 1 << 64)
+BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+TABLE = "regnet_chunks_"
 U = np.uint64
 
 
+@lru_cache(8)
 def _powers(base: int, n: int) -> np.ndarray:
     out = np.ones(n, U)
     out[1:] = U(base)
@@ -56,12 +62,12 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 class Hashes:
-    """Hashes of any range of bytes of some data, by prefix sums of a polynomial."""
+    """64-bit hashes of any range of bytes of some data (PIECE and a SPAN at most), by prefix sums of a polynomial."""
 
-    def __init__(self, data: np.ndarray, up: np.ndarray, down: np.ndarray) -> None:
+    def __init__(self, data: np.ndarray, base: int) -> None:
+        self.down = _powers(pow(base, -1, 1 << 64), PIECE + 2 * SPAN + 1)
         self.sums = np.zeros(len(data) + 1, U)
-        np.cumsum((data.astype(U) + U(1)) * up[: len(data)], out=self.sums[1:])
-        self.down = down
+        np.cumsum((data.astype(U) + U(1)) * _powers(base, PIECE + 2 * SPAN + 1)[: len(data)], out=self.sums[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return _mix((self.sums[end] - self.sums[start]) * self.down[start])
@@ -76,59 +82,93 @@ def _sliding_min(v: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(m[: len(m) - rest], m[rest:]) if rest else m
 
 
+def sampled(offs: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """Places of the sampled suffixes."""
+    found = []
+    for s in range(0, max(len(data) - LENGTH + 1, 0), PIECE):
+        part = data[s : s + PIECE + LENGTH - 1]
+        at = np.arange(len(part) - GRAM + 1)
+        g = Hashes(part, BASES[0]).of(at, at + GRAM)
+        # the hash's upper bits, then places with later ones smaller: the minimum is the rightmost
+        v = (g & ~U(0xFFFFFF)) | (U(0xFFFFFF) - at.astype(U))
+        low = (U(0xFFFFFF) - (_sliding_min(v, BACK + 1) & U(0xFFFFFF))).astype(np.int64)
+        start = np.arange(len(low)) + s
+        doc = np.searchsorted(offs, start, "right") - 1
+        low = low[start + LENGTH <= offs[doc + 1]]
+        found.append(low[np.r_[True, low[1:] != low[:-1]][: len(low)]] + s)  # places never go back
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+
+
+def _runs(*keys: np.ndarray) -> np.ndarray:
+    """Where a run of equal keys begins, in sorted keys."""
+    new = np.zeros(len(keys[0]), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return new
+
+
 class Chunk:
-    """Sampled suffixes of a chunk's documents: pos, doc (index), and their keys."""
-
-    def __init__(self, ids: np.ndarray, offs: np.ndarray, data: np.ndarray) -> None:
-        self.ids, self.offs, self.data = ids, offs, data
-        up, down = _powers(_B, PIECE + SPAN + 1), _powers(_IB, PIECE + SPAN + 1)
-        found = []
-        for s in range(0, max(len(data) - LENGTH + 1, 0), PIECE):
-            part = data[s : s + PIECE + LENGTH - 1]
-            h = Hashes(part, up, down)
-            at = np.arange(len(part) - GRAM + 1)
-            g = h.of(at, at + GRAM)
-            # the hash's upper bits, then places with later ones smaller: the minimum is the rightmost
-            v = (g & ~U(0xFFFFFF)) | (U(0xFFFFFF) - at.astype(U))
-            low = (U(0xFFFFFF) - (_sliding_min(v, BACK + 1) & U(0xFFFFFF))).astype(np.int64)
-            start = np.arange(len(low)) + s
-            doc = np.searchsorted(offs, start, "right") - 1
-            found.append(np.unique(low[start + LENGTH <= offs[doc + 1]]) + s)
-        self.pos = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
-        self.doc = np.searchsorted(offs, self.pos, "right") - 1
+    """A chunk's documents, their sampled suffixes, and the distinct ones among these in order of range and key."""
+
+    def __init__(self, row: dict, ranges: int) -> None:
+        self.chunk = row["chunk"]
+        self.ids, self.offs, self.data = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["offs"], np.int64), np.frombuffer(row["data"], np.uint8)
+        self.pos = np.cumsum(np.frombuffer(row["steps"], np.int32), dtype=np.int64)
+        self.doc = np.searchsorted(self.offs, self.pos, "right") - 1
         # the bytes that strings of LENGTH through the gram can touch, within the document
-        self.lo = np.maximum(offs[self.doc], self.pos - BACK)
-        self.hi = np.minimum(offs[self.doc + 1], self.pos + LENGTH)
-        gram, around = np.zeros(len(self.pos), U), np.zeros(len(self.pos), U)
-        for s in range(0, len(data), PIECE):
-            inside = np.flatnonzero((self.pos >= s) & (self.pos < s + PIECE))
+        self.lo = np.maximum(self.offs[self.doc], self.pos - BACK)
+        self.hi = np.minimum(self.offs[self.doc + 1], self.pos + LENGTH)
+        gram, a, c = (np.zeros(len(self.pos), U) for _ in range(3))
+        for inside, first, h1, h2 in self.pieces(self.pos):
+            p, lo, hi = self.pos[inside] - first, self.lo[inside] - first, self.hi[inside] - first
+            where = (p - lo).astype(U) * U(131) + (hi - p).astype(U)
+            gram[inside], a[inside], c[inside] = h1.of(p, p + GRAM), h1.of(lo, hi) + where, h2.of(lo, hi) + where
+        which = ((gram >> U(32)) * U(ranges) >> U(32)).astype(np.int64)
+        doc_ids = self.ids[self.doc]
+        order = np.lexsort((doc_ids, c, a, gram))  # in order of the gram is in order of its range
+        gram, a, c = gram[order], a[order], c[order]
+        new = _runs(gram, a, c)
+        self.of = np.empty(len(order), np.int64)  # the distinct suffix of each
+        self.of[order] = np.cumsum(new) - 1
+        first = np.flatnonzero(new)
+        self.gram, self.a, self.c, self.at = gram[first], a[first], c[first], order[first]
+        self.least = doc_ids[self.at]
+        run = _runs(self.gram)
+        begin = np.flatnonzero(run)
+        self.mixed = np.repeat(np.diff(np.r_[begin, len(run)]) > MIXED, np.diff(np.r_[begin, len(run)]))
+        self.asked = np.flatnonzero(~self.mixed | run)
+        bounds = np.searchsorted(which[order][first][self.asked], np.arange(ranges + 1))
+        self.parts = [(r, bounds[r], bounds[r + 1]) for r in np.flatnonzero(np.diff(bounds))]
+
+    def pieces(self, pos: np.ndarray) -> Iterator[tuple[np.ndarray, int, Hashes, Hashes]]:
+        for s in range(0, len(self.data), PIECE):
+            inside = np.flatnonzero((pos >= s) & (pos < s + PIECE))
             if len(inside):
                 first = max(s - BACK, 0)
-                h = Hashes(data[first : s + PIECE + LENGTH], up, down)
-                p, lo, hi = self.pos[inside] - first, self.lo[inside] - first, self.hi[inside] - first
-                gram[inside] = h.of(p, p + GRAM)
-                around[inside] = _mix(h.of(lo, hi) + (p - lo).astype(U) * U(131) + (hi - p).astype(U))
-        self.range_hash = gram & U(0xFFFFFFFF)
-        self.key = (gram & ~U(0xFFFFFFFF)) | (around >> U(32))
-
-    def requests(self, ranges: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """For each range: sorted distinct keys, the smallest id of each in this chunk, and the first place of it there."""
-        which = (self.range_hash * U(ranges) >> U(32)).astype(np.int64)
-        ids = self.ids[self.doc]
-        order = np.lexsort((self.pos, ids, self.key, which))
-        k, w = self.key[order], which[order]
-        first = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (w[1:] != w[:-1])]) if len(k) else np.zeros(0, np.int64)
-        k, w, at = k[first], w[first], order[first]
-        bounds = np.searchsorted(w, np.arange(ranges + 1))
-        self.which = which
-        for r in range(ranges):
-            a, b = bounds[r], bounds[r + 1]
-            if a < b:
-                yield r, k[a:b], ids[at[a:b]], at[a:b]
-
-
-def _chunk_of(row: dict) -> Chunk:
-    return Chunk(np.frombuffer(row["ids"], np.int64), np.frombuffer(row["offs"], np.int64), np.frombuffer(row["data"], np.uint8))
+                part = self.data[first : s + PIECE + LENGTH]
+                yield inside, first, Hashes(part, BASES[0]), Hashes(part, BASES[1])
+
+    def requests(self) -> pa.RecordBatch:
+        """For each range the distinct suffixes and the smallest id of each in this chunk; of a mixed gram one, with surroundings of no other."""
+        i = self.asked
+        own = _mix(self.gram[i] + U(self.chunk))
+        a, c = np.where(self.mixed[i], own, self.a[i]), np.where(self.mixed[i], ~own, self.c[i])
+        return _messages(self.chunk, self.parts, (self.gram[i], a, c), self.least[i])
+
+    def answered(self, said: list[dict] | None) -> tuple[np.ndarray, np.ndarray]:
+        """(settled, open) of the distinct suffixes."""
+        settled, open_ = np.zeros(len(self.gram), bool), self.mixed.copy()
+        said = {x["range"]: x for x in said or ()}
+        for r, i, j in self.parts:
+            if r in said:
+                at = self.asked[i:j]
+                settled[at], open_[at] = (_bits(said[r][k], j - i) for k in ("a", "b"))
+        return settled & ~self.mixed, open_ | self.mixed
+
+
+def _bits(data: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(data, np.uint8))[:n].astype(bool)
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,9 +180,10 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     size = 0
 
     def packed() -> pa.RecordBatch:
-        offs = np.cumsum([0, *map(len, texts)]).astype(np.int64)
-        row = [base + seq, np.array(ids, np.int64).tobytes(), offs.tobytes(), b"".join(texts)]
-        return pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int64()), *[pa.array([x], pa.binary()) for x in row[1:]]], ["chunk", "ids", "offs", "data"])
+        offs, data = np.cumsum([0, *map(len, texts)]).astype(np.int64), b"".join(texts)
+        steps = np.diff(sampled(offs, np.frombuffer(data, np.uint8)), prepend=0).astype(np.int32)
+        row = [np.array(ids, np.int64).tobytes(), offs.tobytes(), data, steps.tobytes()]
+        return pa.RecordBatch.from_arrays([pa.array([base + seq], pa.int64()), *[pa.array([x], pa.binary()) for x in row]], ["chunk", "ids", "offs", "data", "steps"])
 
     for b in batches:
         for i, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
@@ -156,216 +197,205 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield packed()
 
 
-_MESSAGE = pa.schema([("range", pa.int32()), ("chunk", pa.int64()), ("keys", pa.binary()), ("docs", pa.binary()), ("ids", pa.binary()), ("bytes", pa.binary())])
-_MESSAGE_DDL = "range int, chunk long, keys binary, docs binary, ids binary, bytes binary"
+_MESSAGE = pa.schema([("range", pa.int32()), ("chunk", pa.int64()), ("keys", pa.binary()), ("docs", pa.binary()), ("ids", pa.binary())])
+_MESSAGE_DDL = "range int, chunk long, keys binary, docs binary, ids binary"
+
 
+def _messages(chunk: int, parts: list[tuple[int, int, int]], keys: tuple[np.ndarray, ...], ids: np.ndarray) -> pa.RecordBatch:
+    """A row for each range that has any keys: the words of its keys one after the other, and their ids (at most 60,000 different ones)."""
+    rows = []
+    for r, i, j in parts:
+        few, at = np.unique(ids[i:j], return_inverse=True)
+        rows.append((r, chunk, b"".join(k[i:j].tobytes() for k in keys), at.astype(np.uint16).tobytes(), few.tobytes()))
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * len(_MESSAGE), _MESSAGE, strict=True)], schema=_MESSAGE)
 
-def _message(r: int, chunk: int, keys: np.ndarray, ids: np.ndarray, more: bytes = b"") -> pa.RecordBatch:
-    few, at = np.unique(ids, return_inverse=True)
-    row = [keys.tobytes(), at.astype(np.uint16).tobytes(), few.tobytes(), more]
-    return pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([chunk], pa.int64()), *[pa.array([x], pa.binary()) for x in row]], schema=_MESSAGE)
+
+def _received(table: pa.Table, words: int) -> tuple[list[tuple[int, int, int]], list[np.ndarray], np.ndarray]:
+    """The messages as (chunk, range, number of keys), their keys' words, and ids, end to end."""
+    told, keys, ids = [], [], []
+    for row in table.to_pylist():
+        k = np.frombuffer(row["keys"], U).reshape(words, -1)
+        told.append((row["chunk"], row["range"], k.shape[1]))
+        keys.append(k)
+        ids.append(np.frombuffer(row["ids"], np.int64)[np.frombuffer(row["docs"], np.uint16)])
+    return told, list(np.concatenate(keys, 1)) if keys else [np.zeros(0, U)] * words, np.concatenate(ids) if ids else np.zeros(0, np.int64)
 
 
 def _ask(ranges: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in b.to_pylist():
-                for r, keys, ids, _ in _chunk_of(row).requests(ranges):
-                    yield _message(r, row["chunk"], keys, ids)
+                yield Chunk(row, ranges).requests()
 
     return run
 
 
+def _bisect(a: np.ndarray, lo: np.ndarray, hi: np.ndarray, q: np.ndarray, right: bool) -> np.ndarray:
+    """searchsorted of each q in its own part lo:hi of a."""
+    lo, hi = lo.copy(), hi.copy()
+    while (act := lo < hi).any():
+        mid = (lo + hi) >> 1
+        x = a[np.minimum(mid, len(a) - 1)]
+        up = act & ((x <= q) if right else (x < q))
+        lo, hi = np.where(up, mid + 1, lo), np.where(act & ~up, mid, hi)
+    return lo
+
+
 class Levels:
-    """A logarithmic family of sorted arrays: key -> smallest id. Arrays of one size class merge."""
-
-    def __init__(self) -> None:
-        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def add(self, keys: np.ndarray, ids: np.ndarray) -> None:
-        while self.levels and len(self.levels[-1][0]) < 2 * len(keys):
-            k, d = self.levels.pop()
-            keys, ids = np.concatenate([k, keys]), np.concatenate([d, ids])
-            order = np.lexsort((ids, keys))
-            keys, ids = keys[order], ids[order]
-            first = np.r_[True, keys[1:] != keys[:-1]]
-            keys, ids = keys[first], ids[first]
-        self.levels.append((keys, ids))
-
-    def scan(self, keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(a smaller id has the same key, another key shares its gram) of each of the sorted keys."""
-        settled, open_ = np.zeros(len(keys), bool), np.zeros(len(keys), bool)
-        gram = keys >> U(32)
-        for k, d in self.levels:
-            i = np.searchsorted(k, keys)
-            at = np.minimum(i, len(k) - 1)
-            same = k[at] == keys
-            settled |= same & (d[at] < ids)
-            before, after = np.maximum(i - 1, 0), np.minimum(i + same, len(k) - 1)
-            open_ |= ((i > 0) & (k[before] >> U(32) == gram)) | ((i + same < len(k)) & (k[after] >> U(32) == gram))
-        return settled, open_ & ~settled
-
-
-def _read(row: dict) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(row["keys"], U), np.frombuffer(row["ids"], np.int64)[np.frombuffer(row["docs"], np.uint16)]
+    """A logarithmic family of suffix arrays: (gram, a, c, id, number of the entry), sorted. Arrays of one size class merge."""
+
+    def __init__(self, entries: int) -> None:
+        self.levels: list[tuple[np.ndarray, ...]] = []
+        self.open = np.zeros(entries, bool)
+
+    def add(self, *batch: np.ndarray) -> None:
+        """A sorted batch of unsettled entries."""
+        while self.levels and len(self.levels[-1][0]) < 2 * len(batch[0]):
+            batch = tuple(np.concatenate(x) for x in zip(self.levels.pop(), batch, strict=True))
+            order = np.lexsort((batch[3], batch[1], batch[0]))
+            batch = tuple(x[order] for x in batch)
+        self.levels.append(batch)
+
+    def scan(self, gram: np.ndarray, a: np.ndarray, c: np.ndarray, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Whether a smaller id in the levels has the same surroundings, for each entry of a sorted batch. Entries that meet
+        their gram with other surroundings are open, on both sides."""
+        settled = np.zeros(len(gram), bool)
+        for g, la, lc, li, lat in self.levels:
+            lo = np.searchsorted(g, gram)
+            some = np.flatnonzero(g[np.minimum(lo, len(g) - 1)] == gram)
+            lo, hi = lo[some], np.searchsorted(g, gram[some], "right")
+            same, end = _bisect(la, lo, hi, a[some], False), _bisect(la, lo, hi, a[some], True)
+            there = np.minimum(same, len(g) - 1)
+            equal = (end > same) & (lc[there] == c[some])
+            settled[some] |= equal & (li[there] < ids[some])
+            other = hi - lo > np.where(equal, end - same, 0)
+            self.open[at[some[other]]] = True
+            edge = np.zeros(len(g) + 1, np.int64)
+            np.add.at(edge, lo[other], 1)
+            np.add.at(edge, hi[other], -1)
+            self.open[lat[np.cumsum(edge[:-1]) > 0]] = True
+        return settled
 
 
 _ANSWER = pa.schema([("chunk", pa.int64()), ("range", pa.int32()), ("a", pa.binary()), ("b", pa.binary())])
 _ANSWER_DDL = "chunk long, range int, a binary, b binary"
 
 
-def _answers(rows: list[tuple]) -> pa.Table:
-    return pa.Table.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), _ANSWER, strict=True)] if rows else [pa.array([], t.type) for t in _ANSWER], schema=_ANSWER)
+def _answers(told: list[tuple[int, int, int]], a: np.ndarray, b: np.ndarray | None = None) -> pa.Table:
+    """Bits for the messages that any bit is set for."""
+    rows, at = [], 0
+    for chunk, r, n in told:
+        x, y = a[at : at + n], None if b is None else b[at : at + n]
+        if x.any() or (y is not None and y.any()):
+            rows.append((chunk, r, np.packbits(x).tobytes(), None if y is None else np.packbits(y).tobytes()))
+        at += n
+    return pa.Table.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * len(_ANSWER), _ANSWER, strict=True)], schema=_ANSWER)
 
 
 def _settle(table: pa.Table) -> pa.Table:
-    rows = sorted(table.to_pylist(), key=lambda r: r["chunk"])
-    index = Levels()
-    for row in rows:
-        index.add(*_read(row))
-    out = []
-    for row in rows:
-        settled, open_ = index.scan(*_read(row))
-        if settled.any() or open_.any():
-            out.append((row["chunk"], row["range"], np.packbits(settled).tobytes(), np.packbits(open_).tobytes()))
-    return _answers(out)
-
-
-def _answered(row: dict, name: str) -> dict[int, dict]:
-    return {x["range"]: x for x in row[name] or ()}
-
-
-def _bits(data: bytes, n: int) -> np.ndarray:
-    return np.unpackbits(np.frombuffer(data, np.uint8))[:n].astype(bool)
-
-
-def _strings(c: Chunk, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(index into at, j, hash) of each string of LENGTH through the grams of these entries; it starts BACK - j bytes before its gram."""
-    up, down = _powers(_B, PIECE + SPAN + 1), _powers(_IB, PIECE + SPAN + 1)
-    pos, found = c.pos[at], []
-    for s in range(0, len(c.data), PIECE):
-        inside = np.flatnonzero((pos >= s) & (pos < s + PIECE))
-        if not len(inside):
-            continue
-        first = max(s - BACK, 0)
-        h = Hashes(c.data[first : s + PIECE + LENGTH], up, down)
-        for j in range(BACK + 1):
-            start = pos[inside] - BACK + j
-            ok = (start >= c.lo[at[inside]]) & (start + LENGTH <= c.hi[at[inside]])
-            start = start[ok] - first
-            found.append((inside[ok], np.full(len(start), j, np.uint8), h.of(start, start + LENGTH)))
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+    told, (gram, a, c), ids = _received(table, 3)
+    settled, index = np.zeros(len(ids), bool), Levels(len(ids))
+    arrival = np.argsort(ids, kind="stable")
+    for i in range(0, len(ids), BATCH):
+        at = arrival[i : i + BATCH]
+        at = at[np.lexsort((ids[at], c[at], a[at], gram[at]))]
+        batch = (gram[at], a[at], c[at], ids[at], at)
+        done = index.scan(*batch)
+        # the same inside the batch
+        first = np.flatnonzero(same := _runs(*batch[:3]))
+        done |= batch[3][first][np.cumsum(same) - 1] < batch[3]
+        begin = np.flatnonzero(run := _runs(batch[0]))
+        several = np.add.reduceat(same.astype(np.int64), begin) > 1 if len(begin) else np.zeros(0, bool)
+        index.open[at[several[np.cumsum(run) - 1]]] = True
+        settled[at] = done
+        index.add(*[x[~done] for x in batch])
+    return _answers(told, settled, index.open & ~settled)
 
 
 class Open:
-    """The open entries of a chunk: their distinct strings (hash, smallest id in the chunk), sorted and so in order of their ranges."""
-
-    def __init__(self, c: Chunk, groups: list[tuple], said: dict[int, dict], ranges: int) -> None:
-        self.parts = [(r, np.flatnonzero(_bits(said[r]["b"], len(keys)))) for r, keys, _, _ in groups if r in said]
-        by = {r: (ids, at) for r, _, ids, at in groups}
-        n = sum(len(o) for _, o in self.parts)
-        self.ids = np.concatenate([by[r][0][o] for r, o in self.parts]) if n else np.zeros(0, np.int64)
-        self.keys = np.zeros(0, U)
-        self.bounds = np.zeros(ranges + 1, np.int64)
-        if n:
-            self.entry, self.j, h = _strings(c, np.concatenate([by[r][1][o] for r, o in self.parts]))
-            self.keys, self.of = np.unique(h, return_inverse=True)
-            self.smallest = np.full(len(self.keys), NULL_ID, np.int64)
-            np.minimum.at(self.smallest, self.of, self.ids[self.entry])
-            self.bounds = np.searchsorted((self.keys >> U(32)) * U(ranges) >> U(32), np.arange(ranges + 1))
-
-    def masks(self, second: dict[int, dict]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(range, open entries of it, a bit for each string of LENGTH through the gram: a smaller id has it)."""
-        m = np.zeros(len(self.ids), np.uint32)
-        if len(self.keys):
-            elsewhere = np.zeros(len(self.keys), bool)
-            for r, x in second.items():
-                a, b = self.bounds[r], self.bounds[r + 1]
-                elsewhere[a:b] = _bits(x["a"], b - a)
-            hit = elsewhere[self.of] | (self.smallest[self.of] < self.ids[self.entry])
-            np.bitwise_or.at(m, self.entry[hit], np.uint32(1) << self.j[hit].astype(np.uint32))
-        a = 0
-        for r, o in self.parts:
-            yield r, o, m[a : a + len(o)]
-            a += len(o)
+    """The distinct strings of LENGTH through a chunk's open grams: 128-bit hashes in order, and so in order of their ranges, with the chunk's smallest ids."""
+
+    def __init__(self, c: Chunk, open_: np.ndarray, ranges: int) -> None:
+        self.which = np.flatnonzero(open_)
+        at = c.at[self.which]
+        pos, found = c.pos[at], [(np.zeros(0, np.int64), np.zeros(0, np.uint8), np.zeros(0, U), np.zeros(0, U))]
+        for inside, first, h1, h2 in c.pieces(pos):
+            for j in range(BACK + 1):
+                start = pos[inside] - BACK + j
+                ok = (start >= c.lo[at[inside]]) & (start + LENGTH <= c.hi[at[inside]])
+                start = start[ok] - first
+                found.append((inside[ok], np.full(len(start), j, np.uint8), h1.of(start, start + LENGTH), h2.of(start, start + LENGTH)))
+        entry, j, x, y = (np.concatenate(z) for z in zip(*found, strict=True))
+        ids = c.least[self.which][entry]
+        order = np.lexsort((ids, y, x))
+        self.entry, self.j, ids, x, y = entry[order], j[order], ids[order], x[order], y[order]
+        new = _runs(x, y)
+        first = np.flatnonzero(new)
+        self.of = np.cumsum(new) - 1
+        self.keys, self.least = (x[first], y[first]), ids[first]
+        self.later = ids > self.least[self.of]  # a smaller id of this chunk has the string
+        bounds = np.searchsorted((self.keys[0] >> U(32)) * U(ranges) >> U(32), np.arange(ranges + 1))
+        self.parts = [(r, bounds[r], bounds[r + 1]) for r in np.flatnonzero(np.diff(bounds))]
+
+    def masks(self, said: list[dict] | None) -> np.ndarray:
+        """A bit for each string of LENGTH through the open grams that a smaller id has."""
+        said = {x["range"]: x for x in said or ()}
+        elsewhere = np.zeros(len(self.least), bool)
+        for r, i, j in self.parts:
+            if r in said:
+                elsewhere[i:j] = _bits(said[r]["a"], j - i)
+        hit = self.later | elsewhere[self.of]
+        m = np.zeros(len(self.which), np.uint32)
+        np.bitwise_or.at(m, self.entry[hit], np.uint32(1) << self.j[hit].astype(np.uint32))
+        return m
 
 
 def _ask_again(ranges: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in b.to_pylist():
-                said = _answered(row, "first")
-                if not said:
-                    continue
-                c = _chunk_of(row)
-                o = Open(c, list(c.requests(ranges)), said, ranges)
-                for r in range(ranges):
-                    x, y = o.bounds[r], o.bounds[r + 1]
-                    if x < y:
-                        yield _message(r, row["chunk"], o.keys[x:y], o.smallest[x:y])
+                c = Chunk(row, ranges)
+                o = Open(c, c.answered(row["first"])[1], ranges)
+                yield _messages(c.chunk, o.parts, o.keys, o.least)
 
     return run
 
 
 def _compare(table: pa.Table) -> pa.Table:
     """For each string of a chunk a bit: another chunk has it with a smaller id."""
-    rows = table.to_pylist()
-    if not rows:
-        return _answers([])
-    keys, ids = (np.concatenate(x) for x in zip(*map(_read, rows), strict=True))
-    order = np.lexsort((ids, keys))
-    k = keys[order]
-    first = np.r_[True, k[1:] != k[:-1]]
-    hit = np.zeros(len(keys), bool)
-    hit[order] = ids[order][np.flatnonzero(first)][np.cumsum(first) - 1] < ids[order]
-    out, a = [], 0
-    for r in rows:
-        n = len(r["keys"]) // 8
-        if hit[a : a + n].any():
-            out.append((r["chunk"], r["range"], np.packbits(hit[a : a + n]).tobytes(), None))
-        a += n
-    return _answers(out)
+    told, (x, y), ids = _received(table, 2)
+    order = np.lexsort((ids, y, x))
+    first = np.flatnonzero(new := _runs(x[order], y[order]))
+    hit = np.zeros(len(ids), bool)
+    hit[order] = ids[order][first][np.cumsum(new) - 1] < ids[order]
+    return _answers(told, hit)
 
 
 def _remove(ranges: int, digest: bool):
-    def cover(row: dict) -> tuple[Chunk, np.ndarray]:
-        c = _chunk_of(row)
-        first, second = _answered(row, "first"), _answered(row, "second")
+    def cover(c: Chunk, row: dict) -> np.ndarray:
+        settled, open_ = c.answered(row["first"])
         edge = np.zeros(len(c.data) + 1, np.int32)
 
         def add(lo: np.ndarray, hi: np.ndarray) -> None:
             np.add.at(edge, lo, 1)
             np.add.at(edge, hi, -1)
 
-        ids = c.ids[c.doc]
-        least = np.zeros(len(c.pos), np.int64)
-        settled, masks = np.zeros(len(c.pos), bool), np.zeros(len(c.pos), np.uint32)
-        groups = list(c.requests(ranges))
-        for r, keys, smallest, _ in groups:
-            own = np.flatnonzero(c.which == r)
-            k = np.searchsorted(keys, c.key[own])
-            least[own] = smallest[k]
-            if r in first:
-                settled[own] = _bits(first[r]["a"], len(keys))[k]
-        by = {r: keys for r, keys, _, _ in groups}
-        for r, open_, bits in Open(c, groups, first, ranges).masks(second):
-            if bits.any():
-                m = np.zeros(len(by[r]), np.uint32)
-                m[open_] = bits
-                own = np.flatnonzero(c.which == r)
-                masks[own] = m[np.searchsorted(by[r], c.key[own])]
-        settled |= least < ids  # a smaller document of this chunk has the same
-        add(c.lo[settled], c.hi[settled])
+        o = Open(c, open_, ranges)
+        masks = np.zeros(len(c.gram), np.uint32)
+        masks[o.which] = o.masks(row["second"])
+        whole = settled[c.of] | (c.least[c.of] < c.ids[c.doc])  # a smaller document, here or elsewhere, has all around it
+        add(c.lo[whole], c.hi[whole])
+        masks = np.where(whole, np.uint32(0), masks[c.of])
         for j in range(BACK + 1):
-            hit = ~settled & ((masks >> np.uint32(j)) & 1).astype(bool)
-            start = c.pos[hit] - BACK + j
+            start = c.pos[((masks >> np.uint32(j)) & 1).astype(bool)] - BACK + j
             add(start, start + LENGTH)
-        return c, np.cumsum(edge[:-1]) > 0
+        return np.cumsum(edge[:-1]) > 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in b.to_pylist():
-                c, gone = cover(row)
+                c = Chunk(row, ranges)
+                gone = cover(c, row)
                 cols: list[list] = [[], [], [], [], []]
                 for i, id_ in enumerate(c.ids.tolist()):
                     a, e = int(c.offs[i]), int(c.offs[i + 1])
@@ -382,24 +412,31 @@ def _remove(ranges: int, digest: bool):
 
 
 def dedup_substrings(documents: DataFrame, digest: bool = True) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 (or kept, the bytes that stay) for each row of documents."""
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 (or kept, the bytes that stay) for each row of documents. The
+    result reads a table of chunks, kept in the shared folder until clear()."""
     spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts, ranges = max(1, -(-total // PARTITION_BYTES)), max(1, -(-total // RANGE_BYTES))
-    name = f"regnet_chunks_{uuid.uuid4().hex}"
-    chunks = docs.mapInArrow(_pack, "chunk long, ids binary, offs binary, data binary")
-    chunks.write.bucketBy(parts, "chunk").saveAsTable(name)
+    name = f"{TABLE}{uuid.uuid4().hex}"
+    chunks = docs.mapInArrow(_pack, "chunk long, ids binary, offs binary, data binary, steps binary")
+    chunks.write.bucketBy(parts, "chunk").option("path", scratch(spark, "chunks")).saveAsTable(name)
     chunks = spark.table(name)
 
     def gathered(answers: DataFrame, col: str) -> DataFrame:
-        return answers.groupBy("chunk").agg(F.collect_list(F.struct("range", "a", "b")).alias(col))  # one answer per range
+        return answers.groupBy("chunk").agg(F.collect_list(F.struct("range", "a", "b")).alias(col))  # one answer per range, bits of the chunk's entries
 
     first = chunks.mapInArrow(_ask(ranges), _MESSAGE_DDL).groupBy("range").applyInArrow(_settle, _ANSWER_DDL)
-    first = stored(first, "suffix-first")
-    asked = chunks.join(gathered(first, "first"), "chunk")
+    first = gathered(stored(first, "suffix-first"), "first")
+    asked = chunks.join(first, "chunk", "left")
     second = asked.mapInArrow(_ask_again(ranges), _MESSAGE_DDL).groupBy("range").applyInArrow(_compare, _ANSWER_DDL)
-    second = stored(second, "suffix-second")
-    both = chunks.join(gathered(first, "first"), "chunk", "left").join(gathered(second, "second"), "chunk", "left")
+    second = gathered(stored(second, "suffix-second"), "second")
+    both = chunks.join(first, "chunk", "left").join(second, "chunk", "left")
     last = "kept_sha256 string" if digest else "kept binary"
     return both.mapInArrow(_remove(ranges, digest), f"doc_id long, n_bytes long, n_removed long, n_spans long, {last}")
+
+
+def clear(spark: SparkSession) -> None:
+    """Drops the tables of chunks that earlier calls left; their results can't be read any more."""
+    for t in spark.catalog.listTables(pattern=f"{TABLE}*"):
+        spark.sql(f"DROP TABLE IF EXISTS {t.name}")
