@@ -6,7 +6,8 @@ document picks its own l: a longer prefix costs more postings, and more shared t
 l minimises postings plus estimated candidates per shared token. A pair becomes a candidate with min(l, l') shared
 prefix tokens.
 
-Equal sets are one node. Tokens that a two-level bitmap of fixed size knows from one set only are left out. No
+Equal sets are one node. Prefix tokens are shuffled once, packed, and those of one set only go there; tokens that
+the sketch calls frequent need no such test and are dealt with their sets, so that no list meets in one task. No
 group is expanded into all pairs: first each node is verified against one node that shares most of its lists (the
 list's most typical one); then only candidates in different components are enumerated and verified, so
 no link that could join two components is lost. Lists of more than HOT sets don't bring pairs together by
@@ -22,6 +23,7 @@ ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,9 +38,11 @@ from .common import KEY, NON_SPACE, row_key, stored
 from .components import components
 
 SHINGLE, PERCENT = 5, 80
-#: Counters of the sketch (16 MB) and most bits of the bitmaps (16 MB): the bounds of what is broadcast. Beyond their
-#: capacity more tokens look alike, which costs time but changes no result.
-COUNTERS, BITS = 1 << 22, 1 << 27
+#: Counters of the sketch (16 MB): the bound of what is broadcast. Beyond its capacity more tokens look alike, which
+#: costs time but changes no result.
+COUNTERS = 1 << 22
+#: Tokens that a task packs at once, tokens of a part, and estimated count from which a token is frequent.
+PACK, PART_TOKENS, HOT_DF = 1 << 20, 1 << 19, 200
 #: Bits of the map of the sets that are wanted (4 MB).
 ID_BITS = 1 << 25
 SKETCH_PARTS = 64
@@ -152,14 +156,15 @@ def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([np.minimum(v, 2**31 - 1).astype(np.int32).tobytes() for v in held.values()], pa.binary())], ["part", "counts"])
 
 
-def sketch(described: DataFrame) -> np.ndarray:
-    """Estimated document counts, one per counter, less the load that any counter has; at least 1."""
+def sketch(described: DataFrame) -> tuple[np.ndarray, int]:
+    """Estimated document counts, one per counter, less the load that any counter has, at least 1; and that load."""
     rows = described.filter("part IS NOT NULL").select("part", "counts").repartition(SKETCH_PARTS, "part").mapInArrow(_sum, "part int, counts binary")
     out = np.zeros((SKETCH_PARTS, COUNTERS // SKETCH_PARTS), np.int32)
     for r in rows.collect():  # SKETCH_PARTS rows, 8 MB
         out[r[0]] = np.frombuffer(r[1], np.int32)
     out = out.reshape(-1)
-    return np.maximum(out - 2 * int(np.median(out)), 1)
+    load = int(np.median(out))
+    return np.maximum(out - 2 * load, 1), load
 
 
 def prefix(tokens: np.ndarray, counts: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, int, float]:
@@ -199,36 +204,89 @@ def _sets_once(b: pa.RecordBatch, powers: Powers, seen: set, size: int) -> Itera
             yield sid, t
 
 
-def _prefix_places(counts: object, size: int, percent: int, bits: int):
-    held: dict = {}
+_PACKED = pa.schema([("part", pa.int32()), ("hot", pa.bool_()), ("tokens", pa.binary()), ("sids", pa.binary()), ("runs", pa.binary()), ("sets", pa.binary())])
+_PACKED_DDL = "part int, hot boolean, tokens binary, sids binary, runs binary, sets binary"
+#: Numbers of a set, end to end: its id, size, tokens outside the prefix, l, how typical it is, place of the prefix's last token.
+_SET = ["sid", "n", "free", "l", "typical", "last"]
 
-    def places(b: pa.RecordBatch) -> Iterator[np.ndarray]:
-        powers, seen = held.setdefault("p", Powers()), held.setdefault("s", set())
-        for _, t in _sets_once(b, powers, seen, size):
-            yield _places(prefix(t, counts.value, percent)[0], bits)
 
-    return places
+def _dealt(tokens: np.ndarray, sids: np.ndarray, hot: np.ndarray, sets: np.ndarray, parts: int) -> pa.RecordBatch:
+    """A row for each part that has any: tokens, and the sets they are of as runs. Tokens that the sketch calls frequent are
+    dealt with their set, all others by themselves, so that those of one token meet; sets by their id."""
+    h = mixed(tokens ^ np.where(hot, mixed(sids.view(np.uint64)), np.uint64(0)))
+    part = ((h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64) * 2 + hot
+    order = np.argsort(part, kind="stable")  # in a part tokens stay in order of their sets
+    part, tokens, sids = part[order], tokens[order], sids[order]
+    home = (mixed(sets[:, 0].view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+    rows = []
+    first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.zeros(0, np.int64)
+    for i, j in zip(first, np.r_[first[1:], len(part)], strict=True):
+        s = sids[i:j]
+        at = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
+        rows.append((int(part[i]) // 2, bool(part[i] & 1), tokens[i:j].tobytes(), s[at].tobytes(), np.diff(np.r_[at, j - i]).astype(np.int32).tobytes(), None))
+    for k in np.unique(home):
+        rows.append((int(k), False, None, None, None, sets[home == k].tobytes()))
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _PACKED, strict=True)], schema=_PACKED)
 
 
-def _entries(counts: object, twice: object, size: int, percent: int):
+def _prefixes(counts: object, hot_from: int, size: int, percent: int, parts: int):
+    """The prefixes of the sets, packed."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers, seen = Powers(), set()
+        tokens: list[np.ndarray] = []
+        sets: list[tuple] = []
+        held = 0
+
+        def packed() -> pa.RecordBatch:
+            t = np.concatenate(tokens)
+            sids = np.repeat(np.array([x[0] for x in sets], np.int64), [len(x) for x in tokens])
+            return _dealt(t, sids, place(t, counts.value) >> 40 >= hot_from, np.array(sets, np.int64), parts)
+
         for b in batches:
-            cols: list[list] = [[], [], [], [], [], [], [], []]
             for sid, t in _sets_once(b, powers, seen, size):
                 p, best, typical = prefix(t, counts.value, percent)
-                n, k = len(t), len(p)
-                last = place(p[-1:], counts.value)
-                p = p[bitmaps.known(twice.value, _places(p, 8 * len(twice.value)))]
-                most = n - (k - len(p))  # the tokens left out are in no other prefix
-                for c, x in zip(cols, (p.view(np.int64), np.full(len(p), sid), *(np.full(len(p), v, np.int32) for v in (n, most, n - k, best, round(typical * 1000))), np.full(len(p), last[0])), strict=True):
-                    c.append(x)
-            if cols[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["token", "sid", "n", "most", "free", "l", "typical", "last"])
+                tokens.append(p)
+                sets.append((sid, len(t), len(t) - len(p), best, round(typical * 1000), int(place(p[-1:], counts.value)[0])))
+                held += len(p)
+                if held >= PACK:
+                    yield packed()
+                    tokens, sets, held = [], [], 0
+        if sets:
+            yield packed()
 
     return run
 
 
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Tokens of more than one set, with the sets, each once; and a row (token null) for each set."""
+    tokens, sids, hot, sets = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)], [np.zeros((0, len(_SET)), np.int64)]
+    for b in batches:
+        for row in b.to_pylist():
+            if row["sets"] is not None:
+                sets.append(np.frombuffer(row["sets"], np.int64).reshape(-1, len(_SET)))
+            else:
+                tokens.append(np.frombuffer(row["tokens"], np.uint64))
+                sids.append(np.repeat(np.frombuffer(row["sids"], np.int64), np.frombuffer(row["runs"], np.int32)))
+                hot.append(np.full(len(tokens[-1]), row["hot"]))
+    t, s, h, every = (np.concatenate(x) for x in (tokens, sids, hot, sets))
+    order = np.lexsort((s, t))
+    t, s, h = t[order], s[order], h[order]
+    new = np.r_[True, (t[1:] != t[:-1]) | (s[1:] != s[:-1])][: len(t)]
+    t, s, h = t[new], s[new], h[new]
+    same = t[1:] == t[:-1]
+    keep = h | np.r_[False, same][: len(t)] | np.r_[same, False][: len(t)]
+    t, s = t[keep].view(np.int64), s[keep]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
+    for i in range(0, len(t), 100_000):
+        n = len(t[i : i + 100_000])
+        yield pa.RecordBatch.from_arrays([pa.array(t[i : i + n]), pa.array(s[i : i + n]), *[pa.nulls(n, k) for k in kinds[2:]]], ["token", *_SET])
+    every = every[np.unique(every[:, 0], return_index=True)[1]]
+    for i in range(0, len(every), 100_000):
+        x = every[i : i + 100_000]
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(x), kinds[0]), *[pa.array(np.ascontiguousarray(c)).cast(k) for c, k in zip(x.T, kinds[1:], strict=True)]], ["token", *_SET])
+
+
 def _wanted(b: pa.RecordBatch) -> Iterator[np.ndarray]:
     yield _places(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64), ID_BITS)
 
@@ -289,16 +347,18 @@ def grouped(documents: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -
     keyed = docs.select("doc_id", *row_key(F.col("doc_id"), F.col("text")), "text")
     told = stored(keyed.mapInArrow(_describe(size), "doc_id long, _k1 long, _k2 int, n int, sid long, part int, counts binary"), "shingle-sets")
     base = told.filter("part IS NULL").select("doc_id", *KEY, "n", "sid")
-    counts = sc.broadcast(sketch(told))
+    estimates, counts_load = sketch(told)
+    counts = sc.broadcast(estimates)
     text = docs.select("text")
-    prefixes = base.agg(F.sum("n")).first()[0] or 0
-    bits = bitmaps.size_for(prefixes * (100 - percent) // 100, BITS)
-    twice = sc.broadcast(bitmaps.filled(text, _prefix_places(counts, size, percent, bits), bits, "twice"))
-
-    entries = text.mapInArrow(_entries(counts, twice, size, percent), "token long, sid long, n int, most int, free int, l int, typical int, last long")
-    entries = stored(entries, "entries")  # counted and then joined with the counts: the texts are read once
-    lists = entries.groupBy("token").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).filter("lo < hi").select("token")
-    postings = stored(entries.join(lists, "token").dropDuplicates(["token", "sid"]), "postings")
+    parts = max(1, (base.agg(F.sum("n")).first()[0] or 0) * (100 - percent) // 100 // PART_TOKENS)
+    hot_from = HOT_DF + 8 * math.isqrt(counts_load)  # over what chance adds to a counter
+    packed = text.mapInArrow(_prefixes(counts, hot_from, size, percent, parts), _PACKED_DDL)
+    shared = stored(packed.repartition(parts, "part").mapInArrow(_shared, "token long, sid long, n int, free int, l int, typical int, last long"), "shared")
+    post = shared.filter("token IS NOT NULL").select("token", "sid")
+    # tokens of no other set can't be shared
+    sets = shared.filter("token IS NULL").drop("token").join(post.groupBy("sid").agg(F.count(F.lit(1)).alias("own")), "sid")
+    sets = sets.withColumn("most", (F.col("free") + F.col("own")).cast("int")).drop("own").filter(F.col("most") * 100 >= F.col("n") * percent)
+    postings = stored(post.join(sets, "sid"), "postings")
 
     def bound(m_most: Column, m_last: Column, n_most: Column, n_last: Column) -> Column:
         """Of two prefixes the one that ends first holds all that the other set shares with it, so what it can share bounds the overlap."""
@@ -347,7 +407,7 @@ def grouped(documents: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -
 def near_groups(documents: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of documents."""
     rows = stored(grouped(documents, size, percent).select("doc_id", "n", "label"), "grouped")
-    smallest = rows.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    smallest = stored(rows.groupBy("label").agg(F.min("doc_id").alias("component_id")), "smallest")  # so that a large group's rows can be dealt over tasks
     out = rows.join(smallest, "label")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
