@@ -2,8 +2,8 @@
 
 Bytes covered by a LENGTH-byte string that also starts in a document with a smaller id are removed. Suffixes are
 sampled at the minima of a gram hash over windows of LENGTH - GRAM + 1 grams, so any LENGTH bytes hold a sampled
-suffix, the same one wherever they occur. A suffix array orders them by 64 bits of the gram and then by 128 bits of all
-bytes that strings of LENGTH through it can touch (its surroundings).
+suffix, the same one wherever they occur. A suffix array orders them by a hash of the gram (its range, and 32 bits more)
+and then by 96 bits of all bytes that strings of LENGTH through it can touch (its surroundings).
 
 Documents are packed into chunks of some MB, with the places of their sampled suffixes, a table bucketed by chunk, so
 that later joins don't move texts. Each chunk sends its distinct suffixes to the tasks of their gram's range. There
@@ -36,7 +36,7 @@ from .common import scratch, stored
 
 LENGTH, GRAM = 50, 24
 #: Bytes of text in a chunk, in a partition of chunks, and for each range of hashes.
-CHUNK_BYTES, PARTITION_BYTES, RANGE_BYTES = 4 << 20, 16 << 20, 24 << 20
+CHUNK_BYTES, PARTITION_BYTES, RANGE_BYTES = 8 << 20, 16 << 20, 12 << 20
 PIECE = 1 << 20
 #: Entries of a batch; surroundings of a gram in a chunk beyond which all of them are open.
 BATCH, MIXED = 1 << 17, 6
@@ -72,6 +72,10 @@ class Hashes:
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return _mix((self.sums[end] - self.sums[start]) * self.down[start])
 
+    def grams(self) -> np.ndarray:
+        n = len(self.sums) - GRAM
+        return _mix((self.sums[GRAM:] - self.sums[:n]) * self.down[:n])
+
 
 def _sliding_min(v: np.ndarray, w: int) -> np.ndarray:
     size, m = 1, v
@@ -85,16 +89,16 @@ def _sliding_min(v: np.ndarray, w: int) -> np.ndarray:
 def sampled(offs: np.ndarray, data: np.ndarray) -> np.ndarray:
     """Places of the sampled suffixes."""
     found = []
-    for s in range(0, max(len(data) - LENGTH + 1, 0), PIECE):
+    ends = offs[1:-1, None] - np.arange(1, LENGTH)  # windows from here would reach into the next document
+    inside = np.ones(max(len(data) - LENGTH + 1, 0), bool)
+    inside[ends[(ends >= 0) & (ends < len(inside))]] = False
+    for s in range(0, len(inside), PIECE):
         part = data[s : s + PIECE + LENGTH - 1]
-        at = np.arange(len(part) - GRAM + 1)
-        g = Hashes(part, BASES[0]).of(at, at + GRAM)
+        g = Hashes(part, BASES[0]).grams()
         # the hash's upper bits, then places with later ones smaller: the minimum is the rightmost
-        v = (g & ~U(0xFFFFFF)) | (U(0xFFFFFF) - at.astype(U))
+        v = (g & ~U(0xFFFFFF)) | (U(0xFFFFFF) - np.arange(len(g), dtype=U))
         low = (U(0xFFFFFF) - (_sliding_min(v, BACK + 1) & U(0xFFFFFF))).astype(np.int64)
-        start = np.arange(len(low)) + s
-        doc = np.searchsorted(offs, start, "right") - 1
-        low = low[start + LENGTH <= offs[doc + 1]]
+        low = low[inside[s : s + len(low)]]
         found.append(low[np.r_[True, low[1:] != low[:-1]][: len(low)]] + s)  # places never go back
     return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
 
@@ -108,6 +112,16 @@ def _runs(*keys: np.ndarray) -> np.ndarray:
     return new
 
 
+def _strings(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order that sorts 128-bit hashes, where a new one begins). Equal first halves with other second ones hardly occur, so these are only sorted by then."""
+    order = np.argsort(x)
+    new = _runs(x[order])
+    if (_runs(x[order], y[order]) != new).any():
+        order = np.lexsort((y, x))
+        new = _runs(x[order], y[order])
+    return order, new
+
+
 class Chunk:
     """A chunk's documents, their sampled suffixes, and the distinct ones among these in order of range and key."""
 
@@ -119,14 +133,14 @@ class Chunk:
         # the bytes that strings of LENGTH through the gram can touch, within the document
         self.lo = np.maximum(self.offs[self.doc], self.pos - BACK)
         self.hi = np.minimum(self.offs[self.doc + 1], self.pos + LENGTH)
-        gram, a, c = (np.zeros(len(self.pos), U) for _ in range(3))
+        gram, a, c = np.zeros(len(self.pos), U), np.zeros(len(self.pos), U), np.zeros(len(self.pos), np.uint32)
         for inside, first, h1, h2 in self.pieces(self.pos):
             p, lo, hi = self.pos[inside] - first, self.lo[inside] - first, self.hi[inside] - first
             where = (p - lo).astype(U) * U(131) + (hi - p).astype(U)
-            gram[inside], a[inside], c[inside] = h1.of(p, p + GRAM), h1.of(lo, hi) + where, h2.of(lo, hi) + where
-        which = ((gram >> U(32)) * U(ranges) >> U(32)).astype(np.int64)
+            gram[inside], a[inside], c[inside] = h1.of(p, p + GRAM), h1.of(lo, hi) + where, (h2.of(lo, hi) + where) >> U(32)
+        gram = ((gram >> U(32)) * U(ranges) & ~U(0xFFFFFFFF)) | (gram & U(0xFFFFFFFF))  # the range, and 32 other bits
         doc_ids = self.ids[self.doc]
-        order = np.lexsort((doc_ids, c, a, gram))  # in order of the gram is in order of its range
+        order = np.lexsort((doc_ids, c, a, gram))
         gram, a, c = gram[order], a[order], c[order]
         new = _runs(gram, a, c)
         self.of = np.empty(len(order), np.int64)  # the distinct suffix of each
@@ -138,7 +152,7 @@ class Chunk:
         begin = np.flatnonzero(run)
         self.mixed = np.repeat(np.diff(np.r_[begin, len(run)]) > MIXED, np.diff(np.r_[begin, len(run)]))
         self.asked = np.flatnonzero(~self.mixed | run)
-        bounds = np.searchsorted(which[order][first][self.asked], np.arange(ranges + 1))
+        bounds = np.searchsorted(self.gram[self.asked] >> U(32), np.arange(ranges + 1))
         self.parts = [(r, bounds[r], bounds[r + 1]) for r in np.flatnonzero(np.diff(bounds))]
 
     def pieces(self, pos: np.ndarray) -> Iterator[tuple[np.ndarray, int, Hashes, Hashes]]:
@@ -153,8 +167,8 @@ class Chunk:
         """For each range the distinct suffixes and the smallest id of each in this chunk; of a mixed gram one, with surroundings of no other."""
         i = self.asked
         own = _mix(self.gram[i] + U(self.chunk))
-        a, c = np.where(self.mixed[i], own, self.a[i]), np.where(self.mixed[i], ~own, self.c[i])
-        return _messages(self.chunk, self.parts, (self.gram[i], a, c), self.least[i])
+        a, c = np.where(self.mixed[i], own, self.a[i]), np.where(self.mixed[i], own.astype(np.uint32), self.c[i])
+        return _messages(self.chunk, self.parts, (self.gram[i].astype(np.uint32), a, c), self.least[i])
 
     def answered(self, said: list[dict] | None) -> tuple[np.ndarray, np.ndarray]:
         """(settled, open) of the distinct suffixes."""
@@ -210,15 +224,21 @@ def _messages(chunk: int, parts: list[tuple[int, int, int]], keys: tuple[np.ndar
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * len(_MESSAGE), _MESSAGE, strict=True)], schema=_MESSAGE)
 
 
-def _received(table: pa.Table, words: int) -> tuple[list[tuple[int, int, int]], list[np.ndarray], np.ndarray]:
+#: The words of a suffix's key, and of a string's.
+_SUFFIX, _STRING = (np.uint32, U, np.uint32), (U, U)
+
+
+def _received(table: pa.Table, words: tuple) -> tuple[list[tuple[int, int, int]], list[np.ndarray], np.ndarray]:
     """The messages as (chunk, range, number of keys), their keys' words, and ids, end to end."""
-    told, keys, ids = [], [], []
-    for row in table.to_pylist():
-        k = np.frombuffer(row["keys"], U).reshape(words, -1)
-        told.append((row["chunk"], row["range"], k.shape[1]))
-        keys.append(k)
-        ids.append(np.frombuffer(row["ids"], np.int64)[np.frombuffer(row["docs"], np.uint16)])
-    return told, list(np.concatenate(keys, 1)) if keys else [np.zeros(0, U)] * words, np.concatenate(ids) if ids else np.zeros(0, np.int64)
+    told, keys, ids = [], [[np.zeros(0, w)] for w in words], [np.zeros(0, np.int64)]
+    for chunk, r, k, docs, few in zip(*(table.column(c).to_pylist() for c in ("chunk", "range", "keys", "docs", "ids")), strict=True):
+        n, at = len(docs) // 2, 0
+        for w, out in zip(words, keys, strict=True):
+            out.append(np.frombuffer(k, w, n, at))
+            at += n * np.dtype(w).itemsize
+        told.append((chunk, r, n))
+        ids.append(np.frombuffer(few, np.int64)[np.frombuffer(docs, np.uint16)])
+    return told, [np.concatenate(x) for x in keys], np.concatenate(ids)
 
 
 def _ask(ranges: int):
@@ -293,7 +313,7 @@ def _answers(told: list[tuple[int, int, int]], a: np.ndarray, b: np.ndarray | No
 
 
 def _settle(table: pa.Table) -> pa.Table:
-    told, (gram, a, c), ids = _received(table, 3)
+    told, (gram, a, c), ids = _received(table, _SUFFIX)
     settled, index = np.zeros(len(ids), bool), Levels(len(ids))
     arrival = np.argsort(ids, kind="stable")
     for i in range(0, len(ids), BATCH):
@@ -327,12 +347,11 @@ class Open:
                 found.append((inside[ok], np.full(len(start), j, np.uint8), h1.of(start, start + LENGTH), h2.of(start, start + LENGTH)))
         entry, j, x, y = (np.concatenate(z) for z in zip(*found, strict=True))
         ids = c.least[self.which][entry]
-        order = np.lexsort((ids, y, x))
-        self.entry, self.j, ids, x, y = entry[order], j[order], ids[order], x[order], y[order]
-        new = _runs(x, y)
+        order, new = _strings(x, y)
+        self.entry, self.j, ids = entry[order], j[order], ids[order]
         first = np.flatnonzero(new)
         self.of = np.cumsum(new) - 1
-        self.keys, self.least = (x[first], y[first]), ids[first]
+        self.keys, self.least = (x[order[first]], y[order[first]]), np.minimum.reduceat(ids, first) if len(first) else ids
         self.later = ids > self.least[self.of]  # a smaller id of this chunk has the string
         bounds = np.searchsorted((self.keys[0] >> U(32)) * U(ranges) >> U(32), np.arange(ranges + 1))
         self.parts = [(r, bounds[r], bounds[r + 1]) for r in np.flatnonzero(np.diff(bounds))]
@@ -363,11 +382,12 @@ def _ask_again(ranges: int):
 
 def _compare(table: pa.Table) -> pa.Table:
     """For each string of a chunk a bit: another chunk has it with a smaller id."""
-    told, (x, y), ids = _received(table, 2)
-    order = np.lexsort((ids, y, x))
-    first = np.flatnonzero(new := _runs(x[order], y[order]))
+    told, (x, y), ids = _received(table, _STRING)
+    order, new = _strings(x, y)
     hit = np.zeros(len(ids), bool)
-    hit[order] = ids[order][first][np.cumsum(new) - 1] < ids[order]
+    if len(ids):
+        least = np.minimum.reduceat(ids[order], np.flatnonzero(new))
+        hit[order] = least[np.cumsum(new) - 1] < ids[order]
     return _answers(told, hit)
 
 

@@ -283,6 +283,12 @@ def test_substrings_around_a_frequent_phrase(spark, mixed, monkeypatch):
     assert got == want and 0 < sum(r[2] > 0 for r in want) < 60
 
 
+def test_strings_whose_first_halves_agree():
+    x, y = np.array([5, 1, 5, 5, 1, 7], np.uint64), np.array([2, 1, 3, 2, 1, 0], np.uint64)
+    order, new = suffix_dedup._strings(x, y)
+    assert list(zip(x[order], y[order], strict=True)) == sorted(zip(x, y, strict=True)) and new.tolist() == [True, False, True, False, True, True]
+
+
 def levels_by_brute_force(keys, ids):
     """(settled, open) of entries given as (gram, surroundings)."""
     settled = [any(keys[j] == k and ids[j] < ids[i] for j in range(len(ids))) for i, k in enumerate(keys)]
@@ -296,8 +302,7 @@ def test_levels_settle_and_open(monkeypatch):
     monkeypatch.setattr(suffix_dedup, "BATCH", 7)
     rng = np.random.default_rng(5)
     n = 400
-    gram, a, c, ids = (rng.integers(0, k, n).astype(np.uint64) for k in (60, 3, 2, 90))
-    ids = ids.astype(np.int64)
+    gram, a, c, ids = (rng.integers(0, k, n).astype(d) for k, d in ((60, np.uint32), (3, np.uint64), (2, np.uint32), (90, np.int64)))
     # in a message each key comes once
     messages = [suffix_dedup._messages(k, [(0, 0, 20)], (gram[i : i + 20], a[i : i + 20], c[i : i + 20]), ids[i : i + 20]) for k, i in enumerate(range(0, n, 20))]
     got = {r["chunk"]: r for r in suffix_dedup._settle(pa.Table.from_batches(messages)).to_pylist()}
