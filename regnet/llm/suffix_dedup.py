@@ -36,8 +36,8 @@ from .common import scratch, stored
 
 LENGTH, GRAM = 50, 24
 #: Bytes of text in a chunk, in a partition of chunks, and for each range of hashes.
-CHUNK_BYTES, PARTITION_BYTES, RANGE_BYTES = 8 << 20, 16 << 20, 12 << 20
-PIECE = 1 << 20
+CHUNK_BYTES, PARTITION_BYTES, RANGE_BYTES = 4 << 20, 16 << 20, 12 << 20
+PIECE = 1 << 18
 #: Entries of a batch; surroundings of a gram in a chunk beyond which all of them are open.
 BATCH, MIXED = 1 << 17, 6
 BACK = LENGTH - GRAM
@@ -112,6 +112,26 @@ def _runs(*keys: np.ndarray) -> np.ndarray:
     return new
 
 
+class Row:
+    """A row of the table of chunks; its numbers aren't copied."""
+
+    def __init__(self, batch: pa.RecordBatch, i: int) -> None:
+        self.at = lambda name: batch.column(name)[i]
+        self.chunk = self.at("chunk").as_py()
+
+    def numbers(self, name: str, kind: type) -> np.ndarray:
+        return np.frombuffer(self.at(name).as_buffer(), kind)
+
+    def answers(self, name: str) -> list[dict]:
+        return self.at(name).as_py() or []
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[Row]:
+    for b in batches:
+        for i in range(b.num_rows):
+            yield Row(b, i)
+
+
 def _strings(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(order that sorts 128-bit hashes, where a new one begins). Equal first halves with other second ones hardly occur, so these are only sorted by then."""
     order = np.argsort(x)
@@ -125,10 +145,10 @@ def _strings(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Chunk:
     """A chunk's documents, their sampled suffixes, and the distinct ones among these in order of range and key."""
 
-    def __init__(self, row: dict, ranges: int) -> None:
-        self.chunk = row["chunk"]
-        self.ids, self.offs, self.data = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["offs"], np.int64), np.frombuffer(row["data"], np.uint8)
-        self.pos = np.cumsum(np.frombuffer(row["steps"], np.int32), dtype=np.int64)
+    def __init__(self, row: Row, ranges: int) -> None:
+        self.chunk = row.chunk
+        self.ids, self.offs, self.data = row.numbers("ids", np.int64), row.numbers("offs", np.int64), row.numbers("data", np.uint8)
+        self.pos = np.cumsum(row.numbers("steps", np.int32), dtype=np.int64)
         self.doc = np.searchsorted(self.offs, self.pos, "right") - 1
         # the bytes that strings of LENGTH through the gram can touch, within the document
         self.lo = np.maximum(self.offs[self.doc], self.pos - BACK)
@@ -170,15 +190,15 @@ class Chunk:
         a, c = np.where(self.mixed[i], own, self.a[i]), np.where(self.mixed[i], own.astype(np.uint32), self.c[i])
         return _messages(self.chunk, self.parts, (self.gram[i].astype(np.uint32), a, c), self.least[i])
 
-    def answered(self, said: list[dict] | None) -> tuple[np.ndarray, np.ndarray]:
-        """(settled, open) of the distinct suffixes."""
+    def answered(self, said: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+        """(whether a smaller document, here or elsewhere, has all around a suffix; whether a distinct suffix is open)."""
         settled, open_ = np.zeros(len(self.gram), bool), self.mixed.copy()
-        said = {x["range"]: x for x in said or ()}
+        said = {x["range"]: x for x in said}
         for r, i, j in self.parts:
             if r in said:
                 at = self.asked[i:j]
                 settled[at], open_[at] = (_bits(said[r][k], j - i) for k in ("a", "b"))
-        return settled & ~self.mixed, open_ | self.mixed
+        return (settled & ~self.mixed)[self.of] | (self.least[self.of] < self.ids[self.doc]), open_ | self.mixed
 
 
 def _bits(data: bytes, n: int) -> np.ndarray:
@@ -243,9 +263,8 @@ def _received(table: pa.Table, words: tuple) -> tuple[list[tuple[int, int, int]]
 
 def _ask(ranges: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row in b.to_pylist():
-                yield Chunk(row, ranges).requests()
+        for row in _rows(batches):
+            yield Chunk(row, ranges).requests()
 
     return run
 
@@ -333,18 +352,28 @@ def _settle(table: pa.Table) -> pa.Table:
 
 
 class Open:
-    """The distinct strings of LENGTH through a chunk's open grams: 128-bit hashes in order, and so in order of their ranges, with the chunk's smallest ids."""
+    """The distinct strings of LENGTH through a chunk's open grams: 128-bit hashes in order, and so in order of their ranges,
+    with the chunk's smallest ids. Strings inside the surroundings that a smaller document has (whole) are known from there."""
 
-    def __init__(self, c: Chunk, open_: np.ndarray, ranges: int) -> None:
+    def __init__(self, c: Chunk, whole: np.ndarray, open_: np.ndarray, ranges: int) -> None:
+        edge = np.zeros(len(c.data) + 1, np.int32)
+        long = whole & (c.hi - c.lo >= LENGTH)
+        np.add.at(edge, c.lo[long], 1)
+        np.add.at(edge, c.hi[long] - LENGTH + 1, -1)
+        known = np.cumsum(edge) > 0
         self.which = np.flatnonzero(open_)
+        self.known = np.zeros(len(self.which), np.uint32)
         at = c.at[self.which]
-        pos, found = c.pos[at], [(np.zeros(0, np.int64), np.zeros(0, np.uint8), np.zeros(0, U), np.zeros(0, U))]
+        pos, found = c.pos[at], [(np.zeros(0, np.int32), np.zeros(0, np.uint8), np.zeros(0, U), np.zeros(0, U))]
         for inside, first, h1, h2 in c.pieces(pos):
             for j in range(BACK + 1):
                 start = pos[inside] - BACK + j
                 ok = (start >= c.lo[at[inside]]) & (start + LENGTH <= c.hi[at[inside]])
+                told = ok & known[np.maximum(start, 0)]
+                self.known[inside[told]] |= np.uint32(1 << j)
+                ok &= ~told
                 start = start[ok] - first
-                found.append((inside[ok], np.full(len(start), j, np.uint8), h1.of(start, start + LENGTH), h2.of(start, start + LENGTH)))
+                found.append((inside[ok].astype(np.int32), np.full(len(start), j, np.uint8), h1.of(start, start + LENGTH), h2.of(start, start + LENGTH)))
         entry, j, x, y = (np.concatenate(z) for z in zip(*found, strict=True))
         ids = c.least[self.which][entry]
         order, new = _strings(x, y)
@@ -356,26 +385,25 @@ class Open:
         bounds = np.searchsorted((self.keys[0] >> U(32)) * U(ranges) >> U(32), np.arange(ranges + 1))
         self.parts = [(r, bounds[r], bounds[r + 1]) for r in np.flatnonzero(np.diff(bounds))]
 
-    def masks(self, said: list[dict] | None) -> np.ndarray:
+    def masks(self, said: list[dict]) -> np.ndarray:
         """A bit for each string of LENGTH through the open grams that a smaller id has."""
-        said = {x["range"]: x for x in said or ()}
+        said = {x["range"]: x for x in said}
         elsewhere = np.zeros(len(self.least), bool)
         for r, i, j in self.parts:
             if r in said:
                 elsewhere[i:j] = _bits(said[r]["a"], j - i)
         hit = self.later | elsewhere[self.of]
-        m = np.zeros(len(self.which), np.uint32)
+        m = self.known.copy()
         np.bitwise_or.at(m, self.entry[hit], np.uint32(1) << self.j[hit].astype(np.uint32))
         return m
 
 
 def _ask_again(ranges: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row in b.to_pylist():
-                c = Chunk(row, ranges)
-                o = Open(c, c.answered(row["first"])[1], ranges)
-                yield _messages(c.chunk, o.parts, o.keys, o.least)
+        for row in _rows(batches):
+            c = Chunk(row, ranges)
+            o = Open(c, *c.answered(row.answers("first")), ranges)
+            yield _messages(c.chunk, o.parts, o.keys, o.least)
 
     return run
 
@@ -392,19 +420,19 @@ def _compare(table: pa.Table) -> pa.Table:
 
 
 def _remove(ranges: int, digest: bool):
-    def cover(c: Chunk, row: dict) -> np.ndarray:
-        settled, open_ = c.answered(row["first"])
+    def cover(c: Chunk, row: Row) -> np.ndarray:
+        whole, open_ = c.answered(row.answers("first"))
         edge = np.zeros(len(c.data) + 1, np.int32)
 
         def add(lo: np.ndarray, hi: np.ndarray) -> None:
             np.add.at(edge, lo, 1)
             np.add.at(edge, hi, -1)
 
-        o = Open(c, open_, ranges)
+        o = Open(c, whole, open_, ranges)
         masks = np.zeros(len(c.gram), np.uint32)
-        masks[o.which] = o.masks(row["second"])
-        whole = settled[c.of] | (c.least[c.of] < c.ids[c.doc])  # a smaller document, here or elsewhere, has all around it
-        add(c.lo[whole], c.hi[whole])
+        masks[o.which] = o.masks(row.answers("second"))
+        long = whole & (c.hi - c.lo >= LENGTH)
+        add(c.lo[long], c.hi[long])
         masks = np.where(whole, np.uint32(0), masks[c.of])
         for j in range(BACK + 1):
             start = c.pos[((masks >> np.uint32(j)) & 1).astype(bool)] - BACK + j
@@ -412,21 +440,20 @@ def _remove(ranges: int, digest: bool):
         return np.cumsum(edge[:-1]) > 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row in b.to_pylist():
-                c = Chunk(row, ranges)
-                gone = cover(c, row)
-                cols: list[list] = [[], [], [], [], []]
-                for i, id_ in enumerate(c.ids.tolist()):
-                    a, e = int(c.offs[i]), int(c.offs[i + 1])
-                    g = gone[a:e]
-                    kept = c.data[a:e][~g].tobytes()
-                    runs = int(g[:1].sum()) + int((g[1:] & ~g[:-1]).sum()) if e > a else 0
-                    values = (None if id_ == NULL_ID else id_, e - a, int(g.sum()), runs, hashlib.sha256(kept).hexdigest() if digest else kept)
-                    for col, v in zip(cols, values, strict=True):
-                        col.append(v)
-                kind = [pa.int64()] * 4 + [pa.string() if digest else pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c_, k) for c_, k in zip(cols, kind, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256" if digest else "kept"])
+        for row in _rows(batches):
+            c = Chunk(row, ranges)
+            gone = cover(c, row)
+            cols: list[list] = [[], [], [], [], []]
+            for i, id_ in enumerate(c.ids.tolist()):
+                a, e = int(c.offs[i]), int(c.offs[i + 1])
+                g = gone[a:e]
+                kept = c.data[a:e][~g].tobytes()
+                runs = int(g[:1].sum()) + int((g[1:] & ~g[:-1]).sum()) if e > a else 0
+                values = (None if id_ == NULL_ID else id_, e - a, int(g.sum()), runs, hashlib.sha256(kept).hexdigest() if digest else kept)
+                for col, v in zip(cols, values, strict=True):
+                    col.append(v)
+            kind = [pa.int64()] * 4 + [pa.string() if digest else pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c_, k) for c_, k in zip(cols, kind, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256" if digest else "kept"])
 
     return run
 

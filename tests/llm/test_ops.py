@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -297,8 +298,6 @@ def levels_by_brute_force(keys, ids):
 
 def test_levels_settle_and_open(monkeypatch):
     """Batches that arrive one after the other are answered like all at once, with equal first words of surroundings too."""
-    import pyarrow as pa
-
     monkeypatch.setattr(suffix_dedup, "BATCH", 7)
     rng = np.random.default_rng(5)
     n = 400
@@ -443,9 +442,10 @@ def test_second_round_spreads_a_hot_gram():
     texts = [b"%030d" % (i * 7919**3) + hot + b"%030d" % (i * 104729**3) for i in range(300)]
     offs, data = np.cumsum([0, *map(len, texts)]).astype(np.int64), b"".join(texts)
     steps = np.diff(suffix_dedup.sampled(offs, np.frombuffer(data, np.uint8)), prepend=0).astype(np.int32)
-    c = suffix_dedup.Chunk({"chunk": 0, "ids": np.arange(300).tobytes(), "offs": offs.tobytes(), "data": data, "steps": steps.tobytes()}, 8)
+    table = pa.RecordBatch.from_pylist([{"chunk": 0, "ids": np.arange(300).tobytes(), "offs": offs.tobytes(), "data": data, "steps": steps.tobytes()}])
+    c = suffix_dedup.Chunk(suffix_dedup.Row(table, 0), 8)
     assert c.mixed.sum() > 300 and c.mixed[c.asked].sum() == len(np.unique(c.gram[c.mixed]))  # a gram with other surroundings in each document is asked about once
-    sent = np.array([j - i for _, i, j in suffix_dedup.Open(c, np.ones(len(c.gram), bool), 8).parts])
+    sent = np.array([j - i for _, i, j in suffix_dedup.Open(c, np.zeros(len(c.pos), bool), np.ones(len(c.gram), bool), 8).parts])
     assert len(sent) == 8 and sent.max() < 1.5 * sent.mean()
 
 
