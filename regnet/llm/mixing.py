@@ -124,12 +124,12 @@ def shard_counts(documents: DataFrame, shards: int = SHARDS) -> DataFrame:
 
 
 def _cut(words: Column, start: Column, size: Column, block: int) -> Column:
-    """The words (parted by spaces) that a document of the stream puts into each block: block, at (place there), first (word of the document), n, words."""
+    """The words (parted by spaces) that a document of the stream puts into each block: block, first (word of the document), words."""
 
     def piece(w: Column, b: Column) -> Column:
         lo, hi = F.greatest(start, b * block), F.least(start + size, (b + 1) * block)
         first, n = lo - start, hi - lo
-        return F.struct(b.alias("block"), (lo - b * block).alias("at"), first.alias("first"), n.alias("n"), F.array_join(F.slice(w, (first + 1).cast("int"), n.cast("int")), " ").alias("words"))
+        return F.struct(b.alias("block"), first.alias("first"), F.array_join(F.slice(w, (first + 1).cast("int"), n.cast("int")), " ").alias("words"))
 
     reached = F.sequence(F.floor(start / block), F.floor((start + size - 1) / block))
     return let(F.split(words, " "), lambda w: F.transform(reached, lambda b: piece(w, b)))
@@ -138,17 +138,20 @@ def _cut(words: Column, start: Column, size: Column, block: int) -> Column:
 def _write_shards(documents: DataFrame, sources: DataFrame, bases: DataFrame, shards: int, block: int, seed: int) -> DataFrame:
     said = let(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(NON_SPACE), F.lit(0)), lambda w: F.struct(F.size(w).cast("long").alias("size"), F.array_join(w, " ").alias("words")))
     docs = documents.select("doc_id", "source", *row_key(F.col("doc_id"), F.col("text")), said.alias("said")).select("doc_id", "source", "_k1", "_k2", "said.size", "said.words")
-    few = sources.select("source", "sid", "n_chunks", "n_blocks", "passes", "rest")
-    docs = _from_bases(_in_chunks(docs, few, seed), bases).filter("size > 0")
-    cut = docs.select("doc_id", "sid", "chunk", "row", "n_blocks", "passes", "rest", F.inline(_cut(F.col("words"), F.col("start"), F.col("size"), block)))
+    # what is shuffled with the words is as little as can be
+    docs = _from_bases(_in_chunks(docs, sources.select("source", "sid", "n_chunks"), seed), bases).filter("size > 0")
+    cut = docs.select("doc_id", "sid", "chunk", "row", F.inline(_cut(F.col("words"), F.col("start"), F.col("size"), block)))
+    cut = cut.join(sources.select("sid", "n_blocks", "passes", "rest"), "sid")
     words = sources.agg(F.sum("target")).first()[0] or 0
     files = max(1, round(words / (shards * WORDS_PER_FILE)))
-    cut = _slotted(cut, shards, seed).withColumn("file", F.pmod(F.xxhash64("sid", "pass", "slot"), F.lit(files)))
-    cut = cut.select("shard", "file", "sid", "pass", "slot", "block", F.struct("at", "chunk", "row", "doc_id", "first", "n", "words").alias("p")).repartition("shard", "file")
-    packed = cut.groupBy("shard", "file", "sid", "pass", "slot", "block").agg(F.sort_array(F.collect_list("p")).alias("p"))
+    cut = _slotted(cut, shards, seed).withColumn("place", F.col("shard") * files + F.pmod(F.xxhash64("sid", "pass", "slot"), F.lit(files)))
+    cut = cut.select("place", "sid", "pass", "slot", "block", "chunk", "row", "doc_id", "first", "words").repartition("place")
+    piece = F.struct("chunk", "row", "doc_id", "first", "words")
+    packed = cut.groupBy("place", "sid", "pass", "slot", "block").agg(F.sort_array(F.collect_list(piece)).alias("p"))  # at most a block's words
+    n = lambda x: F.size(F.split(x["words"], " ")).cast("long").alias("n")
     packed = packed.select(
-        "shard", "sid", "pass", "slot", "block", F.array_join("p.words", " ").alias("words"),
-        F.transform("p", lambda x: F.struct(*[x[c].alias(c) for c in ("chunk", "row", "doc_id", "first", "n")])).alias("pieces"),
+        F.floor(F.col("place") / files).cast("int").alias("shard"), "sid", "pass", "slot", "block", F.array_join("p.words", " ").alias("words"),
+        F.transform("p", lambda x: F.struct(*[x[c].alias(c) for c in ("chunk", "row", "doc_id", "first")], n(x))).alias("pieces"),
     )
     path = scratch(documents.sparkSession, "shards")
     packed.write.partitionBy("shard").option("compression", "zstd").parquet(path)
