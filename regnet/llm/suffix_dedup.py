@@ -158,6 +158,7 @@ class Chunk:
             p, lo, hi = self.pos[inside] - first, self.lo[inside] - first, self.hi[inside] - first
             where = (p - lo).astype(U) * U(131) + (hi - p).astype(U)
             gram[inside], a[inside], c[inside] = h1.of(p, p + GRAM), h1.of(lo, hi) + where, (h2.of(lo, hi) + where) >> U(32)
+        gram = _mix(gram)  # minima of windows are small
         gram = ((gram >> U(32)) * U(ranges) & ~U(0xFFFFFFFF)) | (gram & U(0xFFFFFFFF))  # the range, and 32 other bits
         doc_ids = self.ids[self.doc]
         order = np.lexsort((doc_ids, c, a, gram))

@@ -445,6 +445,8 @@ def test_second_round_spreads_a_hot_gram():
     table = pa.RecordBatch.from_pylist([{"chunk": 0, "ids": np.arange(300).tobytes(), "offs": offs.tobytes(), "data": data, "steps": steps.tobytes()}])
     c = suffix_dedup.Chunk(suffix_dedup.Row(table, 0), 8)
     assert c.mixed.sum() > 300 and c.mixed[c.asked].sum() == len(np.unique(c.gram[c.mixed]))  # a gram with other surroundings in each document is asked about once
+    asked = np.array([j - i for _, i, j in c.parts])
+    assert len(asked) == 8 and asked.max() < 1.5 * asked.mean()
     sent = np.array([j - i for _, i, j in suffix_dedup.Open(c, np.zeros(len(c.pos), bool), np.ones(len(c.gram), bool), 8).parts])
     assert len(sent) == 8 and sent.max() < 1.5 * sent.mean()
 
