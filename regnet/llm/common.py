@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -21,8 +22,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or an own one where it is unset."""
+    """The folder that all executors share: spark.checkpoint.dir. Where it is unset, a local run has one of its own; a cluster must name one."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not found and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return found or f"file://{tempfile.gettempdir()}/regnet-shared"
 
 
