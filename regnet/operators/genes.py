@@ -6,20 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def mode(df: DataFrame, key: str, value: str) -> DataFrame:
-    """The most common value per key; of equally common ones the smallest."""
-    counts = df.filter(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("_n"))
-    best = counts.groupBy(key).agg(F.max("_n").alias("_top"))
-    return counts.join(best, key).filter("_n = _top").groupBy(key).agg(F.min(value).alias(value))
-
-
 def collapse(annotation: DataFrame, name: str = "gene_name", modes: tuple[str, ...] = ("seqname", "strand"), flags: tuple[str, ...] = ()) -> DataFrame:
-    """One row per gene: outermost start and end, most common seqname and strand, any() of the flags."""
+    """One row per gene: outermost start and end, most common seqname and strand (the smallest of equally common ones), any() of the flags."""
     rows = annotation.filter(F.col(name).isNotNull() & F.col("start_pos").isNotNull() & F.col("end_pos").isNotNull())
-    out = rows.groupBy(name).agg(F.min("start_pos").alias("start_pos"), F.max("end_pos").alias("end_pos"), *[F.bool_or(f).alias(f) for f in flags])
-    for column in modes:
-        out = out.join(mode(rows, name, column), name, "left")
-    return out
+    most = [F.mode(c, deterministic=True).alias(c) for c in modes]
+    return rows.groupBy(name).agg(F.min("start_pos").alias("start_pos"), F.max("end_pos").alias("end_pos"), *[F.bool_or(f).alias(f) for f in flags], *most)
 
 
 def tss() -> Column:

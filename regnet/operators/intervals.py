@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BIN = 4096
+#: Bases of a tile of a sequence.
+TILE = 65536
 
 
 def _bins(df: DataFrame, start: str, end: str, width: int, name: str) -> DataFrame:
@@ -47,12 +49,25 @@ def intersect_all(first: DataFrame, *others: DataFrame) -> DataFrame:
     return first
 
 
-def extract(sequences: DataFrame, bed: DataFrame) -> DataFrame:
-    """seqname (chrom:start-end), chrom, start_pos, end_pos, seq of each interval; 0-based, half-open."""
-    pairs = bed.select("chrom", "start_pos", "end_pos").join(sequences.select(F.col("seqname").alias("chrom"), F.col("seq").alias("_seq")), "chrom")
+def extract(sequences: DataFrame, bed: DataFrame, tile: int = TILE) -> DataFrame:
+    """seqname (chrom:start-end), chrom, start_pos, end_pos, seq of each interval; 0-based, half-open. Sequences are cut into
+    tiles, and an interval meets only its own ones, so that no row of the join holds a whole chromosome. Intervals of
+    unknown sequences go; what lies past a sequence's end is left out; equal intervals stay as many as they are."""
+    start = F.col("_tile") * tile
+    seqs = sequences.select(F.col("seqname").alias("chrom"), F.col("seq").cast("binary").alias("_seq"))  # places are bytes: no walk from the start
+    tiles = seqs.withColumn("_tile", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(F.greatest(F.octet_length("_seq") - 1, F.lit(0)) / tile))))
+    tiles = tiles.select("chrom", "_tile", F.substring("_seq", (start + 1).cast("int"), F.lit(tile)).cast("string").alias("_part"))
+    own = bed.groupBy("chrom", "start_pos", "end_pos").agg(F.count(F.lit(1)).alias("_n"))
+    first = F.floor(F.col("start_pos") / tile)
+    asked = own.withColumn("_tile", F.explode(F.sequence(first, F.greatest(F.floor((F.col("end_pos") - 1) / tile), first))))
+    lo, hi = F.greatest("start_pos", start), F.least("end_pos", start + tile)
+    got = asked.join(tiles, ["chrom", "_tile"], "left")
+    part = F.substring("_part", (lo - start + 1).cast("int"), F.greatest(hi - lo, F.lit(0)).cast("int"))
+    got = got.groupBy("chrom", "start_pos", "end_pos", "_n").agg(F.sort_array(F.collect_list(F.struct("_tile", part.alias("p")))).alias("_p"))
+    got = got.join(sequences.select(F.col("seqname").alias("chrom")).distinct(), "chrom", "left_semi")
     name = F.concat("chrom", F.lit(":"), F.col("start_pos").cast("string"), F.lit("-"), F.col("end_pos").cast("string"))
-    part = F.expr("substring(_seq, int(start_pos) + 1, int(end_pos - start_pos))")
-    return pairs.select(name.alias("seqname"), "chrom", "start_pos", "end_pos", part.alias("seq"))
+    seq = F.array_join(F.transform("_p", lambda x: F.coalesce(x["p"], F.lit(""))), "")
+    return got.withColumn("_n", F.explode(F.array_repeat(F.lit(0), F.col("_n").cast("int")))).select(name.alias("seqname"), "chrom", "start_pos", "end_pos", seq.alias("seq"))
 
 
 def link_peaks(peaks: DataFrame, windows: DataFrame, *, intergenic: bool = False, distance: bool = False, width: int = BIN) -> DataFrame:

@@ -20,16 +20,13 @@ def islands(hits: DataFrame, keys: tuple[str, ...] = KEYS, gap: int | None = Non
 def merge_islands(hits: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """One site per island: outer bounds; the score of a lone hit, else the sum over bases of the highest per-base score.
     per_base is laid on the bases from start_pos on, as given."""
-    marked = islands(hits, keys)
-    per = Window.partitionBy(*keys, "island")
-    marked = marked.withColumn("_n", F.count(F.lit(1)).over(per))
-    own = [*keys, "start_pos", "stop_pos", F.col("score").cast("double").alias("score")]
-    lone = marked.filter("_n = 1").select(*own)
-    bases = marked.filter("_n > 1").select(*keys, "island", "start_pos", "stop_pos", F.posexplode("per_base").alias("_i", "_s"))
-    bases = bases.filter("start_pos + _i <= stop_pos")
-    best = bases.groupBy(*keys, "island", (F.col("start_pos") + F.col("_i")).alias("_base")).agg(F.max("_s").alias("_s"), F.min("start_pos").alias("start_pos"), F.max("stop_pos").alias("stop_pos"))
-    many = best.groupBy(*keys, "island").agg(F.min("start_pos").alias("start_pos"), F.max("stop_pos").alias("stop_pos"), F.sum("_s").alias("score"))
-    return lone.unionByName(many.drop("island"))
+    # bases stay in the partition of their keys, where the islands were numbered: no exchange follows
+    bases = islands(hits, keys).select(*keys, "island", "start_pos", "stop_pos", F.col("score").cast("double").alias("score"), F.posexplode_outer("per_base").alias("_i", "_s"))
+    bases = bases.withColumn("_i", F.coalesce("_i", F.lit(0))).filter("_i = 0 OR start_pos + _i <= stop_pos")
+    bounds = [F.min("start_pos").alias("start_pos"), F.max("stop_pos").alias("stop_pos")]
+    best = bases.groupBy(*keys, "island", (F.col("start_pos") + F.col("_i")).alias("_base")).agg(F.max(F.when(F.col("start_pos") + F.col("_i") <= F.col("stop_pos"), F.col("_s"))).alias("_s"), *bounds, F.count_if(F.col("_i") == 0).alias("_n"), F.max("score").alias("score"))
+    out = best.groupBy(*keys, "island").agg(*bounds, F.when(F.sum("_n") == 1, F.max("score")).otherwise(F.sum("_s")).alias("score"))
+    return out.select(*keys, "start_pos", "stop_pos", "score")
 
 
 def score_sites(hits: DataFrame, max_gap: int = 100, min_score: float | None = None, keys: tuple[str, ...] = KEYS, always_pair: bool = False) -> DataFrame:

@@ -68,13 +68,13 @@ mp AS (SELECT concat('M', CAST(vec_id AS VARCHAR)) AS motif_id, concat('TF', CAS
 inf AS (SELECT *, CASE WHEN p > 0 THEN greatest(p * log2(p / 0.25), 0.0) ELSE 0.0 END AS v, row_number() OVER (PARTITION BY motif_id, i ORDER BY p DESC, j) AS r FROM mp)"""
 CONSENSUS = "string_agg(a, '' ORDER BY i) FILTER (r = 1)"
 WITH_PEAKS = f"{G}, {P}"
-WIN4 = f"{G}, {P}, {_window(*TSS, 500, 100, ' WHERE CAST(gene_name AS BIGINT) % 4 = 0')}"
+WIN4 = f"{G}, {P}, {_window(*TSS, 500, 100)}"
 LINK = "p.chrom = w.seqname AND p.end_pos > w.win_start AND p.start_pos < w.win_end"
 NAMES = "nm AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 4 = 0 THEN upper(p_name) WHEN p_partkey % 4 = 1 THEN replace(p_name, ' ', '-') WHEN p_partkey % 7 = 0 THEN concat(p_name, ' (var.2)') WHEN p_partkey % 11 = 0 THEN concat(p_name, ':', p_name) ELSE p_name END AS name FROM part)"
-META = """raw AS (SELECT s_suppkey AS n, concat('EXP', CAST(s_suppkey AS VARCHAR)) AS accession, concat(CASE WHEN s_suppkey % 2 = 0 THEN 'hum' ELSE 'MAX' END, CAST(s_suppkey % 3 AS VARCHAR)) AS tf FROM supplier WHERE s_suppkey < 8),
-meta AS (SELECT accession, tf, concat(accession, '.bed.gz') AS file_name, n < 7 AS file_exists, n = 3 AS error, n = 4 AS warning, n = 5 AS noncompliant FROM raw)"""
-LINKED = f"""{G}, {P}, {META}, linked AS (SELECT p.chrom, p.start_pos, p.end_pos, g.gene_name AS gene, meta.tf AS regulator, meta.accession, p.signal_value
- FROM p JOIN meta ON concat(p.file_name, '.bed.gz') = meta.file_name AND file_exists AND NOT error AND NOT noncompliant
+META = """raw AS (SELECT s_suppkey AS n, concat('EXP', CAST(s_suppkey AS VARCHAR)) AS accession, concat(CASE WHEN s_suppkey % 2 = 0 THEN 'hum' ELSE 'MAX' END, CAST(s_suppkey % 3 AS VARCHAR)) AS tf FROM supplier),
+meta AS (SELECT accession, tf, concat(accession, '.bed.gz') AS file_name, n % 8 <> 7 AS file_exists, n % 8 = 3 AS error, n % 8 = 4 AS warning, n % 8 = 5 AS noncompliant FROM raw)"""
+LINKED = f"""{G}, {META}, p AS (SELECT * REPLACE (concat('EXP', CAST(o_custkey % (SELECT count(*) FROM supplier) AS VARCHAR), '.bed.gz') AS file_name) FROM (SELECT {PEAK}, o_custkey FROM orders)), linked AS (SELECT p.chrom, p.start_pos, p.end_pos, g.gene_name AS gene, meta.tf AS regulator, meta.accession, p.signal_value
+ FROM p JOIN meta ON p.file_name = meta.file_name AND file_exists AND NOT error AND NOT noncompliant
  JOIN g ON p.chrom = g.seqname AND p.end_pos > g.start_pos AND p.start_pos < g.end_pos)"""
 OWN = f"{CNT}, o AS (SELECT * FROM c WHERE NOT starts_with(gene, '__')), {LEN}"
 TPM = f"{OWN}, tpm AS (SELECT sample, gene, (count / length) / sum(count / length) OVER (PARTITION BY sample) * 1e6 AS tpm FROM o JOIN l USING (gene))"
@@ -157,7 +157,7 @@ UNION ALL SELECT sample, 'meta:no_feature', count FROM c WHERE gene = '__no_feat
     "exp_lengths": f"""WITH {H}, e AS (SELECT regulator AS gene, seqname, start_pos, stop_pos + 40 AS end_pos FROM h), f AS (SELECT *, CASE WHEN start_pos <= max(end_pos) OVER (PARTITION BY gene, seqname ORDER BY start_pos, end_pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS nw FROM e),
 r AS (SELECT *, sum(nw) OVER (PARTITION BY gene, seqname ORDER BY start_pos, end_pos ROWS UNBOUNDED PRECEDING) AS run FROM f), u AS (SELECT gene, max(end_pos) - min(start_pos) + 1 AS n FROM r GROUP BY gene, seqname, run)
 SELECT a.gene, round(a.x / 1000.0, 6) AS length, round(b.x / 1000.0, 6) AS merged FROM (SELECT gene, CAST(sum(end_pos - start_pos + 1) AS DOUBLE) AS x FROM e GROUP BY gene) a JOIN (SELECT gene, CAST(sum(n) AS DOUBLE) AS x FROM u GROUP BY gene) b ON a.gene = b.gene""",
-    "exp_t2g": f"WITH {TPM} SELECT sample, p_brand AS gene, round(sum(tpm), 4) AS tpm FROM tpm JOIN part ON CAST(p_partkey AS VARCHAR) = tpm.gene AND p_partkey % 10 < 9 GROUP BY sample, p_brand",
+    "exp_t2g": f"WITH {TPM} SELECT sample, p_brand AS gene, round(sum(tpm), 4) AS tpm FROM tpm JOIN part ON CAST(p_partkey AS VARCHAR) = tpm.gene GROUP BY sample, p_brand",
     "exp_unknown": f"WITH {OWN} SELECT DISTINCT gene FROM o WHERE gene NOT IN (SELECT gene FROM l WHERE CAST(gene AS BIGINT) % 5 <> 0)",
     "enc_metadata": f"WITH {META} SELECT * FROM meta",
     "enc_batch_link": f"WITH {LINKED} SELECT * FROM linked",
@@ -171,3 +171,4 @@ SELECT gene AS target, regulator, sum(signal_value) AS score FROM m GROUP BY gen
     "set_symdiff": f"WITH {WITH_PEAKS} (SELECT seqname, start_pos FROM g EXCEPT SELECT chrom, start_pos FROM p) UNION ALL (SELECT chrom, start_pos FROM p EXCEPT SELECT seqname, start_pos FROM g)",
     "set_shared": f"WITH {WITH_PEAKS} SELECT seqname FROM g INTERSECT SELECT chrom FROM p",
 }
+ORACLE_SQL |= {f"{k}_all": ORACLE_SQL[k] for k in ("jn_link_intergenic", "jn_link_distance", "enc_metadata", "enc_batch_link", "enc_prior", "enc_quality", "dst_peaks")}

@@ -153,7 +153,7 @@ def jn_intersect_frac(s, d):
 
 
 def _windows(s, d):
-    return genes.promoter_windows(genes.with_tss(v.genes(s, d).filter("CAST(gene_name AS BIGINT) % 4 = 0")), (500, 100), use_tss=True)
+    return genes.promoter_windows(genes.with_tss(v.genes(s, d)), (500, 100), use_tss=True)
 
 
 @query
@@ -166,19 +166,8 @@ def jn_link_distance(s, d):
     return intervals.link_peaks(v.peaks(s, d), _windows(s, d), distance=True).select("chrom", "start_pos", "end_pos", "gene", "distance")
 
 
-def _all_windows(s, d):
-    return genes.promoter_windows(genes.with_tss(v.genes(s, d)), (500, 100), use_tss=True)
-
-
-@query
-def jn_link_intergenic_all(s, d):
-    """jn_link_intergenic is bound to SQL over a quarter of the genes; this links them all."""
-    return intervals.link_peaks(v.peaks(s, d), _all_windows(s, d), intergenic=True).select("chrom", "start_pos", "end_pos", "strand", "gene", "file_name")
-
-
-@query
-def jn_link_distance_all(s, d):
-    return intervals.link_peaks(v.peaks(s, d), _all_windows(s, d), distance=True).select("chrom", "start_pos", "end_pos", "gene", "distance")
+# the same queries, by names under which they were registered while these were bound to a part of the genes
+QUERIES["jn_link_intergenic_all"], QUERIES["jn_link_distance_all"] = jn_link_intergenic, jn_link_distance
 
 
 @query
@@ -361,7 +350,7 @@ def exp_lengths(s, d):
 
 @query
 def exp_t2g(s, d):
-    t2g = s.read.parquet(f"{d}/part.parquet").filter("p_partkey % 10 < 9").selectExpr("CAST(p_partkey AS STRING) AS transcript", "p_brand AS gene")
+    t2g = s.read.parquet(f"{d}/part.parquet").selectExpr("CAST(p_partkey AS STRING) AS transcript", "p_brand AS gene")
     tpm = expression.tpm(_counted(s, d), v.lengths(s, d)).withColumnRenamed("gene", "transcript")
     return expression.transcripts_to_genes(tpm, t2g).select("sample", "gene", F.round("tpm", 4).alias("tpm"))
 
@@ -372,10 +361,12 @@ def exp_unknown(s, d):
 
 
 def _metadata(s, d):
-    raw = s.read.parquet(f"{d}/supplier.parquet").filter("s_suppkey < 8").selectExpr(
+    """Metadata of every supplier. Files and audit flags recur with the row, without a bound on ids."""
+    rows = s.read.parquet(f"{d}/supplier.parquet")
+    raw = rows.selectExpr(
         "concat('EXP', CAST(s_suppkey AS STRING)) AS `File accession`", "concat(CASE WHEN s_suppkey % 2 = 0 THEN 'hum' ELSE 'MAX' END, CAST(s_suppkey % 3 AS STRING), '-human') AS `Experiment target`",
-        "CASE WHEN s_suppkey = 3 THEN 'bad' END AS `Audit ERROR`", "CASE WHEN s_suppkey = 4 THEN 'hm' END AS `Audit WARNING`", "CASE WHEN s_suppkey = 5 THEN 'no' END AS `Audit NOT_COMPLIANT`")
-    files = s.read.parquet(f"{d}/supplier.parquet").filter("s_suppkey < 7").selectExpr("concat('EXP', CAST(s_suppkey AS STRING), '.bed.gz') AS file_name")
+        "CASE WHEN s_suppkey % 8 = 3 THEN 'bad' END AS `Audit ERROR`", "CASE WHEN s_suppkey % 8 = 4 THEN 'hm' END AS `Audit WARNING`", "CASE WHEN s_suppkey % 8 = 5 THEN 'no' END AS `Audit NOT_COMPLIANT`")
+    files = rows.filter("s_suppkey % 8 <> 7").selectExpr("concat('EXP', CAST(s_suppkey AS STRING), '.bed.gz') AS file_name")
     return tables.encode_metadata(raw, files)
 
 
@@ -385,8 +376,8 @@ def enc_metadata(s, d):
 
 
 def _linked(s, d):
-    p = v.peaks(s, d).withColumn("file_name", F.concat("file_name", F.lit(".bed.gz")))
-    return peaks.batch_link(p, _metadata(s, d), genes.with_tss(v.bodies(s, d)))
+    n = s.read.parquet(f"{d}/supplier.parquet").agg(F.count(F.lit(1)).alias("_n"))
+    return peaks.batch_link(v.peaks_of(s, d, n), _metadata(s, d), genes.with_tss(v.bodies(s, d)))
 
 
 @query
@@ -396,7 +387,7 @@ def enc_batch_link(s, d):
 
 @query
 def enc_prior(s, d):
-    return peaks.peak_prior(_linked(s, d).dropDuplicates(["chrom", "start_pos", "end_pos", "gene", "regulator", "accession", "signal_value"]).groupBy("chrom", "start_pos", "end_pos", "gene", "regulator", "accession").agg(F.max("signal_value").alias("signal_value")), v.mask(s, d), 0.5)
+    return peaks.peak_prior(_linked(s, d).groupBy("chrom", "start_pos", "end_pos", "gene", "regulator", "accession").agg(F.max("signal_value").alias("signal_value")), v.mask(s, d), 0.5)
 
 
 @query
@@ -409,45 +400,8 @@ def dst_peaks(s, d):
     return peaks.distinct_peaks(_linked(s, d)).select("chrom", "start_pos", "end_pos", "gene", "regulator", "accession")
 
 
-def _all_metadata(s, d):
-    """Metadata of every supplier. Files and audit flags recur with the row, without a bound on ids."""
-    rows = s.read.parquet(f"{d}/supplier.parquet")
-    raw = rows.selectExpr(
-        "concat('EXP', CAST(s_suppkey AS STRING)) AS `File accession`", "concat(CASE WHEN s_suppkey % 2 = 0 THEN 'hum' ELSE 'MAX' END, CAST(s_suppkey % 3 AS STRING), '-human') AS `Experiment target`",
-        "CASE WHEN s_suppkey % 8 = 3 THEN 'bad' END AS `Audit ERROR`", "CASE WHEN s_suppkey % 8 = 4 THEN 'hm' END AS `Audit WARNING`", "CASE WHEN s_suppkey % 8 = 5 THEN 'no' END AS `Audit NOT_COMPLIANT`")
-    files = rows.filter("s_suppkey % 8 <> 7").selectExpr("concat('EXP', CAST(s_suppkey AS STRING), '.bed.gz') AS file_name")
-    return tables.encode_metadata(raw, files)
-
-
-def _all_linked(s, d):
-    n = s.read.parquet(f"{d}/supplier.parquet").agg(F.count(F.lit(1)).alias("_n"))
-    return peaks.batch_link(v.peaks_of(s, d, n), _all_metadata(s, d), genes.with_tss(v.bodies(s, d)))
-
-
-@query
-def enc_metadata_all(s, d):
-    """enc_metadata and the queries after it are bound to SQL over seven rows; these take the whole table."""
-    return _all_metadata(s, d).select("accession", "tf", "file_name", "file_exists", "error", "warning", "noncompliant")
-
-
-@query
-def enc_batch_link_all(s, d):
-    return _all_linked(s, d).select("chrom", "start_pos", "end_pos", "gene", "regulator", "accession", "signal_value")
-
-
-@query
-def enc_prior_all(s, d):
-    return peaks.peak_prior(_all_linked(s, d).groupBy("chrom", "start_pos", "end_pos", "gene", "regulator", "accession").agg(F.max("signal_value").alias("signal_value")), v.mask(s, d), 0.5)
-
-
-@query
-def enc_quality_all(s, d):
-    return peaks.quality_report(_all_metadata(s, d))
-
-
-@query
-def dst_peaks_all(s, d):
-    return peaks.distinct_peaks(_all_linked(s, d)).select("chrom", "start_pos", "end_pos", "gene", "regulator", "accession")
+# the same queries, by names under which they were registered while these were bound to a part of the metadata
+QUERIES.update({f"{f.__name__}_all": f for f in (enc_metadata, enc_batch_link, enc_prior, enc_quality, dst_peaks)})
 
 
 @query

@@ -11,5 +11,4 @@ T2G = "transcript string, gene string"
 TF_INFO_KEYS = ("Motif_ID", "Motif_Name")
 FIMO = "motif_id string, motif_alt_id string, sequence_name string, start bigint, stop bigint, strand string, score double, p_value double, q_value double, matched_sequence string"
 HOMER_FIND = "sequence_id string, offset bigint, matched string, motif_id string, strand string, odds double"
-ENCODE = "file_accession, target, file_format"
 EDGE = "regulator string, target string, n_sites bigint, score double, motif_ic double, start_pos bigint, stop_pos bigint, chromosome string"

@@ -184,3 +184,49 @@ def test_stream_join(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [r.target for r in spark.sql("SELECT * FROM near").collect()] == ["g"]
+
+
+def test_fasta_headers_with_signs_and_stray_text(spark, tmp_path):
+    import pytest
+
+    from regnet.sources import annotation
+
+    good = tmp_path / "good.fa"
+    good.write_text("\n# a comment\n>s1 5->3 > x\nACGT\n# inside\nacg t\n\n>s2\r\nGG\r\nTT\r\n>s3\n")
+    assert {r.seqname: r.seq for r in annotation.read_fasta(spark, str(good)).collect()} == {"s1": "ACGTacgt", "s2": "GGTT", "s3": ""}
+    bad = tmp_path / "bad.fa"
+    bad.write_text("ACGT\n>s1\nACGT\n")
+    for path in (str(bad), [str(good), str(bad)]):
+        with pytest.raises(ValueError):
+            annotation.read_fasta(spark, path)
+
+
+def test_extract_across_tiles(spark):
+    from regnet.operators import intervals
+
+    seq = "".join("ACGT"[(i * i) % 4] if i % 3 else "N" for i in range(100))
+    s = spark.createDataFrame([("a", seq), ("b", "AC"), ("e", "")], "seqname string, seq string")
+    rows = [("a", 0, 100), ("a", 5, 25), ("a", 5, 25), ("a", 10, 10), ("a", 95, 130), ("a", 200, 210), ("b", 0, 2), ("e", 0, 1), ("none", 0, 5)]
+    bed = spark.createDataFrame(rows, "chrom string, start_pos long, end_pos long")
+    text = {"a": seq, "b": "AC", "e": ""}
+    want = sorted((f"{c}:{a}-{b}", c, a, b, text[c][a:b]) for c, a, b in rows if c in text)
+    for tile in (7, 10, 65536):
+        assert sorted(tuple(r) for r in intervals.extract(s, bed, tile=tile).collect()) == want
+
+
+def test_collapse_takes_the_smallest_of_equally_common_values(spark):
+    from regnet.operators import genes
+
+    rows = [("g", "chr2", "+", 5, 9, False), ("g", "chr1", "+", 2, 4, True), ("g", None, "-", 7, 12, False), ("h", None, None, 1, 2, False), (None, "chr1", "+", 1, 2, True), ("h", "x", "+", None, 2, True)]
+    df = spark.createDataFrame(rows, "gene_name string, seqname string, strand string, start_pos long, end_pos long, coding boolean")
+    got = genes.collapse(df, flags=("coding",)).select("gene_name", "seqname", "strand", "start_pos", "end_pos", "coding").collect()
+    assert {tuple(r) for r in got} == {("g", "chr1", "+", 2, 12, True), ("h", None, None, 1, 2, False)}
+
+
+def test_islands_with_lone_and_bare_hits(spark):
+    from regnet.operators import sites
+
+    rows = [("t", "r", 1, 3, 9.0, [1.0, 2.0, 3.0]), ("t", "r", 10, 12, 5.0, [1.0, 5.0, 1.0]), ("t", "r", 11, 13, 4.0, [2.0, 2.0, 9.0, 99.0]), ("t", "r", 30, 31, 7.0, None), ("t", "r", 40, 42, 6.0, [])]
+    df = spark.createDataFrame(rows, "target string, regulator string, start_pos long, stop_pos long, score double, per_base array<double>")
+    got = {(r.start_pos, r.stop_pos): r.score for r in sites.merge_islands(df).collect()}
+    assert got == {(1, 3): 9.0, (10, 13): 1.0 + 5.0 + 2.0 + 9.0, (30, 31): 7.0, (40, 42): 6.0}
