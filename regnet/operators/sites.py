@@ -20,13 +20,17 @@ def islands(hits: DataFrame, keys: tuple[str, ...] = KEYS, gap: int | None = Non
 def merge_islands(hits: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """One site per island: outer bounds; the score of a lone hit, else the sum over bases of the highest per-base score.
     per_base is laid on the bases from start_pos on, as given."""
-    # bases stay in the partition of their keys, where the islands were numbered: no exchange follows
-    bases = islands(hits, keys).select(*keys, "island", "start_pos", "stop_pos", F.col("score").cast("double").alias("score"), F.posexplode_outer("per_base").alias("_i", "_s"))
-    bases = bases.withColumn("_i", F.coalesce("_i", F.lit(0))).filter("_i = 0 OR start_pos + _i <= stop_pos")
+    # a hit that neither joins the one before nor is joined by the next is a site as it is; bases of the others stay in the
+    # partition of their keys, where the islands were numbered, so that no exchange follows
+    near = Window.partitionBy(*keys).orderBy("start_pos", "stop_pos")
+    lone = ~F.coalesce(F.col("start_pos") < F.lag("stop_pos").over(near), F.lit(False)) & ~F.coalesce(F.lead("start_pos").over(near) < F.col("stop_pos"), F.lit(False))
+    marked = islands(hits, keys).withColumn("_lone", lone)
+    score = F.col("score").cast("double")
+    base = F.when(F.col("_lone"), F.array(F.struct(F.lit(0).alias("i"), score.alias("s")))).otherwise(F.transform("per_base", lambda x, i: F.struct(i.alias("i"), x.cast("double").alias("s"))))
+    bases = marked.select(*keys, "island", "start_pos", "stop_pos", F.explode(base).alias("_b")).select(*keys, "island", "start_pos", "stop_pos", (F.col("start_pos") + F.col("_b.i")).alias("_base"), F.col("_b.s").alias("_s"))
     bounds = [F.min("start_pos").alias("start_pos"), F.max("stop_pos").alias("stop_pos")]
-    best = bases.groupBy(*keys, "island", (F.col("start_pos") + F.col("_i")).alias("_base")).agg(F.max(F.when(F.col("start_pos") + F.col("_i") <= F.col("stop_pos"), F.col("_s"))).alias("_s"), *bounds, F.count_if(F.col("_i") == 0).alias("_n"), F.max("score").alias("score"))
-    out = best.groupBy(*keys, "island").agg(*bounds, F.when(F.sum("_n") == 1, F.max("score")).otherwise(F.sum("_s")).alias("score"))
-    return out.select(*keys, "start_pos", "stop_pos", "score")
+    best = bases.filter("_base <= stop_pos").groupBy(*keys, "island", "_base").agg(F.max("_s").alias("_s"), *bounds)
+    return best.groupBy(*keys, "island").agg(*bounds, F.sum("_s").alias("score")).drop("island")
 
 
 def score_sites(hits: DataFrame, max_gap: int = 100, min_score: float | None = None, keys: tuple[str, ...] = KEYS, always_pair: bool = False) -> DataFrame:
