@@ -79,7 +79,8 @@ def fingerprint(text: Column) -> Column:
 
 
 def with_next(documents: DataFrame) -> DataFrame:
-    """doc_id, text and next: the text of the next row by descending doc_id, of the first row for the last.
+    """doc_id, text, own (its chosen grams, made once, after the shuffle) and next, next_own: those of the next row by
+    descending doc_id, of the first row for the last.
 
     Rows are dealt to ranges of doc_id by approximate quantiles and ordered inside each; the first row of the next
     range is dealt to a range as well, behind its own rows. Bounds and first ids are MAX_RANGES numbers at most."""
@@ -104,9 +105,11 @@ def with_next(documents: DataFrame) -> DataFrame:
     here = F.struct(F.col("home").alias("range"), F.lit(False).alias("guest"))
     there = F.struct(F.col("to").alias("range"), F.lit(True).alias("guest"))
     d = d.select("doc_id", "text", F.explode(F.when(F.col("to").isNull(), F.array(here)).otherwise(F.array(here, there))).alias("at"))
+    # own is made where the rows of a range have met, so that it isn't shuffled
+    d = d.select("doc_id", "text", "at.range", "at.guest").repartition("range").withColumn("own", fingerprint(F.col("text")))
     order = Window.partitionBy("range").orderBy("guest", F.desc_nulls_last("doc_id"), "text")
-    d = d.select("doc_id", "text", "at.range", "at.guest").withColumn("next", F.lead("text").over(order))
-    return d.filter(~F.col("guest")).select("doc_id", "text", "next")
+    d = d.withColumn("next", F.lead("text").over(order)).withColumn("next_own", F.lead("own").over(order))
+    return d.filter(~F.col("guest")).select("doc_id", "text", "own", "next", "next_own")
 
 
 def fingerprints(documents: DataFrame) -> DataFrame:
@@ -114,13 +117,13 @@ def fingerprints(documents: DataFrame) -> DataFrame:
     d = with_next(documents)
     n = F.length("text")
     d = d.withColumn("n", n).withColumn("cut", F.floor(F.col("n") / 3).cast("int"))
-    d = d.select("doc_id", "text", "next", "n", F.expr("substring(text, 1, n - cut)").alias("kept"), F.expr("substring(text, n - cut + 1, cut)").alias("lost"), F.expr("substring(next, 1, cut)").alias("head"))
+    d = d.select("doc_id", "own", "next_own", "n", F.expr("substring(text, 1, n - cut)").alias("kept"), F.expr("substring(next, 1, cut)").alias("head"))
     cut_words = lambda c: F.split(F.col(c), SPACE + "+", -1)
-    d = d.select("doc_id", "next", "n", F.sha2(F.concat("kept", "head"), 256).alias("edited_sha256"), cut_words("kept").alias("p"), cut_words("lost").alias("q"), cut_words("head").alias("r"))
+    d = d.select("doc_id", "own", "next_own", "n", F.sha2(F.concat("kept", "head"), 256).alias("edited_sha256"), cut_words("kept").alias("p"), cut_words("head").alias("r"))
     # the word at the cut is made of both sides' outer pieces; empty pieces are white space at an end
-    joined = lambda tail: F.filter(F.concat(F.slice("p", F.lit(1), F.size("p") - 1), F.array(F.concat(F.element_at("p", -1), F.get(F.col(tail), F.lit(0)))), _shift(F.col(tail), 1)), lambda w: w != "")
-    d = d.select("doc_id", "n", "edited_sha256", chosen(gram_hashes(joined("q"))).alias("own"), chosen(gram_hashes(joined("r"))).alias("edited"), fingerprint(F.col("next")).alias("next"))
-    d = d.select("*", hashes_of(F.col("own")).alias("a"), hashes_of(F.col("edited")).alias("b"), hashes_of(F.col("next")).alias("c"))
+    joined = F.filter(F.concat(F.slice("p", F.lit(1), F.size("p") - 1), F.array(F.concat(F.element_at("p", -1), F.get("r", F.lit(0)))), _shift(F.col("r"), 1)), lambda w: w != "")
+    d = d.select("doc_id", "n", "edited_sha256", "own", chosen(gram_hashes(joined)).alias("edited"), "next_own")
+    d = d.select("*", hashes_of(F.col("own")).alias("a"), hashes_of(F.col("edited")).alias("b"), hashes_of(F.col("next_own")).alias("c"))
     return d.select(
         "doc_id", F.col("n").cast("long").alias("n_chars"), "edited_sha256", said(F.col("own")).alias("fingerprint"), said(F.col("edited")).alias("edited_fingerprint"),
         likeness(F.col("a"), F.col("b")).alias("near_edited"), likeness(F.col("a"), F.col("c")).alias("near_next"),
