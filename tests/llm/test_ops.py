@@ -1,12 +1,15 @@
 """Each operator against plain Python over small tables with edge cases."""
 
+import functools
 import hashlib
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from regnet.llm import bitmaps, decontaminate, line_dedup, mixing, ngram_join, quality, secrets, suffix_dedup, token_counts, warc, winnowing
@@ -188,6 +191,19 @@ def test_decontamination_effects(docs, rows, benchmark):
     assert decontaminate.contamination(docs, benchmark.limit(0)).filter("contaminated").count() == 0
 
 
+def brute_fingerprint(text):
+    """(hash, place) of the least gram hash of each window, the rightmost on ties; XXH64 as in Spark, seeds chained."""
+    chain = lambda *x: functools.reduce(lambda seed, h: xxhash.xxh64_intdigest(h.to_bytes(8, "little"), seed), x, 42)
+    one = [xxhash.xxh64_intdigest(w.encode(), 42) for w in re.split("[\x20\x09-\x0d]+", text) if w]
+    if len(one) < winnowing.GRAM:
+        grams = [chain(*one)] if one else []
+    else:
+        grams = [chain(chain(chain(*one[i : i + 2]), chain(*one[i + 2 : i + 4])), one[i + 4]) for i in range(len(one) - 4)]
+    placed = [(h & 0xFFFFFFFF, -i) for i, h in enumerate(grams)]
+    windows = [min(placed[i : i + winnowing.WINDOW]) for i in range(max(len(placed) - winnowing.WINDOW + 1, 1))] if placed else []
+    return [(h, -i) for h, i in dict.fromkeys(windows)]
+
+
 @pytest.mark.parametrize("per", [20, 10**6])
 def test_winnowing(docs, rows, per, monkeypatch):
     monkeypatch.setattr(winnowing, "ROWS_PER_RANGE", per)
@@ -199,6 +215,16 @@ def test_winnowing(docs, rows, per, monkeypatch):
         c = len(x) // 3
         want[(r.doc_id, len(x), sha(x[: len(x) - c] + y[:c]))] += 1
     assert counted(got, "doc_id", "n_chars", "edited_sha256") == want
+    prints = [brute_fingerprint(r.text or "") for r in order]
+    alike = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    named = Counter()
+    for i, r in enumerate(order):
+        x, y = r.text or "", order[(i + 1) % len(order)].text or ""
+        c, a = len(x) // 3, {h for h, _ in prints[i]}
+        edited = brute_fingerprint(x[: len(x) - c] + y[:c])
+        near = [round(alike(a, {h for h, _ in f}), 9) for f in (edited, prints[(i + 1) % len(order)])]
+        named[(r.doc_id, *(" ".join(f"{h:x}:{p}" for h, p in f) for f in (prints[i], edited)), *near)] += 1
+    assert counted(got.withColumn("e", F.round("near_edited", 9)).withColumn("x", F.round("near_next", 9)), "doc_id", "fingerprint", "edited_fingerprint", "e", "x") == named
     own = {r.doc_id: r for r in got.collect()}
     hashes = lambda f: {p.split(":")[0] for p in f.split()}
     for r in order:
@@ -489,7 +515,54 @@ def test_capped_targets():
     assert t["a"] == 30 and t[None] == 0 and abs(sum(t.values()) - 1060) < 1e-6
 
 
-def test_quality(spark, data, docs):
+def brute_features(text):
+    """The features by plain counting."""
+    data, grams = (text or "").encode(), np.zeros(quality.BUCKETS)
+    for n in quality.GRAMS:
+        found = Counter(data[i : i + n] for i in range(len(data) - n + 1))
+        for g, k in found.items():
+            code = int.from_bytes(bytes([n]) + g, "big") if n == 3 else n << 16 | int.from_bytes(g, "big")
+            grams[(code * 0x9E3779B97F4A7C15 % 2**64) >> (64 - 10)] += k / (len(data) - n + 1)
+    words, lines = (text or "").split(), [x for x in (text or "").split("\n") if x.strip()]
+    n, logs = len(words) or 1, np.log1p(len(words))
+    told = [len(set(words)) / n, sum(words[i] == words[i - 1] for i in range(1, len(words))) / n, max(Counter(words).values(), default=0) / n, len(set(lines)) / (len(lines) or 1), logs, logs**2 / 10, sum(map(len, words)) / n / 10]
+    return np.array([*np.sqrt(grams), *told]), len(data)
+
+
+def test_quality_against_plain_newton(spark, docs, data, monkeypatch):
+    """Features by counting; the loss over explicit pair differences, by Newton's method with whole matrices."""
+    monkeypatch.setattr(quality, "PAIRS", 3000)
+    labels = spark.read.parquet(f"{data}/labels.parquet")
+    known = {r.doc_id: r.quality for r in labels.collect() if r.quality is not None and zlib.crc32(str(r.doc_id).encode()) % 3 != 1}
+    rows = docs.select("doc_id", "text").collect()
+    train = [(known[r.doc_id], quality.features(r.text).tobytes(), brute_features(r.text)) for r in rows if r.doc_id in known]
+    train.sort(key=lambda t: t[:2])
+    y, x = np.array([t[0] for t in train]), np.array([t[2][0] for t in train])
+    sure = lambda n: np.array([[k / (k + quality.PRIOR_GRAMS)] * quality.BUCKETS + [1.0] * 7 for k in n])
+    mean, scale = x.mean(0), np.maximum(x.std(0), 1e-6)
+    z = np.clip((x - mean) / scale, -8, 8) * sure([t[2][1] for t in train])
+    rng = np.random.default_rng(5)
+    d = z[rng.choice(np.flatnonzero(y == 1), 3000)] - z[rng.choice(np.flatnonzero(y == 0), 3000)]
+    w = np.zeros(d.shape[1])
+    for _ in range(15):
+        p = 1 / (1 + np.exp(-(d @ w)))
+        h = (d * (p * (1 - p))[:, None]).T @ d / 3000 + quality.RIDGE * np.eye(len(w))
+        w -= np.linalg.solve(h, d.T @ (p - 1) / 3000 + quality.RIDGE * w)
+    s = z @ w
+    cut, slope = np.quantile(s, (y == 0).mean()), 4 / (np.median(s[y == 1]) - np.median(s[y == 0]))
+    want = {}
+    for r in rows:
+        f, n = brute_features(r.text)
+        want[r.doc_id] = 1 / (1 + np.exp(-slope * ((np.clip((f - mean) / scale, -8, 8) * sure([n])[0]) @ w - cut)))
+    by_text = {r.doc_id: r.text for r in rows}
+    got = quality.classify(docs, labels).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        if r.doc_id is not None and by_text[r.doc_id] is not None:
+            assert abs(r.score - want[r.doc_id]) < 5e-3
+
+
+def test_quality(spark, data, docs, monkeypatch):
     labels = spark.read.parquet(f"{data}/labels.parquet")
     got = quality.classify(docs, labels).join(labels, "doc_id").filter("held_out").toPandas()
     assert (got.predicted == got.quality).mean() > 0.9
@@ -501,6 +574,11 @@ def test_quality(spark, data, docs):
     assert [r.score for r in none] == [0.5]
     odd = spark.createDataFrame([(None, 1, 0), (1, None, 0), (10**9, 0, 0)], "doc_id long, quality int, toxic int").union(labels.select("doc_id", "quality", "toxic")).union(labels.select("doc_id", "quality", "toxic").limit(3))
     assert quality.classify(docs, odd).count() == docs.count()
+    assert quality.classify(docs.limit(0), labels).count() == 0
+    long = "abc Äö! " * 5000
+    whole = quality.features(long)
+    monkeypatch.setattr(quality, "SLICE", 1000)
+    assert (whole == quality.features(long)).all()
 
 
 def brute_lines(rows, chars=40, n=5):
