@@ -96,6 +96,11 @@ def same_motif(a: Column, b: Column, tolerance: float = 1e-8) -> Column:
     return (F.size(a) == F.size(b)) & F.forall(close, lambda c: F.coalesce(c, F.lit(False)))
 
 
+def equal_motifs(a: Column, b: Column) -> Column:
+    """Of two motif structs: the same id, name and matrix."""
+    return a["motif_id"].eqNullSafe(b["motif_id"]) & a["motif_name"].eqNullSafe(b["motif_name"]) & same_motif(a["pwm"], b["pwm"])
+
+
 def has_species(species: Column, name: str) -> Column:
     return F.exists(species, lambda s: F.contains(F.lower(s), F.lit(name.lower())))
 

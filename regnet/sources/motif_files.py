@@ -117,6 +117,14 @@ def assert_unique_ids(motifs: DataFrame) -> DataFrame:
     return motifs
 
 
+def pwm_report(spark: SparkSession, path: str, info: DataFrame) -> DataFrame:
+    """One row: files, those whose id info lacks (unknown), and those without a line of numbers (empty)."""
+    lines = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.[A-Za-z]+)?$", 1).alias("motif_id"), "value")
+    known = info.select(F.col("Motif_ID").alias("motif_id")).distinct().withColumn("_known", F.lit(True))
+    bare = ~F.rlike("value", F.lit(r"(?m)^\s*\d"))
+    return lines.join(known, "motif_id", "left").agg(F.count(F.lit(1)).alias("files"), F.count_if(F.col("_known").isNull()).alias("unknown"), F.count_if(bare).alias("empty"))
+
+
 def read_pwm_files(
     spark: SparkSession, path: str, info: DataFrame, *, direct_only: bool = False, indexed: bool = True, transpose: bool = False,
     name_column: str = "TF_Name", join_names: bool = True,

@@ -9,9 +9,10 @@ from ..functions.motif_math import LETTERS
 from ..operators.network import wide
 
 
-def write_table(df: DataFrame, path: str, *, header: bool = True, gzip: bool = False, single: bool = True) -> None:
+def write_table(df: DataFrame, path: str, *, header: bool = True, gzip: bool = False, single: bool = True, resume: bool = False) -> None:
+    """resume leaves a path that is there as it is."""
     out = df.coalesce(1) if single else df
-    out.write.mode("overwrite").option("sep", "\t").option("header", header).option("compression", "gzip" if gzip else "none").csv(path)
+    out.write.mode("ignore" if resume else "overwrite").option("sep", "\t").option("header", header).option("compression", "gzip" if gzip else "none").csv(path)
 
 
 def write_matrix(long: DataFrame, path: str, regulators: list[str], value: str = "score") -> None:
@@ -20,6 +21,16 @@ def write_matrix(long: DataFrame, path: str, regulators: list[str], value: str =
     write_table(wide(long.withColumn(value, F.col(value).cast("int")) if kind == "boolean" else long, regulators, value).orderBy("target"), path, gzip=True)
 
 
+def write_wide(long: DataFrame, path: str, row: str, column: str, value: str, *, resume: bool = False) -> None:
+    """One line per row, its values in order of column; every row must hold every column. There is no limit of columns."""
+    cells = F.sort_array(F.collect_list(F.struct(F.col(column).alias("k"), F.col(value).cast("string").alias("v"))))
+    lines = long.groupBy(F.col(row).alias("r")).agg(cells.alias("c"))
+    line = F.concat_ws("\t", "r", F.array_join("c.v", "\t", ""))
+    head = long.select(F.col(column).alias("k")).distinct().agg(F.array_join(F.sort_array(F.collect_list("k")), "\t").alias("h")).select(F.lit(0).alias("i"), F.lit("").alias("r"), F.concat_ws("\t", F.lit(row), "h").alias("value"))
+    body = lines.select(F.lit(1).alias("i"), "r", line.alias("value"))
+    head.unionByName(body).orderBy("i", "r").coalesce(1).select("value").write.mode("ignore" if resume else "overwrite").text(path)
+
+
 def write_hits(hits: DataFrame, path: str) -> None:
     write_table(hits.drop("per_base"), path, single=False)
 
