@@ -12,7 +12,8 @@ group is expanded into all pairs: first each node is verified against one node t
 list's most typical one); then only candidates in different components are enumerated and verified, so
 no link that could join two components is lost. Lists of more than HOT sets don't bring pairs together by
 themselves: a pair that shares c tokens of shorter lists has an overlap of c and the rest of the set whose prefix
-ends first at most, so members of a large group that differ in rarer tokens are ruled out before a row is made.
+ends first at most, so members of a large group that differ in rarer tokens are ruled out before a row is made. So
+are those whose sets' parity bitmaps differ in too many bits: no fewer tokens than bits are in one of the two sets only.
 Verification compares whole sets.
 
 Defined cases: null or empty text has no shingles and links with nothing; fewer words than a shingle are one
@@ -187,6 +188,12 @@ def place(tokens: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return (df << 40) | (tokens >> np.uint64(24)).astype(np.int64)
 
 
+def marks(tokens: np.ndarray) -> list[int]:
+    """The set's parity bitmap: bit k tells whether an odd number of its tokens fall on k."""
+    odd = np.bincount((tokens >> np.uint64(20)).astype(np.int64) % (64 * len(_MARKS)), minlength=64 * len(_MARKS)) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64).tolist()
+
+
 def _places(tokens: np.ndarray, bits: int) -> np.ndarray:
     """Two bit positions of each token."""
     mask = np.uint64(bits - 1)
@@ -208,6 +215,8 @@ _PACKED = pa.schema([("part", pa.int32()), ("hot", pa.bool_()), ("tokens", pa.bi
 _PACKED_DDL = "part int, hot boolean, tokens binary, sids binary, runs binary, sets binary"
 #: Numbers of a set, end to end: its id, size, tokens outside the prefix, l, how typical it is, place of the prefix's last token.
 _SET = ["sid", "n", "free", "l", "typical", "last"]
+#: Parity bitmap of a whole set (256 bits): sets of up to some 500 shingles that differ too much are told apart by it.
+_MARKS = ["m0", "m1", "m2", "m3"]
 
 
 def _dealt(tokens: np.ndarray, sids: np.ndarray, hot: np.ndarray, sets: np.ndarray, parts: int) -> pa.RecordBatch:
@@ -247,7 +256,7 @@ def _prefixes(counts: object, hot_from: int, size: int, percent: int, parts: int
             for sid, t in _sets_once(b, powers, seen, size):
                 p, best, typical = prefix(t, counts.value, percent)
                 tokens.append(p)
-                sets.append((sid, len(t), len(t) - len(p), best, round(typical * 1000), int(place(p[-1:], counts.value)[0])))
+                sets.append((sid, len(t), len(t) - len(p), best, round(typical * 1000), int(place(p[-1:], counts.value)[0]), *marks(t)))
                 held += len(p)
                 if held >= PACK:
                     yield packed()
@@ -260,11 +269,11 @@ def _prefixes(counts: object, hot_from: int, size: int, percent: int, parts: int
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Tokens of more than one set, with the sets, each once; and a row (token null) for each set."""
-    tokens, sids, hot, sets = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)], [np.zeros((0, len(_SET)), np.int64)]
+    tokens, sids, hot, sets = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)], [np.zeros((0, len(_SET) + len(_MARKS)), np.int64)]
     for b in batches:
         for row in b.to_pylist():
             if row["sets"] is not None:
-                sets.append(np.frombuffer(row["sets"], np.int64).reshape(-1, len(_SET)))
+                sets.append(np.frombuffer(row["sets"], np.int64).reshape(-1, len(_SET) + len(_MARKS)))
             else:
                 tokens.append(np.frombuffer(row["tokens"], np.uint64))
                 sids.append(np.repeat(np.frombuffer(row["sids"], np.int64), np.frombuffer(row["runs"], np.int32)))
@@ -277,14 +286,14 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     same = t[1:] == t[:-1]
     keep = h | np.r_[False, same][: len(t)] | np.r_[same, False][: len(t)]
     t, s = t[keep].view(np.int64), s[keep]
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), *[pa.int64() for _ in _MARKS]]
     for i in range(0, len(t), 100_000):
         n = len(t[i : i + 100_000])
-        yield pa.RecordBatch.from_arrays([pa.array(t[i : i + n]), pa.array(s[i : i + n]), *[pa.nulls(n, k) for k in kinds[2:]]], ["token", *_SET])
+        yield pa.RecordBatch.from_arrays([pa.array(t[i : i + n]), pa.array(s[i : i + n]), *[pa.nulls(n, k) for k in kinds[2:]]], ["token", *_SET, *_MARKS])
     every = every[np.unique(every[:, 0], return_index=True)[1]]
     for i in range(0, len(every), 100_000):
         x = every[i : i + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(x), kinds[0]), *[pa.array(np.ascontiguousarray(c)).cast(k) for c, k in zip(x.T, kinds[1:], strict=True)]], ["token", *_SET])
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(x), kinds[0]), *[pa.array(np.ascontiguousarray(c)).cast(k) for c, k in zip(x.T, kinds[1:], strict=True)]], ["token", *_SET, *_MARKS])
 
 
 def _wanted(b: pa.RecordBatch) -> Iterator[np.ndarray]:
@@ -353,10 +362,10 @@ def grouped(documents: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -
     parts = max(1, (base.agg(F.sum("n")).first()[0] or 0) * (100 - percent) // 100 // PART_TOKENS)
     hot_from = HOT_DF + 8 * math.isqrt(counts_load)  # over what chance adds to a counter
     packed = text.mapInArrow(_prefixes(counts, hot_from, size, percent, parts), _PACKED_DDL)
-    shared = stored(packed.repartition(parts, "part").mapInArrow(_shared, "token long, sid long, n int, free int, l int, typical int, last long"), "shared")
+    shared = stored(packed.repartition(parts, "part").mapInArrow(_shared, "token long, sid long, n int, free int, l int, typical int, last long, m0 long, m1 long, m2 long, m3 long"), "shared")
     post = shared.filter("token IS NOT NULL").select("token", "sid")
     # tokens of no other set can't be shared
-    sets = shared.filter("token IS NULL").drop("token").join(post.groupBy("sid").agg(F.count(F.lit(1)).alias("own")), "sid")
+    sets = shared.filter("token IS NULL").select(*_SET).join(post.groupBy("sid").agg(F.count(F.lit(1)).alias("own")), "sid")
     sets = sets.withColumn("most", (F.col("free") + F.col("own")).cast("int")).drop("own").filter(F.col("most") * 100 >= F.col("n") * percent)
     postings = stored(post.join(sets, "sid"), "postings")
 
@@ -380,16 +389,20 @@ def grouped(documents: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -
 
     labels = components(links)
     hot = pivots.filter(F.col("lists") > HOT).select("token", F.lit(True).alias("hot"))
-    at = postings.join(hot, "token", "left").withColumn("hot", F.coalesce("hot", F.lit(False))).join(labels.withColumnRenamed("node", "sid"), "sid", "left")
+    at = postings.join(hot, "token", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    at = at.join(shared.filter("token IS NULL").select("sid", F.array(*_MARKS).alias("marks")).join(labels.withColumnRenamed("node", "sid"), "sid", "left"), "sid")
     own = F.sum(F.col("hot").cast("int")).over(Window.partitionBy("sid"))  # of a set's prefix
-    at = at.select("token", "sid", *cols, "hot", (F.col("free") + own).alias("warm"), F.coalesce("label", "sid").alias("label"))
+    at = at.select("token", "sid", *cols, "hot", (F.col("free") + own).alias("warm"), F.coalesce("label", "sid").alias("label"), F.when(F.col("hot"), F.col("marks")).alias("marks"))
     split = at.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("token")
     at = stored(at.join(split, "token"), "split-lists")
-    carried = (*cols, "warm", "label")
+    carried = (*cols, "warm", "label", "marks")
     rest = at.withColumnRenamed("sid", "a").join(at.select("token", F.col("sid").alias("b"), *[F.col(c).alias(f"b{c}") for c in carried]), "token")
     warm = bound(col("warm"), col("last"), other_col("warm"), other_col("last"))  # at most so many shared tokens that aren't in shorter lists
     most = F.when(F.col("hot"), warm).otherwise(bound(col("most"), col("last"), other_col("most"), other_col("last")))
     rest = rest.filter((F.col("label") < F.col("blabel")) & alike(most, col("n"), other_col("n")))
+    apart = sum((F.bit_count(F.col("marks")[i].bitwiseXOR(F.col("bmarks")[i])) for i in range(len(_MARKS))), F.lit(0))  # at least so many tokens are in one set only
+    both = F.col("n") + F.col("bn")
+    rest = rest.filter(~F.col("hot") | ((both - apart) * (100 + percent) >= 2 * percent * both))
     rest = rest.select("a", "b", "hot", F.least("l", "bl").alias("l"), warm.alias("warm"), (F.col("n") + F.col("bn")).alias("both"))
     rest = rest.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.count_if(~F.col("hot")).alias("cold"), *[F.min(c).alias(c) for c in ("l", "warm", "both")])
     reach = lambda overlap: overlap * (100 + percent) >= F.col("both") * percent
