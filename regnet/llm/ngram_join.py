@@ -388,13 +388,15 @@ def grouped(documents: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -
     links = verified(star, docs, size, percent)
 
     labels = components(links)
-    hot = pivots.filter(F.col("lists") > HOT).select("token", F.lit(True).alias("hot"))
-    at = postings.join(hot, "token", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
-    at = at.join(shared.filter("token IS NULL").select("sid", F.array(*_MARKS).alias("marks")).join(labels.withColumnRenamed("node", "sid"), "sid", "left"), "sid")
+    named = labels.withColumnRenamed("node", "sid")
+    met = postings.select("token", "sid").join(named, "sid", "left").groupBy("token").agg(*[f(F.coalesce("label", "sid")).alias(n) for f, n in ((F.min, "lo"), (F.max, "hi"))], F.count(F.lit(1)).alias("lists"))
+    met = met.select("token", (F.col("lists") > HOT).alias("hot"), (F.col("lo") < F.col("hi")).alias("split")).filter("hot OR split")
+    # tokens go to their sets alone; what is told of a set meets them there
+    each = postings.select("sid", "free", *cols).dropDuplicates(["sid"]).join(shared.filter("token IS NULL").select("sid", F.array(*_MARKS).alias("marks")), "sid")
+    at = postings.select("token", "sid").join(met, "token").join(each.join(named, "sid", "left"), "sid")
     own = F.sum(F.col("hot").cast("int")).over(Window.partitionBy("sid"))  # of a set's prefix
-    at = at.select("token", "sid", *cols, "hot", (F.col("free") + own).alias("warm"), F.coalesce("label", "sid").alias("label"), F.when(F.col("hot"), F.col("marks")).alias("marks"))
-    split = at.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("token")
-    at = stored(at.join(split, "token"), "split-lists")
+    at = at.select("token", "sid", *cols, "hot", "split", (F.col("free") + own).alias("warm"), F.coalesce("label", "sid").alias("label"), F.when(F.col("hot"), F.col("marks")).alias("marks"))
+    at = stored(at.filter("split").drop("split"), "split-lists")
     carried = (*cols, "warm", "label", "marks")
     rest = at.withColumnRenamed("sid", "a").join(at.select("token", F.col("sid").alias("b"), *[F.col(c).alias(f"b{c}") for c in carried]), "token")
     warm = bound(col("warm"), col("last"), other_col("warm"), other_col("last"))  # at most so many shared tokens that aren't in shorter lists
