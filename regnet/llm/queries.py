@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, line_dedup, mixing, ngram_join, quality, secrets, suffix_dedup, token_counts, warc, winnowing
+from . import conversation_trie, decontaminate, line_dedup, mixing, ngram_join, quality, secrets, suffix_dedup, token_counts, warc, winnowing
 from .common import table
 
 
@@ -54,9 +54,13 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents"), digest=True)
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_warc, op2_secret_scan, op3_benchmark_decontamination, op4_winnowing, op5_token_counts, op6_suffix_array_dedup, op7_ngram_jaccard_join,
-    op8_source_mixing, op9_quality_ranking, op10_line_dedup,
+    op8_source_mixing, op9_quality_ranking, op10_line_dedup, op13_conversation_trie,
 )}
 
 _LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -116,4 +120,21 @@ f AS (SELECT l.r, l.i, l.line, common.k IS NOT NULL AND l.doc_id IS DISTINCT FRO
 SELECT any_value(doc_id) AS doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(*) FILTER (gone) AS BIGINT) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
 FROM f JOIN d USING (r) GROUP BY r""".replace(r"\\x", r"\x"),
+    "op13_conversation_trie": r"""
+WITH RECURSIVE tab AS (SELECT list(CAST(list_reduce(list_prepend(i, range(8)), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS BIGINT) ORDER BY i) AS ct FROM range(256) r(i)),
+t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS p,
+      sha256(concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, ''))) AS g, CAST(length(coalesce(text, '')) AS BIGINT) AS chars FROM conversations WHERE conv_id IS NOT NULL),
+cs AS (SELECT c, c - c % 100 AS b, CASE WHEN c % 100 = 0 THEN 0 ELSE xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+        lambda acc, x: xor(acc >> 8, ct[CAST((xor(acc, x) & 255) + 1 AS INT)])), 4294967295) % 6 END AS h FROM (SELECT DISTINCT c FROM t), tab),
+r AS (SELECT cs.c, t.p, t.g, t.chars FROM cs JOIN t ON t.c = cs.b AND t.p <= cs.h WHERE cs.h > 0
+      UNION ALL SELECT cs.c, t.p - cs.h + least(cs.h, coalesce(n.n, 0)), t.g, t.chars FROM cs JOIN t ON t.c = cs.c AND t.p > cs.h LEFT JOIN (SELECT c, count(*) AS n FROM t GROUP BY c) n ON n.c = cs.b),
+k AS (SELECT c, p, md5(string_agg(g, ',' ORDER BY p) OVER (PARTITION BY c ORDER BY p)) AS k, chars FROM r UNION ALL SELECT c, 0, '', 0 FROM cs),
+ends AS (SELECT c, max(p) AS p FROM k GROUP BY c),
+n AS (SELECT k.k, any_value(k.p) AS depth, min(k.c) AS m, count(*) AS n_convs, any_value(chars) AS chars, sha256(coalesce(string_agg(CAST(k.c AS VARCHAR), ',' ORDER BY k.c) FILTER (k.p = ends.p), '')) AS ends_sha256
+      FROM k JOIN ends ON ends.c = k.c GROUP BY k.k),
+up AS (SELECT n.k, kp.k AS pk, np.m AS pm FROM n JOIN k kp ON kp.c = n.m AND kp.p = n.depth - 1 JOIN n np ON np.k = kp.k),
+kids AS (SELECT pk, count(*) AS n FROM up GROUP BY pk),
+s AS (SELECT a.k, sum(CASE WHEN kids.n IS NULL THEN 1 ELSE 0 END) AS leaves, sum((n.n_convs - 1) * n.chars) AS saved FROM n LEFT JOIN kids ON kids.pk = n.k JOIN k a ON a.c = n.m AND a.p <= n.depth GROUP BY a.k)
+SELECT n.m AS conv_id, CAST(n.depth AS BIGINT) AS depth, up.pm AS parent_conv_id, n.n_convs, coalesce(kids.n, 0) AS n_children, CAST(s.leaves AS BIGINT) AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM n LEFT JOIN up ON up.k = n.k LEFT JOIN kids ON kids.pk = n.k JOIN s ON s.k = n.k""",
 }
