@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import conversation_trie, decontaminate, line_dedup, mixing, ngram_join, quality, secrets, suffix_dedup, token_counts, warc, winnowing
+from . import conversation_trie, decontaminate, hnsw, line_dedup, mixing, ngram_join, quality, secrets, suffix_dedup, token_counts, warc, winnowing
 from .common import table
 
 
@@ -54,13 +54,17 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents"), digest=True)
 
 
+def op11_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie.trie(table(spark, sf_dir, "conversations"))
 
 
 QUERIES = {f.__name__: f for f in (
     op1_warc, op2_secret_scan, op3_benchmark_decontamination, op4_winnowing, op5_token_counts, op6_suffix_array_dedup, op7_ngram_jaccard_join,
-    op8_source_mixing, op9_quality_ranking, op10_line_dedup, op13_conversation_trie,
+    op8_source_mixing, op9_quality_ranking, op10_line_dedup, op11_nearest_neighbours, op13_conversation_trie,
 )}
 
 _LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -120,6 +124,12 @@ f AS (SELECT l.r, l.i, l.line, common.k IS NOT NULL AND l.doc_id IS DISTINCT FRO
 SELECT any_value(doc_id) AS doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(*) FILTER (gone) AS BIGINT) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
 FROM f JOIN d USING (r) GROUP BY r""".replace(r"\\x", r"\x"),
+    "op11_nearest_neighbours": r"""
+WITH e AS (SELECT row_number() OVER () AS r, vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS (SELECT q.r, q.vec_id AS query_id, e.vec_id, sqrt(list_sum(list_transform(range(1, len(e.v) + 1), lambda i: (e.v[i] - q.v[i]) * (e.v[i] - q.v[i])))) AS score
+      FROM e q JOIN e ON q.vec_id % 100 = 0 AND e.r <> q.r AND len(e.v) = len(q.v)),
+n AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY r ORDER BY score, vec_id NULLS LAST) AS INT) AS rank, vec_id, score FROM p)
+SELECT * FROM n WHERE rank <= 10""",
     "op13_conversation_trie": r"""
 WITH RECURSIVE tab AS (SELECT list(CAST(list_reduce(list_prepend(i, range(8)), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS BIGINT) ORDER BY i) AS ct FROM range(256) r(i)),
 t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS p,
