@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import conversation_trie, decontaminate, hnsw, line_dedup, mixing, ngram_join, quality, secrets, suffix_dedup, token_counts, warc, winnowing
+from . import conversation_trie, decontaminate, hnsw, lexical, line_dedup, mixing, ngram_join, quality, secrets, suffix_dedup, token_counts, warc, winnowing
 from .common import table
 
 
@@ -58,13 +58,17 @@ def op11_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hnsw.nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(lexical.build(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
 def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie.trie(table(spark, sf_dir, "conversations"))
 
 
 QUERIES = {f.__name__: f for f in (
     op1_warc, op2_secret_scan, op3_benchmark_decontamination, op4_winnowing, op5_token_counts, op6_suffix_array_dedup, op7_ngram_jaccard_join,
-    op8_source_mixing, op9_quality_ranking, op10_line_dedup, op11_nearest_neighbours, op13_conversation_trie,
+    op8_source_mixing, op9_quality_ranking, op10_line_dedup, op11_nearest_neighbours, op12_lexical_search, op13_conversation_trie,
 )}
 
 _LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -130,6 +134,18 @@ p AS (SELECT q.r, q.vec_id AS query_id, e.vec_id, sqrt(list_sum(list_transform(r
       FROM e q JOIN e ON q.vec_id % 100 = 0 AND e.r <> q.r AND len(e.v) = len(q.v)),
 n AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY r ORDER BY score, vec_id NULLS LAST) AS INT) AS rank, vec_id, score FROM p)
 SELECT * FROM n WHERE rank <= 10""",
+    "op12_lexical_search": rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOW.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+l AS (SELECT r, doc_id, w, CAST(len(w) AS BIGINT) AS n FROM d WHERE len(w) > 0),
+tot AS (SELECT count(*) AS nd, CAST(sum(n) AS BIGINT) AS nt FROM l),
+tf AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(w) AS t FROM l) GROUP BY r, t),
+df AS (SELECT t, count(*) AS df FROM tf GROUP BY t),
+q AS (SELECT i, item_id, t, count(*) AS k FROM (SELECT row_number() OVER () AS i, item_id, unnest(regexp_extract_all({_LOW.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark) GROUP BY ALL),
+qw AS (SELECT i, item_id, q.t, k * CAST(floor(1000 * ln((2 * nd + 2) / (2 * df + 1))) AS BIGINT) AS w FROM q JOIN df ON df.t = q.t, tot),
+s AS (SELECT i, item_id, l.r, l.doc_id, CAST(sum(qw.w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * nd) // nt)))) AS BIGINT) AS score
+      FROM qw JOIN tf ON tf.t = qw.t JOIN l ON l.r = tf.r, tot GROUP BY ALL),
+o AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS INT) AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT * FROM o WHERE rank <= 10""",
     "op13_conversation_trie": r"""
 WITH RECURSIVE tab AS (SELECT list(CAST(list_reduce(list_prepend(i, range(8)), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS BIGINT) ORDER BY i) AS ct FROM range(256) r(i)),
 t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS p,
