@@ -33,18 +33,20 @@ _INDEX = "dim int, shard int, sizes array<int>, neighbours array<array<int>>, ve
 _FOUND = "query_id bigint, qk bigint, copies bigint, vec_id bigint, score double"
 
 
+def _frame(v: np.ndarray) -> tuple[np.ndarray, float]:
+    """A middle and a scale that a few far vectors don't move."""
+    centre = np.median(v, 0)
+    far = np.abs(v / 2 - centre / 2).max(1)
+    return centre, 2 * float(np.median(far[far > 0])) if (far > 0).any() else 1.0
+
+
 def _scaled(v: np.ndarray, centre: np.ndarray, scale: float) -> tuple[np.ndarray, np.ndarray]:
     """Single-precision vectors near 0, and their squared lengths."""
-    x = ((v - centre) / scale).astype(np.float32)
+    with np.errstate(over="ignore"):
+        x = np.clip((v / 2 - centre / 2) / scale * 2, -1e15, 1e15).astype(np.float32)
     return x, np.einsum("ij,ij->i", x, x)
 
 
-def _frame(v: np.ndarray) -> tuple[np.ndarray, float]:
-    top = float(np.abs(v).max()) or 1.0
-    centre = (v / top).mean(0) * top
-    return centre, float(np.abs(v / 2 - centre / 2).max()) * 2 or 1.0
-
-
 def _squares(x: np.ndarray, n2: np.ndarray, y: np.ndarray, m2: np.ndarray) -> np.ndarray:
     return np.maximum(n2[:, None] + m2[None, :] - 2 * (x @ y.T), 0)
 
