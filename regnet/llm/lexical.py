@@ -1,7 +1,7 @@
 """Ranked lexical search over a block-max index.
 
 The index has a row for each range of documents (a block): the block's terms with the highest impact that each has in it and
-the number of documents that hold it, and the documents' own terms and counts (forward index), as flat arrays. A term's
+the number of documents that hold it, and the documents' own terms and counts (forward index), as packed arrays. A term's
 impact in a document depends on the document's length against the mean, so lengths are summed up before.
 
 A search gets the terms' document counts from the blocks, then each block's bound for each query: the sum of the query's
@@ -32,12 +32,17 @@ from .common import stored
 #: Documents and entries after which a block ends; blocks scored first for each query; terms of the queries that are sent to tasks at once.
 DOCS, ENTRIES, FIRST, TERMS = 64, 16384, 4, 200_000
 K = 10
+#: Rows of a batch that are unpacked at once.
+ROWS = 128
 NULL_ID = 2**63 - 1
 _KEPT = bytes(c for c in range(256) if c >= 128 or chr(c).isalnum())
 #: Separators become spaces, A-Z a-z; bytes of characters beyond ASCII stay.
 _LOWER = bytes(ord(chr(c).lower()) if c in _KEPT and c < 128 else c if c in _KEPT else 32 for c in range(256))
 _WORD = np.array([c in _KEPT for c in range(256)])
-_INDEX = "block long, terms array<binary>, top array<long>, docs array<int>, doc_ids array<long>, lengths array<long>, ends array<int>, entry_term array<int>, entry_count array<int>"
+#: Arrays of a block, packed as the narrowest unsigned numbers: by document, and by document and term of it. What bounds need.
+_BY_DOC, _BY_ENTRY = ("length", "entries"), ("term", "count")
+_BOUNDS = ("block", "terms", "n_terms", "size", "top")
+_INDEX = "block long, terms binary, n_terms int, size binary, top binary, docs binary, doc_ids binary, length binary, entries binary, n_entries int, term binary, count binary"
 
 
 def terms(text: str | None) -> list[bytes]:
@@ -53,45 +58,57 @@ def weight(n_docs: int, holding: int) -> int:
     return math.floor(1000 * math.log((2 * n_docs + 2) / (2 * holding + 1)))
 
 
+def _counted(text: pa.LargeBinaryArray) -> np.ndarray:
+    """Terms of each text: the places where one begins."""
+    at = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
+    word = _WORD[np.frombuffer(text.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]]
+    at = at - at[0]
+    begins = word.copy()
+    begins[1:] &= ~word[:-1]
+    first = at[:-1][at[:-1] < at[1:]]
+    begins[first] = word[first]
+    return np.diff(np.searchsorted(np.flatnonzero(begins), at))
+
+
 def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents with a term, and all terms."""
     docs = total = 0
     for b in batches:
-        text = pc.fill_null(b.column("text"), "").cast(pa.large_binary())
-        if not len(text):
-            continue
-        at = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
-        word = _WORD[np.frombuffer(text.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]]
-        begins = np.zeros(len(word) + 1, np.int64)
-        np.cumsum(word & ~np.concatenate([[False], word[:-1]])[: len(word)], out=begins[1:])
-        at = at - at[0]
-        # a text that starts with a word right after one that ends with a word has one more
-        inside = (at[:-1] > 0) & (at[:-1] < at[1:])
-        first = np.zeros(len(text), bool)
-        first[inside] = word[at[:-1][inside]] & word[at[:-1][inside] - 1]
-        n = begins[at[1:]] - begins[at[:-1]] + first
-        docs, total = docs + int((n > 0).sum()), total + int(n.sum())
+        for a in range(0, len(b), ROWS):
+            n = _counted(pc.fill_null(b.column("text").slice(a, ROWS), "").cast(pa.large_binary()))
+            docs, total = docs + int((n > 0).sum()), total + int(n.sum())
     yield pa.RecordBatch.from_pydict({"n_docs": [docs], "n_terms": [total]})
 
 
+def _packed(a: np.ndarray) -> bytes:
+    top = int(a.max(initial=0))
+    return a.astype(next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if top <= np.iinfo(t).max)).tobytes()
+
+
+def _unpacked(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, f"u{len(data) // n}" if n else np.uint8).astype(np.int64)
+
+
 def _block(block: int, held: list[tuple[int, int, Counter]], n_docs: int, n_terms: int) -> tuple:
     of = [c for *_, c in held]
     words = pa.array([t for c in of for t in c], pa.binary()).dictionary_encode()
     at = words.indices.to_numpy().astype(np.int64)
     count = np.array([n for c in of for n in c.values()], np.int64)
-    size = np.array([len(c) for c in of])
-    lengths = np.array([n for _, n, _ in held], np.int64)
+    entries = np.array([len(c) for c in of])
+    length = np.array([n for _, n, _ in held], np.int64)
     top = np.zeros(len(words.dictionary), np.int64)
-    np.maximum.at(top, at, impacts(count, np.repeat(lengths, size), n_docs, n_terms))
-    return block, words.dictionary, top, np.bincount(at, minlength=len(top)), [d for d, *_ in held], lengths, np.cumsum(size), at, count
+    np.maximum.at(top, at, impacts(count, np.repeat(length, entries), n_docs, n_terms))
+    distinct = words.dictionary.to_pylist()
+    by_term = map(_packed, (np.array([len(t) for t in distinct]), top, np.bincount(at, minlength=len(top))))
+    return block, b"".join(distinct), len(distinct), *by_term, np.array([d for d, *_ in held], np.int64).tobytes(), _packed(length), _packed(entries), len(at), _packed(at), _packed(count)
+
+
+_KINDS = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
 
 
 def _rows(found: list[tuple]) -> pa.RecordBatch:
-    lists = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
-    cols = list(zip(*found, strict=True))
-    ends = np.cumsum([0, *map(len, cols[1])]).astype(np.int32)
-    names = ["block", "terms", "top", "docs", "doc_ids", "lengths", "ends", "entry_term", "entry_count"]
-    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.ListArray.from_arrays(ends, pa.concat_arrays(cols[1])), *[pa.array(list(map(np.asarray, c)), pa.list_(t)) for c, t in zip(cols[2:], lists, strict=True)]], names)
+    names, kinds = zip(*(c.split() for c in _INDEX.split(", ")), strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(c, _KINDS[k]) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], list(names))
 
 
 def _indexed(n_docs: int, n_terms: int):
@@ -99,7 +116,7 @@ def _indexed(n_docs: int, n_terms: int):
         held, entries, block, found = [], 0, None, []
         for b in batches:
             block = b.column("part")[0].as_py() << 32 if block is None and len(b) else block
-            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
+            for doc_id, text in ((d, x) for a in range(0, len(b), ROWS) for d, x in zip(b.column("doc_id").slice(a, ROWS).to_pylist(), b.column("text").slice(a, ROWS).to_pylist(), strict=True)):
                 words = terms(text)
                 if words:
                     held.append((NULL_ID if doc_id is None else doc_id, len(words), Counter(words)))
@@ -149,11 +166,12 @@ class Queries:
     def weigh(self, n_docs: int, holding: dict[int, int]) -> None:
         self.weight *= np.array([weight(n_docs, holding[t]) if t in holding else 0 for t in range(len(self.words))], np.int64)[self.term]
 
-    def known(self, column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    def known(self, b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
         """For the terms of all rows: their numbers here or -1, and where rows begin and end."""
-        at = np.asarray(column.offsets)
-        ids = pc.fill_null(pc.index_in(column.values.slice(at[0], at[-1] - at[0]), value_set=pa.array(self.words, pa.binary())), -1)
-        return ids.to_numpy().astype(np.int64), at - at[0]
+        at = np.concatenate([[0], np.cumsum(b.column("n_terms").to_numpy())])
+        ends = np.concatenate([[0], np.cumsum(_flat(b, "size", "n_terms"))]).astype(np.int64)
+        text = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(b"".join(b.column("terms").to_pylist()))])
+        return pc.fill_null(pc.index_in(text, value_set=pa.array(self.words, pa.large_binary())), -1).to_numpy().astype(np.int64), at
 
     def bounds(self, of_term: np.ndarray) -> np.ndarray:
         out = np.zeros(self.n, np.int64)
@@ -162,15 +180,15 @@ class Queries:
 
     def scores(self, block: dict[str, np.ndarray], ids: np.ndarray, wanted: np.ndarray, n_docs: int, n_terms: int) -> tuple[np.ndarray, np.ndarray]:
         """Queries of wanted (a mask) that meet the block, and their scores by document."""
-        size = np.diff(block["ends"], prepend=0)
+        size = block["entries"]
         doc = np.repeat(np.arange(len(size)), size)
-        term = ids[block["entry_term"]]
+        term = ids[block["term"]]
         mine = np.flatnonzero(term >= 0)
         row_of = np.full(len(self.words), -1, np.int64)
         there = np.unique(term[mine])
         row_of[there] = np.arange(len(there))
         table = np.zeros((len(there), len(size)), np.int64)
-        table[row_of[term[mine]], doc[mine]] = impacts(block["entry_count"][mine], block["lengths"][doc[mine]], n_docs, n_terms)
+        table[row_of[term[mine]], doc[mine]] = impacts(block["count"][mine], block["length"][doc[mine]], n_docs, n_terms)
         pick = np.flatnonzero(wanted[self.query] & (row_of[self.term] >= 0))
         if not len(pick):
             return np.zeros(0, np.int64), np.zeros((0, len(size)), np.int64)
@@ -178,18 +196,25 @@ class Queries:
         return query, np.add.reduceat(self.weight[pick, None] * table[row_of[self.term[pick]]], first)
 
 
-def _flat(b: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
-    c = b.column(name)
-    at = np.asarray(c.offsets)
-    return c.values.slice(at[0], at[-1] - at[0]).to_numpy(zero_copy_only=False).astype(np.int64), at - at[0]
+def _flat(b: pa.RecordBatch, name: str, sizes: str) -> np.ndarray:
+    """A packed column of all rows, end to end."""
+    rows = [_unpacked(x, n) for x, n in zip(b.column(name).to_pylist(), b.column(sizes).to_pylist(), strict=True)]
+    return np.concatenate(rows) if rows else np.zeros(0, np.int64)
+
+
+def _opened(b: pa.RecordBatch, i: int) -> dict[str, np.ndarray]:
+    """A block's documents."""
+    row = {n: b.column(n)[i].as_py() for n in ("doc_ids", "n_entries", *_BY_DOC, *_BY_ENTRY)}
+    ids = np.frombuffer(row["doc_ids"], np.int64)
+    return {"doc_ids": ids} | {n: _unpacked(row[n], len(ids)) for n in _BY_DOC} | {n: _unpacked(row[n], row["n_entries"]) for n in _BY_ENTRY}
 
 
 def _holding(asked: Queries):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(asked.words), np.int64)
         for b in batches:
-            ids, _ = asked.known(b.column("terms"))
-            docs, _ = _flat(b, "docs")
+            ids, _ = asked.known(b)
+            docs = _flat(b, "docs", "n_terms")
             np.add.at(total, ids[ids >= 0], docs[ids >= 0])
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], ["term", "n"])
@@ -199,8 +224,8 @@ def _holding(asked: Queries):
 
 def _block_bounds(asked: Queries, b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bounds by block and query; the numbers of the terms, and where blocks begin."""
-    ids, at = asked.known(b.column("terms"))
-    top, _ = _flat(b, "top")
+    ids, at = asked.known(b)
+    top = _flat(b, "top", "n_terms")
     out = np.zeros((len(b), asked.n), np.int64)
     of_term = np.zeros(len(asked.words), np.int64)
     for i in range(len(b)):
@@ -235,17 +260,13 @@ def _scored(asked: Queries, least: np.ndarray, k: int, n_docs: int, n_terms: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         floor = np.maximum(least, 1)
         found: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * asked.n
-        blocks = scored = 0
         for b in batches:
             bound, ids, at = _block_bounds(asked, b)
-            cols = {n: _flat(b, n) for n in ("doc_ids", "lengths", "ends", "entry_term", "entry_count")}
-            blocks += len(b)
             for i in np.argsort(-(bound - floor).max(1), kind="stable"):
                 wanted = bound[i] >= floor
                 if not wanted.any():
                     continue
-                scored += 1
-                block = {n: v[o[i] : o[i + 1]] for n, (v, o) in cols.items()}
+                block = _opened(b, int(i))
                 query, score = asked.scores(block, ids[at[i] : at[i + 1]], wanted, n_docs, n_terms)
                 for j in np.flatnonzero(score.max(1, initial=0) >= floor[query]):
                     q = query[j]
@@ -271,9 +292,9 @@ def _batch(index: Index, texts: list[str], k: int) -> DataFrame:
     """query (a place in texts), doc_id, score, rank."""
     asked = Queries(texts)
     n_docs, n_terms = index.n_docs, max(index.n_terms, 1)
-    counts = index.blocks.select("terms", "docs").mapInArrow(_holding(asked), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    counts = index.blocks.select("terms", "n_terms", "size", "docs").mapInArrow(_holding(asked), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
     asked.weigh(n_docs, {r.term: r.n for r in counts.collect()})  # as many as the batch has terms, at most
-    high = index.blocks.select("block", "terms", "top").mapInArrow(_highest(asked, FIRST), "query long, block long, bound long")
+    high = index.blocks.select(*_BOUNDS).mapInArrow(_highest(asked, FIRST), "query long, block long, bound long")
     order = Window.partitionBy("query").orderBy(F.desc("bound"), "block")
     first = high.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= FIRST).select("block").distinct()
     first = stored(first, "first-blocks")  # FIRST blocks for each query of the batch, at most

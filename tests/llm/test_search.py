@@ -122,8 +122,7 @@ def test_blocks_below_the_threshold_are_passed_over():
     bound, ids, at = lexical._block_bounds(asked, blocks)
     most = np.zeros_like(bound)
     for i in range(len(blocks)):
-        block = {n: lexical._flat(blocks.slice(i, 1), n) for n in ("doc_ids", "lengths", "ends", "entry_term", "entry_count")}
-        query, score = asked.scores(block, ids[at[i] : at[i + 1]], np.ones(3, bool), len(held), total)
+        query, score = asked.scores(lexical._opened(blocks, i), ids[at[i] : at[i + 1]], np.ones(3, bool), len(held), total)
         most[i, query] = score.max(1)
     assert (bound >= most).all() and (bound[:, 2] == 0).all()
     assert (bound[:, 0] >= np.sort(most[:, 0])[-1]).sum() < len(blocks) / 4
