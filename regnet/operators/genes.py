@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranges import neighbours
+
 
 def collapse(annotation: DataFrame, name: str = "gene_name", modes: tuple[str, ...] = ("seqname", "strand"), flags: tuple[str, ...] = ()) -> DataFrame:
     """One row per gene: outermost start and end, most common seqname and strand (the smallest of equally common ones), any() of the flags."""
@@ -54,8 +56,7 @@ def promoter_windows(
 
 def clamp(windows: DataFrame) -> DataFrame:
     """Windows cut at the end of the gene before and the start of the gene after; left alone where that empties them."""
-    near = Window.partitionBy("seqname").orderBy("start_pos", "end_pos", "gene_name")
-    df = windows.withColumn("_before", F.lag("end_pos").over(near)).withColumn("_after", F.lead("start_pos").over(near))
+    df = neighbours(windows, ("seqname",), ("start_pos", "end_pos", "gene_name"), before={"_before": "end_pos"}, after={"_after": "start_pos"})
     # greatest and least pass over nulls, which stand for no neighbour
     a, b = F.greatest("win_start", "_before"), F.least("win_end", "_after")
     df = df.withColumn("_a", a).withColumn("_b", b)

@@ -2,35 +2,63 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import neighbours, running
+
 KEYS = ("target", "regulator")
+#: Bases of an island that are folded at once.
+RANGE = 4096
 
 
-def islands(hits: DataFrame, keys: tuple[str, ...] = KEYS, gap: int | None = None, name: str = "island") -> DataFrame:
-    """hits plus a number per run of hits that overlap the one before (start < its stop), or start within gap of its stop."""
-    w = Window.partitionBy(*keys).orderBy("start_pos", "stop_pos")
-    before = F.lag("stop_pos").over(w)
+def islands(hits: DataFrame, keys: tuple[str, ...] = KEYS, gap: int | None = None, name: str = "island", width: int | None = None) -> DataFrame:
+    """hits plus a number per run of hits that overlap the one before (start < its stop), or start within gap of its stop.
+    width: for few keys with many hits, which are then dealt to tasks by ranges of so many bases."""
+    order = ("start_pos", "stop_pos")
+    w = Window.partitionBy(*keys).orderBy(*order)
+    before = F.lag("stop_pos").over(w) if width is None else F.col("_before")
     joins = F.col("start_pos") < before if gap is None else F.col("start_pos") - before <= gap
-    marked = hits.withColumn("_new", F.when(joins, 0).otherwise(1))
-    return marked.withColumn(name, F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    new = F.when(joins, 0).otherwise(1)
+    if width is not None:
+        return running(neighbours(hits, keys, order, before={"_before": "stop_pos"}, width=width), keys, order, new, name, width).drop("_before")
+    return hits.withColumn("_new", new).withColumn(name, F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+
+
+def _highest(pieces: Column) -> Column:
+    """pieces: (at, per) by rising at, numbers of the bases from at on. The sum over bases of the highest number of each base."""
+    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0)))
+
+    def step(a: Column, x: Column) -> Column:
+        past = F.least(x["at"] - a["at"], F.size(a["open"]).cast("bigint")).cast("int")  # bases that no later piece holds
+        return F.struct(
+            x["at"].alias("at"), F.zip_with(F.slice(a["open"], past + 1, F.greatest(F.size(a["open"]) - past, F.lit(0))), x["per"], lambda b, c: F.greatest(b, c)).alias("open"),
+            (a["sum"] + total(F.slice(a["open"], F.lit(1), past))).alias("sum"),
+        )
+
+    start = F.struct(F.get(pieces, F.lit(0))["at"].alias("at"), F.array().cast("array<double>").alias("open"), F.lit(0.0).alias("sum"))
+    return F.aggregate(pieces, start, step, lambda a: a["sum"] + total(a["open"]))
 
 
 def merge_islands(hits: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """One site per island: outer bounds; the score of a lone hit, else the sum over bases of the highest per-base score.
     per_base is laid on the bases from start_pos on, as given."""
-    # a hit that neither joins the one before nor is joined by the next is a site as it is; bases of the others stay in the
-    # partition of their keys, where the islands were numbered, so that no exchange follows
     near = Window.partitionBy(*keys).orderBy("start_pos", "stop_pos")
     lone = ~F.coalesce(F.col("start_pos") < F.lag("stop_pos").over(near), F.lit(False)) & ~F.coalesce(F.lead("start_pos").over(near) < F.col("stop_pos"), F.lit(False))
     marked = islands(hits, keys).withColumn("_lone", lone)
-    score = F.col("score").cast("double")
-    base = F.when(F.col("_lone"), F.array(F.struct(F.lit(0).alias("i"), score.alias("s")))).otherwise(F.transform("per_base", lambda x, i: F.struct(i.alias("i"), x.cast("double").alias("s"))))
-    bases = marked.select(*keys, "island", "start_pos", "stop_pos", F.explode(base).alias("_b")).select(*keys, "island", "start_pos", "stop_pos", (F.col("start_pos") + F.col("_b.i")).alias("_base"), F.col("_b.s").alias("_s"))
+    # the bases of an island are folded in ranges, so that a long island is no single row; all stays in the partition of the keys
+    ends = F.greatest("start_pos", "stop_pos")
+    ranges = F.when(F.col("_lone"), F.array(F.floor(F.col("start_pos") / RANGE))).otherwise(F.sequence(F.floor(F.col("start_pos") / RANGE), F.floor(ends / RANGE)))
+    at = F.greatest("start_pos", F.col("_range") * RANGE)
+    last = F.least("stop_pos", F.col("_range") * RANGE + RANGE - 1)
+    per = F.slice(F.transform("per_base", lambda x: x.cast("double")), (at - F.col("start_pos") + 1).cast("int"), F.greatest(last - at + 1, F.lit(0)).cast("int"))
+    pieces = marked.select(*keys, "island", "start_pos", "stop_pos", "score", "_lone", "per_base", F.explode(ranges).alias("_range"))
     bounds = [F.min("start_pos").alias("start_pos"), F.max("stop_pos").alias("stop_pos")]
-    best = bases.filter("_base <= stop_pos").groupBy(*keys, "island", "_base").agg(F.max("_s").alias("_s"), *bounds)
-    return best.groupBy(*keys, "island").agg(*bounds, F.sum("_s").alias("score")).drop("island")
+    parts = pieces.groupBy(*keys, "island", "_range").agg(
+        *bounds, F.max(F.when(F.col("_lone"), F.col("score").cast("double"))).alias("_score"), F.collect_list(F.when(~F.col("_lone"), F.struct(at.cast("bigint").alias("at"), per.alias("per")))).alias("_per"),
+    )
+    parts = parts.withColumn("score", F.coalesce("_score", _highest(F.sort_array("_per"))))
+    return parts.groupBy(*keys, "island").agg(*bounds, F.sum("score").alias("score")).drop("island")
 
 
 def score_sites(hits: DataFrame, max_gap: int = 100, min_score: float | None = None, keys: tuple[str, ...] = KEYS, always_pair: bool = False) -> DataFrame:

@@ -62,7 +62,7 @@ e2 AS (SELECT *, sum(CASE WHEN q >= cut THEN weight ELSE 0 END) OVER (PARTITION
 e3 AS (SELECT regulator, q, CASE WHEN top = -1 THEN q > 0 WHEN top = 0 AND low = 0 THEN FALSE WHEN share <= 0.05 THEN q >= cut ELSE label = -1 AND q > cut END AS edge FROM e2),
 chosen AS (SELECT grid.target, grid.regulator, grid.score, e3.edge FROM grid JOIN e3 ON grid.regulator = e3.regulator AND CAST(round(grid.score * 1000000) AS BIGINT) = e3.q)"""
 
-MOTS = """pw AS (SELECT vec_id, i, j, abs(CAST(embedding[4 * i + j + 1] AS DOUBLE)) + 0.01 AS x FROM embeddings, generate_series(0, 7) a(i), generate_series(0, 3) b(j) WHERE len(embedding) >= 32),
+MOTS = """pw AS (SELECT vec_id, i, j, abs(CAST(embedding[4 * i + j + 1] AS DOUBLE)) + 0.01 AS x FROM (SELECT vec_id, embedding, unnest(range(len(embedding) // 4)) AS i FROM embeddings), generate_series(0, 3) b(j)),
 tot AS (SELECT vec_id, i, max(x) FILTER (j = 0) + max(x) FILTER (j = 1) + max(x) FILTER (j = 2) + max(x) FILTER (j = 3) AS t FROM pw GROUP BY ALL),
 mp AS (SELECT concat('M', CAST(vec_id AS VARCHAR)) AS motif_id, concat('TF', CAST(vec_id % 25 AS VARCHAR)) AS motif_name, i, j, round(x / t, 3) AS p, substr('ACGT', CAST(j + 1 AS INT), 1) AS a FROM pw JOIN tot USING (vec_id, i)),
 inf AS (SELECT *, CASE WHEN p > 0 THEN greatest(p * log2(p / 0.25), 0.0) ELSE 0.0 END AS v, row_number() OVER (PARTITION BY motif_id, i ORDER BY p DESC, j) AS r FROM mp)"""
@@ -122,7 +122,7 @@ UNION ALL SELECT chrom, start_pos, end_pos, '.', 'Intergenic', file_name FROM p
     "seq_scan_exact": f"""WITH {SEQ}, pos AS (SELECT seqname, seq, unnest(generate_series(1, length(seq) - 4)) AS i FROM s), w AS (SELECT seqname, CAST(i - 1 AS BIGINT) AS start_pos, CAST(i + 3 AS BIGINT) AS stop_pos, substr(seq, CAST(i AS INT), 5) AS x FROM pos)
 SELECT seqname, start_pos, stop_pos, '+' AS strand, x AS matched FROM w WHERE x = 'GATTA' UNION ALL SELECT seqname, start_pos, stop_pos, '-', 'GATTA' FROM w WHERE x = 'TAATC'""",
     "score_match": f"""WITH {MOTS}, q AS (SELECT * FROM (VALUES {MOTIF_ROWS}) t(i, c)), per AS (SELECT motif_id, i, max(v) FILTER (a = c) AS got, max(v) FILTER (r = 1) AS best FROM inf JOIN q USING (i) GROUP BY ALL)
-SELECT motif_id, round(greatest(sum(got) - sum((best - got) * (best - got)), 0.0), 6) AS score FROM per GROUP BY motif_id""",
+SELECT motif_id, CASE WHEN w = length('{MOTIF}') THEN round(greatest(sum(got) - sum((best - got) * (best - got)), 0.0), 6) END AS score FROM per RIGHT JOIN (SELECT motif_id, count(DISTINCT i) AS w FROM mp GROUP BY motif_id) m USING (motif_id) GROUP BY motif_id, w""",
     "win_islands": f"""WITH {H}, a AS (SELECT *, CASE WHEN start_pos < lag(stop_pos) OVER ({ISL}) THEN 0 ELSE 1 END AS nw FROM h), b AS (SELECT *, sum(nw) OVER ({ISL} ROWS UNBOUNDED PRECEDING) AS island FROM a)
 SELECT seqname, regulator, CAST(island AS BIGINT) AS island, min(start_pos) AS start_pos, max(stop_pos) AS stop_pos, count(*) AS n FROM b GROUP BY seqname, regulator, island""",
     "agg_per_base": f"WITH {NEAR}, {_sites()} SELECT target, regulator, start_pos, stop_pos, score FROM m",
@@ -144,9 +144,9 @@ SELECT seqname, regulator, CAST(island AS BIGINT) AS island, min(start_pos) AS s
 SELECT motif_id, string_agg(CASE z WHEN 'AT' THEN 'W' WHEN 'AC' THEN 'M' WHEN 'AG' THEN 'R' WHEN 'CG' THEN 'S' WHEN 'CT' THEN 'Y' WHEN 'GT' THEN 'K' WHEN '' THEN 'N' ELSE z END, '' ORDER BY i) AS consensus FROM lk GROUP BY motif_id""",
     "mot_ln_odds": f"""WITH {MOTS}, ps AS (SELECT motif_id, i, max(p) AS top, max(p) FILTER (r = 2) AS second FROM inf GROUP BY ALL), sm AS (SELECT motif_id, sum(ln(top / 0.25)) AS mx, sum(CASE WHEN second > 0.25 THEN ln(second / 0.25) ELSE 0 END) AS gain FROM ps GROUP BY motif_id)
 SELECT motif_id, round(mx, 6) AS max_ln_odds, round(mx - greatest(gain, 0.1 * mx), 6) AS threshold_ln_odds FROM sm""",
-    "mot_truncate": f"""WITH {MOTS}, st AS (SELECT motif_id, i, max(p) > 0.5 AS strong FROM mp GROUP BY ALL), bd AS (SELECT motif_id, coalesce(min(i) FILTER (strong), 0) AS lo, coalesce(max(i) FILTER (strong), 7) AS hi FROM st GROUP BY motif_id)
+    "mot_truncate": f"""WITH {MOTS}, st AS (SELECT motif_id, i, max(p) > 0.5 AS strong FROM mp GROUP BY ALL), bd AS (SELECT motif_id, coalesce(min(i) FILTER (strong), 0) AS lo, coalesce(max(i) FILTER (strong), max(i)) AS hi FROM st GROUP BY motif_id)
 SELECT motif_id, CAST(max(hi) - max(lo) + 1 AS BIGINT) AS length, {CONSENSUS} AS consensus FROM inf JOIN bd USING (motif_id) WHERE i BETWEEN lo AND hi GROUP BY motif_id""",
-    "mot_summary": f"""WITH {MOTS} SELECT motif_id, motif_name, round(sum(v), 6) AS ic, round(-sum(CASE WHEN p > 0 THEN p * log2(p) ELSE 0 END), 6) AS entropy, CAST(floor(pow(2, sum(v))) AS BIGINT) AS occurrence, CAST(8 AS BIGINT) AS length, {CONSENSUS} AS consensus FROM inf GROUP BY motif_id, motif_name""",
+    "mot_summary": f"""WITH {MOTS} SELECT motif_id, motif_name, round(sum(v), 6) AS ic, round(-sum(CASE WHEN p > 0 THEN p * log2(p) ELSE 0 END), 6) AS entropy, CAST(floor(pow(2, sum(v))) AS BIGINT) AS occurrence, count(DISTINCT i) AS length, {CONSENSUS} AS consensus FROM inf GROUP BY motif_id, motif_name""",
     "mot_shuffle": f"""WITH {MOTS}, sh AS (SELECT motif_id, i, p, CASE j {" ".join(f"WHEN {j} THEN {k}" for k, j in enumerate(letter_order(7)))} END AS k FROM mp),
 rk AS (SELECT *, row_number() OVER (PARTITION BY motif_id, i ORDER BY p DESC, k) AS r FROM sh)
 SELECT motif_id, string_agg(substr('ACGT', CAST(k + 1 AS INT), 1), '' ORDER BY i) FILTER (r = 1) AS consensus FROM rk GROUP BY motif_id""",

@@ -11,7 +11,7 @@ from ..operators.genes import keep_named, promoter_windows, with_tss
 from ..operators.intervals import extract, intersect
 from ..operators.network import complete, edges, flag_edges, hits_near_genes, select_edges
 from ..operators.peaks import peak_prior
-from ..operators.scan import place, scan, scored
+from ..operators.scan import place, scan_scored
 from ..params import Params
 from ..sources import sinks
 from ..sources.motif_files import assert_unique_ids, rename_motifs
@@ -39,7 +39,7 @@ def regions(windows: DataFrame, constraint: DataFrame | None = None) -> DataFram
 def find_hits(sequences: DataFrame, motifs: DataFrame, p: Params, scanner: str = "p_value") -> DataFrame:
     strong = ic_or_more(motifs, p.min_ic)
     odds = strong.select("motif_id", F.coalesce("ln_odds", threshold_ln_odds(F.col("pwm"))).alias("threshold")) if scanner == "odds" else None
-    return scored(scan(sequences, strong, p_value=p.p_value, odds=odds), strong)
+    return scan_scored(sequences, strong, p_value=p.p_value, odds=odds)
 
 
 def network(hits: DataFrame, genes: DataFrame, motifs: DataFrame, p: Params) -> tuple[DataFrame, DataFrame, DataFrame]:

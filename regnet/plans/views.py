@@ -83,8 +83,9 @@ def lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def motifs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Matrices of 8 positions from the first 32 numbers of each vector, as probabilities of 3 decimals."""
-    x = lambda i, j: F.abs(F.get(F.col("embedding"), F.lit(4 * i + j)).cast("double")) + 0.01
-    row = lambda i: F.array(*[F.round(x(i, j) / (x(i, 0) + x(i, 1) + x(i, 2) + x(i, 3)), 3) for j in range(4)])
-    df = spark.read.parquet(f"{sf_dir}/embeddings.parquet").filter(F.size("embedding") >= 32)
-    return df.select(F.concat(F.lit("M"), F.col("vec_id").cast("string")).alias("motif_id"), F.concat(F.lit("TF"), (F.col("vec_id") % 25).cast("string")).alias("motif_name"), F.array(*[row(i) for i in range(8)]).alias("pwm"))
+    """Matrices of all positions that each vector has numbers for, four to a position, as probabilities of 3 decimals."""
+    share = lambda i, j: F.abs(F.get(F.col("embedding"), 4 * i + j).cast("double")) + 0.01
+    row = lambda i: F.array(*[F.round(share(i, j) / (share(i, 0) + share(i, 1) + share(i, 2) + share(i, 3)), 3) for j in range(4)])
+    df = spark.read.parquet(f"{sf_dir}/embeddings.parquet").filter(F.size("embedding") >= 4)
+    places = F.sequence(F.lit(0), (F.size("embedding") / 4).cast("int") - 1)
+    return df.select(F.concat(F.lit("M"), F.col("vec_id").cast("string")).alias("motif_id"), F.concat(F.lit("TF"), (F.col("vec_id") % 25).cast("string")).alias("motif_name"), F.transform(places, row).alias("pwm"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions import motif_math as mm
 from .functions.names import attribute, fuzzy_key, is_dimer, merge_names
 from .functions.sequences import match_score, reverse_complement
-from .operators import expression, genes, intervals, network, peaks, scan, sites
+from .operators import expression, genes, intervals, network, peaks, ranges, scan, sites
 from .plans import views as v
 from .sources import annotation, tables
 
@@ -27,7 +27,7 @@ def _near(s: SparkSession, d: str) -> DataFrame:
 
 
 WINDOW = ["gene_name", "seqname", "strand", "win_start", "win_end"]
-MOTIF = "GATTACAC"
+MOTIF = "GATTACACCTGAAGTC"
 IC_MIN, GAP = 8.0, 50
 
 
@@ -192,10 +192,22 @@ def seq_scan_exact(s, d):
     return scan.scan(v.sequences(s, d), one, p_value=0.001).select("seqname", "start_pos", "stop_pos", "strand", "matched")
 
 
+_SCANNED = ["motif_id", "regulator", "seqname", "start_pos", "stop_pos", "strand"]
+
+
 @query
 def seq_scan_pvalue(s, d):
     m = v.motifs(s, d).withColumn("background", mm.uniform_background())
-    return scan.scored(scan.scan(v.sequences(s, d), m, p_value=1e-3), m).select("motif_id", "regulator", "seqname", "start_pos", "stop_pos", "strand", F.round("p_value", 9).alias("p_value"), "matched", F.round("score", 6).alias("score"))
+    hits = scan.scan_scored(v.sequences(s, d), m, p_value=1e-3, bases=False)
+    return hits.select(*_SCANNED, F.round("p_value", 9).alias("p_value"), "matched", F.round("score", 6).alias("score"))
+
+
+@query
+def seq_scan_odds(s, d):
+    m = v.motifs(s, d).withColumn("background", mm.uniform_background())
+    odds = m.select("motif_id", mm.threshold_ln_odds(F.col("pwm")).alias("threshold"))
+    hits = scan.scan_scored(v.sequences(s, d), m, odds=odds, bases=False)
+    return hits.select(*_SCANNED, F.round("odds", 6).alias("odds"), "matched", F.round("score", 6).alias("score"))
 
 
 @query
@@ -206,7 +218,7 @@ def score_match(s, d):
 
 @query
 def win_islands(s, d):
-    h = sites.islands(v.hits(s, d).drop("per_base"), ("seqname", "regulator"))
+    h = sites.islands(v.hits(s, d).drop("per_base"), ("seqname", "regulator"), width=ranges.WIDTH)
     return h.groupBy("seqname", "regulator", "island").agg(F.min("start_pos").alias("start_pos"), F.max("stop_pos").alias("stop_pos"), F.count(F.lit(1)).alias("n"))
 
 

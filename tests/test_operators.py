@@ -56,7 +56,7 @@ def test_scan_finds_both_strands(motif, sequence):
 
 def test_scan_across_tiles(motif, sequence, monkeypatch):
     monkeypatch.setattr(scan, "TILE", 40)
-    small = scan.tiles(sequence, 11, 40).mapInPandas(scan._kernel([("EcoRI", [[float(c == x) for x in "ACGT"] for c in SITE], [0.25] * 4)], 1e-4, None), scan._HIT)
+    small = scan.tiles(sequence, 11, 40).mapInArrow(scan._kernel([("EcoRI", [[float(c == x) for x in "ACGT"] for c in SITE], [0.25] * 4, None, None)], 1e-4, False, False), scan._HIT)
     assert sorted({h.start_pos for h in small.collect()}) == [3, 35, 87, 199, 711]
 
 
