@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BIN = 4096
+BIN = 1024
 #: Bases of a tile of a sequence.
 TILE = 65536
 

@@ -27,6 +27,12 @@ def _view(spark: SparkSession, sf_dir: str, table: str, text: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet").selectExpr(*_split(text))
 
 
+def _dealt(df: DataFrame) -> DataFrame:
+    """A table that comes in fewer splits than there are cores is dealt to all of them; larger ones stay as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _split(text: str) -> list[str]:
     """The expressions of a select list: commas inside parentheses don't part them."""
     out, depth, last = [], 0, 0
@@ -49,7 +55,7 @@ def bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits with one made-up information value per base."""
     per = F.transform(F.sequence(F.lit(0), F.lit(11)), lambda i: (F.col("score") * (i + 3)) % 7)
-    return _view(spark, sf_dir, "lineitem", HIT).withColumn("per_base", per)
+    return _dealt(_view(spark, sf_dir, "lineitem", HIT)).withColumn("per_base", per)
 
 
 def peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +77,7 @@ def motif_ic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _view(spark, sf_dir, "documents", SEQUENCE.format(g=""))
+    return _dealt(_view(spark, sf_dir, "documents", SEQUENCE.format(g="")))
 
 
 def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
