@@ -364,9 +364,10 @@ def grouped(documents: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -
     packed = text.mapInArrow(_prefixes(counts, hot_from, size, percent, parts), _PACKED_DDL)
     shared = stored(packed.repartition(parts, "part").mapInArrow(_shared, "token long, sid long, n int, free int, l int, typical int, last long, m0 long, m1 long, m2 long, m3 long"), "shared")
     post = shared.filter("token IS NOT NULL").select("token", "sid")
-    # tokens of no other set can't be shared
+    # what a set can share with one whose prefix doesn't end before its own: all outside its prefix, and of that the tokens of
+    # other prefixes. A partner with a shorter prefix may hold more of it, so this is a bound for pairs and not for sets
     sets = shared.filter("token IS NULL").select(*_SET).join(post.groupBy("sid").agg(F.count(F.lit(1)).alias("own")), "sid")
-    sets = sets.withColumn("most", (F.col("free") + F.col("own")).cast("int")).drop("own").filter(F.col("most") * 100 >= F.col("n") * percent)
+    sets = sets.withColumn("most", (F.col("free") + F.col("own")).cast("int")).drop("own")
     postings = stored(post.join(sets, "sid"), "postings")
 
     def bound(m_most: Column, m_last: Column, n_most: Column, n_last: Column) -> Column:

@@ -2,6 +2,7 @@
 
 import functools
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -10,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from regnet.llm import bitmaps, decontaminate, line_dedup, mixing, ngram_join, quality, secrets, suffix_dedup, token_counts, warc, winnowing
@@ -374,6 +376,30 @@ def test_near_groups(docs, rows):
     assert ngram_join.near_groups(docs.limit(0)).count() == 0
 
 
+def test_near_groups_of_short_texts_with_unlike_prefixes(spark):
+    """Twenty draws of short texts over small vocabularies, so that sets at exactly the threshold have prefixes of unlike length."""
+    rows, want = [], Counter()
+    for seed in range(20):
+        rng = random.Random(seed)
+        words = [f"s{seed}w{i}" for i in range(rng.choice([12, 20, 30]))]
+        own = []
+        while len(own) < 150:
+            if own and rng.random() < 0.6:
+                text = rng.choice(own).text.split()
+                for _ in range(rng.randint(1, 2)):
+                    k = rng.choice([0, len(text) - 1, rng.randrange(len(text))])
+                    text[k : k + 1] = rng.choice([[], [rng.choice(words)], [text[k], rng.choice(words)]])
+                    text = text or [words[0]]
+            else:
+                text = [rng.choice(words) for _ in range(rng.randint(1, 16))]
+            own.append(Row(doc_id=1000 * seed + len(own), text=" ".join(text)))
+        rows += own
+        want.update(brute_groups(own))
+    got = counted(ngram_join.near_groups(spark.createDataFrame(rows, "doc_id long, text string")), "doc_id", "n_shingles", "component_id")
+    assert got == want, (got - want, want - got)
+    assert sum(d != c for d, _, c in want) > 400
+
+
 def test_near_groups_find_chains_and_keep_unlike_texts_apart(spark):
     """A large group of near copies, a chain of small changes, and texts that share a passage but are no copies."""
     base = [f"b{i}" for i in range(200)]
