@@ -17,16 +17,21 @@ def pileup(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return full, named.unionByName(totals)
 
 
+def _share(values: DataFrame, column: str) -> DataFrame:
+    """values plus _total: the sample's sum of column. Sums are made in parts, and a row for each sample is joined; no sample is one task."""
+    totals = values.groupBy(F.col("sample").alias("_sample")).agg(F.sum(column).alias("_total"))
+    return values.join(totals, F.col("sample").eqNullSafe(F.col("_sample"))).drop("_sample")
+
+
 def fpkm(counts: DataFrame, lengths: DataFrame) -> DataFrame:
     """sample, gene, fpkm of the genes with a length; library sizes are those of these genes."""
-    df = counts.join(lengths, "gene")
-    total = F.sum("count").over(Window.partitionBy("sample"))
-    return df.select("sample", "gene", (F.col("count") / total * 1e6 / F.col("length")).alias("fpkm"))
+    df = _share(counts.join(lengths, "gene"), "count")
+    return df.select("sample", "gene", (F.col("count") / F.col("_total") * 1e6 / F.col("length")).alias("fpkm"))
 
 
 def tpm(counts: DataFrame, lengths: DataFrame) -> DataFrame:
-    df = counts.join(lengths, "gene").withColumn("_rate", F.col("count") / F.col("length"))
-    return df.select("sample", "gene", (F.col("_rate") / F.sum("_rate").over(Window.partitionBy("sample")) * 1e6).alias("tpm"))
+    df = _share(counts.join(lengths, "gene").withColumn("_rate", F.col("count") / F.col("length")), "_rate")
+    return df.select("sample", "gene", (F.col("_rate") / F.col("_total") * 1e6).alias("tpm"))
 
 
 def unknown_lengths(counts: DataFrame, lengths: DataFrame) -> DataFrame:

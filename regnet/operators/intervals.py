@@ -51,12 +51,16 @@ def intersect_all(first: DataFrame, *others: DataFrame) -> DataFrame:
 
 def extract(sequences: DataFrame, bed: DataFrame, tile: int = TILE) -> DataFrame:
     """seqname (chrom:start-end), chrom, start_pos, end_pos, seq of each interval; 0-based, half-open. Sequences are cut into
-    tiles, and an interval meets only its own ones, so that no row of the join holds a whole chromosome. Intervals of
-    unknown sequences go; what lies past a sequence's end is left out; equal intervals stay as many as they are."""
+    tiles, or come in tiles of that width (tile_start), and an interval meets only its own ones, so that no row of the join
+    holds a whole chromosome. Intervals of unknown sequences go; what lies past a sequence's end is left out; equal
+    intervals stay as many as they are."""
     start = F.col("_tile") * tile
-    seqs = sequences.select(F.col("seqname").alias("chrom"), F.col("seq").cast("binary").alias("_seq"))  # places are bytes: no walk from the start
-    tiles = seqs.withColumn("_tile", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(F.greatest(F.octet_length("_seq") - 1, F.lit(0)) / tile))))
-    tiles = tiles.select("chrom", "_tile", F.substring("_seq", (start + 1).cast("int"), F.lit(tile)).cast("string").alias("_part"))
+    if "tile_start" in sequences.columns:
+        tiles = sequences.select(F.col("seqname").alias("chrom"), F.floor(F.col("tile_start") / tile).alias("_tile"), F.col("seq").alias("_part"))
+    else:
+        seqs = sequences.select(F.col("seqname").alias("chrom"), F.col("seq").cast("binary").alias("_seq"))  # places are bytes: no walk from the start
+        tiles = seqs.withColumn("_tile", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(F.greatest(F.octet_length("_seq") - 1, F.lit(0)) / tile))))
+        tiles = tiles.select("chrom", "_tile", F.substring("_seq", (start + 1).cast("int"), F.lit(tile)).cast("string").alias("_part"))
     own = bed.groupBy("chrom", "start_pos", "end_pos").agg(F.count(F.lit(1)).alias("_n"))
     first = F.floor(F.col("start_pos") / tile)
     asked = own.withColumn("_tile", F.explode(F.sequence(first, F.greatest(F.floor((F.col("end_pos") - 1) / tile), first))))

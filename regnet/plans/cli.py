@@ -12,8 +12,9 @@ from ..operators.expression import complete_abundance, fpkm, gene_lengths, pileu
 from ..operators.genes import promoter_windows
 from ..operators.intervals import link_peaks
 from ..operators.peaks import batch_link
+from ..operators.reports import Reports
 from ..params import Params, preset
-from ..sources import annotation, motif_files, sinks, tables
+from ..sources import annotation, fasta, motif_files, sinks, tables
 from . import networks
 
 
@@ -27,7 +28,7 @@ def parser() -> argparse.ArgumentParser:
         ("--info", {}), ("--shuffle", {"type": int}), ("--truncate", {"type": float, "default": 0.35}), ("--save-flagged", {"action": "store_true"}),
     ]
     for name, flags in {
-        "network": [*common, ("--gtf", {"required": True}), ("--fasta", {"required": True}), ("--bed", {}), ("--window", {"type": int, "nargs": "+"}), ("--no-tss", {"action": "store_true"}), ("--intergenic", {"action": "store_true"}), ("--save-hits", {"action": "store_true"})],
+        "network": [*common, ("--gtf", {"required": True}), ("--fasta", {"required": True}), ("--bed", {}), ("--window", {"type": int, "nargs": "+"}), ("--no-tss", {"action": "store_true"}), ("--intergenic", {"action": "store_true"}), ("--save-hits", {"action": "store_true"}), ("--report", {"action": "store_true"})],
         "promoters": [*common, ("--fasta", {"required": True})],
         "link": [("--gtf", {"required": True}), ("--bed", {"required": True}), ("--out", {"required": True}), ("--window", {"type": int, "nargs": "+", "default": [5000, 500]}), ("--intergenic", {"action": "store_true"}), ("--distance", {"action": "store_true"})],
         "windows": [("--gtf", {"required": True}), ("--out", {"required": True}), ("--window", {"type": int, "nargs": "+", "default": [5000, 500]})],
@@ -56,16 +57,20 @@ def make_network(spark: SparkSession, a: argparse.Namespace) -> None:
     p = params(a)
     info = motif_files.read_motif_info(spark, a.info) if a.info else None
     motifs = networks.prepare_motifs(motif_files.read_motifs(spark, a.motifs, a.format), fuzzy=a.fuzzy, shuffle_seed=a.shuffle, info=info, regulators=names(a.tfs), truncate=a.truncate)
-    seqs = annotation.read_fasta(spark, a.fasta)
     if a.command == "network":
+        seqs = fasta.read_tiles(spark, a.fasta)
         bed = annotation.read_bed(spark, a.bed) if a.bed else None
         hits_out = f"{a.out}_tf_binding_locs.tsv" if a.save_hits else None
         genes = annotation.read_genes(spark, a.gtf)
-        made = networks.from_genome(genes, seqs, motifs, p, lengths=annotation.fasta_lengths(seqs), constraint=bed, gene_names=names(a.genes), scanner=a.scanner, hits_out=hits_out)
+        reports = Reports.of(genes) if a.report else None
+        made = networks.from_genome(genes, seqs, motifs, p, lengths=fasta.tile_lengths(seqs), constraint=bed, gene_names=names(a.genes), scanner=a.scanner, hits_out=hits_out, reports=reports)
     else:
-        made = networks.from_promoters(seqs, motifs, p, gene_names=names(a.genes), scanner=a.scanner)
-    regulators = sorted(r[0] for r in motifs.select("motif_name").distinct().collect())
-    networks.save(a.out, *made, regulators, flagged=a.save_flagged)
+        reports = None
+        made = networks.from_promoters(annotation.read_fasta(spark, a.fasta), motifs, p, gene_names=names(a.genes), scanner=a.scanner)
+    networks.save(a.out, *made, motifs.select(F.col("motif_name").alias("regulator")), flagged=a.save_flagged)
+    if reports is not None:
+        lines = spark.createDataFrame(reports.lines(), "counted string, name string, n bigint")
+        sinks.write_table(lines, f"{a.out}_report.tsv")
 
 
 def make_expression(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -112,9 +117,8 @@ def link_experiments(spark: SparkSession, a: argparse.Namespace) -> None:
 def make_experiment_prior(spark: SparkSession, a: argparse.Namespace) -> None:
     linked = annotation.read_bed(spark, a.linked).withColumn("signal_value", F.col("signal_value").cast("double"))
     made = networks.from_peaks(linked, annotation.read_bed(spark, a.mask) if a.mask else None, a.fraction)
-    regulators = sorted(r[0] for r in linked.select("regulator").distinct().collect())
     sinks.write_table(made, f"{a.out}_long.tsv", single=False)
-    sinks.write_matrix(made.withColumn("score", F.when(F.col("edge"), F.col("score")).otherwise(0.0)), f"{a.out}.tsv.gz", regulators)
+    sinks.write_matrix(made.withColumn("score", F.when(F.col("edge"), F.col("score")).otherwise(0.0)), f"{a.out}.tsv.gz", linked)
 
 
 PLANS = {

@@ -11,6 +11,7 @@ from ..operators.genes import keep_named, promoter_windows, with_tss
 from ..operators.intervals import extract, intersect
 from ..operators.network import complete, edges, flag_edges, hits_near_genes, select_edges
 from ..operators.peaks import peak_prior
+from ..operators.reports import Reports
 from ..operators.scan import place, scan_scored
 from ..params import Params
 from ..sources import sinks
@@ -52,11 +53,17 @@ def network(hits: DataFrame, genes: DataFrame, motifs: DataFrame, p: Params) ->
 
 def from_genome(
     genes: DataFrame, sequences: DataFrame, motifs: DataFrame, p: Params = Params(), *, lengths: DataFrame | None = None, constraint: DataFrame | None = None,
-    gene_names: DataFrame | None = None, scanner: str = "p_value", hits_out: str | None = None,
+    gene_names: DataFrame | None = None, scanner: str = "p_value", hits_out: str | None = None, reports: Reports | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """reports: counts hits by chromosome and motif names, and the intervals that are scanned."""
     chosen = keep_named(with_tss(genes), gene_names, "gene_name")
     windows = promoter_windows(chosen, p.window, use_tss=p.use_tss, lengths=lengths, intergenic=p.intergenic)
-    hits = place(find_hits(extract(sequences, regions(windows, constraint)), motifs, p, scanner))
+    bed = regions(windows, constraint)
+    if reports is not None:
+        bed = reports.watch(bed, "intervals", chromosome="chrom")
+    hits = place(find_hits(extract(sequences, bed), motifs, p, scanner))
+    if reports is not None:
+        hits = reports.watch(hits, "hits", chromosome="seqname", names="regulator")
     if hits_out:
         sinks.write_hits(hits, hits_out)
     return network(hits_near_genes(hits, windows), windows, motifs, p)
@@ -77,7 +84,8 @@ def from_peaks(linked: DataFrame, mask: DataFrame | None = None, fraction: float
     return select_edges(scores) if threshold else scores.withColumn("edge", F.col("score") != 0)
 
 
-def save(prefix: str, found: DataFrame, scores: DataFrame, flags: DataFrame, regulators: list[str], flagged: bool = False) -> None:
+def save(prefix: str, found: DataFrame, scores: DataFrame, flags: DataFrame, regulators: DataFrame, flagged: bool = False) -> None:
+    """regulators: regulator, the matrices' columns."""
     sinks.write_matrix(scores, f"{prefix}_unfiltered_matrix.tsv.gz", regulators)
     sinks.write_matrix(flags, f"{prefix}_edge_matrix.tsv.gz", regulators, "edge")
     if flagged:

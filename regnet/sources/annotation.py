@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions.names import GENE_ID, attribute
 from ..operators.genes import collapse, with_tss
+from . import fasta
 
 HEADER_NAMES = ("chrom", "start", "end", "strand")
 
@@ -55,16 +56,8 @@ def read_bed(spark: SparkSession, path: str | list[str], narrow_peak: bool = Fal
 
 def read_fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """seqname, seq per record. Records begin at a ">" at a line's start; lines with # are comments. Text before the first
-    header of a file is an error."""
-    chunks = spark.read.option("lineSep", "\n>").text(path).withColumn("file", F.input_file_name())
-    said = F.trim(F.regexp_replace("value", r"(?m)^#.*$", ""), F.lit(" \t\r\n"))
-    # only a file's first chunk keeps its ">"; where none does, the first one must be blank
-    first = F.col("value").startswith(">") | (said == "")
-    if not chunks.groupBy("file").agg(F.bool_or(first).alias("ok")).filter("NOT ok").isEmpty():
-        raise ValueError(f"text before the first header in {path}")
-    raw = chunks.filter(said != "").select(F.regexp_replace("value", "^>", "").alias("value"))
-    body = F.regexp_replace(F.regexp_replace("value", r"^[^\n]*\n?", ""), r"(?m)^#.*$", "")
-    return raw.select(F.regexp_extract("value", r"^(\S+)", 1).alias("seqname"), F.regexp_replace(body, r"\s", "").alias("seq"))
+    header of a file is an error. For genomes, fasta.read_tiles holds no sequence in one row."""
+    return fasta.read_records(spark, path)
 
 
 def fasta_lengths(sequences: DataFrame) -> DataFrame:

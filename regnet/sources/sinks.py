@@ -6,29 +6,46 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.motif_math import LETTERS
-from ..operators.network import wide
+from ..operators.network import complete
+
+
+def finished(spark: SparkSession, path: str) -> bool:
+    """Whether a write to path was committed: what a failed one has left behind has no marker."""
+    marker = spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+    return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
 
 
 def write_table(df: DataFrame, path: str, *, header: bool = True, gzip: bool = False, single: bool = True, resume: bool = False) -> None:
-    """resume leaves a path that is there as it is."""
+    """resume leaves a path whose write was finished as it is."""
+    if resume and finished(df.sparkSession, path):
+        return
     out = df.coalesce(1) if single else df
-    out.write.mode("ignore" if resume else "overwrite").option("sep", "\t").option("header", header).option("compression", "gzip" if gzip else "none").csv(path)
+    out.write.mode("overwrite").option("sep", "\t").option("header", header).option("compression", "gzip" if gzip else "none").csv(path)
 
 
-def write_matrix(long: DataFrame, path: str, regulators: list[str], value: str = "score") -> None:
-    """Genes by regulators; booleans as 0 and 1."""
-    kind = dict(long.dtypes)[value]
-    write_table(wide(long.withColumn(value, F.col(value).cast("int")) if kind == "boolean" else long, regulators, value).orderBy("target"), path, gzip=True)
+def write_matrix(long: DataFrame, path: str, regulators: DataFrame, value: str = "score", *, resume: bool = False) -> None:
+    """Genes by regulators (regulator: the columns), 0 where there is no cell; booleans as 0 and 1."""
+    kind = "int" if dict(long.dtypes)[value] == "boolean" else dict(long.dtypes)[value]
+    cells = long.select("target", "regulator", F.col(value).cast(kind).alias("score"))
+    # a repeated cell stays one in the product, so that write_wide finds it
+    full = complete(cells, long, regulators).withColumn("score", F.col("score").cast(kind))
+    write_wide(full, path, "target", "regulator", "score", gzip=True, resume=resume)
 
 
-def write_wide(long: DataFrame, path: str, row: str, column: str, value: str, *, resume: bool = False) -> None:
-    """One line per row, its values in order of column; every row must hold every column. There is no limit of columns."""
+def write_wide(long: DataFrame, path: str, row: str, column: str, value: str, *, gzip: bool = False, resume: bool = False) -> None:
+    """One line per row, its values in order of column; every row must hold every column. There is no limit of columns. Lines
+    are written by ranges of row by many tasks; the part files in order of their names are one text with one header.
+    A repeated row and column is an error."""
+    if resume and finished(long.sparkSession, path):
+        return
     cells = F.sort_array(F.collect_list(F.struct(F.col(column).alias("k"), F.col(value).cast("string").alias("v"))))
     lines = long.groupBy(F.col(row).alias("r")).agg(cells.alias("c"))
-    line = F.concat_ws("\t", "r", F.array_join("c.v", "\t", ""))
+    n = F.size("c") - 1
+    once = ~F.exists(F.zip_with(F.slice("c.k", F.lit(1), n), F.slice("c.k", F.lit(2), n), lambda a, b: a.eqNullSafe(b)), lambda same: same)  # in order, so repeated ones are side by side
+    line = F.when(once, F.concat_ws("\t", "r", F.array_join("c.v", "\t", ""))).otherwise(F.raise_error(F.concat(F.lit("repeated column in row "), "r")).cast("string"))
     head = long.select(F.col(column).alias("k")).distinct().agg(F.array_join(F.sort_array(F.collect_list("k")), "\t").alias("h")).select(F.lit(0).alias("i"), F.lit("").alias("r"), F.concat_ws("\t", F.lit(row), "h").alias("value"))
     body = lines.select(F.lit(1).alias("i"), "r", line.alias("value"))
-    head.unionByName(body).orderBy("i", "r").coalesce(1).select("value").write.mode("ignore" if resume else "overwrite").text(path)
+    head.unionByName(body).orderBy("i", "r").select("value").write.mode("overwrite").option("compression", "gzip" if gzip else "none").text(path)
 
 
 def write_hits(hits: DataFrame, path: str) -> None:
