@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,9 +47,10 @@ def find_hits(sequences: DataFrame, motifs: DataFrame, p: Params, scanner: str =
 def network(hits: DataFrame, genes: DataFrame, motifs: DataFrame, p: Params) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(edges, complete scores in long form, the same with edge flags) of hits that have their target."""
     ic = motifs.select(F.col("motif_name").alias("regulator"), "information_content")
-    found = edges(hits, ic, max_gap=p.tandem, min_ic=p.min_ic)
+    # all that follows asks for the edges, some of it several times: sequences are scanned once
+    found = edges(hits, ic, max_gap=p.tandem, min_ic=p.min_ic).persist(StorageLevel.MEMORY_AND_DISK)
     scores = complete(found, genes.select(F.col("gene_name").alias("target")), ic)
-    return found, scores, select_edges(scores)
+    return found, scores, select_edges(scores).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def from_genome(

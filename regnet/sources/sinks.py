@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.motif_math import LETTERS
-from ..operators.network import complete
 
 
 def finished(spark: SparkSession, path: str) -> bool:
@@ -24,15 +23,14 @@ def write_table(df: DataFrame, path: str, *, header: bool = True, gzip: bool = F
 
 
 def write_matrix(long: DataFrame, path: str, regulators: DataFrame, value: str = "score", *, resume: bool = False) -> None:
-    """Genes by regulators (regulator: the columns), 0 where there is no cell; booleans as 0 and 1."""
+    """Genes by regulators; booleans as 0 and 1. long holds every gene and regulator (network.complete), so regulators
+    (regulator: the columns) tells the header without going over it."""
     kind = "int" if dict(long.dtypes)[value] == "boolean" else dict(long.dtypes)[value]
     cells = long.select("target", "regulator", F.col(value).cast(kind).alias("score"))
-    # a repeated cell stays one in the product, so that write_wide finds it
-    full = complete(cells, long, regulators).withColumn("score", F.col("score").cast(kind))
-    write_wide(full, path, "target", "regulator", "score", gzip=True, resume=resume)
+    write_wide(cells, path, "target", "regulator", "score", columns=regulators.select("regulator"), gzip=True, resume=resume)
 
 
-def write_wide(long: DataFrame, path: str, row: str, column: str, value: str, *, gzip: bool = False, resume: bool = False) -> None:
+def write_wide(long: DataFrame, path: str, row: str, column: str, value: str, *, columns: DataFrame | None = None, gzip: bool = False, resume: bool = False) -> None:
     """One line per row, its values in order of column; every row must hold every column. There is no limit of columns. Lines
     are written by ranges of row by many tasks; the part files in order of their names are one text with one header.
     A repeated row and column is an error."""
@@ -43,7 +41,7 @@ def write_wide(long: DataFrame, path: str, row: str, column: str, value: str, *,
     n = F.size("c") - 1
     once = ~F.exists(F.zip_with(F.slice("c.k", F.lit(1), n), F.slice("c.k", F.lit(2), n), lambda a, b: a.eqNullSafe(b)), lambda same: same)  # in order, so repeated ones are side by side
     line = F.when(once, F.concat_ws("\t", "r", F.array_join("c.v", "\t", ""))).otherwise(F.raise_error(F.concat(F.lit("repeated column in row "), "r")).cast("string"))
-    head = long.select(F.col(column).alias("k")).distinct().agg(F.array_join(F.sort_array(F.collect_list("k")), "\t").alias("h")).select(F.lit(0).alias("i"), F.lit("").alias("r"), F.concat_ws("\t", F.lit(row), "h").alias("value"))
+    head = (long if columns is None else columns).select(F.col(column).alias("k")).distinct().agg(F.array_join(F.sort_array(F.collect_list("k")), "\t").alias("h")).select(F.lit(0).alias("i"), F.lit("").alias("r"), F.concat_ws("\t", F.lit(row), "h").alias("value"))
     body = lines.select(F.lit(1).alias("i"), "r", line.alias("value"))
     head.unionByName(body).orderBy("i", "r").select("value").write.mode("overwrite").option("compression", "gzip" if gzip else "none").text(path)
 

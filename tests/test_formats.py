@@ -93,8 +93,9 @@ def test_matrix_of_many_columns_by_many_tasks(spark, tmp_path):
     cells = spark.range(rows).select(F.format_string("g%02d", "id").alias("target"), F.format_string("TF%05d", F.col("id") * 7).alias("regulator"), (F.col("id") + 0.5).alias("score"))
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        sinks.write_matrix(cells, str(tmp_path / "m"), regulators)
-        sinks.write_matrix(cells.withColumn("edge", F.col("score") > 9), str(tmp_path / "e"), regulators, "edge")
+        full = network.complete(cells, cells, regulators)
+        sinks.write_matrix(full, str(tmp_path / "m"), regulators)
+        sinks.write_matrix(full.withColumn("edge", F.col("score") > 9), str(tmp_path / "e"), regulators, "edge")
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     parts = sorted((tmp_path / "m").glob("part-*.gz"))
@@ -159,13 +160,11 @@ def test_network_in_a_constraint(spark, tmp_path):
     (tmp_path / "m.meme").write_text(MEME)
     (tmp_path / "k.bed").write_text("c\t5800\t6000\nd\t1\t9\n")
     base = ["network", "--motifs", str(tmp_path / "m.meme"), "--gtf", str(tmp_path / "a.gtf"), "--fasta", str(tmp_path / "a.fa"), "--window", "2000", "2000"]
-    edges = {}
-    for name, more in {"all": [], "part": ["--bed", str(tmp_path / "k.bed")]}.items():
-        cli.main([*base, "--out", str(tmp_path / name), "--report", *more])
-        edges[name] = {r.target: float(r.N1) > 0 for r in spark.read.option("sep", "\t").option("header", True).csv(f"{tmp_path / name}_unfiltered_matrix.tsv.gz").collect()}
-        counted = {tuple(x.split("\t")[:2]): int(x.split("\t")[2]) for x in lines(tmp_path / f"{name}_report.tsv")[1:]}
-        assert counted[("hits", "distinct names")] == 1 and counted[("hits", "rows")] == counted[("hits", "chromosome c")] == (4 if name == "all" else 2)
-    assert edges == {"all": {"G1": True, "G2": True}, "part": {"G1": True, "G2": False}}
+    cli.main([*base, "--out", str(tmp_path / "part"), "--report", "--bed", str(tmp_path / "k.bed")])
+    edges = {r.target: float(r.N1) > 0 for r in spark.read.option("sep", "\t").option("header", True).csv(f"{tmp_path}/part_unfiltered_matrix.tsv.gz").collect()}
+    assert edges == {"G1": True, "G2": False}  # the site near G2 lies outside
+    counted = {tuple(x.split("\t")[:2]): int(x.split("\t")[2]) for x in lines(tmp_path / "part_report.tsv")[1:]}
+    assert counted[("hits", "distinct names")] == 1 and counted[("hits", "rows")] == counted[("hits", "chromosome c")] == 2
     windows = spark.createDataFrame([("c", 10, 50)], "seqname string, win_start long, win_end long")
     inside = networks.regions(windows, spark.createDataFrame([("c", 0, 20), ("c", 40, 90), ("d", 0, 99)], "chrom string, start_pos long, end_pos long"))
     assert sorted(map(tuple, inside.select("chrom", "start_pos", "end_pos").collect())) == [("c", 10, 20), ("c", 40, 50)]
