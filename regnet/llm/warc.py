@@ -8,7 +8,9 @@ memory is bounded.
 Reading takes whole archive files as rows and follows Content-Length. Only records in segments are shuffled, by
 origin id; a group is one page's segments. They are ordered by segment number; missing or repeated numbers or a
 wrong total length make the record incomplete (payload null), and so does an end of the file inside a record. Chunked
-framing is decoded last, and the payload compared with its declared digest.
+framing is decoded last, and the payload compared with its declared digest. What isn't a record is passed over up to the next
+line that begins one, a gzip member that can't be read up to the next one; either leaves a record of type "unreadable",
+which is incomplete. A record without a valid length is incomplete. No bad byte fails a job.
 
 Defined cases: null payload counts as empty; payloads under min_bytes are never revisits; rows that share the
 smallest page_id of a payload are all responses; null page_ids come after all others and never are referred to;
@@ -19,6 +21,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -34,6 +37,11 @@ CHUNK_BYTES = 8 * 1024
 RECORDS_PER_FILE = 2000
 DATE = "2024-01-01T00:00:00Z"
 END = "\r\n"
+#: What stands where a gzip member couldn't be read: no record begins there.
+BROKEN = b"\r\n\r\nunreadable\r\n"
+_RECORD, _HEAD_END = re.compile(rb"\nWARC/"), re.compile(rb"\r?\n\r?\n")
+_HEX, _DIGITS, _NUMBER = re.compile(rb"[0-9A-Fa-f]{1,15}"), re.compile(r"[0-9]{1,18}", re.A), re.compile(r"-?[0-9]{1,19}", re.A)
+_CODINGS = re.compile(rb"(?im)^transfer-encoding[ \t]*:([^\r\n]*)")
 
 
 def _bytes(text: Column) -> Column:
@@ -99,25 +107,37 @@ def unzipped(data: bytes) -> bytes:
     if data[:2] != b"\x1f\x8b":
         return data
     out = []
-    while data[:2] == b"\x1f\x8b":
+    while data:
         member = zlib.decompressobj(31)
-        out.append(member.decompress(data))
-        data = member.unused_data.lstrip(b"\0")  # members may be padded
+        try:
+            out.append(member.decompress(data))
+            data = member.unused_data.lstrip(b"\0") if member.eof else b""  # members may be padded
+        except zlib.error:
+            out.append(BROKEN)
+            data = data[1:]
+        at = data.find(b"\x1f\x8b\x08")
+        data = data[at:] if at >= 0 else b""
     return b"".join(out)
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes, bool]]:
     """(header fields by lower-case name, block, whether all of it is there) of the records in an archive."""
-    at = 0
+    at, some = 0, False
     while at < len(data):
         if data[at : at + 1] in b"\r\n":  # record ends
             at += 1
             continue
-        end = data.find(b"\r\n\r\n", at)
-        whole = end >= 0
-        lines = data[at : end if whole else len(data)].decode("utf-8", "surrogateescape").split(END)
-        if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
+        if not data.startswith(b"WARC/", at):  # on to the next record
+            again = _RECORD.search(data, at)
+            if again is None and not some:
+                raise ValueError("no WARC record in the file")
+            yield {"warc-type": "unreadable"}, b"", False
+            if again is None:
+                return
+            at = again.end() - 5
+        some = True
+        end = _HEAD_END.search(data, at)
+        lines = data[at : end.start() if end else len(data)].decode("utf-8", "surrogateescape").replace(END, "\n").split("\n")
         fields: dict[str, str] = {}
         name = ""
         for x in lines[1:]:
@@ -127,14 +147,24 @@ def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes, bool]]:
                 name, _, value = x.partition(":")
                 name = name.strip().lower()
                 fields[name] = value.strip()
-        if not whole:
+        if end is None:
             yield fields, b"", False
             return
-        start, size = end + 4, fields.get("content-length", "")
-        if not size.isdigit():
-            raise ValueError(f"a record without its length at byte {at}")
-        at = start + int(size)
-        yield fields, data[start:at], at <= len(data)
+        size = fields.get("content-length", "")
+        if not _DIGITS.fullmatch(size):
+            yield fields, b"", False
+            at = end.end()
+            continue
+        at = end.end() + int(size)
+        yield fields, data[end.end() : at], at <= len(data)
+
+
+def readable(data: bytes) -> Iterator[tuple[dict[str, str], bytes, bool]]:
+    """As parse; of a file without any record, one that is unreadable."""
+    try:
+        yield from parse(data)
+    except ValueError:
+        yield {"warc-type": "unreadable"}, b"", False
 
 
 def dechunk(body: bytes) -> bytes | None:
@@ -142,11 +172,11 @@ def dechunk(body: bytes) -> bytes | None:
     out, at = [], 0
     while True:
         end = body.find(b"\r\n", at)
-        try:
-            n = int(body[at:end].split(b";")[0], 16)
-        except ValueError:
+        size = body[at:end].split(b";")[0].strip(b" \t") if end >= 0 else b""
+        if not _HEX.fullmatch(size):
             return None
-        if end < 0 or end + 2 + n > len(body):
+        n = int(size, 16)
+        if end + 2 + n > len(body):
             return None
         if n == 0:
             return b"".join(out)
@@ -155,11 +185,25 @@ def dechunk(body: bytes) -> bytes | None:
 
 
 def payload_of(block: bytes | None) -> bytes | None:
-    """The body of an HTTP response, its chunked framing decoded; any other block whole."""
+    """The body of an HTTP response, its transfer codings (chunked, gzip, deflate) undone; any other block whole. None where a coding is broken or unknown."""
     if block is None or not block.startswith(b"HTTP/"):
         return block
-    head, _, body = block.partition(b"\r\n\r\n")
-    return dechunk(body) if b"\r\ntransfer-encoding: chunked" in head.lower() else body
+    end = _HEAD_END.search(block)
+    head, body = (block[: end.start()], block[end.end() :]) if end else (block, b"")
+    codings = [c.strip().lower() for value in _CODINGS.findall(head) for c in value.split(b",")]
+    for coding in reversed([c for c in codings if c not in (b"", b"identity")]):
+        try:
+            if coding == b"chunked":
+                body = dechunk(body)
+            elif coding in (b"gzip", b"x-gzip", b"deflate"):
+                body = zlib.decompress(body, 47)
+            else:
+                return None
+        except zlib.error:
+            return None
+        if body is None:
+            return None
+    return body
 
 
 _PARSED = pa.schema([("record_type", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("digest", pa.string()), ("refers_to", pa.int64()), ("origin", pa.string()), ("segment", pa.int32()), ("total", pa.int64()), ("whole", pa.bool_()), ("block", pa.binary())])
@@ -169,14 +213,14 @@ BATCH_BYTES = 8 << 20
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows, held = [], 0
-    number = lambda x: int(x) if x and x.isdigit() else None
+    number = lambda x: int(x) if x and _NUMBER.fullmatch(x) and -(2**63) <= int(x) < 2**63 else None
 
     def batch() -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), _PARSED, strict=True)], schema=_PARSED)
 
     for b in batches:
         for content in b.column(0):
-            for f, block, whole in parse(unzipped(content.as_py())):
+            for f, block, whole in readable(unzipped(content.as_py())):
                 rows.append((
                     f.get("warc-type"), number(f.get("x-page-id")), f.get("warc-target-uri"), f.get("warc-payload-digest"), number(f.get("x-refers-to-page")),
                     f.get("warc-segment-origin-id", f.get("warc-record-id")), number(f.get("warc-segment-number")), number(f.get("warc-segment-total-length")), whole, block,

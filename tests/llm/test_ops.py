@@ -85,6 +85,39 @@ def test_warc_files_from_elsewhere(spark, tmp_path):
         list(warc.parse(b"HTTP/1.1 200 OK\r\n\r\n"))
 
 
+def test_warc_bad_bytes_fail_no_job(spark, tmp_path):
+    """Stray lines, a corrupt gzip member, bare line feeds, lengths that are none, chunk sizes and codings of all spellings, negative ids."""
+    import gzip
+    import zlib as z
+
+    for bad in (b"-6\r\n", b"+5\r\nabcde\r\n0\r\n\r\n", b"1_0\r\n" + b"x" * 16 + b"\r\n0\r\n\r\n", b"0x5\r\nabcde\r\n0\r\n\r\n", b"\r\n", b"", b"5"):
+        assert warc.dechunk(bad) is None
+    assert warc.dechunk(b"5 \r\nabcde\r\n00\r\n\r\n") == b"abcde"
+    chunks = lambda x: b"%x\r\n%s\r\n0\r\n\r\n" % (len(x), x)
+    http = lambda codings, body: b"HTTP/1.1 200 OK\r\n" + codings + b"\r\n\r\n" + body
+    plain = b"transfer-encoding: chunked in the text"
+    for codings, body in ((b"Transfer-Encoding:chunked", chunks(plain)), (b"TRANSFER-ENCODING:  Chunked", chunks(plain)), (b"Transfer-Encoding: gzip, chunked", chunks(gzip.compress(plain))), (b"X: 1\r\nTransfer-Encoding: deflate", z.compress(plain)), (b"Transfer-Encoding: identity", plain), (b"X-Transfer-Encoding: chunked", plain)):
+        assert warc.payload_of(http(codings, body)) == plain
+    assert warc.payload_of(http(b"Transfer-Encoding: br", plain)) is None and warc.payload_of(http(b"Transfer-Encoding: gzip", plain)) is None
+
+    def record(block, end=b"\r\n", **more):
+        fields = {b"WARC-Type": b"resource", b"Content-Length": b"%d" % len(block)} | {k.replace("_", "-").encode(): v for k, v in more.items()}
+        return end.join([b"WARC/1.0", *(k + b": " + v for k, v in fields.items())]) + 2 * end + block + b"\r\n\r\n"
+
+    d = tmp_path / "w"
+    d.mkdir()
+    (d / "stray.warc").write_bytes(b"junk\n" + record(b"one") + b"stray line\r\n" + record(b"two", end=b"\n") + record(b"lost", Content_Length=b"-3") + record(b"three"))
+    members = [gzip.compress(record(x)) for x in (b"four", b"five", b"six")]
+    members[1] = members[1][:20] + bytes(255 - x for x in members[1][20:40]) + members[1][40:]
+    (d / "member.warc.gz").write_bytes(b"".join(members))
+    (d / "none.warc").write_bytes(b"HTTP/1.1 200 OK\r\n\r\n")
+    got = warc.read_archive(spark, str(d)).collect()
+    assert {bytes(r.payload) for r in got if r.payload is not None} >= {b"one", b"two", b"three", b"four", b"six"}
+    assert sum(r.record_type == "unreadable" for r in got) >= 4 and not any(r.complete for r in got if r.payload is None)
+    pages = spark.createDataFrame([(-7, "u", "z" * 150), (-3, "u", "z" * 150), (5, "u", "z" * 150), (-(2**63), "u", "a")], "page_id long, url string, html string")
+    assert {(r.page_id, r.record_type, r.refers_to) for r in warc.round_trip(pages).collect()} == {(-7, "response", None), (-3, "revisit", -7), (5, "revisit", -7), (-(2**63), "response", None)}
+
+
 def test_secret_spans(docs, rows):
     assign = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
     want = Counter()
