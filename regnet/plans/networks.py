@@ -86,7 +86,7 @@ def from_peaks(linked: DataFrame, mask: DataFrame | None = None, fraction: float
     return select_edges(scores) if threshold else scores.withColumn("edge", F.col("score") != 0)
 
 
-def save(prefix: str, found: DataFrame, scores: DataFrame, flags: DataFrame, regulators: DataFrame, flagged: bool = False) -> None:
+def save(prefix: str, found: DataFrame, scores: DataFrame, flags: DataFrame, regulators: DataFrame | list[str], flagged: bool = False) -> None:
     """regulators: regulator, the matrices' columns."""
     sinks.write_matrix(scores, f"{prefix}_unfiltered_matrix.tsv.gz", regulators)
     sinks.write_matrix(flags, f"{prefix}_edge_matrix.tsv.gz", regulators, "edge")

@@ -22,9 +22,11 @@ def write_table(df: DataFrame, path: str, *, header: bool = True, gzip: bool = F
     out.write.mode("overwrite").option("sep", "\t").option("header", header).option("compression", "gzip" if gzip else "none").csv(path)
 
 
-def write_matrix(long: DataFrame, path: str, regulators: DataFrame, value: str = "score", *, resume: bool = False) -> None:
+def write_matrix(long: DataFrame, path: str, regulators: DataFrame | list[str], value: str = "score", *, resume: bool = False) -> None:
     """Genes by regulators; booleans as 0 and 1. long holds every gene and regulator (network.complete), so regulators
-    (regulator: the columns) tells the header without going over it."""
+    (regulator: the columns, or a list of them) tells the header without going over it."""
+    if isinstance(regulators, list):
+        regulators = long.sparkSession.createDataFrame([(r,) for r in regulators], "regulator string")
     kind = "int" if dict(long.dtypes)[value] == "boolean" else dict(long.dtypes)[value]
     cells = long.select("target", "regulator", F.col(value).cast(kind).alias("score"))
     write_wide(cells, path, "target", "regulator", "score", columns=regulators.select("regulator"), gzip=True, resume=resume)
