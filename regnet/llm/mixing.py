@@ -3,12 +3,14 @@
 The words of each source are one stream, packed into blocks of a fixed length. A source's slots (passes over all of
 its blocks, then a partial pass) are dealt to output shards by independent seeded draws, so each shard's source
 counts are multinomial given the totals; a pseudorandom permutation of the source's block numbers gives each block
-its slot in each pass. Blocks are written to the shards of their slots, each shard in as many files as its size
-asks for, and what the mix takes of a document is read from the shards as written.
+its slot in each pass. Blocks are written to the shards of their slots, and what the mix takes of a document is read
+from the shards as written.
 
 Offsets come from two levels of sums (chunks of a source, then rows of a chunk), so a source with a third of all
-rows is spread over many tasks. The only global order is over one row per source. Texts are shuffled twice: by chunk,
-to be cut at the blocks' borders, and by file of a shard, where the pieces of a block meet.
+rows is spread over many tasks. The only global order is over one row per source. Texts are shuffled once, by chunk: a
+task cuts its chunks at the blocks' borders, packs the blocks and writes them to their shards. Only the pieces of blocks
+that reach over a chunk's border are shuffled again to meet, two for each chunk. A task writes a file to each shard; for
+large inputs tasks are made large enough that files hold about WORDS_PER_FILE words.
 
 Defined cases: null text has size 0; null source is a source of its own, last in order; rows of size 0 are taken
 0 times; repeated rows are rows of their own; no rows give no rows; extra columns are ignored; a source's last block
@@ -30,7 +32,7 @@ BLOCK = 64
 CAP = 3
 ROWS_PER_CHUNK = 4000
 SHARDS = 64
-#: Words in a file of a shard, about.
+#: Words in a file of a shard, about, where the input is large.
 WORDS_PER_FILE = 4_000_000
 MAX_BROADCAST_SOURCES = 100_000
 
@@ -52,17 +54,18 @@ def source_targets(sizes: DataFrame, cap: float = CAP) -> DataFrame:
     return s.select("source", "sid", "source_size", "n_rows", "weight", F.least("most", F.coalesce(F.col("level") * F.col("weight"), "most")).alias("target"))
 
 
-def _in_chunks(docs: DataFrame, sources: DataFrame, seed: int) -> DataFrame:
-    """docs with their source's columns, chunk, row (number in the chunk) and start (offset in the chunk)."""
+def _in_chunks(docs: DataFrame, sources: DataFrame, seed: int, tasks: int | None = None) -> DataFrame:
+    """docs with their source's columns, chunk, row (number in the chunk) and start (offset in the chunk). tasks: how many, if not as the session has it."""
     docs = docs.join(sources.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     docs = docs.withColumn("chunk", F.pmod(F.hash(F.lit(seed), "doc_id", "_k1"), "n_chunks"))
+    docs = docs.repartition(tasks, "sid", "chunk") if tasks else docs
     own = Window.partitionBy("sid", "chunk").orderBy("doc_id", "_k1", "_k2")
     return docs.withColumn("row", F.row_number().over(own)).withColumn("start", F.sum("size").over(own.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
 
 
 def _from_bases(docs: DataFrame, bases: DataFrame) -> DataFrame:
     """start counts from the begin of the source's stream."""
-    return docs.join(bases, ["sid", "chunk"]).withColumn("start", F.col("start") + F.col("base")).drop("base")
+    return docs.join(bases, ["sid", "chunk"]).withColumn("start", F.col("start") + F.col("base")).drop("base", "chunk_size")
 
 
 def _streams(documents: DataFrame, block: int, cap: float, seed: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -82,7 +85,7 @@ def _streams(documents: DataFrame, block: int, cap: float, seed: int) -> tuple[D
     rows = _in_chunks(docs, small, seed)
     chunks = rows.groupBy("sid", "chunk").agg(F.sum("size").alias("chunk_size"))
     ahead = Window.partitionBy("sid").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    bases = stored(chunks.select("sid", "chunk", F.coalesce(F.sum("chunk_size").over(ahead), F.lit(0)).alias("base")), "chunks")
+    bases = stored(chunks.select("sid", "chunk", "chunk_size", F.coalesce(F.sum("chunk_size").over(ahead), F.lit(0)).alias("base")), "chunks")
     return _from_bases(rows, bases), small, bases
 
 
@@ -136,26 +139,36 @@ def _cut(words: Column, start: Column, size: Column, block: int) -> Column:
 
 
 def _write_shards(documents: DataFrame, sources: DataFrame, bases: DataFrame, shards: int, block: int, seed: int) -> DataFrame:
+    spark = documents.sparkSession
     said = let(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(NON_SPACE), F.lit(0)), lambda w: F.struct(F.size(w).cast("long").alias("size"), F.array_join(w, " ").alias("words")))
     docs = documents.select("doc_id", "source", *row_key(F.col("doc_id"), F.col("text")), said.alias("said")).select("doc_id", "source", "_k1", "_k2", "said.size", "said.words")
-    # what is shuffled with the words is as little as can be
-    docs = _from_bases(_in_chunks(docs, sources.select("source", "sid", "n_chunks"), seed), bases).filter("size > 0")
-    cut = docs.select("doc_id", "sid", "chunk", "row", F.inline(_cut(F.col("words"), F.col("start"), F.col("size"), block)))
-    cut = cut.join(sources.select("sid", "n_blocks", "passes", "rest"), "sid")
-    words = sources.agg(F.sum("target")).first()[0] or 0
-    files = max(1, round(words / (shards * WORDS_PER_FILE)))
-    cut = _slotted(cut, shards, seed).withColumn("place", F.col("shard") * files + F.pmod(F.xxhash64("sid", "pass", "slot"), F.lit(files)))
-    cut = cut.select("place", "sid", "pass", "slot", "block", "chunk", "row", "doc_id", "first", "words").repartition("place")
-    piece = F.struct("chunk", "row", "doc_id", "first", "words")
-    packed = cut.groupBy("place", "sid", "pass", "slot", "block").agg(F.sort_array(F.collect_list(piece)).alias("p"))  # at most a block's words
+    words = sources.agg(F.sum("source_size")).first()[0] or 0
+    tasks = words // (shards * WORDS_PER_FILE)
+    of_source = ["sid", "n_blocks", "passes", "rest"]
+    docs = _in_chunks(docs, sources.select("source", "source_size", *of_source, "n_chunks"), seed, tasks if tasks > int(spark.conf.get("spark.sql.shuffle.partitions")) else None)
+    docs = docs.join(bases, ["sid", "chunk"]).withColumn("start", F.col("start") + F.col("base")).filter("size > 0")
+    docs = docs.withColumn("beyond", F.col("base") + F.col("chunk_size"))
+
+    def shared(first: Column, last: Column) -> Column:
+        """Whether the first of these blocks begins before the chunk, or the last ends after it."""
+        return (first * block < F.col("base")) | (F.least((last + 1) * block, F.col("source_size")) > F.col("beyond"))
+
+    def packed(docs: DataFrame, whole: bool, *by: str) -> DataFrame:
+        cut = docs.select("doc_id", *of_source, "source_size", "chunk", "row", "base", "beyond", F.inline(_cut(F.col("words"), F.col("start"), F.col("size"), block)))
+        cut = cut.filter(shared(F.col("block"), F.col("block")) != F.lit(whole))
+        piece = F.struct("chunk", "row", "doc_id", "first", "words")
+        return cut.groupBy(*of_source, *by, "block").agg(F.sort_array(F.collect_list(piece)).alias("p")).drop(*by)  # at most a block's words
+
+    at_border = shared(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))
+    blocks = packed(docs, True, "chunk").unionByName(packed(docs.filter(at_border), False))  # one exchange of the texts serves both
     n = lambda x: F.size(F.split(x["words"], " ")).cast("long").alias("n")
-    packed = packed.select(
-        F.floor(F.col("place") / files).cast("int").alias("shard"), "sid", "pass", "slot", "block", F.array_join("p.words", " ").alias("words"),
+    blocks = _slotted(blocks, shards, seed).select(
+        F.col("shard").cast("int").alias("shard"), "sid", "pass", "slot", "block", F.array_join("p.words", " ").alias("words"),
         F.transform("p", lambda x: F.struct(*[x[c].alias(c) for c in ("chunk", "row", "doc_id", "first")], n(x))).alias("pieces"),
     )
-    path = scratch(documents.sparkSession, "shards")
-    packed.write.partitionBy("shard").option("compression", "zstd").parquet(path)
-    return documents.sparkSession.read.schema(packed.schema).parquet(path)
+    path = scratch(spark, "shards")
+    blocks.write.partitionBy("shard").option("compression", "zstd").parquet(path)
+    return spark.read.schema(blocks.schema).parquet(path)
 
 
 def mixed_blocks(documents: DataFrame, shards: int = SHARDS) -> DataFrame:
