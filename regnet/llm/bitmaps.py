@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import TEXT_ROWS, lean
+
 PARTS = 64
 DDL = "part int, once binary, twice binary"
 
@@ -52,8 +54,8 @@ def _merge(n: int):
     return run
 
 
-def filled(rows: DataFrame, places: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int, which: str) -> bytes:
-    """places gives, for each document, a row of bit positions per distinct key. which: "once" or "twice".
+def filled(rows: DataFrame, places: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int, which: str, texts: bool = False) -> bytes:
+    """places gives, for each document, a row of bit positions per distinct key. which: "once" or "twice". texts: whether rows are texts.
 
     A key all of whose bits another document (or key) has set before counts as seen twice; merging two tasks' maps
     by twice | twice | (once & once) can't miss one."""
@@ -67,7 +69,7 @@ def filled(rows: DataFrame, places: Callable[[pa.RecordBatch], Iterator[np.ndarr
                 _set(once, at.ravel())
         yield _rows(once, twice)
 
-    merged = rows.mapInArrow(fill, DDL).repartition(PARTS, "part").mapInArrow(_merge(bits // 8 // PARTS), DDL)
+    merged = rows.mapInArrow(lean(fill, TEXT_ROWS if texts else None), DDL).repartition(PARTS, "part").mapInArrow(lean(_merge(bits // 8 // PARTS)), DDL)
     out = np.zeros((PARTS, bits // 8 // PARTS), np.uint8)
     for r in merged.select("part", which).collect():  # PARTS rows, bits / 8 bytes
         out[r[0]] = np.frombuffer(r[1], np.uint8)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bitmaps
-from .common import LOWER, UPPER, bounded, row_key, stored
+from .common import LOWER, TEXT_ROWS, UPPER, bounded, lean, row_key, stored
 
 MIN_CHARS, MIN_DOCS = 40, 5
 #: Most bits of each filter (64 MB); bytes of text for each key that the filter is made for; probes of a key.
@@ -67,7 +67,7 @@ def twice_seen(documents: DataFrame, min_chars: int = MIN_CHARS) -> bytes:
             if own := list({d for _, d in long_keys(text, min_chars)}):
                 yield _places(own, bits)
 
-    return bitmaps.filled(documents.select("text"), places, bits, "twice")
+    return bitmaps.filled(documents.select("text"), places, bits, "twice", True)
 
 
 def _suspects(twice: object, min_chars: int):
@@ -92,7 +92,7 @@ def common_keys(documents: DataFrame, min_chars: int = MIN_CHARS, min_docs: int
     bits = sc.broadcast(twice_seen(documents, min_chars))
     keyed = documents.select("doc_id", *row_key(F.col("doc_id"), F.col("text")), "text")
     kinds = dict(documents.dtypes)
-    seen = stored(keyed.mapInArrow(_suspects(bits, min_chars), f"doc_id {kinds['doc_id']}, _k1 long, _k2 int, key binary"), "line-suspects")
+    seen = stored(keyed.mapInArrow(lean(_suspects(bits, min_chars), TEXT_ROWS), f"doc_id {kinds['doc_id']}, _k1 long, _k2 int, key binary"), "line-suspects")
     common = seen.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keeper")).filter(F.col("n") >= min_docs)
     return seen, stored(common.select("key", "keeper"), "common-lines")
 
@@ -170,12 +170,12 @@ def dedup_lines(documents: DataFrame, min_chars: int = MIN_CHARS, min_docs: int
     seen, common = common_keys(documents.select("doc_id", "text"), min_chars, min_docs)
     if bounded(common, MAX_BROADCAST_KEYS):
         few = documents.sparkSession.sparkContext.broadcast(Common(common.toArrow()))
-        return documents.mapInArrow(_rewrite(min_chars, digest, few), schema)
+        return documents.mapInArrow(lean(_rewrite(min_chars, digest, few), TEXT_ROWS), schema)
     lose = seen.join(common, "key").filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
     lose = lose.groupBy(F.col("_k1").alias("_regnet_b1"), F.col("_k2").alias("_regnet_b2")).agg(F.collect_set("key").alias("_regnet_drop"))
     k1, k2 = row_key(documents["doc_id"], documents["text"])
     joined = documents.join(lose, (k1 == F.col("_regnet_b1")) & (k2 == F.col("_regnet_b2")), "left").select(*[documents[c] for c in documents.columns], "_regnet_drop")
-    return joined.mapInArrow(_rewrite(min_chars, digest, None), schema)
+    return joined.mapInArrow(lean(_rewrite(min_chars, digest, None), TEXT_ROWS), schema)
 
 
 def with_n_chars(documents: DataFrame) -> DataFrame:

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bitmaps
-from .common import KEY, NON_SPACE, row_key, stored
+from .common import KEY, NON_SPACE, TEXT_ROWS, lean, row_key, stored
 from .components import components
 
 SHINGLE, PERCENT = 5, 80
@@ -55,6 +55,8 @@ VERIFY_COST, ACCIDENTS = 20.0, 0.05
 FIRST_SHARE = 3 / 16
 #: Bytes of text that are hashed at once.
 PIECE = 1 << 20
+#: Pairs whose sets are compared at once.
+PAIR_ROWS = 1024
 _M = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = pow(int(_M), -1, 1 << 64)
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
@@ -159,7 +161,7 @@ def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def sketch(described: DataFrame) -> tuple[np.ndarray, int]:
     """Estimated document counts, one per counter, less the load that any counter has, at least 1; and that load."""
-    rows = described.filter("part IS NOT NULL").select("part", "counts").repartition(SKETCH_PARTS, "part").mapInArrow(_sum, "part int, counts binary")
+    rows = described.filter("part IS NOT NULL").select("part", "counts").repartition(SKETCH_PARTS, "part").mapInArrow(lean(_sum), "part int, counts binary")
     out = np.zeros((SKETCH_PARTS, COUNTERS // SKETCH_PARTS), np.int32)
     for r in rows.collect():  # SKETCH_PARTS rows, 8 MB
         out[r[0]] = np.frombuffer(r[1], np.int32)
@@ -336,11 +338,11 @@ def _reaching(pairs: DataFrame, documents: DataFrame, size: int, percent: int, s
     sc = documents.sparkSession.sparkContext
     ids = pairs.select(F.col("a").alias("sid")).union(pairs.select("b"))
     bits = sc.broadcast(bitmaps.filled(ids, _wanted, ID_BITS, "once"))
-    sets = documents.select("text").mapInArrow(_sets(bits, size, share), "sid long, n int, tokens binary").dropDuplicates(["sid"])
+    sets = documents.select("text").mapInArrow(lean(_sets(bits, size, share), TEXT_ROWS), "sid long, n int, tokens binary").dropDuplicates(["sid"])
     sets = stored(sets, "sets")
     x = sets.select(F.col("sid").alias("a"), F.col("n").alias("m"), F.col("tokens").alias("x"))
     y = sets.select(F.col("sid").alias("b"), "n", F.col("tokens").alias("y"))
-    return stored(pairs.select("a", "b").join(y, "b").join(x, "a").mapInArrow(_linked(percent), "a long, b long"), "reaching")
+    return stored(pairs.select("a", "b").join(y, "b").join(x, "a").mapInArrow(lean(_linked(percent), PAIR_ROWS), "a long, b long"), "reaching")
 
 
 def verified(pairs: DataFrame, documents: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -354,15 +356,15 @@ def grouped(documents: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -
     sc = documents.sparkSession.sparkContext
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     keyed = docs.select("doc_id", *row_key(F.col("doc_id"), F.col("text")), "text")
-    told = stored(keyed.mapInArrow(_describe(size), "doc_id long, _k1 long, _k2 int, n int, sid long, part int, counts binary"), "shingle-sets")
+    told = stored(keyed.mapInArrow(lean(_describe(size), TEXT_ROWS), "doc_id long, _k1 long, _k2 int, n int, sid long, part int, counts binary"), "shingle-sets")
     base = told.filter("part IS NULL").select("doc_id", *KEY, "n", "sid")
     estimates, counts_load = sketch(told)
     counts = sc.broadcast(estimates)
     text = docs.select("text")
     parts = max(1, (base.agg(F.sum("n")).first()[0] or 0) * (100 - percent) // 100 // PART_TOKENS)
     hot_from = HOT_DF + 8 * math.isqrt(counts_load)  # over what chance adds to a counter
-    packed = text.mapInArrow(_prefixes(counts, hot_from, size, percent, parts), _PACKED_DDL)
-    shared = stored(packed.repartition(parts, "part").mapInArrow(_shared, "token long, sid long, n int, free int, l int, typical int, last long, m0 long, m1 long, m2 long, m3 long"), "shared")
+    packed = text.mapInArrow(lean(_prefixes(counts, hot_from, size, percent, parts), TEXT_ROWS), _PACKED_DDL)
+    shared = stored(packed.repartition(parts, "part").mapInArrow(lean(_shared), "token long, sid long, n int, free int, l int, typical int, last long, m0 long, m1 long, m2 long, m3 long"), "shared")
     post = shared.filter("token IS NOT NULL").select("token", "sid")
     # what a set can share with one whose prefix doesn't end before its own: all outside its prefix, and of that the tokens of
     # other prefixes. A partner with a shorter prefix may hold more of it, so this is a bound for pairs and not for sets

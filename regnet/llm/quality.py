@@ -23,6 +23,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
+
 #: At most about so many labelled documents are collected to fit the model (4 kB each); pairs drawn from them.
 MAX_TRAIN, PAIRS = 20_000, 60_000
 RIDGE, NEWTON_STEPS, CG_STEPS = 1e-2, 12, 60
@@ -93,7 +95,7 @@ def fit(documents: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, see
     share = min(1.0, max_train / max(rows.count(), 1))
     rows = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit(seed)), 1_000_000) < round(share * 1e6))  # about max_train rows: small enough to broadcast
     got = documents.select("doc_id", "text").join(F.broadcast(rows), "doc_id").select("quality", "text").filter(F.col("quality").isin(0, 1))
-    got = got.mapInArrow(_features, "quality int, x binary").toArrow()
+    got = got.mapInArrow(lean(_features, TEXTS), "quality int, x binary").toArrow()
     order = pc.sort_indices(got, [("quality", "ascending"), ("x", "ascending")]).to_numpy()  # the draw mustn't depend on the order in which rows came
     quality, x = got.column("quality").to_numpy()[order], np.empty((len(got), N_FEATURES + 1), np.float32)
     for i, k in enumerate(order):
@@ -159,7 +161,7 @@ def classify(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of documents."""
     model = documents.sparkSession.sparkContext.broadcast(fit(documents, labels))
     docs = documents.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
-    out = docs.mapInArrow(_score(model), f"doc_id {dict(documents.dtypes)['doc_id']}, held_out boolean, score double")
+    out = docs.mapInArrow(lean(_score(model), TEXTS), f"doc_id {dict(documents.dtypes)['doc_id']}, held_out boolean, score double")
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
@@ -175,4 +177,4 @@ def _keep(model: object, threshold: float):
 def keep_good(documents: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """documents without those that the classifier rejects. Columns stay as they are."""
     model = documents.sparkSession.sparkContext.broadcast(fit(documents, labels))
-    return documents.mapInArrow(_keep(model, threshold), documents.schema)
+    return documents.mapInArrow(lean(_keep(model, threshold), TEXTS), documents.schema)
