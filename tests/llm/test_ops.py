@@ -569,6 +569,19 @@ def test_mixing_writes_packed_shards(docs, rows, monkeypatch):
     assert mixing.mixed_blocks(docs.limit(0)).count() == 0
 
 
+def test_mixing_in_tasks_made_for_large_files(docs, spark, monkeypatch):
+    """Beyond a size the number of tasks follows from WORDS_PER_FILE; the mix stays the same."""
+    monkeypatch.setattr(mixing, "ROWS_PER_CHUNK", 30)
+    want = Counter(map(tuple, mixing.mix(docs).collect()))
+    seen, in_chunks = [], mixing._in_chunks
+    monkeypatch.setattr(mixing, "_in_chunks", lambda *a: (seen.append(a[3:]), in_chunks(*a))[1])
+    words, usual = sum(r[2] * n for r, n in want.items()), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    monkeypatch.setattr(mixing, "SHARDS", 4)
+    monkeypatch.setattr(mixing, "WORDS_PER_FILE", words // (4 * (usual + 2)))
+    assert Counter(map(tuple, mixing.mix(docs).collect())) == want
+    assert seen[-1][0] > usual
+
+
 def test_capped_targets():
     t = brute_targets({"a": 10, "b": 1000, "c": 50, None: 0})
     assert t["a"] == 30 and t[None] == 0 and abs(sum(t.values()) - 1060) < 1e-6
