@@ -110,3 +110,20 @@ def test_clusters_across_bins(spark):
                 values[round(x * network.SCALE)] = values.get(round(x * network.SCALE), 0) + 1
         want = brute_clusters(values, network.SCALE, 0.001, 4)
         assert {q: got[(f"r{k}", q)] for q in values} == want
+
+
+def test_ties_go_on_with_the_run_that_one_of_them_opens(spark):
+    # the order of equal rows in the window that gave the amounts is lost: whichever comes first, the run opens before it goes on
+    for amounts in ([0, 1, 0], [1, 0, 0], [0, 0, 1]):
+        rows = [("a", 0, 11, 1), *[("a", 100, 111, x) for x in amounts]]
+        df = spark.createDataFrame(rows, "k string, start_pos long, stop_pos long, new int").coalesce(1)
+        got = ranges.running(df, ("k",), ("start_pos", "stop_pos"), F.col("new"), "island")
+        assert sorted((r.start_pos, r.island) for r in got.collect()) == [(0, 1), (100, 2), (100, 2), (100, 2)]
+
+
+def test_names_are_distinct_before_they_meet(spark):
+    many = spark.range(1000).selectExpr("concat('chr', cast(id % 3 AS string)) AS seqname")
+    both = genes.shared_chromosomes(many, many.filter("seqname <> 'chr1'"))
+    assert sorted(r.seqname for r in both.collect()) == ["chr0", "chr2"]
+    plan = both._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan[plan.index("Join LeftSemi") :]  # the side that a task holds is names, not rows
