@@ -65,7 +65,12 @@ def score_sites(hits: DataFrame, max_gap: int = 100, min_score: float | None = N
     """Per gene and regulator: score, n_sites, start_pos, stop_pos of the best tandem array of merged sites, or of the
     best site where there is no array. Arrays are sites that follow within max_gap. always_pair: two sites always make an array."""
     kept = hits if min_score is None else hits.filter(F.col("score") >= min_score)
-    sites = islands(merge_islands(kept, keys), keys, gap=max_gap, name="array")
+    return best_arrays(merge_islands(kept, keys), max_gap, keys, always_pair)
+
+
+def best_arrays(merged: DataFrame, max_gap: int, keys: tuple[str, ...] = KEYS, always_pair: bool = False) -> DataFrame:
+    """What score_sites says of merged sites."""
+    sites = islands(merged, keys, gap=max_gap, name="array")
     if always_pair:
         sites = sites.withColumn("array", F.when(F.count(F.lit(1)).over(Window.partitionBy(*keys)) == 2, 1).otherwise(F.col("array")))
     arrays = sites.groupBy(*keys, "array").agg(F.sum("score").alias("score"), F.count(F.lit(1)).alias("n_sites"), F.min("start_pos").alias("start_pos"), F.max("stop_pos").alias("stop_pos"))
