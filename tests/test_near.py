@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from regnet.operators import near, network, sites
+from regnet.operators import near, network, peaks, sites
 
 HIT = "seqname string, regulator string, start_pos long, stop_pos long, score double, per_base array<double>"
 WIN = "gene_name string, seqname string, win_start long, win_end long"
@@ -73,3 +73,23 @@ def test_no_row_for_each_pair(spark):
 def test_empty_tables(spark):
     h, w = spark.createDataFrame([], HIT), spark.createDataFrame([("g", "c", 1, 5)], WIN)
     assert near.sites_near(h, w).count() == near.top_near(h, w).count() == near.sites_near(h, w.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_peaks_by_gene_as_over_links(spark, seed):
+    rng = random.Random(seed)
+    rows = [(rng.choice(["c1", "c2"]), (a := rng.randint(0, 6000)), a + rng.choice([0, 1, 30, 400]), ".", rng.choice([1.5, 2.0, 7.25, None]), f"e{rng.randint(0, 5)}.bed") for _ in range(300)]
+    p = spark.createDataFrame(rows + rows[:60], "chrom string, start_pos long, end_pos long, strand string, signal_value double, file_name string")
+    meta = [(f"e{i}.bed", f"t{i % 2}", f"e{i}", True, i == 3, False) for i in range(6)]
+    m = spark.createDataFrame(meta, "file_name string, tf string, accession string, file_exists boolean, error boolean, noncompliant boolean")
+    w = _windows(rng, 40, 6000, False) + [("g1", "c1", 100, 900), ("g1", "c1", 100, 900), ("g1", "c1", 500, 3000), ("g2", "c1", 0, 40_000)]
+    w = spark.createDataFrame(w, WIN).withColumns({"strand": F.lit("+"), "tss": F.col("win_start")})
+    mask = spark.createDataFrame([(rng.choice(["c1", "c2"]), (a := rng.randint(0, 6000)), a + 700, ".") for _ in range(12)], "chrom string, start_pos long, end_pos long, strand string")
+    linked = peaks.batch_link(p, m, w)
+    cols = ("chrom", "start_pos", "end_pos", "gene", "regulator", "accession")
+    found = peaks.distinct_links(p, m, w)
+    assert _rows(found, *cols) == _rows(peaks.distinct_peaks(linked), *cols)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan[: plan.index("Join Inner")]  # nothing is compared after the rows have met
+    prior = peaks.peak_prior(linked.groupBy(*cols).agg(F.max("signal_value").alias("signal_value")), mask, 0.5)
+    assert _rows(peaks.prior_near(p, m, w, mask, 0.5), "target", "regulator", "score") == _rows(prior, "target", "regulator", "score")
