@@ -21,35 +21,40 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bitmaps
-from .common import LOWER, TEXT_ROWS, UPPER, bounded, lean, row_key, stored
+from .common import TEXT_ROWS, bounded, lean, row_key, stored
 
 MIN_CHARS, MIN_DOCS = 40, 5
 #: Most bits of each filter (64 MB); bytes of text for each key that the filter is made for; probes of a key.
 MOST_BITS, BYTES_A_KEY, PROBES = 1 << 29, 160, 3
 #: Common keys that are broadcast at most (24 bytes each).
 MAX_BROADCAST_KEYS = 500_000
-STRIP = " \t\n\x0b\x0c\r"
-_LOW = str.maketrans(UPPER, LOWER)
+STRIP = b" \t\n\x0b\x0c\r"
 
 
-def key_of(line: str) -> str:
-    return line.strip(STRIP).translate(_LOW) if not line.isascii() else line.strip(STRIP).lower()
+def key_of(line: bytes) -> bytes:
+    """Of a line in UTF-8. bytes.lower touches A-Z alone."""
+    return line.strip(STRIP).lower()
 
 
-def long_keys(text: str | None, min_chars: int) -> list[tuple[int, bytes]]:
-    """(line number, 128-bit hash of the key) of the lines whose keys are long enough."""
+def long_keys(text: bytes, min_chars: int) -> list[tuple[int, bytes]]:
+    """(line number, 128-bit hash of the key) of the lines whose keys have enough code points; text in UTF-8."""
     out = []
-    for i, line in enumerate((text or "").split("\n")):
-        if len(line) >= min_chars and len(k := key_of(line)) >= min_chars:
-            out.append((i, xxhash.xxh3_128_digest(k.encode("utf-8", "surrogatepass"))))
+    for i, line in enumerate(text.split(b"\n")):
+        if len(line) >= min_chars and len(k := key_of(line)) >= min_chars and (k.isascii() or len(k.decode("utf-8", "replace")) >= min_chars):
+            out.append((i, xxhash.xxh3_128_digest(k)))
     return out
 
 
+def _texts(column: pa.Array) -> list[bytes]:
+    return pc.fill_null(column.cast(pa.binary()), b"").to_pylist()
+
+
 def _places(digests: list[bytes], bits: int) -> np.ndarray:
     """One row of bit positions for each digest."""
     h = np.frombuffer(b"".join(digests), "<u8").reshape(-1, 2)
@@ -63,7 +68,7 @@ def twice_seen(documents: DataFrame, min_chars: int = MIN_CHARS) -> bytes:
     bits = bitmaps.size_for(size // BYTES_A_KEY, MOST_BITS)
 
     def places(b: pa.RecordBatch) -> Iterator[np.ndarray]:
-        for text in b.column(0).to_pylist():
+        for text in _texts(b.column(0)):
             if own := list({d for _, d in long_keys(text, min_chars)}):
                 yield _places(own, bits)
 
@@ -74,12 +79,13 @@ def _suspects(twice: object, min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keys, rows = [], []
-            for i, text in enumerate(b.column("text").to_pylist()):
-                own = list({d for _, d in long_keys(text, min_chars)})
-                if own:
-                    hit = bitmaps.known(twice.value, _places(own, 8 * len(twice.value)))
-                    keys += [d for d, x in zip(own, hit, strict=True) if x]
-                    rows += [i] * int(hit.sum())
+            for i, text in enumerate(_texts(b.column("text"))):
+                own = {d for _, d in long_keys(text, min_chars)}
+                keys += own
+                rows += [i] * len(own)
+            if keys:
+                hit = np.flatnonzero(bitmaps.known(twice.value, _places(keys, 8 * len(twice.value))))
+                keys, rows = [keys[i] for i in hit], [rows[i] for i in hit]
             got = b.select(["doc_id", "_k1", "_k2"]).take(pa.array(rows, pa.int64()))
             yield pa.RecordBatch.from_arrays([*got.columns, pa.array(keys, pa.binary())], ["doc_id", "_k1", "_k2", "key"])
 
@@ -121,7 +127,7 @@ class Common:
 def _lost(b: pa.RecordBatch, common: Common, min_chars: int) -> list[set[int]]:
     """For each row of a batch the lines that it loses."""
     rows, lines, digests = [], [], []
-    for i, text in enumerate(b.column("text").to_pylist()):
+    for i, text in enumerate(_texts(b.column("text"))):
         for line, d in long_keys(text, min_chars):
             rows.append(i)
             lines.append(line)
@@ -145,19 +151,19 @@ def _rewrite(min_chars: int, digest: bool, common: object | None):
                 lost = _lost(b, common.value, min_chars)
             else:
                 drops = [set(x or ()) for x in b.column("_regnet_drop").to_pylist()]
-                lost = [{i for i, d in long_keys(t, min_chars) if d in bad} if bad else set() for t, bad in zip(b.column("text").to_pylist(), drops, strict=True)]
+                lost = [{i for i, d in long_keys(t, min_chars) if d in bad} if bad else set() for t, bad in zip(_texts(b.column("text")), drops, strict=True)]
                 b = b.select(b.schema.names[:-1])
             texts, n = [], []
-            for text, out in zip(b.column("text").to_pylist(), lost, strict=True):
-                lines = (text or "").split("\n")
-                n.append(len(lines))
-                kept = "\n".join(x for i, x in enumerate(lines) if i not in out) if out else text
-                texts.append(hashlib.sha256((kept or "").encode("utf-8", "surrogatepass")).hexdigest() if digest else kept)
+            held = b.column("text").cast(pa.binary())
+            for text, out in zip(held.to_pylist(), lost, strict=True):
+                n.append((text or b"").count(b"\n") + 1)
+                kept = b"\n".join(x for i, x in enumerate(text.split(b"\n")) if i not in out) if out else text
+                texts.append(hashlib.sha256(kept or b"").hexdigest() if digest else kept)
             if digest:
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array([len(x) for x in lost], pa.int64()), pa.array(texts, pa.string())], ["doc_id", "n_lines", "n_dropped", "kept_sha256"])
             else:
                 at = b.schema.get_field_index("text")
-                yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(b.columns)], b.schema.names)
+                yield pa.RecordBatch.from_arrays([pa.array(texts, pa.binary()).cast(b.column(at).type, safe=False) if i == at else c for i, c in enumerate(b.columns)], b.schema.names)
 
     return run
 

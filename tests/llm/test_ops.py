@@ -686,3 +686,14 @@ def test_bitmaps_miss_no_repeat(spark):
     for bits in (4096, 1 << 20):  # dense and sparse parts
         twice = bitmaps.filled(df, at, bits, "twice")
         assert bitmaps.known(twice, np.arange(100)[:, None]).all() and not bitmaps.known(twice, np.arange(100, bits)[:, None]).any()
+
+
+def test_line_keys_are_taken_from_bytes():
+    import xxhash
+
+    from regnet.llm.line_dedup import long_keys
+
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    lines = ["\x0b ÀÉ Straße İ ABC  \t", "É" * 6, "É" * 10, "short", "PLAIN LETTERS", " " + "x" * 9, "", "퟿\U0001f600" * 5]
+    want = [(i, xxhash.xxh3_128_digest(k.encode())) for i, x in enumerate(lines) if len(k := x.strip(" \t\n\x0b\x0c\r").translate(low)) >= 10]
+    assert long_keys("\n".join(lines).encode(), 10) == want
