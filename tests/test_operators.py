@@ -96,6 +96,20 @@ def test_interval_join_is_complete(spark):
     assert got == want
 
 
+def test_interval_pairs_come_in_order_of_place(spark):
+    """Pairs that follow each other are alike, whatever the order of the tables, and many tasks make them."""
+    rng = random.Random(5)
+    a = [(f"c{rng.randrange(3)}", s := rng.randrange(2000), s + rng.randrange(1, 300)) for _ in range(300)]
+    b = [(f"c{rng.randrange(3)}", s := rng.randrange(2000), s + rng.randrange(1, 90)) for _ in range(300)]
+    x = spark.createDataFrame(a, "seqname string, start_pos bigint, end_pos bigint").coalesce(1)
+    y = spark.createDataFrame(b, "seqname string, win_start bigint, win_end bigint").coalesce(1)
+    got = {}
+    for r in intervals.overlap_join(x, y, width=64).withColumn("task", F.spark_partition_id()).collect():
+        got.setdefault(r.task, []).append((r.seqname, max(r.start_pos, r.win_start) // 64, r.start_pos, r.end_pos, r.win_start, r.win_end))
+    assert len(got) > 3 and all(rows == sorted(rows) for rows in got.values())
+    assert sorted(p for rows in got.values() for p in rows) == sorted((p[0], max(p[1], q[1]) // 64, *p[1:], *q[1:]) for p in a for q in b if p[0] == q[0] and p[2] >= q[1] and p[1] <= q[2])
+
+
 @pytest.mark.parametrize("rows,kept", [
     ([(float(i * 5), 1) for i in range(8)], "positive"), ([(float(i % 4), 6) for i in range(12)], "none"),
     ([(0.0, 400), (1.0, 20), (9.0, 12)], "top"), ([(0.0, 20), (5.0, 20), (9.0, 1)], "noise"),
