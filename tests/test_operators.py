@@ -110,6 +110,16 @@ def test_interval_pairs_come_in_order_of_place(spark):
     assert sorted(p for rows in got.values() for p in rows) == sorted((p[0], max(p[1], q[1]) // 64, *p[1:], *q[1:]) for p in a for q in b if p[0] == q[0] and p[2] >= q[1] and p[1] <= q[2])
 
 
+def test_peaks_without_a_gene_are_found_without_pairs(spark):
+    """Copies, peaks over several bins, peaks that only touch a window, and peaks on no sequence."""
+    p = [("c", 0, 3000), ("c", 0, 3000), ("c", 5000, 5100), ("c", 5000, 5100), ("c", 2200, 2300), ("d", 10, 20), (None, 10, 20)]
+    peaks = spark.createDataFrame([(*x, ".", i) for i, x in enumerate(p)], "chrom string, start_pos bigint, end_pos bigint, strand string, i int")
+    w = spark.createDataFrame([("a", "c", "+", 2000, 2200, 2100), ("b", "c", "-", 2050, 2200, 2100)], "gene_name string, seqname string, strand string, win_start bigint, win_end bigint, tss bigint")
+    df = intervals.link_peaks(peaks, w, intergenic=True)
+    assert sorted((r.i, r.gene) for r in df.collect()) == [(0, "a"), (0, "b"), (1, "a"), (1, "b"), *[(i, "Intergenic") for i in range(2, 7)]]
+    assert "LeftSemi" in df._jdf.queryExecution().optimizedPlan().toString()
+
+
 @pytest.mark.parametrize("rows,kept", [
     ([(float(i * 5), 1) for i in range(8)], "positive"), ([(float(i % 4), 6) for i in range(12)], "none"),
     ([(0.0, 400), (1.0, 20), (9.0, 12)], "top"), ([(0.0, 20), (5.0, 20), (9.0, 1)], "noise"),
