@@ -110,6 +110,21 @@ def test_interval_pairs_come_in_order_of_place(spark):
     assert sorted(p for rows in got.values() for p in rows) == sorted((p[0], max(p[1], q[1]) // 64, *p[1:], *q[1:]) for p in a for q in b if p[0] == q[0] and p[2] >= q[1] and p[1] <= q[2])
 
 
+@pytest.mark.parametrize("width", [7, 64, 256])
+def test_pairs_are_told_by_whole_numbers(spark, width):
+    """Places left of zero, ends on borders of bins, intervals over many bins; no division is made for two rows that meet."""
+    rng = random.Random(width)
+    a = [("c", s := rng.choice([-width, -1, 0, width, rng.randrange(-300, 300)]), s + rng.choice([0, 1, width, 3 * width])) for _ in range(150)]
+    b = [("c", s := rng.choice([-width, -1, 0, width, rng.randrange(-300, 300)]), s + rng.choice([0, 1, width, 9 * width])) for _ in range(150)]
+    x, y = spark.createDataFrame(a, "seqname string, start_pos bigint, end_pos bigint"), spark.createDataFrame(b, "seqname string, win_start bigint, win_end bigint")
+    for closed in (True, False):
+        df = intervals.overlap_join(x, y, width=width, closed=closed)
+        want = sorted((p[1:], q[1:]) for p in a for q in b if (p[2] >= q[1] and p[1] <= q[2] if closed else p[2] > q[1] and p[1] < q[2]))
+        assert sorted(((r.start_pos, r.end_pos), (r.win_start, r.win_end)) for r in df.collect()) == want
+        joins = [line for line in df._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join Inner" in line]
+        assert joins and not any("FLOOR" in line or "/" in line for line in joins)
+
+
 def test_peaks_without_a_gene_are_found_without_pairs(spark):
     """Copies, peaks over several bins, peaks that only touch a window, and peaks on no sequence."""
     p = [("c", 0, 3000), ("c", 0, 3000), ("c", 5000, 5100), ("c", 5000, 5100), ("c", 2200, 2300), ("d", 10, 20), (None, 10, 20)]
