@@ -135,6 +135,19 @@ def test_peaks_without_a_gene_are_found_without_pairs(spark):
     assert "LeftSemi" in df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_hits_are_held_against_genes_beside_them(spark):
+    """Most of what shares a bin with a short hit touches it."""
+    hits = spark.range(2000).selectExpr("concat('r', id % 3) AS regulator", "'c' AS seqname", "id * 37 % 20000 AS start_pos", "id * 37 % 20000 + 11 AS stop_pos", "1.0D AS score")
+    windows = spark.range(200).selectExpr("cast(id AS string) AS gene_name", "'c' AS seqname", "id * 97 AS win_start", "id * 97 + 560 AS win_end")
+    df = network.hits_near_genes(hits, windows)
+    want = sorted((h.regulator, h.start_pos, g.gene_name) for g in windows.collect() for h in hits.collect() if h.stop_pos >= g.win_start and h.start_pos <= g.win_end)
+    assert sorted((r.regulator, r.start_pos, r.target) for r in df.collect()) == want
+    sides = [intervals._bins(t, lo, hi, network.SITE_BIN, "bin").groupBy("bin").count() for t, lo, hi in ((hits, "start_pos", "stop_pos"), (windows, "win_start", "win_end"))]
+    met = sides[0].join(sides[1].withColumnRenamed("count", "other"), "bin").agg(F.sum(F.col("count") * F.col("other"))).first()[0]
+    assert met < 2 * len(want)
+    assert f"/ {network.SITE_BIN}.0" in df._jdf.queryExecution().optimizedPlan().toString()
+
+
 @pytest.mark.parametrize("rows,kept", [
     ([(float(i * 5), 1) for i in range(8)], "positive"), ([(float(i % 4), 6) for i in range(12)], "none"),
     ([(0.0, 400), (1.0, 20), (9.0, 12)], "top"), ([(0.0, 20), (5.0, 20), (9.0, 1)], "noise"),
